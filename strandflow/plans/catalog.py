@@ -1,384 +1,6 @@
 """Named queries over the driver's tables, and the SQL that checks them."""
 
-from __future__ import annotations
+from strandflow.plans import assemblies, graphs  # noqa: F401  they register their queries
+from strandflow.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-
-from strandflow.functions import sequence as fn
-from strandflow.operators import blocks as B, contiguity as C, intervals as I, links as G
-from strandflow.plans import adapters as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the decorated function under its name, with SQL for the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
-
-# lengths, depths, composition
-
-_NX = """ranked as (select length, ord, row_number() over w as k, sum(length) over w as cum, sum(length) over () as total, count(*) over () as n
-  from {table} window w as (order by length desc, ord rows unbounded preceding))"""
-
-
-@query(f"""with {A.SEG_DOCS}, {_NX.format(table='seg_docs')}
-select count(*)::bigint as contigs, max(total)::bigint as total, max(length)::bigint as largest, min(length)::bigint as smallest, round(avg(length), 6) as mean,
-  round(sum(length::double * length) / max(total), 6) as aun, round(quantile_cont(length, 0.25))::bigint as q1, floor(quantile_cont(length, 0.5))::bigint as median, round(quantile_cont(length, 0.75))::bigint as q3,
-  max(length) filter (where cum >= 0.5 * total)::bigint as n50, (min(k) filter (where cum >= 0.5 * total))::bigint as l50,
-  max(length) filter (where cum >= 0.75 * total)::bigint as n75, (min(k) filter (where cum >= 0.75 * total))::bigint as l75 from ranked""")
-def contiguity_stats(spark, sf_dir):
-    return rounded(C.contiguity(A.seg_docs(spark, sf_dir)), "mean", "aun")
-
-
-@query(f"""with {A.SEG_DOCS} select f.floor::bigint as floor, count(length)::bigint as n, coalesce(sum(length), 0)::bigint as bases
-from (values (0), (1000), (10000), (50000)) f(floor) left join seg_docs s on s.length >= f.floor group by 1""")
-def size_buckets(spark, sf_dir):
-    return C.size_buckets(A.seg_docs(spark, sf_dir))
-
-
-@query(f"""with {A.SEG_PART}, {_NX.format(table='seg_part')}
-select x.x::int as x, coalesce(max(length) filter (where cum >= x.x / 100.0::double * total), 0)::bigint as nx from ranked, range(1, 101) x(x) group by 1""")
-def nx_curve(spark, sf_dir):
-    return C.nx_curve(A.seg_part(spark, sf_dir))
-
-
-@query(f"""with {A.SEG_PART}, {_NX.format(table='seg_part')}
-select k as rank, cum::bigint as bases from ranked where case when n > 2000 then (k - 1) % (n // 2000 + 1) = 0 or k = n else true end""")
-def cumulative_curve(spark, sf_dir):
-    return C.cumulative(A.seg_part(spark, sf_dir))
-
-
-@query(f"""with {A.SEG_DOCS}, e as (select log10(min(length)) as lo, log10(max(length)) as hi from seg_docs where length > 0),
-b as (select least(floor((log10(length) - lo) / (hi - lo) * 30), 29)::int as bin, count(*) as n from seg_docs, e where length > 0 group by 1)
-select r.bin::int as bin, coalesce(n, 0)::bigint as n from range(0, 30) r(bin) left join b on b.bin = r.bin""")
-def length_histogram(spark, sf_dir):
-    return C.length_bins(A.seg_docs(spark, sf_dir))
-
-
-@query(f"""with {A.SEG_DOCS}, {_NX.format(table='seg_docs')}
-select g.g::bigint as genome_size, coalesce(max(length) filter (where cum >= 0.5 * g.g), 0)::bigint as ng50, coalesce(min(k) filter (where cum >= 0.5 * g.g), 0)::bigint as lg50
-from ranked, (values (1000000), (3000000), (900000000000)) g(g) group by 1""")
-def ng50_by_genome_size(spark, sf_dir):
-    out = None
-    for size in (1_000_000, 3_000_000, 900_000_000_000):
-        one = C.nx(A.seg_docs(spark, sf_dir), [0.5], size).select(F.lit(size).cast("long").alias("genome_size"), F.col("nx").alias("ng50"), F.col("lx").alias("lg50"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query(f"""with {A.SEG_DOCS} select round(avg(depth), 6) as mean_depth, round(stddev_samp(depth) / avg(depth), 6) as depth_cv,
-  (select min(depth) from (select depth, sum(length) over (order by depth, ord rows unbounded preceding) as cum, sum(length) over () as total from seg_docs where depth is not null and length > 0) where cum >= total / 2.0) as median_depth from seg_docs""")
-def depth_summary(spark, sf_dir):
-    return rounded(C.depth_summary(A.seg_docs(spark, sf_dir)), "mean_depth", "depth_cv")
-
-
-@query(f"""with {A.SEG_DOCS}, c as (select length, length(regexp_replace(sequence, '[^GCSgcs]', '', 'g')) as s, length(regexp_replace(sequence, '[^ACGTSacgts]', '', 'g')) as a, length(regexp_replace(sequence, '[^Nn]', '', 'g')) as n from seg_docs where sequence <> '')
-select round(100 * sum(coalesce(s::double / nullif(a, 0), 0) * length) / sum(length), 6) as gc, round(sum(n) * 100000.0 / sum(length), 6) as n_per_100kb from c""")
-def composition(spark, sf_dir):
-    return rounded(C.composition(A.seg_docs(spark, sf_dir)), "gc", "n_per_100kb")
-
-
-@query(f"""with {A.SEG_DOCS}, {A.SEG_PART}, both_ as (select 'docs' as a, length, ord from seg_docs union all select 'part', length, ord from seg_part),
-r as (select *, row_number() over w as k, sum(length) over w as cum, sum(length) over (partition by a) as total from both_ window w as (partition by a order by length desc, ord rows unbounded preceding)),
-m as (select a, count(*)::double as contigs, max(total)::double as total, max(length)::double as largest, min(length)::double as smallest, avg(length) as mean, sum(length::double * length) / max(total) as aun,
-  round(quantile_cont(length, 0.25)) as q1, floor(quantile_cont(length, 0.5)) as median, round(quantile_cont(length, 0.75)) as q3, (max(length) filter (where cum >= 0.5 * total))::double as n50, (min(k) filter (where cum >= 0.5 * total))::double as l50,
-  (max(length) filter (where cum >= 0.75 * total))::double as n75, (min(k) filter (where cum >= 0.75 * total))::double as l75 from r group by a),
-u as (unpivot m on contigs, total, largest, smallest, mean, aun, q1, median, q3, n50, l50, n75, l75 into name metric value v)
-select metric, round(max(v) filter (where a = 'docs'), 6) as docs, round(max(v) filter (where a = 'part'), 6) as part from u group by metric""")
-def assembly_compare(spark, sf_dir):
-    return rounded(C.compare({"docs": A.seg_docs(spark, sf_dir), "part": A.seg_part(spark, sf_dir)}), "docs", "part")
-
-
-@query(f"""with {A.SEG_DOCS} select name, reverse(translate(sequence, '{fn.IUPAC}', '{fn.COMPLEMENT}')) as reversed from seg_docs""")
-def revcomp_seq(spark, sf_dir):
-    return A.seg_docs(spark, sf_dir).select("name", fn.revcomp("sequence").alias("reversed"))
-
-
-@query(f"""with {A.SEG_DOCS} select name, case when ord % 2 = 0 then '+' else '-' end as orient, md5(case when ord % 2 = 0 then sequence else reverse(translate(sequence, '{fn.IUPAC}', '{fn.COMPLEMENT}')) end) as digest from seg_docs""")
-def oriented_seq(spark, sf_dir):
-    o = F.when(F.col("ord") % 2 == 0, "+").otherwise("-")
-    return A.seg_docs(spark, sf_dir).select("name", o.alias("orient"), F.md5(fn.oriented("sequence", o)).alias("digest"))
-
-
-@query(f"""with {A.SEG_DOCS}, q as (select unnest(['d1', 'd7+', 'd11-', 'dx']) as q) select q, name from q left join seg_docs on name = regexp_replace(q, '[+-]$', '')""")
-def name_match_exact(spark, sf_dir):
-    wanted = spark.createDataFrame([(x,) for x in ("d1", "d7+", "d11-", "dx")], "q string").withColumn("name", F.regexp_replace("q", "[+-]$", ""))
-    names = A.seg_docs(spark, sf_dir).select("name", F.lit(True).alias("found"))
-    return wanted.join(names, "name", "left").select("q", F.when(F.col("found"), F.col("name")).alias("name"))
-
-
-@query(f"""with {A.SEG_DOCS} select name from seg_docs where contains(name, '17') or contains(name, 'd99')""")
-def name_match_partial(spark, sf_dir):
-    return A.seg_docs(spark, sf_dir).where(F.col("name").contains("17") | F.col("name").contains("d99")).select("name")
-
-
-@query(f"""with {A.SEG_DOCS} select name, depth from seg_docs where depth between 10 and 20""")
-def depth_range(spark, sf_dir):
-    return A.seg_docs(spark, sf_dir).where(F.col("depth").between(10, 20)).select("name", "depth")
-
-
-@query(f"""with {A.SEG_DOCS} select name from seg_docs where length >= 500 and depth >= 5 and (depth is null or depth <= 30)""")
-def filter_thresholds(spark, sf_dir):
-    # an unknown depth fails the lower bound and would pass the upper one
-    return A.seg_docs(spark, sf_dir).where((F.col("length") >= 500) & F.coalesce(F.col("depth") >= 5, F.lit(False)) & F.coalesce(F.col("depth") <= 30, F.lit(True))).select("name")
-
-
-# links
-
-_L1 = f"{A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS()}, {A.CANON}"
-_L100 = f"{A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS(100)}, {A.CANON}"
-_ENDS = """ends as (select from_name as name, case from_orient when '+' then 'end' else 'start' end as side, overlap from uniq
-  union all select to_name, case to_orient when '+' then 'start' else 'end' end, overlap from uniq)"""
-_CC = """und as (select distinct src, dst from adj where src <> dst union select distinct dst, src from adj where src <> dst),
-reach as (with recursive r(name, seen) as (select distinct src, src from und union select r.name, u.dst from r join und u on u.src = r.seen) select * from r),
-roots as (select s.name, coalesce(min(t.ord), s.ord) as root, any_value(s.length) as length from seg_part s left join reach on reach.name = s.name left join seg_part t on t.name = reach.seen group by s.name, s.ord),
-tot as (select root, sum(length) as bases from roots group by root),
-comp as (select root, row_number() over (order by bases desc, root) - 1 as component from tot)"""
-
-
-def _links(spark, sf_dir, every=1):
-    return G.dedup_links(A.links(spark, sf_dir, every))
-
-
-@query(f"with {_L1} select ord, from_name, from_orient, to_name, to_orient, overlap from uniq")
-def link_dedup(spark, sf_dir):
-    return _links(spark, sf_dir)
-
-
-@query(f"with {_L1} select * from adj")
-def adjacency(spark, sf_dir):
-    return G.adjacency(_links(spark, sf_dir))
-
-
-@query(f"""with {_L1}, small as (select name from seg_part where length < 3000)
-select ord, from_name, from_orient, to_name, to_orient, overlap from uniq where from_name in (from small) and to_name in (from small)""".replace("(from small)", "(select name from small)"))
-def induced_links(spark, sf_dir):
-    return G.induced(_links(spark, sf_dir), A.seg_part(spark, sf_dir).where("length < 3000"))
-
-
-@query(f"""with {_L1} select ord, from_name, from_orient, to_name, to_orient, overlap from uniq where from_name in (select name from seg_part where ord % 10 <> 0) and to_name in (select name from seg_part where ord % 10 <> 0)""")
-def dangling_links(spark, sf_dir):
-    return G.drop_dangling(_links(spark, sf_dir), A.seg_part(spark, sf_dir).where("ord % 10 != 0"))
-
-
-@query(f"""with {_L100} select s.name, count(src) filter (where src_o = '-')::bigint as deg_start, count(src) filter (where src_o = '+')::bigint as deg_end,
-  ((count(src) filter (where src_o = '-') = 0)::int + (count(src) filter (where src_o = '+') = 0)::int)::bigint as dead_ends from seg_part s left join adj on src = s.name group by 1""")
-def degree_dead_ends(spark, sf_dir):
-    return G.degrees(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
-
-
-@query(f"""with {_L1} select src as name from adj group by src having count(*) filter (where src_o = '+') = 1 and count(*) filter (where src_o = '-') = 1 and count(*) filter (where dst = src and src_o = '+' and dst_o = '+') = 1""")
-def circular_segments(spark, sf_dir):
-    return G.circular_segments(_links(spark, sf_dir))
-
-
-@query(f"with {_L100}, {_CC} select name, component from roots join comp using (root)")
-def connected_components(spark, sf_dir):
-    return G.components(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
-
-
-@query(f"""with {_L100}, {_ENDS}, {_CC}, e as (select name, count(*) as c from ends group by 1),
-s as (select component, count(*)::bigint as segments, sum(length)::bigint as bases, (sum(coalesce(c, 0)) / 2)::bigint as links, min(coalesce(c, 0)) as lo, max(coalesce(c, 0)) as hi from roots join comp using (root) left join e using (name) group by 1)
-select component, segments, bases, links, (segments = 1 and links = 1) or (links = segments and lo = 2 and hi = 2) as ring, links >= segments as cyclic from s""")
-def component_summary(spark, sf_dir):
-    return G.component_summary(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
-
-
-@query(f"""with {_L100}, near as (select distinct src, dst from adj where src <> dst), s0 as (select name from seg_part where ord % 50 = 1),
-s1 as (select dst as name from near join s0 on src = name), s2 as (select dst as name from near join s1 on src = name)
-select name, min(d)::int as distance from (select name, 0 as d from s0 union all select name, 1 from s1 union all select name, 2 from s2) group by 1""")
-def neighbours_within_2(spark, sf_dir):
-    return G.within_distance(_links(spark, sf_dir, 100), A.seg_part(spark, sf_dir).where("ord % 50 = 1"), 2)
-
-
-@query(f"""with {_L1}, {_ENDS}, w as (select name, max(overlap) as widest from ends group by 1) select sum(greatest(0, length - coalesce(widest, 0)))::bigint as length_no_overlaps from seg_part left join w using (name)""")
-def no_overlap_length(spark, sf_dir):
-    return G.no_overlap_length(A.seg_part(spark, sf_dir), _links(spark, sf_dir))
-
-
-@query(f"""with {_L100}, {_ENDS} select count(*)::bigint as orphaned, coalesce(sum(length), 0)::bigint as orphaned_length from seg_part where name not in (select name from ends)""")
-def orphaned(spark, sf_dir):
-    return G.orphaned(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
-
-
-@query(f"""with {_L1}, {_ENDS}, t as (select name, max(overlap) as widest from ends where side = 'end' group by 1),
-m as (select min(depth) as d from (select depth, sum(length) over (order by depth, ord rows unbounded preceding) as cum, sum(length) over () as total from seg_part) where cum >= total / 2.0)
-select sum(greatest(0, length - coalesce(widest, 0)) * round(depth / d))::bigint as estimated_length from seg_part left join t using (name), m""")
-def estimated_length(spark, sf_dir):
-    segments = A.seg_part(spark, sf_dir)
-    return G.estimated_length(segments, _links(spark, sf_dir), C.depth_summary(segments))
-
-
-@query(f"""with {_L100}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1)
-select src, src_o, dst, dst_o from o join i using (dst, dst_o) where src <> dst""")
-def unbranching_edges(spark, sf_dir):
-    return G.unambiguous_edges(_links(spark, sf_dir, 100))
-
-
-@query(f"""with recursive {_L100}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1),
-u as (select src || src_o as a, dst || dst_o as b from o join i using (dst, dst_o) where src <> dst),
-w as (select a as head, a as node, 0::bigint as pos from u where a not in (select b from u) union all select head, b, pos + 1 from w join u on a = node),
-z as (select head, max(pos) as last, max_by(node, pos) as tail from w group by 1),
-p as (select z.*, h.ord as ho, t.ord as tor from z join seg_part h on h.name = head[:-2] join seg_part t on t.name = tail[:-2])
-select ho as chain, pos, node[:-2] as name, node[-1:] as orient from w join p using (head) where ho < tor or (ho = tor and head[-1:] = '+')""")
-def unbranching_chains(spark, sf_dir):
-    return G.chains(_links(spark, sf_dir, 100), A.seg_part(spark, sf_dir))
-
-
-@query(f"""with {_L1}, p as (select *, lag(name) over w as p, lag(orient) over w as po from path_steps window w as (partition by path order by pos)),
-k as (select *, case when p is null then null when (p, po, name, orient) <= (name, translate(orient, '+-', '-+'), p, translate(po, '+-', '-+')) then p || po || name || orient else name || translate(orient, '+-', '-+') || p || translate(po, '+-', '-+') end as ck from p)
-select path, sum(length - case when p is null then 0 else coalesce(u.overlap, 0) end)::bigint as length from k join seg_part s on s.name = k.name left join uniq u using (ck) group by 1""")
-def walk_length(spark, sf_dir):
-    pieces = G.walk_pieces(A.path_steps(spark, sf_dir).select("path", "pos", "name", "orient"), A.links(spark, sf_dir), A.seg_part(spark, sf_dir))
-    return pieces.groupBy("path").agg(F.sum(F.col("length") - F.col("overlap")).alias("length"))
-
-
-# spans and blocks
-
-_ISLANDS = """o as (select *, max(en) over (partition by ref order by st, en rows between unbounded preceding and 1 preceding) as m from cover),
-i as (select *, sum(case when m is null or st > m then 1 else 0 end) over (partition by ref order by st, en rows unbounded preceding) as k from o),
-merged as (select ref, min(st)::bigint as st, max(en)::bigint as en from i group by ref, k)"""
-
-
-@query(f"with {A.COVER}, {_ISLANDS} select * from merged")
-def interval_union(spark, sf_dir):
-    return I.union_spans(A.cover(spark, sf_dir))
-
-
-@query(f"""with {A.COVER}, {_ISLANDS}, g as (select ref, coalesce(lag(en) over (partition by ref order by st), 0) as st, st as en from merged union all select ref, max(en), 110000 from merged group by ref)
-select ref, st::bigint as st, least(en, 110000)::bigint as en from g where en > st and st < 110000""")
-def interval_complement(spark, sf_dir):
-    spans = A.cover(spark, sf_dir)
-    lengths = spans.select("ref").distinct().withColumn("length", F.lit(110_000).cast("long"))
-    return I.complement(I.union_spans(spans), lengths)
-
-
-@query(f"""with {A.COVER}, probe as (select 'r' || s_suppkey as ref, s_suppkey * 700 % 90000 as r_st, s_suppkey * 700 % 90000 + 1500 as r_en from supplier)
-select c.ref, st::bigint as st, en::bigint as en, r_st::bigint as r_st, r_en::bigint as r_en from cover c join probe p on c.ref = p.ref and st < r_en and r_st < en""")
-def interval_join(spark, sf_dir):
-    at = F.col("s_suppkey") * 700 % 90_000
-    probe = A.table(spark, sf_dir, "supplier").select(F.concat(F.lit("r"), "s_suppkey").alias("ref"), at.alias("r_st"), (at + 1500).alias("r_en"))
-    return I.overlap_join(A.cover(spark, sf_dir), probe).select("ref", "st", "en", "r_st", "r_en")
-
-
-_P = f"with recursive {A.BLOCKS}, prim as (select * from blocks where is_primary and q_en - q_st >= 200)"
-_FOLD = """seq as (select *, row_number() over (partition by query, ref, strand order by q_st, ord) as k from {table}),
-fold as (select query, ref, strand, k, 1 as piece, q_st, q_en, r_st, r_en, matches, block_len, nm, is_primary, q_len, r_len, ord from seq where k = 1
-  union all select s.query, s.ref, s.strand, s.k, f.piece + (not hit)::int, case when hit then f.q_st else s.q_st end, case when hit then greatest(f.q_en, s.q_en) else s.q_en end,
-    case when hit then least(f.r_st, s.r_st) else s.r_st end, case when hit then greatest(f.r_en, s.r_en) else s.r_en end, case when hit then f.matches + s.matches else s.matches end,
-    case when hit then f.block_len + s.block_len else s.block_len end, case when hit then f.nm + s.nm else s.nm end, case when hit then f.is_primary or s.is_primary else s.is_primary end, s.q_len, s.r_len, case when hit then f.ord else s.ord end
-  from fold f join seq s on s.query = f.query and s.ref = f.ref and s.strand = f.strand and s.k = f.k + 1,
-  lateral (select s.q_st - f.q_en between -{back} and {gap} and (case when f.strand > 0 then s.r_st - f.r_en else f.r_st - s.r_en end) between -{back} and {gap} as hit)),
-merged as (select * from fold qualify row_number() over (partition by query, ref, strand, piece order by k desc) = 1)"""
-
-
-def _primary(spark, sf_dir):
-    return B.usable(A.blocks(spark, sf_dir))
-
-
-@query(f"{_P}, {_FOLD.format(table='blocks', back=500, gap=10000)} select query, ref, strand, q_st, q_en, r_st, r_en, matches::bigint as matches, block_len::bigint as block_len, nm::bigint as nm, is_primary from merged")
-def merge_collinear(spark, sf_dir):
-    return B.merge_collinear(A.blocks(spark, sf_dir)).select("query", "ref", "strand", "q_st", "q_en", "r_st", "r_en", "matches", "block_len", "nm", "is_primary")
-
-
-@query(f"""{_P}, {_FOLD.format(table='blocks', back=500, gap=10000)} select query, ref, q_st, q_en, r_st, r_en, is_primary from merged
-qualify row_number() over (partition by query order by is_primary desc, q_en - q_st desc, matches desc, q_st, ord) = 1""")
-def best_placement(spark, sf_dir):
-    return B.best_placements(A.blocks(spark, sf_dir)).select("query", "ref", "q_st", "q_en", "r_st", "r_en", "is_primary")
-
-
-@query(f"with {A.BLOCKS} select query, ord, row_number() over (partition by query order by q_en - q_st desc, ord)::int as rank from blocks qualify rank <= 8")
-def top_hits_per_query(spark, sf_dir):
-    return B.top_hits(A.blocks(spark, sf_dir)).select("query", "ord", "rank")
-
-
-_GREEDY = """srt as (select *, row_number() over (partition by query order by q_st, -(q_en - q_st), ref, strand) as n from merged where q_en - q_st >= 200),
-pick as (select query, n, 1 as pos, q_st, q_en, r_st, r_en, r_len, ref, strand from srt where n = 1
-  union all select s.query, s.n, case when clash then p.pos else p.pos + 1 end, case when keep then p.q_st else s.q_st end, case when keep then p.q_en else s.q_en end, case when keep then p.r_st else s.r_st end,
-    case when keep then p.r_en else s.r_en end, case when keep then p.r_len else s.r_len end, case when keep then p.ref else s.ref end, case when keep then p.strand else s.strand end
-  from pick p join srt s on s.query = p.query and s.n = p.n + 1, lateral (select s.q_st < p.q_en - 100 as clash, s.q_st < p.q_en - 100 and s.q_en - s.q_st <= p.q_en - p.q_st as keep)),
-chosen as (select * from pick qualify row_number() over (partition by query, pos order by n desc) = 1)"""
-_EVENTS = """pr as (select *, lead(ref) over w as ref2, lead(strand) over w as strand2, lead(q_st) over w as q2, lead(r_st) over w as r2s, lead(r_en) over w as r2e from chosen window w as (partition by query order by pos)),
-g as (select *, case when strand > 0 then r2s - r_en else r_st - r2e end as gap from pr where ref2 is not null),
-d as (select *, least(abs(gap), abs(r_len - abs(gap))) as near, least(abs(gap - (q2 - q_en)), abs(r_len - abs(gap - (q2 - q_en)))) as off from g),
-events as (select query, ((q_en + q2) // 2)::bigint as break_pos, case when ref <> ref2 then 'translocation' when strand <> strand2 then 'inversion' when near < abs(gap) and near <= 1000 then null
-  when greatest(near, off) > 1000 then 'relocation' when greatest(near, off) > 200 then 'local' end as kind, ref as left_ref, ref2 as right_ref, gap from d)"""
-_MIS = f"{_P}, {_FOLD.format(table='prim', back=200, gap=200)}, {_GREEDY}, {_EVENTS}"
-
-
-@query(f"{_MIS} select query, break_pos, kind, left_ref, right_ref, case when kind in ('relocation', 'local') then gap end::bigint as ref_gap from events where kind is not null")
-def structural_differences(spark, sf_dir):
-    return B.structural_differences(_primary(spark, sf_dir))
-
-
-@query(f"""{_MIS} select count(*) filter (where kind = 'translocation') as translocation, count(*) filter (where kind = 'inversion') as inversion, count(*) filter (where kind = 'relocation') as relocation,
-  count(*) filter (where kind = 'local') as local, count(distinct query) filter (where kind <> 'local') as contigs from events where kind is not null""")
-def difference_counts(spark, sf_dir):
-    return B.difference_counts(B.structural_differences(_primary(spark, sf_dir)))
-
-
-def _merged_sql(key: str, st: str, en: str) -> str:
-    return f"""o as (select {key}, {st} as st, {en} as en, max({en}) over (partition by {key} order by {st}, {en} rows between unbounded preceding and 1 preceding) as m from prim),
-i as (select *, sum(case when m is null or st > m then 1 else 0 end) over (partition by {key} order by st, en rows unbounded preceding) as k from o),
-cov as (select {key}, sum(e - s)::bigint as covered from (select {key}, k, min(st) as s, max(en) as e from i group by {key}, k) group by {key})"""
-
-
-def _ref_lengths(spark):
-    return spark.createDataFrame([("r0", 100_000), ("r1", 100_000), ("r2", 5_000)], "ref string, length long")
-
-
-@query(f"""{_P}, {_merged_sql('ref', 'r_st', 'r_en')}, lens as (select * from (values ('r0', 100000), ('r1', 100000), ('r2', 5000)) t(ref, length))
-select coalesce(l.ref, c.ref) as ref, l.length::bigint as length, coalesce(covered, 0)::bigint as covered, coalesce(100.0::double * covered / nullif(l.length, 0), 0)::double as percent from lens l full join cov c on c.ref = l.ref""")
-def genome_fraction(spark, sf_dir):
-    return B.reference_coverage(_primary(spark, sf_dir), _ref_lengths(spark))
-
-
-def _query_lengths(spark, sf_dir):
-    return A.table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), "o_orderkey").alias("query"), F.lit(1500).cast("long").alias("length"))
-
-
-@query(f"""{_P}, {_merged_sql('query', 'q_st', 'q_en')} select 'q' || o_orderkey as query, 1500::bigint as length, coalesce(covered, 0)::bigint as covered,
-  case when covered is null then 'unaligned' when covered < 0.9 * 1500 then 'partial' else 'aligned' end as status from orders left join cov on query = 'q' || o_orderkey""")
-def aligned_unaligned(spark, sf_dir):
-    return B.query_coverage(_primary(spark, sf_dir), _query_lengths(spark, sf_dir))
-
-
-@query(f"{_P} select round(sum(nm) * 100000.0 / sum(block_len), 6) as mismatches_per_100kb, sum(q_en - q_st)::bigint as aligned_bases from prim")
-def mismatch_rates(spark, sf_dir):
-    return B.rates(_primary(spark, sf_dir))
-
-
-@query(f"""{_P}, {_merged_sql('ref', 'r_st', 'r_en')} select round((select sum(q_en - q_st) from prim)::double / (select sum(covered) from cov), 6) as duplication_ratio""")
-def duplication(spark, sf_dir):
-    rows = _primary(spark, sf_dir)
-    covered = I.covered(rows.select("ref", F.col("r_st").alias("st"), F.col("r_en").alias("en"))).agg(F.sum("covered").alias("c"))
-    return rows.agg(F.sum(F.col("q_en") - F.col("q_st")).alias("a")).crossJoin(F.broadcast(covered)).select(F.round(F.col("a") / F.col("c"), 6).alias("duplication_ratio"))
-
-
-_FOLD2 = """seq2 as (select *, row_number() over (partition by query, ref, strand order by q_st, ord) as k2 from merged),
-fold2 as (select query, ref, strand, k2, 1 as p2, q_st, q_en, r_st, r_en, r_len from seq2 where k2 = 1
-  union all select s.query, s.ref, s.strand, s.k2, f.p2 + (not hit)::int, case when hit then least(f.q_st, s.q_st) else s.q_st end, case when hit then greatest(f.q_en, s.q_en) else s.q_en end, case when hit then f.r_st else s.r_st end, case when hit then f.r_en else s.r_en end, s.r_len
-  from fold2 f join seq2 s on s.query = f.query and s.ref = f.ref and s.strand = f.strand and s.k2 = f.k2 + 1,
-  lateral (select case when f.strand > 0 then s.r_st - f.r_en else f.r_st - s.r_en end as g), lateral (select least(abs(g), abs(f.r_len - abs(g))) < abs(g) and abs(s.q_st - f.q_en) <= 1000 and least(abs(g), abs(f.r_len - abs(g))) <= 1000 as hit)),
-joined as (select * from fold2 qualify row_number() over (partition by query, ref, strand, p2 order by k2 desc) = 1)"""
-
-
-@query(f"""{_P}, {_FOLD.format(table='prim', back=1000, gap=1000)}, {_FOLD2}, l as (select q_en - q_st as length, row_number() over (order by q_en - q_st desc) as k, sum(q_en - q_st) over (order by q_en - q_st desc rows unbounded preceding) as cum from joined where q_en - q_st >= 200)
-select coalesce(max(length) filter (where cum >= 5000000), 0)::bigint as na50, coalesce(min(k) filter (where cum >= 5000000), 0)::bigint as la50, max(length)::bigint as largest_alignment, max(cum)::bigint as merged_bases from l""")
-def na50(spark, sf_dir):
-    return B.aligned_contiguity(_primary(spark, sf_dir), 10_000_000)
+__all__ = ["QUERIES", "SQL"]
