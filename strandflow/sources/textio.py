@@ -37,11 +37,11 @@ def sniff(head: list[str], name: str = "") -> str:
     """gfa, gfa2, fastg, fasta or unknown, from the first lines of a file and its name."""
     for text in head[:200]:
         f = text.rstrip("\r\n").split("\t")
-        kind = F.get(f, F.lit(0))
+        kind = f[0]
         if kind == "H" and any(x.startswith("VN:Z:2") for x in f[1:]):
             return "gfa2"
         if kind == "S" and len(f) >= 3:
-            return "gfa2" if len(f) >= 4 and F.get(f, F.lit(2)).isdigit() else "gfa"
+            return "gfa2" if len(f) >= 4 and f[2].isdigit() else "gfa"
         if kind in ("E", "G", "O", "U") and len(f) > 1:
             return "gfa2"
         if kind in ("L", "P", "W") and len(f) > 1:
