@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from strandflow.functions.sequence import _c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def short_float(x: pd.Series) -> pd.Series:
     """Six significant digits without trailing zeros."""
     return x.map(lambda v: None if pd.isna(v) else f"{v:.6g}")
