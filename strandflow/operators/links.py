@@ -192,3 +192,17 @@ def walk_sequences(steps: DataFrame, links: DataFrame, segments: DataFrame, defa
     ordered = F.array_sort(F.collect_list(F.struct("pos", "piece")))
     text = F.array_join(F.transform(ordered, lambda x: x["piece"]), "")
     return pieces.withColumn("piece", body).groupBy("path").agg(text.alias("sequence")).withColumn("length", F.length("sequence"))
+
+
+def resolve_paths(steps: DataFrame, links: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Per path of ``(path, pos, name, orient)`` what a view of the segments ``drawn`` shows of it: members drawn,
+    members dropped, joins between neighbours that a link bears out, joins broken, and bases."""
+    adj = adjacency(links).select(F.col("src").alias("name"), F.col("src_o").alias("orient"), F.col("dst").alias("n2"), F.col("dst_o").alias("o2"), F.lit(True).alias("linked")).distinct()
+    rows = steps.join(drawn.select("name", "length", F.lit(True).alias("drawn")), "name", "left")
+    totals = rows.groupBy("path").agg(F.count("drawn").alias("members"), F.count_if(F.col("drawn").isNull()).alias("dropped"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
+    shown = rows.where("drawn")
+    after = W.partitionBy("path").orderBy("pos")
+    pairs = shown.select("path", "pos", "name", "orient", F.lead("name").over(after).alias("n2"), F.lead("orient").over(after).alias("o2"), F.lead("pos").over(after).alias("p2")).where("n2 is not null")
+    good = F.coalesce("linked", F.lit(False)) & (F.col("p2") == F.col("pos") + 1)
+    joins = pairs.join(adj, ["name", "orient", "n2", "o2"], "left").groupBy("path").agg(F.count_if(good).alias("joins"), F.count_if(~good).alias("broken"))
+    return totals.join(joins, "path", "left").select("path", "members", "dropped", F.coalesce("joins", F.lit(0)).alias("joins"), F.coalesce("broken", F.lit(0)).alias("broken"), "bases")

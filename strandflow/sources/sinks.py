@@ -56,3 +56,17 @@ def agp_text(rows: DataFrame) -> DataFrame:
 def write_lines(df: DataFrame, path: str, *order: str, mode: str = "errorifexists") -> None:
     """Write ``value`` in ``order``: range-partitioned and sorted, so the part files concatenate in order."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode(mode).text(path)
+
+
+def comparison_files(segments: DataFrame, contigs: DataFrame, uncovered: DataFrame, components: DataFrame, folder: str, label: str, least: int = 1000, mode: str = "errorifexists") -> None:
+    """One side of a comparison below ``folder``: missing contigs and uncovered stretches of ``least`` bases as FASTA,
+    contigs and components as tab-separated tables."""
+    missing = segments.join(contigs.where("status = 'missing'").select("name"), "name", "left_semi").where("sequence != ''")
+    write_lines(fasta_text(missing), f"{folder}/{label}.only-contigs.fasta", "ord", mode=mode)
+    spans = uncovered.where(F.col("en") - F.col("st") >= least).withColumnRenamed("query", "name").join(segments.select("name", "sequence", "ord"), "name").where("sequence != ''")
+    size = F.col("en") - F.col("st")
+    cut = spans.select("ord", "st", F.concat("name", F.lit(":"), F.col("st") + 1, F.lit("-"), F.col("en"), F.lit(" len="), size).alias("name"), F.col("sequence").substr((F.col("st") + 1).cast("int"), size.cast("int")).alias("sequence"))
+    text = cut.select("ord", "st", F.concat(F.lit(">"), "name", F.lit("\n"), wrapped("sequence")).alias("value"))
+    write_lines(text, f"{folder}/{label}.only-regions.fasta", "ord", "st", mode=mode)
+    for name, table in (("contigs", contigs), ("components", components)):
+        table.write.mode(mode).option("header", True).option("sep", "\t").csv(f"{folder}/{label}.{name}.tsv")

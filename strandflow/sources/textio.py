@@ -202,3 +202,24 @@ def agp_rows(lines: DataFrame) -> DataFrame:
         "line", F.get(f, F.lit(0)).alias("object"), number(F.get(f, F.lit(1))).alias("beg"), number(F.get(f, F.lit(2))).alias("end"), number(F.get(f, F.lit(3))).alias("part"), F.get(f, F.lit(4)).alias("kind"), F.when(~gap, F.get(f, F.lit(5))).alias("component"), F.when(~gap, number(F.get(f, F.lit(6)))).alias("c_beg"),
         F.when(~gap, number(F.get(f, F.lit(7)))).alias("c_end"), F.when(~gap, F.get(f, F.lit(8))).alias("orient"), F.when(gap, number(F.get(f, F.lit(5)))).alias("gap"), F.when(gap, F.get(f, F.lit(8))).alias("evidence"),
     )
+
+
+def contig_paths(spark: SparkSession, text: str, segments: DataFrame) -> DataFrame:
+    """``(path, pos, name, orient, gap_after)`` of a file of name lines and path lines in turn, where a path line
+    that ends in ``;`` goes on in the next. Names that end in a quote are the other strand and are skipped;
+    steps that the graph lacks are dropped and gaps move to the step before.
+
+    Such files list one line per contig; the pairing is sequential, so it is done while reading the text.
+    """
+    rows, lines, i = [], [x.strip() for x in text.splitlines() if x.strip()], 0
+    while i < len(lines) - 1:
+        name, steps = lines[i], lines[i + 1]
+        i += 2
+        while steps.endswith(";") and i < len(lines):
+            steps += lines[i]
+            i += 1
+        if not name.endswith("'"):
+            rows.append((name, steps))
+    df = spark.createDataFrame(rows, "path string, steps string").select("path", F.posexplode(_steps(F.col("steps"))).alias("at", "x")).select("path", "at", "x.*")
+    marked = df.join(segments.select("name", F.lit(True).alias("known")), "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return marked.where("known").select("path", (F.row_number().over(W.partitionBy("path").orderBy("at")) - 1).cast("long").alias("pos"), "name", "orient", "gap_after")
