@@ -137,3 +137,69 @@ def apply_overlap(links: DataFrame, segments: DataFrame, overlap: int) -> DataFr
     fits: Column = (F.length("l") >= overlap) & (F.length("r") >= overlap) & (F.right("l", F.lit(overlap)) == F.left("r", F.lit(overlap)))
     good = _link_sequences(links, segments).where(fits).select("ord", F.lit(True).alias("fits"))
     return links.join(good, "ord", "left").withColumn("overlap", F.when(F.col("fits"), F.lit(overlap)).otherwise(F.col("overlap")).cast("long")).select(*links.columns)
+
+
+def _other(node: Column) -> Column:
+    """The same segment on the other strand."""
+    return F.concat(node.substr(F.lit(1), F.length(node) - 1), F.translate(F.right(node, F.lit(1)), "+-", "-+"))
+
+
+def _walks(scratch: Scratch, nexts: DataFrame, runs: DataFrame, steps: int, stop: Column) -> DataFrame:
+    """All walks of ``runs`` ``(run, forward, home, goal, path)`` by breadth: ``(run, path, end)``. A walk ends where
+    ``stop`` (a function of ``home``, ``goal`` and ``nn``) gives a reason, without a way on, or after ``steps`` nodes; a
+    node comes at most twice in it."""
+    front, done = scratch.save(runs, "front"), None
+    for k in range(steps):
+        if k == steps - 1:
+            ended = front.select("run", "path", F.lit("long").alias("end"))
+            done = ended if done is None else done.unionByName(ended)
+            break
+        step = front.withColumn("node", F.element_at("path", -1)).join(nexts, ["node", "forward"], "left")
+        step = scratch.save(step.withColumn("end", F.when(F.col("nn").isNull(), "dead").otherwise(stop)), "walks")
+        ended = step.where("end is not null").select("run", "path", "end")
+        done = ended if done is None else done.unionByName(ended)
+        times = F.size(F.filter("path", lambda p: p == F.col("nn")))
+        front = scratch.save(step.where(F.col("end").isNull() & (times < 2)).select("run", "forward", "home", "goal", F.concat("path", F.array("nn")).alias("path")), "front")
+        if front.isEmpty():
+            break
+    return done
+
+
+def certainty(segments: DataFrame, links: DataFrame, starts: DataFrame, steps: int = 15) -> DataFrame:
+    """``(name, status)``: starting, contiguous, maybe or not, as seen from the segments in ``starts``.
+
+    From the forward strand of a start all walks of at most ``steps`` nodes are followed both ways, apart for each
+    first link. A segment on some walk may belong with the start; one on all walks of a first link does, on that
+    strand or on either; and so does one from which some first link leads nowhere but back to the start. The
+    number of walks grows with the branching of the graph around the starts, as the question demands.
+    """
+    scratch = Scratch(segments.sparkSession, "certainty")
+    adj = G.adjacency(links).select(F.concat("src", "src_o").alias("x"), F.concat("dst", "dst_o").alias("y")).distinct()
+    nexts = scratch.save(adj.select(F.col("x").alias("node"), F.lit(True).alias("forward"), F.col("y").alias("nn")).unionByName(adj.select(F.col("y").alias("node"), F.lit(False).alias("forward"), F.col("x").alias("nn"))), "nexts")
+    homes = starts.join(segments.select("name"), "name", "left_semi").select(F.concat("name", F.lit("+")).alias("home")).distinct()
+    firsts = homes.join(nexts, homes.home == nexts.node)
+    runs = firsts.select(F.concat_ws(" ", "home", "forward", "nn").alias("run"), "forward", "home", F.col("home").alias("goal"), F.array("nn").alias("path"))
+    at_home = F.when(F.col("nn") == F.col("home"), "home")
+    walks = scratch.save(_walks(scratch, nexts, runs, steps, at_home).select("run", F.array_distinct("path").alias("path")), "walks")
+    total = walks.groupBy("run").agg(F.count("*").alias("n"))
+    maybe = scratch.save(walks.select("run", F.explode("path").alias("node")).distinct(), "maybe")
+    both = F.array_distinct(F.concat("path", F.transform("path", _other)))
+    common = lambda nodes: walks.select("run", F.explode(nodes).alias("node")).groupBy("run", "node").agg(F.count("*").alias("k")).join(total, "run").where("k = n").select("node")
+    # from each checked node: does some first link lead only to the start
+    home_of = runs.select("run", F.col("home").alias("target"))
+    checks = scratch.save(maybe.join(home_of, "run").select("node", "target").distinct(), "checks")
+    back = checks.join(nexts, "node").select(F.concat_ws(" ", "node", "target", "forward", "nn").alias("run"), "node", "target", "forward", "nn")
+    sure = []
+    for either in (False, True):
+        hit = lambda n, g: (n == g) | (_other(n) == g) if either else n == g
+        begin = back.select("run", "forward", F.col("node").alias("home"), F.col("target").alias("goal"), F.array("node", "nn").alias("path"), F.when(F.col("nn") == F.col("node"), "loop").when(hit(F.col("nn"), F.col("target")), "goal").alias("end"))
+        ends = begin.where("end is not null").select("run", "end")
+        reason = F.when(F.col("nn") == F.col("home"), "loop").when(hit(F.col("nn"), F.col("goal")), "goal")
+        ends = ends.unionByName(_walks(scratch, nexts, begin.where("end is null").drop("end"), steps, reason).select("run", "end"))
+        bad = ends.where("end != 'goal'").select("run").distinct()
+        sure.append(back.join(bad, "run", "left_anti").select("node"))
+    contiguous = common(F.col("path")).unionByName(common(both)).unionByName(sure[0]).unionByName(sure[1])
+    name = lambda df, node, rank: df.select(F.expr(f"substring({node}, 1, length({node}) - 1)").alias("name"), F.lit(rank).alias("rank"))
+    ranks = name(homes, "home", 0).unionByName(name(contiguous, "node", 1)).unionByName(name(maybe, "node", 2)).groupBy("name").agg(F.min("rank").alias("rank"))
+    status = F.when(F.col("rank") == 0, "starting").when(F.col("rank") == 1, "contiguous").when(F.col("rank") == 2, "maybe").otherwise("not")
+    return segments.select("name").join(ranks, "name", "left").select("name", status.alias("status"))

@@ -52,3 +52,19 @@ def test_landing_takes_each_file_once(spark, tmp_path):
         landing.land(spark, str(tmp_path / "in"), str(tmp_path / "t"), str(tmp_path / "c"))
         assert spark.read.parquet(str(tmp_path / "t")).count() == want
         (tmp_path / "in/b.paf").write_text(line.replace("q", "q2", 1))
+
+
+def test_certainty_around_a_fork(spark):
+    from strandflow.operators import paths as P
+    from tests.test_graph import LINKS, SEGMENTS
+
+    names = "SABCDX"
+    segments = spark.createDataFrame([(k, n, None, 10, None) for k, n in enumerate(names)], SEGMENTS)
+    # S forks into A and B, which meet again in C; D hangs behind C; X is apart
+    rows = [("S", "+", "A", "+"), ("S", "+", "B", "+"), ("A", "+", "C", "+"), ("B", "+", "C", "+"), ("C", "+", "D", "+")]
+    links = spark.createDataFrame([(k, *r, 0) for k, r in enumerate(rows)], LINKS)
+    got = {r["name"]: r["status"] for r in P.certainty(segments, links, segments.where("name = 'S'"), 5).collect()}
+    # backwards from A, B and C everything leads to S; forwards each first link makes its own walk certain
+    assert got == {"S": "starting", "A": "contiguous", "B": "contiguous", "C": "contiguous", "D": "contiguous", "X": "not"}
+    far = {r["name"]: r["status"] for r in P.certainty(segments, links, segments.where("name = 'D'"), 5).collect()}
+    assert (far["D"], far["C"], far["S"], far["X"]) == ("starting", "contiguous", "contiguous", "not") and far["A"] == far["B"] == "contiguous"
