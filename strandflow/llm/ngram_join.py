@@ -12,8 +12,10 @@ n-grams do not meet, as a range holds about nine n-grams that must all agree.
 How they are compared: first each set of a bucket meets the bucket's smallest set. For each such probe the
 others form a prefix tree (blocks of ``BLOCK`` sets): runs of n-grams that several sets share from their
 start are counted against the probe once and the partial overlap is handed down; a subtree is left as soon
-as the n-grams that remain cannot lift any of its sets to the threshold. Links make components; the buckets
-that still hold several components then list their pairs across components, which are compared alike.
+as the n-grams that remain cannot lift any of its sets to the threshold. Links make components. Buckets that
+still hold several components are joined to clusters; every pair of blocks of a cluster is compared by the
+same tree, all sets of a block probing at once, and gives a spanning forest of its links. Pairs of documents
+are never listed, and a group of copies that all link costs one comparison each.
 
 Copies collapse to one set before anything is joined, hot buckets are pre-aggregated to their smallest set,
 and all joins are between written tables, so adaptive execution can split hot keys. Only ids, hashes and
@@ -124,12 +126,16 @@ def _sets(n: int):
     return run
 
 
-def tree_join(probe: np.ndarray, sets: list[np.ndarray], threshold: int) -> list[int]:
-    """Positions of the ``sets`` that link with ``probe``; all are in global order.
+def tree_join(probes: list[np.ndarray], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """(probe, set) positions of all that link; n-grams are in global order.
 
-    The prefix tree is the sorted list of sets with the lengths of common prefixes of neighbours: a node is
-    a run of rows that agree up to a depth.
+    The prefix tree over ``sets`` is their sorted list with the lengths of common prefixes of neighbours: a node
+    is a run of rows that agree up to a depth. Going down, the n-grams of a node are counted once against all
+    probes and their partial overlaps are handed to the children; a subtree is left when for no probe the
+    n-grams that remain can lift any of its sets to the threshold.
     """
+    if not probes or not sets:
+        return []
     order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
     rows = [sets[k] for k in order]
     size = np.array([len(r) for r in rows])
@@ -138,23 +144,29 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], threshold: int) -> list
         m = min(size[k], size[k + 1])
         apart = np.flatnonzero(rows[k][:m] != rows[k + 1][:m])
         common[k] = apart[0] if len(apart) else m
-    need = -(-threshold * (size + len(probe)) // (100 + threshold))
-    found, stack = [], [(0, len(rows), 0, 0)] if rows else []
+    grams = np.intersect1d(np.concatenate(probes), np.concatenate(rows))
+    held = np.zeros((len(grams) + 1, len(probes)), np.float32)  # by n-gram, the probes that have it
+    for k, p in enumerate(probes):
+        held[np.searchsorted(grams, p[np.isin(p, grams, assume_unique=True)]), k] = 1
+    at = []
+    for r in rows:
+        place = np.minimum(np.searchsorted(grams, r), max(0, len(grams) - 1))
+        at.append(np.where(grams[place] == r, place, len(grams)) if len(grams) else np.zeros(len(r), np.int64))
+    lengths = np.array([len(p) for p in probes])
+    least = lambda s: -(-threshold * (s + lengths) // (100 + threshold))
+    found, stack = [], [(0, len(rows), 0, np.zeros(len(probes), np.float32))]
     while stack:
         lo, hi, depth, overlap = stack.pop()
         end = int(common[lo : hi - 1].min()) if hi - lo > 1 else int(size[lo])
-        run = rows[lo][depth:end]
-        if len(run):
-            at = np.searchsorted(probe, run)
-            overlap += int((probe[np.minimum(at, len(probe) - 1)] == run).sum())
-            probe_left = len(probe) - int(np.searchsorted(probe, run[-1], "right"))
-        else:
-            probe_left = len(probe)
-        if overlap + min(int(size[lo:hi].max()) - end, probe_left) < int(need[lo:hi].min()):
+        if end > depth:
+            overlap = overlap + held[at[lo][depth:end]].sum(axis=0)
+        left = int(size[lo:hi].max()) - end
+        if end:
+            left = np.minimum(left, [len(p) - int(np.searchsorted(p, rows[lo][end - 1], "right")) for p in probes]) if len(probes) < 8 else left
+        if (overlap + left < least(int(size[lo:hi].min()))).all():
             continue
         if hi - lo == 1:
-            if overlap >= need[lo]:
-                found.append(order[lo])
+            found += [(int(k), order[lo]) for k in np.flatnonzero(overlap >= least(int(size[lo])))]
             continue
         begin = lo
         for split in [*(np.flatnonzero(common[lo : hi - 1] == end) + lo + 1).tolist(), hi]:
@@ -163,19 +175,46 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], threshold: int) -> list
     return found
 
 
-def _compare(threshold: int):
+def _star(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        probe, others, names = None, [], []
+        """Links of one probe with a block of others."""
+        probe, others, names = [], [], []
         for a, b, grams in zip(table["a"].to_pylist(), table["b"].to_pylist(), table["grams"].to_pylist(), strict=True):
-            s = np.frombuffer(grams, U64)
             if b == a:
-                probe = s
+                probe = [np.frombuffer(grams, U64)]
             else:
-                others.append(s)
+                others.append(np.frombuffer(grams, U64))
                 names.append(b)
-        hits = tree_join(probe, others, threshold) if probe is not None and others else []
+        hits = tree_join(probe, others, threshold)
         a = table["a"][0].as_py()
-        return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array([names[k] for k in hits], pa.int64())})
+        return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array([names[k] for _, k in hits], pa.int64())})
+
+    return run
+
+
+def _blocks(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A spanning forest of the links between block i and block j of a cluster."""
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block, fp = table["block"].to_pylist(), table["fp"].to_pylist()
+        sets = [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
+        left, right = [k for k, x in enumerate(block) if x == i], [k for k, x in enumerate(block) if x == j]
+        root = {f: f for f in fp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        forest = []
+        for a, b in tree_join([sets[k] for k in left], [sets[k] for k in right], threshold):
+            x, y = fp[left[a]], fp[right[b]]
+            rx, ry = find(x), find(y)
+            if rx != ry:
+                root[rx] = ry
+                forest.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
     return run
 
@@ -187,7 +226,17 @@ def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: int)
     blocks = scratch.save(pairs.join(per_probe, "a").select("a", "b", block), "blocks")
     probes = blocks.select("a", "block").distinct().select("a", F.col("a").alias("b"), "block")
     sides = [x.join(sets.withColumnRenamed("fp", "b"), "b").select("a", "block", "b", "grams") for x in (blocks, scratch.save(probes, "probe_blocks"))]
-    return scratch.save(sides[0].unionByName(sides[1]).groupBy("a", "block").applyInArrow(_compare(threshold), "a long, b long"), "links")
+    return scratch.save(sides[0].unionByName(sides[1]).groupBy("a", "block").applyInArrow(_star(threshold), "a long, b long"), "links")
+
+
+def _linked_within(scratch: Scratch, clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links that connect what links inside each cluster of ``(fp, cluster)``: every pair of blocks of a
+    cluster is one task's prefix tree and probes, and pairs are never listed."""
+    counts = scratch.save(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster_sizes")
+    placed = clusters.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = scratch.save(placed, "clustered").join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "grams")
+    return scratch.save(pairs.groupBy("cluster", "i", "j").applyInArrow(_blocks(threshold), "a long, b long"), "links")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, n: int = 3, threshold: int = 90) -> DataFrame:
@@ -213,11 +262,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     # buckets that still hold sets of several components: their pairs across components
     placed = scratch.save(met.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("sig", "lo", "fp", F.coalesce("component", "fp").alias("component")), "placed")
     torn = scratch.save(placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig"), "torn")
-    rest = scratch.save(placed.join(torn, "sig").where("fp != lo").select("sig", "fp", "component"), "rest")
-    x, y = (rest.select("sig", F.col("fp").alias(p), F.col("component").alias(f"c{p}")) for p in ("a", "b"))
-    more = scratch.save(x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct(), "more")
-    if not more.isEmpty():
-        links = links.unionByName(_linked(scratch, more, sets, threshold))
+    rest = scratch.save(placed.join(torn, "sig").select("lo", "fp").distinct(), "rest")
+    clusters = connected_components(scratch, rest, "lo", "fp").withColumnRenamed("node", "fp").withColumnRenamed("component", "cluster")
+    links = links.unionByName(_linked_within(scratch, clusters, sets, threshold))
     by_set = connected_components(scratch, links)
     # from sets back to documents: the smallest id of all sets of a component
     grouped = scratch.save(nodes.join(by_set, nodes.fp == by_set.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "grouped")
