@@ -127,7 +127,8 @@ def _sets(n: int):
 
 
 def tree_join(probes: list[np.ndarray], sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """(probe, set) positions of all that link; n-grams are in global order.
+    """(probe, set) positions of all that link; n-grams are in global order. With ``probes is sets`` the pairs of
+    a set with itself are left out or not, as it happens.
 
     The prefix tree over ``sets`` is their sorted list with the lengths of common prefixes of neighbours: a node
     is a run of rows that agree up to a depth. Going down, the n-grams of a node are counted once against all
@@ -144,8 +145,12 @@ def tree_join(probes: list[np.ndarray], sets: list[np.ndarray], threshold: int)
         m = min(size[k], size[k + 1])
         apart = np.flatnonzero(rows[k][:m] != rows[k + 1][:m])
         common[k] = apart[0] if len(apart) else m
-    grams = np.intersect1d(np.concatenate(probes), np.concatenate(rows))
-    held = np.zeros((len(grams) + 1, len(probes)), np.float32)  # by n-gram, the probes that have it
+    if probes is sets:  # only n-grams of two sets can add to an overlap
+        grams, times = np.unique(np.concatenate(rows), return_counts=True)
+        grams = grams[times > 1]
+    else:
+        grams = np.intersect1d(np.concatenate(probes), np.concatenate(rows))
+    held = np.zeros((len(grams) + 1, len(probes)), np.uint8)  # by n-gram, the probes that have it
     for k, p in enumerate(probes):
         held[np.searchsorted(grams, p[np.isin(p, grams, assume_unique=True)]), k] = 1
     at = []
@@ -154,12 +159,12 @@ def tree_join(probes: list[np.ndarray], sets: list[np.ndarray], threshold: int)
         at.append(np.where(grams[place] == r, place, len(grams)) if len(grams) else np.zeros(len(r), np.int64))
     lengths = np.array([len(p) for p in probes])
     least = lambda s: -(-threshold * (s + lengths) // (100 + threshold))
-    found, stack = [], [(0, len(rows), 0, np.zeros(len(probes), np.float32))]
+    found, stack = [], [(0, len(rows), 0, np.zeros(len(probes), np.int64))]
     while stack:
         lo, hi, depth, overlap = stack.pop()
         end = int(common[lo : hi - 1].min()) if hi - lo > 1 else int(size[lo])
         if end > depth:
-            overlap = overlap + held[at[lo][depth:end]].sum(axis=0)
+            overlap = overlap + held[at[lo][depth:end]].sum(axis=0, dtype=np.int64)
         left = int(size[lo:hi].max()) - end
         if end:
             left = np.minimum(left, [len(p) - int(np.searchsorted(p, rows[lo][end - 1], "right")) for p in probes]) if len(probes) < 8 else left
@@ -208,7 +213,8 @@ def _blocks(threshold: int):
             return x
 
         forest = []
-        for a, b in tree_join([sets[k] for k in left], [sets[k] for k in right], threshold):
+        probes = [sets[k] for k in left]
+        for a, b in tree_join(probes, probes if i == j else [sets[k] for k in right], threshold):
             x, y = fp[left[a]], fp[right[b]]
             rx, ry = find(x), find(y)
             if rx != ry:
