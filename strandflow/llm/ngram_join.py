@@ -19,7 +19,8 @@ are never listed, and a group of copies that all link costs one comparison each.
 
 Copies collapse to one set before anything is joined, hot buckets are pre-aggregated to their smallest set,
 and all joins are between written tables, so adaptive execution can split hot keys. Only ids, hashes and
-signatures move; texts move once, and only of documents that share a signature.
+signatures move. The n-grams of documents that share a signature are made from a second scan of the texts,
+which a bitmap of at most 16 MB over hashed ids narrows down; a wrongly admitted document only costs its set.
 
 Inputs: texts with fewer than ``n`` words are one n-gram of all their words; null texts and texts without
 words have empty sets and link with nothing; a null id links with nothing and has a null component; rows
@@ -41,12 +42,13 @@ from strandflow.runtime import Scratch
 
 BLOCK = 256
 SPARE = 3
+BITS = 1 << 27
 
 _CLASS = [1]
 while _CLASS[-1] < 1 << 40:
     _CLASS.append(_CLASS[-1] * 3 // 2 + 1)
 
-_hashes = WordHashes()
+_hashes = WordHashes(200_000)
 
 
 def ngram_set(text: bytes | None, n: int = 3) -> np.ndarray:
@@ -116,11 +118,23 @@ def _describe(n: int, threshold: int):
     return run
 
 
-def _sets(n: int):
+def _id_bits(ids: DataFrame) -> dict[int, bytes]:
+    """Which of ``BITS`` hash values the ids have: pages of 32768 bits, at most 16 MB for any number of ids."""
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    pages = ids.select(F.shiftright(h, 15).alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return {r["page"]: bytes(r["bits"]) for r in pages.collect()}
+
+
+def _sets(n: int, pages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS // 8, np.uint8)
+        for page, x in pages.value.items():
+            bits[page * 4096 : (page + 1) * 4096] = np.frombuffer(x, np.uint8)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                sets = [ngram_set(t, n) for t in whole.slice(at, 1000).column(0).to_pylist()]
+            h = whole.column(0).to_numpy()
+            at = np.flatnonzero(bits[h >> 3] >> (h & 7) & 1)
+            for k in range(0, len(at), 1000):
+                sets = [ngram_set(t, n) for t in whole.column(1).take(pa.array(at[k : k + 1000])).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "grams"])
 
     return run
@@ -257,10 +271,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     buckets = listed.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("sig", "lo")
     buckets = scratch.save(buckets, "buckets")
     met = scratch.save(listed.join(buckets, "sig").select("sig", "lo", "fp").distinct(), "met")
-    # whole texts of the sets that met another, once, as n-grams
-    wanted = scratch.save(met.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id")), "wanted")
-    texts = source.join(wanted, "doc_id", "left_semi").select(F.col("text").cast("binary").alias("text"))
-    sets = scratch.save(texts.mapInArrow(_sets(n), "fp long, grams binary"), "sets")
+    # the n-grams of the sets that met another, from their texts: no text is shuffled
+    pages = docs.sparkSession.sparkContext.broadcast(_id_bits(met.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id"))))
+    texts = source.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"), F.col("text").cast("binary").alias("text"))
+    sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, grams binary"), "sets")
 
     star = scratch.save(met.where("fp != lo").select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct(), "star")
     links = _linked(scratch, star, sets, threshold)
