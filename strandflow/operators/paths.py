@@ -45,6 +45,29 @@ def find_paths(links: DataFrame, segments: DataFrame, pairs: DataFrame, *, max_l
     return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_paths).drop("rn")
 
 
+def _bridge_pieces(walks: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
+    """The intermediates of walks ``(path, a, ao, walk, b, bo)`` with what each keeps: it gives up its overlap with the
+    step before, and the last one that with the right end as well."""
+    ends = lambda n, o: F.array(F.struct(F.col(n).alias("name"), F.col(o).alias("orient")))
+    steps = walks.select("path", F.posexplode(F.concat(ends("a", "ao"), F.col("walk"), ends("b", "bo"))).alias("pos", "s")).select("path", F.col("pos").cast("long").alias("pos"), "s.name", "s.orient")
+    own = W.partitionBy("path")
+    pieces = G.walk_pieces(steps, links, segments).withColumn("last", F.max("pos").over(own)).withColumn("over", F.lead("overlap").over(own.orderBy("pos")))
+    tail = F.when(F.col("pos") == F.col("last") - 1, F.col("over")).otherwise(0)
+    return pieces.withColumn("tail", tail).withColumn("size", F.col("length") - F.col("overlap") - F.col("tail")).where("pos > 0 and pos < last")
+
+
+def bridge_rows(bridged: DataFrame, gaps: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(pair, pieces)`` of bridges as AGP has them: the slice of every intermediate, 1-based on its forward strand.
+    An empty list closes the gap to nothing."""
+    walks = bridged.join(gaps, "pair").withColumn("path", F.col("pair").cast("string"))
+    pieces = _bridge_pieces(walks, links, segments).where("size > 0")
+    minus = F.col("orient") == "-"
+    beg = F.when(minus, F.col("tail")).otherwise(F.col("overlap")) + 1
+    piece = F.struct("pos", F.col("size").cast("long").alias("size"), F.col("name").alias("component"), beg.cast("long").alias("c_beg"), (beg + F.col("size") - 1).cast("long").alias("c_end"), "orient")
+    made = pieces.groupBy("path").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return walks.select("pair", "path").join(made, "path", "left").select("pair", F.coalesce("pieces", F.expr("array()").cast(made.schema["pieces"].dataType)).alias("pieces"))
+
+
 def bridges(links: DataFrame, segments: DataFrame, gaps: DataFrame, *, tolerance: float = 0.5, max_length: int = 50_000, max_nodes: int = 20) -> DataFrame:
     """``(pair, walk, sequence)`` for gaps ``(pair, a, ao, b, bo, gap)`` that the graph fills with confidence.
 
@@ -57,16 +80,9 @@ def bridges(links: DataFrame, segments: DataFrame, gaps: DataFrame, *, tolerance
     rest = gaps.join(adj, ["a", "ao", "b", "bo"], "left_anti")
     lo, hi = F.floor(F.col("gap") * (1 - tolerance)), F.floor(F.col("gap") * (1 + tolerance)) + 100
     walks = scratch.save(find_paths(links, segments, rest, max_length=max_length, max_nodes=max_nodes, max_paths=16).where("hops > 0").join(rest, "pair").withColumn("path", F.concat_ws(":", "pair", F.to_json("walk"))), "walks")
-    ends = lambda n, o: F.array(F.struct(F.col(n).alias("name"), F.col(o).alias("orient")))
-    steps = walks.select("path", F.posexplode(F.concat(ends("a", "ao"), F.col("walk"), ends("b", "bo"))).alias("pos", "s")).select("path", F.col("pos").cast("long").alias("pos"), "s.name", "s.orient")
-    pieces = G.walk_pieces(steps, links, segments)
-    own = W.partitionBy("path")
-    pieces = pieces.withColumn("last", F.max("pos").over(own)).withColumn("over", F.lead("overlap").over(own.orderBy("pos")))
-    body = oriented("sequence", "orient")
-    # an intermediate gives up its overlap at the start, and the last one that with the right end as well
-    tail = F.when(F.col("pos") == F.col("last") - 1, F.col("over")).otherwise(0)
-    part = body.substr(F.col("overlap").cast("int") + 1, F.greatest(F.length(body) - F.col("overlap") - tail, F.lit(0)).cast("int"))
-    joined = pieces.where("pos > 0 and pos < last").withColumn("part", part).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("sequence"), F.count("sequence").alias("known"), F.count("*").alias("n"))
+    pieces = _bridge_pieces(walks, links, segments)
+    part = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.greatest(F.col("size"), F.lit(0)).cast("int"))
+    joined = pieces.withColumn("part", part).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("sequence"), F.count("sequence").alias("known"), F.count("*").alias("n"))
     scored = walks.join(joined.where("known = n"), "path").withColumn("off", F.abs(F.length("sequence") - F.col("gap"))).where((F.length("sequence") >= lo) & (F.length("sequence") <= hi))
     order = W.partitionBy("pair").orderBy("off", "hops", "path")
     ranked = scored.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("sequence").over(order)).withColumn("next_off", F.lead("off").over(order))

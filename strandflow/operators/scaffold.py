@@ -67,11 +67,12 @@ def plan_by_chains(chains: DataFrame, segments: DataFrame) -> DataFrame:
     return made.unionByName(left.select(F.concat(F.lit("scaffold_"), safe_label("name")).alias("scaffold"), F.lit("graph").alias("source"), F.lit(0).cast("long").alias("pos"), F.col("name").alias("segment"), F.lit("+").alias("orientation"), F.lit(0).cast("long").alias("gap_after"), F.lit(None).cast("string").alias("evidence")))
 
 
-def agp(plan: DataFrame, segments: DataFrame, trims: DataFrame | None = None) -> DataFrame:
+def agp(plan: DataFrame, segments: DataFrame, trims: DataFrame | None = None, bridged: DataFrame | None = None) -> DataFrame:
     """AGP rows ``(object, beg, end, part, kind, component, c_beg, c_end, orient, gap, evidence)``.
 
     One running coordinate per scaffold serves components and gaps alike. ``trims`` gives ``(scaffold, pos, trim)``:
-    bases that a member loses at its start in reading direction.
+    bases that a member loses at its start in reading direction. ``bridged`` gives ``(scaffold, pos, pieces)``, from
+    ``paths.bridge_rows``: what stands in place of the gap after a member.
     """
     rows = plan.join(segments.select(F.col("name").alias("segment"), "length"), "segment")
     rows = rows.join(trims, ["scaffold", "pos"], "left") if trims is not None else rows.withColumn("trim", F.lit(0))
@@ -83,6 +84,10 @@ def agp(plan: DataFrame, segments: DataFrame, trims: DataFrame | None = None) ->
     known = F.col("evidence").isin("reference", "graph")
     gap = F.struct(F.when(known, "N").otherwise("U").alias("kind"), F.col("gap_after").alias("size"), F.lit(None).cast("string").alias("component"), F.lit(None).cast("long").alias("c_beg"), F.lit(None).cast("long").alias("c_end"), F.lit(None).cast("string").alias("orient"), F.when(F.col("evidence") == "reference", "align_genus").otherwise("paired-ends").alias("evidence"))
     both = F.when((F.col("gap_after") > 0) & (F.col("pos") < F.col("last")), F.array(piece, gap)).otherwise(F.array(piece))
+    if bridged is not None:
+        rows = rows.join(bridged, ["scaffold", "pos"], "left")
+        inner = F.transform("pieces", lambda x: F.struct(F.lit("W").alias("kind"), x["size"].alias("size"), x["component"].alias("component"), x["c_beg"].alias("c_beg"), x["c_end"].alias("c_end"), x["orient"].alias("orient"), F.lit(None).cast("string").alias("evidence")))
+        both = F.when(F.col("pieces").isNotNull(), F.concat(F.array(piece), inner)).otherwise(both)
     parts = rows.select("scaffold", "pos", F.posexplode(both).alias("sub", "x")).where("x.size > 0")
     by = W.partitionBy("scaffold").orderBy("pos", "sub")
     end = F.sum("x.size").over(by.rowsBetween(W.unboundedPreceding, 0))
@@ -130,3 +135,10 @@ def preview(plan: DataFrame, rows: DataFrame) -> DataFrame:
     return a.crossJoin(F.broadcast(plan.agg(F.count_if(F.col("source") != "unplaced").alias("placed"))))
 
 
+
+
+def without_consumed(plan: DataFrame, bridged: DataFrame) -> DataFrame:
+    """``plan`` without the unplaced segments that a bridge passes through."""
+    used = bridged.select(F.explode("pieces").alias("p")).select(F.col("p.component").alias("segment")).distinct()
+    alone = plan.where("source = 'unplaced'").join(used, "segment", "left_anti").select(*plan.columns)
+    return plan.where("source != 'unplaced'").unionByName(alone)

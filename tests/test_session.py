@@ -61,3 +61,24 @@ def test_scopes_and_names(spark):
     assert {r["name"] for r in P.scope(segments, links, max_nodes=2).collect()} == {"A", "B"}
     queries = spark.createDataFrame([("A+",), ("b",), ("nope",)], "q string")
     assert {(r["q"], r["name"]) for r in P.match_names(segments, queries).collect()} == {("A+", "A"), ("b", None), ("nope", None)}
+
+
+def test_bridges_stand_in_the_agp(spark):
+    from pyspark.sql import functions as F
+
+    from strandflow.operators import scaffold as S
+
+    rng = random.Random(4)
+    genome = "".join(rng.choices("ACGT", k=900))
+    turn = str.maketrans("ACGT", "TGCA")
+    seqs = {"L": genome[:300], "m": genome[280:600].translate(turn)[::-1], "R": genome[590:]}
+    segments = spark.createDataFrame([(k, n, s, len(s), None) for k, (n, s) in enumerate(seqs.items())], SEGMENTS)
+    links = spark.createDataFrame([(0, "L", "+", "m", "-", 20), (1, "m", "-", "R", "+", 10)], LINKS)
+    gaps = spark.createDataFrame([(0, "L", "+", "R", "+", 290)], "pair int, a string, ao string, b string, bo string, gap int")
+    found = P.bridges(links, segments, gaps)
+    assert found.first()["sequence"] == genome[300:590]
+    plan = spark.createDataFrame([("s", "reference", 0, "L", "+", 290, "reference"), ("s", "reference", 1, "R", "+", 0, None), ("u", "unplaced", 0, "m", "+", 0, None)], "scaffold string, source string, pos long, segment string, orientation string, gap_after long, evidence string")
+    rows = P.bridge_rows(found, gaps, links, segments).select(F.lit("s").alias("scaffold"), F.col("pair").cast("long").alias("pos"), "pieces")
+    agp = S.agp(S.without_consumed(plan, rows), segments, None, rows)
+    assert S.verify_agp(agp).count() == 0 and agp.where("object = 'u'").count() == 0
+    assert [r["sequence"] for r in S.scaffold_sequences(agp, segments).collect()] == [genome]
