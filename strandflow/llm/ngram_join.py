@@ -19,8 +19,9 @@ are never listed, and a group of copies that all link costs one comparison each.
 
 Copies collapse to one set before anything is joined, hot buckets are pre-aggregated to their smallest set,
 and all joins are between written tables, so adaptive execution can split hot keys. Only ids, hashes and
-signatures move. The n-grams of documents that share a signature are made from a second scan of the texts,
-which a bitmap of at most 16 MB over hashed ids narrows down; a wrongly admitted document only costs its set.
+signatures move. Two bitmaps of at most 16 MB each narrow down what moves: one over the signatures that two sets
+share, before these are joined, and one over hashed ids, for the second scan of the texts that makes the n-grams
+of documents that met another. What a bitmap wrongly admits only costs its row; a full one admits all.
 
 Inputs: texts with fewer than ``n`` words are one n-gram of all their words; null texts and texts without
 words have empty sets and link with nothing; a null id links with nothing and has a null component; rows
@@ -118,21 +119,42 @@ def _describe(n: int, threshold: int):
     return run
 
 
-def _id_bits(ids: DataFrame) -> dict[int, bytes]:
-    """Which of ``BITS`` hash values the ids have: pages of 32768 bits, at most 16 MB for any number of ids."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    pages = ids.select(F.shiftright(h, 15).alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def _bitmap(df: DataFrame, h) -> dict[int, bytes]:
+    """Which of the hash values 0 to ``BITS`` - 1 the rows have: pages of 32768 bits, at most 16 MB for any input."""
+    pages = df.select(F.shiftright(h, 15).alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     return {r["page"]: bytes(r["bits"]) for r in pages.collect()}
 
 
+def _unfolded(pages: dict[int, bytes]) -> np.ndarray:
+    bits = np.zeros(BITS // 8, np.uint8)
+    for page, x in pages.items():
+        bits[page * 4096 : (page + 1) * 4096] = np.frombuffer(x, np.uint8)
+    return bits
+
+
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h >> 3] >> (h & 7) & 1).astype(bool)
+
+
+def _only(pages):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures that the bitmap does not know belong to one set alone and go."""
+        bits = _unfolded(pages.value)
+        for batch in batches:
+            sigs = batch.column(1)
+            flat, at = sigs.flatten().to_numpy(), sigs.offsets.to_numpy()
+            keep = _in(bits, flat & (BITS - 1))
+            upto = np.concatenate([[0], keep.cumsum()])[at - at[0]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat[keep], np.diff(upto))], names=["fp", "sigs"])
+
+    return run
+
+
 def _sets(n: int, pages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS // 8, np.uint8)
-        for page, x in pages.value.items():
-            bits[page * 4096 : (page + 1) * 4096] = np.frombuffer(x, np.uint8)
+        bits = _unfolded(pages.value)
         for whole in batches:
-            h = whole.column(0).to_numpy()
-            at = np.flatnonzero(bits[h >> 3] >> (h & 7) & 1)
+            at = np.flatnonzero(_in(bits, whole.column(0).to_numpy()))
             for k in range(0, len(at), 1000):
                 sets = [ngram_set(t, n) for t in whole.column(1).take(pa.array(at[k : k + 1000])).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "grams"])
@@ -270,10 +292,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     listed = usable.select("fp", F.explode("sigs").alias("sig"))
     buckets = listed.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("sig", "lo")
     buckets = scratch.save(buckets, "buckets")
-    met = scratch.save(listed.join(buckets, "sig").select("sig", "lo", "fp").distinct(), "met")
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    shared = broadcast(_bitmap(buckets, F.col("sig").bitwiseAND(F.lit(BITS - 1))))
+    again = usable.select("fp", "sigs").mapInArrow(_only(shared), "fp long, sigs array<long>").select("fp", F.explode("sigs").alias("sig"))
+    met = scratch.save(again.join(buckets, "sig").select("sig", "lo", "fp").distinct(), "met")
     # the n-grams of the sets that met another, from their texts: no text is shuffled
-    pages = docs.sparkSession.sparkContext.broadcast(_id_bits(met.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id"))))
-    texts = source.where("doc_id is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("h"), F.col("text").cast("binary").alias("text"))
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    wanted = met.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id"))
+    pages = broadcast(_bitmap(wanted, h))
+    texts = source.where("doc_id is not null").select(h.alias("h"), F.col("text").cast("binary").alias("text"))
     sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, grams binary"), "sets")
 
     star = scratch.save(met.where("fp != lo").select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct(), "star")
