@@ -7,15 +7,17 @@ Who meets: sets at the threshold differ in at most d n-grams, so of d + 3 ranges
 least three hold the same n-grams in both. A set is listed under a signature of each of its non-empty
 ranges (empty ones too if it has three or more). The number of ranges depends on the smaller set's size
 class; a set near a class border is listed for both. No link is lost, and texts that merely share common
-n-grams do not meet, as a range holds about nine n-grams that must all agree.
+n-grams do not meet, as a range holds about nine n-grams that must all agree. A set without an empty range
+shares three signatures with all that it links with, so one that shares fewer with others is left alone.
 
 How they are compared: first each set of a bucket meets the bucket's smallest set. For each such probe the
 others form a prefix tree (blocks of ``BLOCK`` sets): runs of n-grams that several sets share from their
 start are counted against the probe once and the partial overlap is handed down; a subtree is left as soon
 as the n-grams that remain cannot lift any of its sets to the threshold. Links make components. Buckets that
 still hold several components are joined to clusters; every pair of blocks of a cluster is compared by the
-same tree, all sets of a block probing at once, and gives a spanning forest of its links. Pairs of documents
-are never listed, and a group of copies that all link costs one comparison each.
+same tree, all sets of a block probing at once, and gives a spanning forest of its links. A block travels to
+its pairs as one row, each n-gram in it spelled once. Pairs of documents are never listed, and a group of
+copies that all link costs one comparison each.
 
 Copies collapse to one set before anything is joined, hot buckets are pre-aggregated to their smallest set,
 and all joins are between written tables, so adaptive execution can split hot keys. Only ids, hashes and
@@ -30,6 +32,7 @@ that share an id are one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -84,10 +87,11 @@ class Ranges:
         spare = SPARE if differ else 1
         return differ + spare, spare
 
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        n = len(grams)
+    def signatures(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set's signatures, and how many of them it shares at least with any set that it links with."""
+        n, need = len(grams), SPARE
         if not n:
-            return np.empty(0, U64)
+            return np.empty(0, U64), need
         own, low = bisect_right(_CLASS, n) - 1, bisect_right(_CLASS, -(-n * self.threshold // 100)) - 1
         sums = np.concatenate([np.zeros(1, U64), mix(grams ^ U64(0x5BD1E995)).cumsum(dtype=U64)])
         out = []
@@ -99,7 +103,9 @@ class Ranges:
             count = np.diff(at)
             sig = mix(mix(sums[at[1:]] - sums[at[:-1]]) + mix(np.arange(k, dtype=U64) + U64(c << 48)) + count.astype(U64))
             out.append(sig if (count == 0).sum() >= spare else sig[count > 0])
-        return np.concatenate(out)
+            if spare < need or not count.all():  # alike ranges that are empty may not be listed
+                need = 1
+        return np.concatenate(out), need
 
 
 def _describe(n: int, threshold: int):
@@ -109,12 +115,15 @@ def _describe(n: int, threshold: int):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 sets = [ngram_set(t, n) for t in batch.column(1).to_pylist()]
-                sigs = [ranges.signatures(s) for s in sets]
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
+                made = [ranges.signatures(s) for s in sets]
+                flat = np.concatenate([x for x, _ in made]).view(np.int64) if made else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), lists(flat, [len(s) for s in sigs])],
-                    names=["doc_id", "n", "fp", "sigs"],
-                )
+                    [
+                        batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
+                        pa.array([need for _, need in made], pa.int32()), lists(flat, [len(x) for x, _ in made]),
+                    ],
+                    names=["doc_id", "n", "fp", "need", "sigs"],
+                )
 
     return run
 
@@ -138,14 +147,16 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _only(pages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signatures that the bitmap does not know belong to one set alone and go."""
+        """Signatures that the bitmap does not know belong to one set alone and go; so do sets with too few others."""
         bits = _unfolded(pages.value)
         for batch in batches:
-            sigs = batch.column(1)
+            sigs, need = batch.column(2), batch.column(1).to_numpy()
             flat, at = sigs.flatten().to_numpy(), sigs.offsets.to_numpy()
             keep = _in(bits, flat & (BITS - 1))
             upto = np.concatenate([[0], keep.cumsum()])[at - at[0]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat[keep], np.diff(upto))], names=["fp", "sigs"])
+            enough = np.diff(upto) >= need
+            keep &= np.repeat(enough, np.diff(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(flat[keep], np.where(enough, np.diff(upto), 0))], names=["fp", "need", "sigs"])
 
     return run
 
@@ -233,29 +244,65 @@ def _star(threshold: int):
     return run
 
 
-def _blocks(threshold: int):
+def _packed(sets: list[np.ndarray]) -> bytes:
+    """Sets of n-grams as one value: every n-gram once, and the steps from one of a set to its next."""
+    grams, place = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets], np.int32)
+    steps = np.diff(place.astype(np.int32), prepend=np.int32(0))
+    return np.array([len(grams), len(sets)], np.int32).tobytes() + zlib.compress(grams.tobytes() + sizes.tobytes() + steps.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    n, m = np.frombuffer(data[:8], np.int32).tolist()
+    raw = zlib.decompress(data[8:])
+    grams, sizes = np.frombuffer(raw, U64, n), np.frombuffer(raw, np.int32, m, 8 * n)
+    place = np.frombuffer(raw, np.int32, -1, 8 * n + 4 * m).cumsum(dtype=np.int32)
+    return np.split(grams[place], sizes.cumsum()[:-1])
+
+
+def _forest(pairs: list[tuple[int, int]], left: list[int], right: list[int]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs, as fingerprints."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    forest = []
+    for a, b in pairs:
+        x, y = find(left[a]), find(right[b])
+        if x != y:
+            root[x] = y
+            forest.append((left[a], right[b]))
+    return forest
+
+
+_BLOCK = "cluster long, block int, blocks int, a long, b long, fps array<long>, sets binary"
+
+
+def _own(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        """A block's forest of links between its own sets, and the block itself if its cluster has others."""
+        fp, sets = table["fp"].to_pylist(), [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
+        forest = _forest(tree_join(sets, sets, threshold), fp, fp)
+        cluster, block, blocks = (table[c][0].as_py() for c in ("cluster", "block", "blocks"))
+        rows = [(cluster, block, blocks, a, b, None, None) for a, b in forest]
+        if blocks > 1:
+            rows.append((cluster, block, blocks, None, None, fp, _packed(sets)))
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+
+    return run
+
+
+def _across(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        """A spanning forest of the links between block i and block j of a cluster."""
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        block, fp = table["block"].to_pylist(), table["fp"].to_pylist()
-        sets = [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
-        left, right = [k for k, x in enumerate(block) if x == i], [k for k, x in enumerate(block) if x == j]
-        root = {f: f for f in fp}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        forest = []
-        probes = [sets[k] for k in left]
-        for a, b in tree_join(probes, probes if i == j else [sets[k] for k in right], threshold):
-            x, y = fp[left[a]], fp[right[b]]
-            rx, ry = find(x), find(y)
-            if rx != ry:
-                root[rx] = ry
-                forest.append((x, y))
+        """A forest of the links between two blocks."""
+        fps, sets = table["fps"].to_pylist(), [_unpacked(x) for x in table["sets"].to_pylist()]
+        forest = _forest(tree_join(sets[0], sets[1], threshold), fps[0], fps[1]) if len(sets) == 2 else []
         return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
     return run
@@ -272,13 +319,27 @@ def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: int)
 
 
 def _linked_within(scratch: Scratch, clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links that connect what links inside each cluster of ``(fp, cluster)``: every pair of blocks of a
-    cluster is one task's prefix tree and probes, and pairs are never listed."""
+    """Links that connect what links inside each cluster of ``(fp, cluster)``: every block of a cluster, and every
+    pair of its blocks, is one task's prefix tree and probes, and pairs are never listed."""
     counts = scratch.save(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster_sizes")
-    placed = clusters.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = scratch.save(placed, "clustered").join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "grams")
-    return scratch.save(pairs.groupBy("cluster", "i", "j").applyInArrow(_blocks(threshold), "a long, b long"), "links")
+    placed = scratch.save(clusters.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "clustered")
+    own = scratch.save(placed.join(sets, "fp").groupBy("cluster", "block").applyInArrow(_own(threshold), _BLOCK), "own_links")
+    packed = own.where("sets is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
+    pairs = packed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fps", "sets")
+    across = scratch.save(pairs.groupBy("cluster", "i", "j").applyInArrow(_across(threshold), "a long, b long"), "links")
+    return own.where("a is not null").select("a", "b").unionByName(across)
+
+
+def _torn(scratch: Scratch, placed: DataFrame) -> DataFrame:
+    """Of ``(sig, lo, fp, need, component)``, the rows of buckets that still hold several components, without the
+    sets that share too few such buckets to link across: a link across components is in ``need`` of them. Twice,
+    as a set that goes may leave a bucket whole."""
+    for _ in range(2):
+        several = scratch.save(placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig"), "torn")
+        placed = scratch.save(placed.join(several, "sig"), "in_torn")
+        able = scratch.save(placed.groupBy("fp").agg(F.count("*").alias("m"), F.max("need").alias("least")).where("m >= least").select("fp"), "able")
+        placed = scratch.save(placed.join(able, "fp", "left_semi"), "placed")
+    return placed
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, n: int = 3, threshold: int = 90) -> DataFrame:
@@ -286,16 +347,16 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     that links reach. ``threshold`` is in hundredths."""
     scratch = Scratch(docs.sparkSession, "ngram")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = scratch.save(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(n, threshold), "doc_id long, n long, fp long, sigs array<long>"), "described")
+    own = scratch.save(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(n, threshold), "doc_id long, n long, fp long, need int, sigs array<long>"), "described")
     usable = own.where("n > 0 and doc_id is not null")
     nodes = scratch.save(usable.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    listed = usable.select("fp", F.explode("sigs").alias("sig"))
-    buckets = listed.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("sig", "lo")
-    buckets = scratch.save(buckets, "buckets")
+    buckets = lambda rows: rows.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("sig", "lo")
+    known = scratch.save(buckets(usable.select("fp", F.explode("sigs").alias("sig"))), "buckets")
     broadcast = docs.sparkSession.sparkContext.broadcast
-    shared = broadcast(_bitmap(buckets, F.col("sig").bitwiseAND(F.lit(BITS - 1))))
-    again = usable.select("fp", "sigs").mapInArrow(_only(shared), "fp long, sigs array<long>").select("fp", F.explode("sigs").alias("sig"))
-    met = scratch.save(again.join(buckets, "sig").select("sig", "lo", "fp").distinct(), "met")
+    shared = broadcast(_bitmap(known, F.col("sig").bitwiseAND(F.lit(BITS - 1))))
+    left = usable.select("fp", "need", "sigs").mapInArrow(_only(shared), "fp long, need int, sigs array<long>").select("fp", "need", F.explode("sigs").alias("sig"))
+    left = scratch.save(left, "left")
+    met = scratch.save(left.join(scratch.save(buckets(left), "buckets"), "sig").select("sig", "lo", "fp", "need").distinct(), "met")
     # the n-grams of the sets that met another, from their texts: no text is shuffled
     h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
     wanted = met.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id"))
@@ -303,14 +364,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     texts = source.where("doc_id is not null").select(h.alias("h"), F.col("text").cast("binary").alias("text"))
     sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, grams binary"), "sets")
 
-    star = scratch.save(met.where("fp != lo").select(F.col("lo").alias("a"), F.col("fp").alias("b")).distinct(), "star")
-    links = _linked(scratch, star, sets, threshold)
+    star = met.where("fp != lo").groupBy(F.col("lo").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("m"), F.max("need").alias("least"))
+    links = _linked(scratch, scratch.save(star.where("m >= least").select("a", "b"), "star"), sets, threshold)
     first = connected_components(scratch, links)
     # buckets that still hold sets of several components: their pairs across components
-    placed = scratch.save(met.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("sig", "lo", "fp", F.coalesce("component", "fp").alias("component")), "placed")
-    torn = scratch.save(placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig"), "torn")
-    rest = scratch.save(placed.join(torn, "sig").select("lo", "fp").distinct(), "rest")
+    placed = met.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("sig", "lo", "fp", "need", F.coalesce("component", "fp").alias("component"))
+    rest = scratch.save(_torn(scratch, scratch.save(placed, "placed")).select("lo", "fp").distinct(), "rest")
     clusters = connected_components(scratch, rest, "lo", "fp").withColumnRenamed("node", "fp").withColumnRenamed("component", "cluster")
+    clusters = scratch.save(clusters.join(rest.select("fp").distinct(), "fp", "left_semi"), "clusters")
     links = links.unionByName(_linked_within(scratch, clusters, sets, threshold))
     by_set = connected_components(scratch, links)
     # from sets back to documents: the smallest id of all sets of a component
