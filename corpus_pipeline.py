@@ -26,8 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component; rows without an id stay."""
-    found = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+    """Keeps the document with the smallest id of each component; rows without an id stay.
+
+    Documents link from a Jaccard similarity of 0.8 of their 5-word shingles on; ``op3`` has limits of its own.
+    """
+    found = ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, threshold=80)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     # of rows that repeat an id, one
