@@ -1,11 +1,16 @@
-"""Substring dedup by hashing lines, and the sentences inside them.
+"""Substring dedup by hashing lines, and pieces inside them.
 
-A unit is a line, cut further after sentence ends, and inside a long sentence after words picked by their
-hash: shared passages begin and end inside lines, and such cuts fall at the same places in every copy.
-Units are normalised (lower case, ASCII punctuation dropped, words joined by one space) and hashed.
-Digests are grouped globally: a unit is a repeat if a smaller document id has it, or the same document
+Shared passages begin and end inside lines, so lines are cut where the text itself says: of every ``WINDOW``
+neighbouring words of a line, after the one with the smallest hash. No stretch of ``WINDOW`` words is without a
+cut, and inside a shared passage the cuts fall at the same places in every copy. A unit is what lies between two
+cuts, known by a digest of it and of ``CONTEXT`` words on either side of it (as far as the line goes), so that few
+words that many texts use prove nothing; its span takes the context in. A line of fewer than ``SHORT`` words is
+not parted from the lines beside it. Of a passage inside a line no more than 11 words at either end count in no
+unit, and no more than WINDOW - 1 lie outside the spans, so a passage of over 50 words is always found.
+
+Words are in lower case, without ASCII punctuation. Digests are grouped globally: a unit is a repeat if a smaller document id has it, or the same document
 earlier. A maximal run of neighbouring repeats goes if it has ``min_words`` words or more in all, so that
-chance repeats of short units stay. Spans are code point offsets into the original text.
+chance repeats stay. Spans are code point offsets into the original text; where two passages overlap, so may they.
 
 Grouping is pre-aggregated to (digest, smallest id, number of rows); only digests seen twice meet the units
 again, in a join between written tables that adaptive execution can split at hot digests.
@@ -24,67 +29,103 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from strandflow.llm._text import lists
+from strandflow.llm._text import lists, mix
 from strandflow.runtime import Scratch
 
 MIN_WORDS = 25
-LONG = 24  # words after which a sentence is cut at picked words
-_UNIT = re.compile(r"[^\n.!?]+[.!?]*|[.!?]+")
-SHORT = 3  # words below which a unit's repeats prove nothing: they join a run but do not count
+WINDOW = 6  # neighbouring words of which one ends a unit
+CONTEXT = 6  # words on either side of a unit that its digest covers too
+SHORT = 3  # words below which a line is not parted from the lines beside it
+U64 = np.uint64
+_LINE = re.compile(r"[^\n]+")
+_SPACED = re.compile(r"\S+")
 _PUNCTUATION = b"\"'`.,;:!?()[]{}<>*#$%&|-_"
 
 
-_SPACED = re.compile(r"\S+")
+class _Hashes(dict):
+    """The hash of a word's normal form, 0 for punctuation alone; a bounded memo."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        w = word.lower().encode().translate(None, _PUNCTUATION)
+        self[word] = h = xxhash.xxh3_64_intdigest(w) if w else 0
+        return h
 
-def _normal(unit: str) -> list[bytes]:
-    return unit.lower().encode().translate(None, _PUNCTUATION).split()
 
+_hash = _Hashes()
+_BASE = 0x9E3779B97F4A7C15
 
-class _Picked(dict):
-    """Whether a word, of normal form ``w``, ends a unit inside a long sentence; a bounded memo."""
 
-    def __missing__(self, w: bytes) -> bool:
-        if len(self) > 200_000:
-            self.clear()
-        self[w] = picked = bool(w) and xxhash.xxh32_intdigest(w) % 8 == 0
-        return picked
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, U64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            power = lambda x: np.concatenate([np.ones(1, U64), np.full(2 * n, x, U64)]).cumprod(dtype=U64)
+            self.up, self.down = power(_BASE), power(pow(_BASE, -1, 1 << 64))
+        return self.up[:n], self.down[:n]
 
 
-_picked = _Picked()
+_powers = _Powers()
 
 
-def _pieces(text: str) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(start, end, normalised words) of each unit with a word."""
-    for m in _UNIT.finditer(text):
-        words = _normal(m[0])
-        if len(words) <= LONG:
-            if words:
-                yield m.start(), m.end(), words
+def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, block) of each word; lines make blocks, short ones together with those beside them."""
+    hashes, sizes, starts, ends, block, short = [], [], [], [], [], []
+    for m in _LINE.finditer(text):
+        line = m[0].split()
+        own = [*map(_hash.__getitem__, line)]
+        n = len(own) - own.count(0)
+        if not n:
             continue
-        spans = [w.span() for w in _SPACED.finditer(m[0])]
-        if len(spans) != len(words):  # some are punctuation alone
-            words = [b"".join(_normal(m[0][a:b])) for a, b in spans]
-        begin, first = 0, 0
-        for k, cut in enumerate(map(_picked.__getitem__, words)):
-            if cut or k == len(words) - 1:
-                if own := [w for w in words[first : k + 1] if w]:
-                    yield m.start() + begin, m.start() + spans[k][1], own
-                begin, first = spans[k][1], k + 1
+        if " ".join(line) == m[0]:
+            size = np.fromiter(map(len, line), np.int64, len(line))
+            stop = (size + 1).cumsum() - 1 + m.start()
+            starts.append(stop - size)
+            ends.append(stop)
+        else:
+            spans = np.array([w.span() for w in _SPACED.finditer(m[0])], np.int64) + m.start()
+            starts.append(spans[:, 0])
+            ends.append(spans[:, 1])
+        hashes += own
+        sizes.append(len(own))
+        short.append(n < SHORT)
+    if not sizes:
+        return np.empty(0, U64), *[np.empty(0, np.int64)] * 3
+    short = np.array(short)
+    block = np.concatenate([np.zeros(1, np.int64), (~(short[1:] | short[:-1])).cumsum()])
+    h = np.array(hashes, U64)
+    some = h != 0
+    return h[some], np.concatenate(starts)[some], np.concatenate(ends)[some], np.repeat(block, sizes)[some]
 
 
 def units(text: str) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
     """Digests, starts, ends, counted words, and whether the text has the unit earlier."""
-    digests, starts, ends, counts, again, seen = [], [], [], [], [], set()
-    for a, b, words in _pieces(text):
-        d = xxhash.xxh3_64_intdigest(b" ".join(words))
-        digests.append(d)
-        starts.append(a)
-        ends.append(b)
-        counts.append(len(words) if len(words) >= SHORT else 0)
-        again.append(d in seen)
-        seen.add(d)
-    return digests, starts, ends, counts, again
+    h, starts, ends, block = _words(text)
+    n = len(h)
+    if not n:
+        return [], [], [], [], []
+    is_cut = np.append(block[1:] != block[:-1], True)
+    closing = np.flatnonzero(is_cut)
+    if n >= WINDOW:
+        at = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1)
+        is_cut[at[block[: n - WINDOW + 1] == block[WINDOW - 1 :]]] = True
+    stop = np.flatnonzero(is_cut) + 1
+    start = np.append(0, stop[:-1])
+    close = closing[block[start]] + 1
+    begin = np.append(0, closing[:-1] + 1)[block[start]]
+    a, b = np.maximum(start - CONTEXT, begin), np.minimum(stop + CONTEXT, close)
+    up, down = _powers.to(n)
+    sums = np.append(U64(0), (h * up).cumsum(dtype=U64))
+    place = ((start - a) << 42) + ((stop - start) << 21) + (b - stop)  # units of a short line may cover the same words
+    digest = mix((sums[b] - sums[a]) * down[a] + mix(place.astype(U64)))
+    again = np.ones(len(digest), bool)
+    again[np.unique(digest, return_index=True)[1]] = False
+    return digest.tolist(), starts[a].tolist(), ends[b - 1].tolist(), (stop - start).tolist(), again.tolist()
 
 
 UNITS = "doc_id long, digest array<long>, start array<int>, stop array<int>, words array<int>, again array<boolean>"
