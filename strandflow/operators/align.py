@@ -73,11 +73,14 @@ def minimizers(sequences: DataFrame, k: int, w: int) -> DataFrame:
     return sequences.select(F.col("name").cast("string"), F.col("sequence").cast("binary")).mapInArrow(run, "name string, size long, hash long, pos long, plus boolean").distinct()
 
 
-def anchors(queries: DataFrame, references: DataFrame, k: int, w: int, max_places: int = 64) -> DataFrame:
-    """``(query, ref, strand, q_len, r_len, q, r)``; q counts along the query as it lies on the reference."""
+def anchors(queries: DataFrame, references: DataFrame, k: int, w: int, max_places: int | None = 64) -> DataFrame:
+    """``(query, ref, strand, q_len, r_len, q, r)``; q counts along the query as it lies on the reference.
+    Without ``max_places`` no seed is dropped."""
     ref = minimizers(references, k, w)
-    rare = ref.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= max_places).select("hash")
-    ref = ref.join(rare, "hash", "left_semi").select("hash", F.col("name").alias("ref"), F.col("size").alias("r_len"), F.col("pos").alias("r"), F.col("plus").alias("r_plus"))
+    if max_places is not None:
+        rare = ref.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") <= max_places).select("hash")
+        ref = ref.join(rare, "hash", "left_semi")
+    ref = ref.select("hash", F.col("name").alias("ref"), F.col("size").alias("r_len"), F.col("pos").alias("r"), F.col("plus").alias("r_plus"))
     own = minimizers(queries, k, w).select("hash", F.col("name").alias("query"), F.col("size").alias("q_len"), "pos", "plus")
     same = F.col("plus") == F.col("r_plus")
     return own.join(ref, "hash").select("query", "ref", F.when(same, 1).otherwise(-1).alias("strand"), "q_len", "r_len", F.when(same, F.col("pos")).otherwise(F.col("q_len") - k - F.col("pos")).alias("q"), "r")
@@ -182,9 +185,10 @@ def _extend(k: int):
     return run
 
 
-def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int = 64, secondaries: int = 5) -> DataFrame:
+def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int | None = 64, secondaries: int | None = 5) -> DataFrame:
     """Alignment blocks of ``(name, sequence)`` tables. Of blocks that share more than half of their query span
-    with a better one all but ``secondaries`` are dropped and the rest are secondary."""
+    with a better one all but ``secondaries`` are dropped and the rest are secondary; without it all blocks stay,
+    and which are secondary is not told (null)."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; known: {', '.join(PRESETS)}")
     k, w, identity = PRESETS[preset]
@@ -202,11 +206,14 @@ def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, m
     best = W.partitionBy("query", "ref", "strand", "q_st", "r_st").orderBy(F.col("matches").desc())
     made = made.withColumn("rn", F.row_number().over(best)).where("rn = 1")
     ranked = made.withColumn("ord", F.row_number().over(W.partitionBy("query").orderBy(F.col("matches").desc(), "ref", "r_st", "q_st", "strand")).cast("long"))
+    columns = ["query", "ord", "q_len", "q_st", "q_en", "strand", "ref", "r_len", "r_st", "r_en", "matches", "block_len", "nm"]
+    if secondaries is None:
+        return ranked.select(*columns, F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("int").alias("mapq"), "cigar")
     better = ranked.select("query", F.col("ord").alias("o"), F.col("q_st").alias("x"), F.col("q_en").alias("y"))
     shared = F.least("q_en", "y") - F.greatest("q_st", "x")
     worse = ranked.join(better, "query").where((F.col("o") < F.col("ord")) & (shared > 0.5 * (F.col("q_en") - F.col("q_st")))).groupBy("query", "ord").agg(F.count("*").alias("beaten"))
     out = ranked.join(worse, ["query", "ord"], "left").where(F.coalesce("beaten", F.lit(0)) <= secondaries)
-    return out.select("query", "ord", "q_len", "q_st", "q_en", "strand", "ref", "r_len", "r_st", "r_en", "matches", "block_len", "nm", F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar")
+    return out.select(*columns, F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar")
 
 
 def parse_query(spark: SparkSession, text: str) -> DataFrame:
@@ -232,7 +239,7 @@ def parse_query(spark: SparkSession, text: str) -> DataFrame:
 
 def search(segments: DataFrame, query: DataFrame, *, min_identity: float = 0.8, min_length: int = 30, max_hits: int = 500) -> DataFrame:
     """The best ``max_hits`` hits of a query among segments, by matching bases."""
-    hits = align(query, segments.select("name", "sequence"), "asm20", min_length=min_length, flank=500)
+    hits = align(query, segments.select("name", "sequence"), "asm20", min_length=min_length, flank=500, max_places=None, secondaries=None)
     identity = F.col("matches") / F.col("block_len")
     rows = hits.where(identity >= min_identity).select(F.col("query"), F.col("ref").alias("segment"), "strand", "q_st", "q_en", F.col("r_st").alias("s_st"), F.col("r_en").alias("s_en"), identity.alias("identity"), F.col("block_len").alias("length"), F.col("matches").alias("score"))
     return rows.orderBy(F.col("score").desc(), "query", "segment", "s_st").limit(max_hits)
