@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import json
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from strandflow.llm.packing import SumOfSquares, Tokens, byte_bpe_path, pack
+from strandflow.llm.packing import SumOfSquares, Tokens, _byte_names, byte_bpe_path, merges_by_rank, pack, ranked
 
 SCHEMA = "doc_id long, text string, sequence_id string"
 
@@ -35,14 +37,31 @@ def test_every_placement_minimises_the_sum_of_squares():
 
 
 def test_ids_are_those_of_the_library():
-    whole = Tokenizer.from_file(byte_bpe_path())
-    whole.encode_special_tokens = True
-    ours = Tokens(byte_bpe_path(), limit=50)
+    whole, ours = Tokenizer.from_file(byte_bpe_path()), Tokens(byte_bpe_path(), ranked(byte_bpe_path()))
+    assert ours.fast is not None
     rng = random.Random(5)
-    alphabet = ["a", "B", "é", "ß", "日本", " ", "  ", "\n", "\t", " ", "'s", "1", "23", "!!", "***", "<|endoftext|>", "\x1c", "\x85", "😀", "don't", "\r\n", "　"]
-    texts = ["", " ", "a", " a  b\n\nc ", "it's we'LL 12,5 x" * 40] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(300)]
+    alphabet = ["a", "B", "é", "ß", "日本", " ", "  ", "\n", "\t", "\u00a0", "'s", "1", "23", "!!", "***", "<|endoftext|>", "<|endoftext", "|>", "\x1c", "\x85", "\u180e", "😀", "don't", "\r\n", "\u3000"]
+    texts = ["", " ", "a", " a  b\n\nc ", "a <|endoftext|> b", "it's we'LL 12,5 x" * 40, "x" * 5000, " " * 3000 + "a"] + ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(500)]
+    texts += ["".join(chr(c) for c in range(k, k + 64)) for k in range(0, 0xD800, 64)]
     for t in texts:
         assert np.frombuffer(ours.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert np.frombuffer(ours.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_other_vocabularies_are_left_to_the_library(tmp_path):
+    spec = json.loads(Path(byte_bpe_path()).read_text())
+    merges, ids = spec["model"]["merges"], spec["model"]["vocab"]
+    assert merges_by_rank(spec)
+    for change in ({"ignore_merges": True}, {"vocab": {k: -v for k, v in ids.items()}}, {"merges": merges[::-1]}):
+        assert not merges_by_rank(spec | {"model": spec["model"] | change})
+    # an entry that its own merge does not make: "abc" from "ab" and "c" after "b" and "c" have merged
+    letters = {c: k for k, c in enumerate(_byte_names())}
+    small = spec | {"model": spec["model"] | {"vocab": letters | {"bc": 300, "ab": 301, "abc": 302}, "merges": [["b", "c"], ["a", "b"], ["ab", "c"]]}}
+    assert not merges_by_rank(small)
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps(small))
+    assert not ranked(str(path))
+    assert np.frombuffer(Tokens(str(path), False).ids("abc"), "<u4").tolist() == Tokenizer.from_file(str(path)).encode("abc").ids
 
 
 def check(rows, texts: dict, capacity: int):
@@ -69,7 +88,7 @@ def check(rows, texts: dict, capacity: int):
 def test_pieces_cover_all_documents_without_gaps(spark):
     rng = random.Random(1)
     texts = {k: " ".join(rng.choices(["alpha", "beta", "gamma,", "x"], k=rng.choice([1, 5, 30, 200]))) for k in range(120)}
-    texts |= {200: None, 201: "", 202: "long " * 5000}
+    texts |= {200: None, 201: "", 202: "long " * 5000, 203: "a <|endoftext|> b"}
     df = spark.createDataFrame([(k, t, "clash") for k, t in texts.items()], SCHEMA).repartition(3)
     rows = pack(df, capacity=64, tail=50).collect()
     used = check(rows, texts, 64)
