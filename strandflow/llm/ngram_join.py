@@ -3,27 +3,33 @@
 A text is the set of its distinct word n-grams, as 64-bit hashes; the numeric order of the hashes is the
 global order. Texts link when ``100 * |A and B| >= threshold * |A or B|``.
 
-Who meets: sets at the threshold differ in at most d n-grams, so of d + 3 ranges of the global order at
-least three hold the same n-grams in both. A set is listed under a signature of each of its non-empty
-ranges (empty ones too if it has three or more). The number of ranges depends on the smaller set's size
-class; a set near a class border is listed for both. No link is lost, and texts that merely share common
-n-grams do not meet, as a range holds about nine n-grams that must all agree. A set without an empty range
-shares three signatures with all that it links with, so one that shares fewer with others is left alone.
-
-How they are compared: first each set of a bucket meets the bucket's smallest set. For each such probe the
-others form a prefix tree (blocks of ``BLOCK`` sets): runs of n-grams that several sets share from their
-start are counted against the probe once and the partial overlap is handed down; a subtree is left as soon
-as the n-grams that remain cannot lift any of its sets to the threshold. Links make components. Buckets that
-still hold several components are joined to clusters; every pair of blocks of a cluster is compared by the
-same tree, all sets of a block probing at once, and gives a spanning forest of its links. A block travels to
-its pairs as one row, each n-gram in it spelled once. Pairs of documents are never listed, and a group of
-copies that all link costs one comparison each.
-
-Copies collapse to one set before anything is joined, hot buckets are pre-aggregated to their smallest set,
-and all joins are between written tables, so adaptive execution can split hot keys. Only ids, hashes and
-signatures move. Two bitmaps of at most 16 MB each narrow down what moves: one over the signatures that two sets
-share, before these are joined, and one over hashed ids, for the second scan of the texts that makes the n-grams
-of documents that met another. What a bitmap wrongly admits only costs its row; a full one admits all.
+Who meets: sets at the threshold differ in at most d n-grams, so of d + s ranges of the global order at least
+s hold the same n-grams in both. A set is listed under a signature of each of its non-empty ranges; if e ranges
+are empty, it shares s - e signatures or more with all that it links with (if that is less than one, the empty
+ranges are listed too). The number of ranges depends on the smaller set's size class; a set near a class border is
+listed for both. No link is lost, and a set that shares fewer signatures of a class with others is left alone:
+so go texts that merely have a common passage. s grows with d, by ``MARGIN``.
+
+Signatures travel as blocks: a task sorts those of its texts, keeps the first of equal ones and sends each
+bucket of the signature space one compressed row, with its sets' fingerprints once; what it had several times is
+shared already. A bucket's task finds those that two sets have. So a signature takes a few bytes and is sent
+once, and a hot one comes at most once from each task.
+
+How they are compared: each set of a signature meets the one among them that has most of its signatures shared
+(an original rather than a copy with edits). For each such probe the others form a prefix tree (blocks of
+``BLOCK`` sets): runs of n-grams that several sets share from their start are counted against the probe once and
+the partial overlap is handed down; a subtree is left as soon as the n-grams that remain cannot lift any of its
+sets to the threshold. Links make components. Signatures whose sets are still in several components, and in
+enough of which a set is, join sets to clusters. A cluster's sets are dealt to blocks by component, small
+components together, and every pair of blocks but those within one component is compared by the same tree, all
+sets of a block probing at once, and gives a spanning forest of its links. A block travels to its pairs as one
+row, each n-gram in it spelled once. Pairs of documents are never listed, and a group of copies that all link
+costs one comparison each.
+
+Copies collapse to one set in each task and again before anything is compared, and joins are between written
+tables, so adaptive execution can split hot keys. Only ids, hashes and signatures move. A bitmap of at most 16 MB
+over hashed ids narrows down the second scan of the texts, which makes the n-grams of documents that met another;
+what it wrongly admits only costs its row, and a full one admits all.
 
 Inputs: texts with fewer than ``n`` words are one n-gram of all their words; null texts and texts without
 words have empty sets and link with nothing; a null id links with nothing and has a null component; rows
@@ -32,20 +38,21 @@ that share an id are one node; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from strandflow.llm._text import U64, WordHashes, lists, mix
+from strandflow.llm._text import U64, WordHashes, mix
 from strandflow.operators.components import connected_components
 from strandflow.runtime import Scratch
 
 BLOCK = 256
-SPARE = 3
+SPARE, MARGIN = 3, 10  # alike ranges of linked sets: SPARE and one more for each MARGIN n-grams that may differ
+FLUSH = 1 << 21  # signatures that a task gathers before it sends them
 BITS = 1 << 27
 
 _CLASS = [1]
@@ -84,14 +91,15 @@ class Ranges:
         """(ranges, how many of them are alike in any linked pair whose smaller set is of this class)."""
         top = _CLASS[size_class + 1] - 1
         differ = (top + top * 100 // self.threshold) * (100 - self.threshold) // (100 + self.threshold)
-        spare = SPARE if differ else 1
+        spare = SPARE + differ // MARGIN if differ else 1
         return differ + spare, spare
 
-    def signatures(self, grams: np.ndarray) -> tuple[np.ndarray, int]:
-        """The set's signatures, and how many of them it shares at least with any set that it links with."""
-        n, need = len(grams), SPARE
+    def signatures(self, grams: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(class, need, signatures) for each class that the set is listed for. With any set that it links with
+        it shares ``need`` signatures or more of one of the classes."""
+        n = len(grams)
         if not n:
-            return np.empty(0, U64), need
+            return []
         own, low = bisect_right(_CLASS, n) - 1, bisect_right(_CLASS, -(-n * self.threshold // 100)) - 1
         sums = np.concatenate([np.zeros(1, U64), mix(grams ^ U64(0x5BD1E995)).cumsum(dtype=U64)])
         out = []
@@ -102,32 +110,121 @@ class Ranges:
             at = np.concatenate([[0], np.searchsorted(grams, self._cuts[c]), [n]])
             count = np.diff(at)
             sig = mix(mix(sums[at[1:]] - sums[at[:-1]]) + mix(np.arange(k, dtype=U64) + U64(c << 48)) + count.astype(U64))
-            out.append(sig if (count == 0).sum() >= spare else sig[count > 0])
-            if spare < need or not count.all():  # alike ranges that are empty may not be listed
-                need = 1
-        return np.concatenate(out), need
-
-
-def _describe(n: int, threshold: int):
+            need = spare - int((count == 0).sum())
+            out.append((c, need, sig[count > 0]) if need > 0 else (c, 1, sig))
+        return out
+
+
+DESCRIBED = "doc_id long, n long, fp long, sig long, class int, need int, listed int, bucket int, data binary"
+LEFT = "sig long, fp long, class int, need int, listed int"
+_ENTRY = np.dtype([("fp", "<i8"), ("class", "<i4"), ("need", "<i4"), ("listed", "<i4")])
+
+
+def _described(**columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    size = len(next(iter(columns.values())))
+    fields = [x.split() for x in DESCRIBED.split(", ")]
+    arrays = [pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(size, kinds[kind]) for name, kind in fields]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
+
+
+class _Gathered:
+    """The signatures of a task's sets until they are sent."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen, self.entries, self.sigs, self.size = set(), [], [], 0
+
+    def add(self, fp: int, listed: list[tuple[int, int, np.ndarray]]) -> None:
+        if fp in self.seen:  # a copy
+            return
+        self.seen.add(fp)
+        for c, need, sig in listed:
+            self.entries.append((fp, c, need, len(sig)))
+            self.sigs.append(sig)
+            self.size += len(sig)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Signatures that several sets have but for one of them, then the others by bucket."""
+        if not self.size:
+            return
+        entries = np.array(self.entries, _ENTRY)
+        sigs, owner = np.concatenate(self.sigs), np.repeat(np.arange(len(entries), dtype=np.int32), [len(x) for x in self.sigs])
+        self.clear()
+        # a signature's number: 32 bits below its bucket
+        bucket = ((sigs & U64(0xFFFFFFFF)) * U64(self.buckets) >> U64(32)) << U64(32)
+        number = bucket + (sigs >> U64(32))
+        order = number.argsort(kind="stable")
+        number, owner = number[order], owner[order]
+        first = np.append(True, number[1:] != number[:-1])
+        begin = np.flatnonzero(first)
+        several = np.diff(np.append(begin, len(number))) > 1
+        again, own = number[~first].view(np.int64), entries[owner[~first]]
+        for k in range(0, len(again), 100_000):
+            part = slice(k, k + 100_000)
+            yield _described(sig=again[part], fp=own["fp"][part], need=own["need"][part], listed=own["listed"][part], **{"class": own["class"][part]})
+        number, owner = number[begin], owner[begin]
+        home, packer = (number >> U64(32)).astype(np.int32), zstandard.ZstdCompressor(level=1)
+        cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1])).tolist()
+        buckets, data = [], []
+        for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
+            used, place = np.unique(owner[a:b], return_inverse=True)
+            steps = np.diff(number[a:b] & U64(0xFFFFFFFF), prepend=U64(0)).astype("<u4")
+            # bytes of a number side by side: the high ones are alike
+            raw = (x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, (place * 2 + several[a:b]).astype("<u4")))
+            buckets.append(int(home[a]))
+            data.append(np.array([b - a, len(used)], "<i4").tobytes() + packer.compress(b"".join([*raw, entries[used].tobytes()])))
+        for k in range(0, len(data), 64):
+            yield _described(bucket=buckets[k : k + 64], data=data[k : k + 64])
+
+
+def _block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number within the bucket, whether several sets of the task have it, entry) of a block's signatures."""
+    n, m = np.frombuffer(data, "<i4", 2).tolist()
+    raw = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=8 * n + m * _ENTRY.itemsize)
+    steps, place = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4")[:, 0] for at in (0, 4 * n))
+    entries = np.frombuffer(raw, _ENTRY, m, 8 * n)
+    return steps.cumsum(dtype=np.uint64), (place & 1).astype(bool), entries[place >> 1]
+
+
+def _describe(n: int, threshold: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = Ranges(threshold)
+        ranges, gathered = Ranges(threshold), _Gathered(buckets)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sets = [ngram_set(t, n) for t in batch.column(1).to_pylist()]
-                made = [ranges.signatures(s) for s in sets]
-                flat = np.concatenate([x for x, _ in made]).view(np.int64) if made else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()),
-                        pa.array([need for _, need in made], pa.int32()), lists(flat, [len(x) for x, _ in made]),
-                    ],
-                    names=["doc_id", "n", "fp", "need", "sigs"],
-                )
+                sizes, fps = [], []
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    grams = ngram_set(text.as_py(), n)
+                    sizes.append(len(grams))
+                    fps.append(fingerprint(grams))
+                    if doc is not None:
+                        gathered.add(fps[-1], ranges.signatures(grams))
+                    if gathered.size >= FLUSH:
+                        yield from gathered.rows()
+                yield _described(doc_id=batch.column(0), n=sizes, fp=fps)
+        yield from gathered.rows()
 
     return run
 
 
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket's signatures those that two sets have, with all its sets."""
+    number, several, entry = (np.concatenate(x) for x in zip(*map(_block, table["data"].to_pylist()), strict=True))
+    order = np.lexsort((entry["fp"], number))
+    number, several, entry = number[order], several[order], entry[order]
+    other = np.append(True, number[1:] != number[:-1])
+    one = other | np.append(True, entry["fp"][1:] != entry["fp"][:-1])
+    begin = np.flatnonzero(other)
+    known = (np.add.reduceat(one, begin) > 1) | np.logical_or.reduceat(several, begin)
+    keep = one & np.repeat(known, np.diff(np.append(begin, len(number))))
+    sig = number[keep].view(np.int64) + (table["bucket"][0].as_py() << 32)
+    return pa.table({"sig": sig, **{name: entry[name][keep] for name in ("fp", "class", "need", "listed")}})
+
+
 def _bitmap(df: DataFrame, h) -> dict[int, bytes]:
     """Which of the hash values 0 to ``BITS`` - 1 the rows have: pages of 32768 bits, at most 16 MB for any input."""
     pages = df.select(F.shiftright(h, 15).alias("page"), (h % 32768).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
@@ -145,22 +242,6 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h >> 3] >> (h & 7) & 1).astype(bool)
 
 
-def _only(pages):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signatures that the bitmap does not know belong to one set alone and go; so do sets with too few others."""
-        bits = _unfolded(pages.value)
-        for batch in batches:
-            sigs, need = batch.column(2), batch.column(1).to_numpy()
-            flat, at = sigs.flatten().to_numpy(), sigs.offsets.to_numpy()
-            keep = _in(bits, flat & (BITS - 1))
-            upto = np.concatenate([[0], keep.cumsum()])[at - at[0]]
-            enough = np.diff(upto) >= need
-            keep &= np.repeat(enough, np.diff(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists(flat[keep], np.where(enough, np.diff(upto), 0))], names=["fp", "need", "sigs"])
-
-    return run
-
-
 def _sets(n: int, pages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _unfolded(pages.value)
@@ -249,12 +330,12 @@ def _packed(sets: list[np.ndarray]) -> bytes:
     grams, place = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets], np.int32)
     steps = np.diff(place.astype(np.int32), prepend=np.int32(0))
-    return np.array([len(grams), len(sets)], np.int32).tobytes() + zlib.compress(grams.tobytes() + sizes.tobytes() + steps.tobytes(), 1)
+    return np.array([len(grams), len(sets)], np.int32).tobytes() + zstandard.compress(grams.tobytes() + sizes.tobytes() + steps.tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> list[np.ndarray]:
     n, m = np.frombuffer(data[:8], np.int32).tolist()
-    raw = zlib.decompress(data[8:])
+    raw = zstandard.decompress(data[8:])
     grams, sizes = np.frombuffer(raw, U64, n), np.frombuffer(raw, np.int32, m, 8 * n)
     place = np.frombuffer(raw, np.int32, -1, 8 * n + 4 * m).cumsum(dtype=np.int32)
     return np.split(grams[place], sizes.cumsum()[:-1])
@@ -279,21 +360,19 @@ def _forest(pairs: list[tuple[int, int]], left: list[int], right: list[int]) ->
     return forest
 
 
-_BLOCK = "cluster long, block int, blocks int, a long, b long, fps array<long>, sets binary"
+_BLOCK = "cluster long, part long, block int, a long, b long, fps array<long>, sets binary"
 
 
 def _own(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        """A block's forest of links between its own sets, and the block itself if its cluster has others."""
+        """A block, and the forest of links between its own sets if it holds several components."""
         fp, sets = table["fp"].to_pylist(), [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
-        forest = _forest(tree_join(sets, sets, threshold), fp, fp)
-        cluster, block, blocks = (table[c][0].as_py() for c in ("cluster", "block", "blocks"))
-        rows = [(cluster, block, blocks, a, b, None, None) for a, b in forest]
-        if blocks > 1:
-            rows.append((cluster, block, blocks, None, None, fp, _packed(sets)))
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+        cluster, part, block = (table[c][0].as_py() for c in ("cluster", "part", "block"))
+        forest = _forest(tree_join(sets, sets, threshold), fp, fp) if part is None else []
+        rows = [(cluster, part, block, a, b, None, None) for a, b in forest]
+        rows.append((cluster, part, block, None, None, fp, _packed(sets)))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
     return run
 
@@ -302,7 +381,7 @@ def _across(threshold: int):
     def run(table: pa.Table) -> pa.Table:
         """A forest of the links between two blocks."""
         fps, sets = table["fps"].to_pylist(), [_unpacked(x) for x in table["sets"].to_pylist()]
-        forest = _forest(tree_join(sets[0], sets[1], threshold), fps[0], fps[1]) if len(sets) == 2 else []
+        forest = _forest(tree_join(sets[0], sets[1], threshold), fps[0], fps[1])
         return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
     return run
@@ -319,61 +398,85 @@ def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: int)
 
 
 def _linked_within(scratch: Scratch, clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Links that connect what links inside each cluster of ``(fp, cluster)``: every block of a cluster, and every
-    pair of its blocks, is one task's prefix tree and probes, and pairs are never listed."""
-    counts = scratch.save(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster_sizes")
-    placed = scratch.save(clusters.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "clustered")
-    own = scratch.save(placed.join(sets, "fp").groupBy("cluster", "block").applyInArrow(_own(threshold), _BLOCK), "own_links")
-    packed = own.where("sets is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other != block")
-    pairs = packed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fps", "sets")
-    across = scratch.save(pairs.groupBy("cluster", "i", "j").applyInArrow(_across(threshold), "a long, b long"), "links")
-    return own.where("a is not null").select("a", "b").unionByName(across)
+    """Links that connect what links across components inside each cluster of ``(fp, cluster, component)``.
+
+    Components of half a block or more have blocks of their own, the others of a cluster share some."""
+    sizes = clusters.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+    sizes = scratch.save(sizes.withColumn("part", F.when(F.col("m") >= BLOCK // 2, F.col("component"))), "part_sizes")
+    parts = sizes.groupBy("cluster", "part").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    parts = scratch.save(parts.withColumn("several", F.sum("blocks").over(W.partitionBy("cluster")) > 1), "parts")
+    place = sizes.alias("s").join(parts.alias("p"), (F.col("s.cluster") == F.col("p.cluster")) & F.col("s.part").eqNullSafe(F.col("p.part")))
+    placed = clusters.join(scratch.save(place.select("s.cluster", "s.component", "s.part", "p.blocks"), "places"), ["cluster", "component"])
+    placed = scratch.save(placed.select("cluster", "fp", "part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "clustered")
+    own = scratch.save(placed.join(sets, "fp").groupBy("cluster", "part", "block").applyInArrow(_own(threshold), _BLOCK), "own_links")
+    packed = own.where("sets is not null").select("cluster", "part", "block", "fps", "sets")
+    # pairs of blocks, in the order of (part, block) with the shared ones first, but for those of one component
+    blocks = scratch.save(packed.select("cluster", F.struct(F.col("part").isNotNull().alias("own"), "part", "block").alias("at")), "block_list")
+    pairs = blocks.withColumnRenamed("at", "i").join(blocks.withColumnRenamed("at", "j"), "cluster").where("i < j and not (i.own and j.own and i.part = j.part)")
+    pairs = scratch.save(pairs, "block_pairs")
+    at = F.struct(F.col("part").isNotNull().alias("own"), "part", "block")
+    keyed = packed.withColumn("key", F.xxhash64("cluster", at)).select("cluster", at.alias("at"), "key", "fps", "sets")
+    sides = [pairs.withColumn("key", F.xxhash64("cluster", side)).join(keyed, ["cluster", "key"]).where(F.col(side).eqNullSafe(F.col("at"))).select("cluster", "i", "j", "fps", "sets") for side in ("i", "j")]
+    across = scratch.save(sides[0].unionByName(sides[1]).groupBy("cluster", "i", "j").applyInArrow(_across(threshold), "a long, b long"), "links")
+    links = own.where("a is not null").select("a", "b").unionByName(across)
+    scratch.drop(sizes, parts, placed, blocks, pairs)
+    return links
 
 
 def _torn(scratch: Scratch, placed: DataFrame) -> DataFrame:
-    """Of ``(sig, lo, fp, need, component)``, the rows of buckets that still hold several components, without the
-    sets that share too few such buckets to link across: a link across components is in ``need`` of them. Twice,
-    as a set that goes may leave a bucket whole."""
+    """Of ``(sig, probe, fp, class, need, component)``, the rows of signatures whose sets are in several components,
+    without the sets that share too few of them to link across: such a link has ``need`` of a class. Twice, as a
+    set that goes may leave a signature to one component."""
     for _ in range(2):
         several = scratch.save(placed.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("sig"), "torn")
-        placed = scratch.save(placed.join(several, "sig"), "in_torn")
-        able = scratch.save(placed.groupBy("fp").agg(F.count("*").alias("m"), F.max("need").alias("least")).where("m >= least").select("fp"), "able")
-        placed = scratch.save(placed.join(able, "fp", "left_semi"), "placed")
+        inside = scratch.save(placed.join(several, "sig"), "in_torn")
+        able = scratch.save(inside.groupBy("fp", "class").agg(F.count("*").alias("m"), F.max("need").alias("least")).where("m >= least").select("fp", "class"), "able")
+        scratch.drop(placed, several)
+        placed = scratch.save(inside.join(able, ["fp", "class"], "left_semi"), "placed")
+        scratch.drop(inside, able)
     return placed
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, n: int = 3, threshold: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; ``component_id`` is the smallest id
     that links reach. ``threshold`` is in hundredths."""
-    scratch = Scratch(docs.sparkSession, "ngram")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = scratch.save(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(n, threshold), "doc_id long, n long, fp long, need int, sigs array<long>"), "described")
-    usable = own.where("n > 0 and doc_id is not null")
-    nodes = scratch.save(usable.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    buckets = lambda rows: rows.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("sig", "lo")
-    known = scratch.save(buckets(usable.select("fp", F.explode("sigs").alias("sig"))), "buckets")
-    broadcast = docs.sparkSession.sparkContext.broadcast
-    shared = broadcast(_bitmap(known, F.col("sig").bitwiseAND(F.lit(BITS - 1))))
-    left = usable.select("fp", "need", "sigs").mapInArrow(_only(shared), "fp long, need int, sigs array<long>").select("fp", "need", F.explode("sigs").alias("sig"))
-    left = scratch.save(left, "left")
-    met = scratch.save(left.join(scratch.save(buckets(left), "buckets"), "sig").select("sig", "lo", "fp", "need").distinct(), "met")
+    # two buckets for each shuffle partition, so that these fill alike
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = scratch.save(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(n, threshold, buckets), DESCRIBED), "described")
+    own = made.where("n is not null").select("doc_id", "n", "fp")
+    nodes = scratch.save(own.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    left = made.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_shared, LEFT)
+    left = left.unionByName(made.where("sig is not null").select(*[x.split()[0] for x in LEFT.split(", ")]))
+    # sets with enough shared signatures, and how many in a thousand of theirs are shared
+    per_set = left.groupBy("fp", "class").agg(F.collect_set("sig").alias("sigs"), F.max("need").alias("need"), F.max("listed").alias("listed"))
+    able = scratch.save(per_set.where(F.size("sigs") >= F.col("need")), "shared")
+    met = able.select("fp", "class", "need", (F.size("sigs") * 1000 / F.col("listed")).cast("int").alias("share"), F.explode("sigs").alias("sig"))
+    probe = met.groupBy("sig").agg(F.max(F.struct("share", "fp")).alias("top"), F.count("*").alias("m")).where("m > 1").select("sig", F.col("top.fp").alias("probe"))
+    met = scratch.save(met.select("sig", "fp", "class", "need").join(scratch.save(probe, "probes"), "sig"), "met")
+    scratch.drop(able)
     # the n-grams of the sets that met another, from their texts: no text is shuffled
     h = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    wanted = met.select("fp").distinct().join(nodes, "fp").select(F.col("rep").alias("doc_id"))
-    pages = broadcast(_bitmap(wanted, h))
+    wanted = met.groupBy("fp", "class").agg(F.count("*").alias("m"), F.max("need").alias("least")).where("m >= least").select("fp").distinct()
+    pages = spark.sparkContext.broadcast(_bitmap(wanted.join(nodes, "fp").select(F.col("rep").alias("doc_id")), h))
     texts = source.where("doc_id is not null").select(h.alias("h"), F.col("text").cast("binary").alias("text"))
-    sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, grams binary"), "sets")
+    sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, grams binary").dropDuplicates(["fp"]), "sets")
 
-    star = met.where("fp != lo").groupBy(F.col("lo").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("m"), F.max("need").alias("least"))
-    links = _linked(scratch, scratch.save(star.where("m >= least").select("a", "b"), "star"), sets, threshold)
+    star = met.where("fp != probe").groupBy(F.col("probe").alias("a"), F.col("fp").alias("b"), "class").agg(F.count("*").alias("m"), F.max("need").alias("least"))
+    links = _linked(scratch, scratch.save(star.where("m >= least").select("a", "b").distinct(), "star"), sets, threshold)
     first = connected_components(scratch, links)
-    # buckets that still hold sets of several components: their pairs across components
-    placed = met.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("sig", "lo", "fp", "need", F.coalesce("component", "fp").alias("component"))
-    rest = scratch.save(_torn(scratch, scratch.save(placed, "placed")).select("lo", "fp").distinct(), "rest")
-    clusters = connected_components(scratch, rest, "lo", "fp").withColumnRenamed("node", "fp").withColumnRenamed("component", "cluster")
-    clusters = scratch.save(clusters.join(rest.select("fp").distinct(), "fp", "left_semi"), "clusters")
+    # signatures whose sets are in several components yet: their pairs across components
+    placed = met.join(first.select(F.col("node").alias("fp"), "component"), "fp", "left").select("sig", "probe", "fp", "class", "need", F.coalesce("component", "fp").alias("component"))
+    torn = _torn(scratch, scratch.save(placed, "placed"))
+    rest = scratch.save(torn.select("probe", "fp", "component").distinct(), "rest")
+    clusters = connected_components(scratch, rest, "probe", "fp").withColumnRenamed("node", "fp").withColumnRenamed("component", "cluster")
+    clusters = scratch.save(clusters.join(rest.select("fp", "component").distinct(), "fp"), "clusters")
+    scratch.drop(met, torn)
     links = links.unionByName(_linked_within(scratch, clusters, sets, threshold))
     by_set = connected_components(scratch, links)
+    scratch.drop(sets)
     # from sets back to documents: the smallest id of all sets of a component
     grouped = scratch.save(nodes.join(by_set, nodes.fp == by_set.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "grouped")
     least = scratch.save(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "least")

@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from strandflow.llm.ngram_join import Ranges, _packed, _unpacked, jaccard_components, ngram_set, tree_join
+from strandflow.llm.ngram_join import Ranges, _Gathered, _packed, _shared, _unpacked, jaccard_components, ngram_set, tree_join
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -15,8 +16,8 @@ def shingles(text: str | None, n: int = 3) -> frozenset:
     return frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
-def brute(texts: dict, threshold: int = 90) -> dict:
-    sets, root = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+def brute(texts: dict, threshold: int = 90, n: int = 3) -> dict:
+    sets, root = {k: shingles(t, n) for k, t in texts.items()}, {k: k for k in texts}
 
     def find(x):
         while root[x] != x:
@@ -71,17 +72,50 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert jaccard_components(df.limit(0)).collect() == []
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 40), st.integers(0, 10**6))
-def test_linked_sets_share_a_signature(size, lost, gained, seed):
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6), st.sampled_from([80, 90]))
+def test_linked_sets_share_signatures_of_a_class(size, lost, gained, seed, threshold):
     rng = np.random.default_rng(seed)
     x = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
     y = np.unique(np.concatenate([x[min(lost, len(x) - 1) :], rng.integers(0, 2**63, gained, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
     same = len(np.intersect1d(x, y))
-    if 100 * same >= 90 * (len(x) + len(y) - same):
-        r = Ranges(90)
-        (p, least), (q, other) = r.signatures(x), r.signatures(y)
-        assert len(set(p.tolist()) & set(q.tolist())) >= max(least, other)
+    if 100 * same >= threshold * (len(x) + len(y) - same):
+        r = Ranges(threshold)
+        p, q = ({c: (need, set(sigs.tolist())) for c, need, sigs in r.signatures(z)} for z in (x, y))
+        assert any(len(p[c][1] & q[c][1]) >= max(p[c][0], q[c][0]) >= 1 for c in p.keys() & q.keys())
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(1, 6))
+def test_blocks_find_what_two_sets_have(seed, n_sets, tasks):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64 - 1, 30, dtype=np.uint64)
+    sets = [(k // 2, [(k % 2, 1, rng.choice(base, rng.integers(1, 9), replace=False))]) for k in range(n_sets)]
+    found = set()
+    blocks = {}
+    for t in range(tasks):
+        gathered = _Gathered(4)
+        for k in range(t, n_sets, tasks):
+            gathered.add(*sets[k])
+        for batch in gathered.rows():
+            for r in batch.to_pylist():
+                if r["bucket"] is None:
+                    found.add((r["sig"], r["fp"]))
+                else:
+                    blocks.setdefault(r["bucket"], []).append({"bucket": r["bucket"], "data": r["data"]})
+    for rows in blocks.values():
+        found |= {(r["sig"], r["fp"]) for r in _shared(pa.Table.from_pylist(rows)).to_pylist()}
+    owners = {}
+    # of two entries of a fingerprint in one task the first counts
+    seen = set()
+    for t in range(tasks):
+        for k in range(t, n_sets, tasks):
+            fp, ((_, _, sigs),) = sets[k]
+            if (t, fp) not in seen:
+                seen.add((t, fp))
+                for s in sigs.tolist():
+                    owners.setdefault((((s & 0xFFFFFFFF) * 4 >> 32) << 32) + (s >> 32), set()).add(fp)
+    assert found == {(s, fp) for s, fps in owners.items() if len(fps) > 1 for fp in fps}
 
 
 @settings(max_examples=40, deadline=None)

@@ -19,7 +19,7 @@ def test_each_stage_does_its_work(spark):
 
     near = P.near_duplicates(spark, kept, SF).cache()
     assert near.columns == P.COLUMNS
-    want = {d for d, (_, c) in brute(texts).items() if c == d}
+    want = {d for d, (_, c) in brute(texts, 80, 5).items() if c == d}
     assert {r["doc_id"] for r in near.collect()} == want
 
     cut = P.substrings(spark, near, SF).cache()
