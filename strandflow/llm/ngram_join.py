@@ -22,9 +22,12 @@ the partial overlap is handed down; a subtree is left as soon as the n-grams tha
 sets to the threshold. Links make components. Signatures whose sets are still in several components, and in
 enough of which a set is, join sets to clusters. A cluster's sets are dealt to blocks by component, small
 components together, and every pair of blocks but those within one component is compared by the same tree, all
-sets of a block probing at once, and gives a spanning forest of its links. A block travels to its pairs as one
-row, each n-gram in it spelled once. Pairs of documents are never listed, and a group of copies that all link
-costs one comparison each.
+sets of a block probing at once, and gives a spanning forest of its links. Pairs of documents are never listed,
+and a group of copies that all link costs one comparison each.
+
+Before n-grams travel, sketches do, a thirtieth of their size: which of some bits the n-grams hit an odd number of
+times. Two sets differ in as many n-grams as their sketches in bits, or more, so sets whose sketches are too far
+apart do not link; blocks send only the sets that have a sketch near one of the other block's.
 
 Copies collapse to one set in each task and again before anything is compared, and joins are between written
 tables, so adaptive execution can split hot keys. Only ids, hashes and signatures move. A bitmap of at most 16 MB
@@ -50,7 +53,8 @@ from strandflow.llm._text import U64, WordHashes, mix
 from strandflow.operators.components import connected_components
 from strandflow.runtime import Scratch
 
-BLOCK = 256
+BLOCK = 256  # sets that are compared at once
+SKETCHES = 8 * BLOCK  # sets whose sketches are
 SPARE, MARGIN = 3, 10  # alike ranges of linked sets: SPARE and one more for each MARGIN n-grams that may differ
 FLUSH = 1 << 21  # signatures that a task gathers before it sends them
 BITS = 1 << 27
@@ -242,6 +246,45 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h >> 3] >> (h & 7) & 1).astype(bool)
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """The parity of the number of n-grams at each of 2 to 4 bits for an n-gram, 64 or more."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((mix(grams ^ U64(0x3C6EF372)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def near(sketches: list[bytes], sizes: np.ndarray, others: list[bytes], other_sizes: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that may link, judged by sizes and sketches; linked pairs are among them."""
+    sides = []
+    for given in (sketches, others):
+        by_width: dict[int, list[int]] = {}
+        for k, x in enumerate(given):
+            by_width.setdefault(len(x) // 8, []).append(k)
+        sides.append({w: (np.array(at), np.frombuffer(b"".join(given[k] for k in at), U64).reshape(len(at), w)) for w, at in by_width.items()})
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for v, (i, x) in sides[0].items():
+        for w, (j, y) in sides[1].items():
+            small, large = sizes[i], other_sizes[j]
+            if 100 * min(small.max(), large.max()) < threshold * max(small.min(), large.min()):
+                continue
+            a, b = _folded(x, min(v, w)), _folded(y, min(v, w))
+            step = max(1, (1 << 20) // b.size)
+            for k in range(0, len(a), step):
+                far = np.bitwise_count(a[k : k + step, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+                both, apart = small[k : k + step, None] + large[None, :], np.abs(small[k : k + step, None] - large[None, :])
+                p, q = np.nonzero(np.maximum(far, apart) * (100 + threshold) <= both * (100 - threshold))
+                left.append(i[k : k + step][p])
+                right.append(j[q])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _sets(n: int, pages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _unfolded(pages.value)
@@ -249,7 +292,13 @@ def _sets(n: int, pages):
             at = np.flatnonzero(_in(bits, whole.column(0).to_numpy()))
             for k in range(0, len(at), 1000):
                 sets = [ngram_set(t, n) for t in whole.column(1).take(pa.array(at[k : k + 1000])).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "grams"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["fp", "size", "sketch", "grams"],
+                )
 
     return run
 
@@ -325,22 +374,6 @@ def _star(threshold: int):
     return run
 
 
-def _packed(sets: list[np.ndarray]) -> bytes:
-    """Sets of n-grams as one value: every n-gram once, and the steps from one of a set to its next."""
-    grams, place = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets], np.int32)
-    steps = np.diff(place.astype(np.int32), prepend=np.int32(0))
-    return np.array([len(grams), len(sets)], np.int32).tobytes() + zstandard.compress(grams.tobytes() + sizes.tobytes() + steps.tobytes(), 1)
-
-
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    n, m = np.frombuffer(data[:8], np.int32).tolist()
-    raw = zstandard.decompress(data[8:])
-    grams, sizes = np.frombuffer(raw, U64, n), np.frombuffer(raw, np.int32, m, 8 * n)
-    place = np.frombuffer(raw, np.int32, -1, 8 * n + 4 * m).cumsum(dtype=np.int32)
-    return np.split(grams[place], sizes.cumsum()[:-1])
-
-
 def _forest(pairs: list[tuple[int, int]], left: list[int], right: list[int]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs, as fingerprints."""
     root: dict[int, int] = {}
@@ -360,66 +393,92 @@ def _forest(pairs: list[tuple[int, int]], left: list[int], right: list[int]) ->
     return forest
 
 
-_BLOCK = "cluster long, part long, block int, a long, b long, fps array<long>, sets binary"
+def _may_link(threshold: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
+            keep = [len(near([x[k]], m[k : k + 1], [y[k]], n[k : k + 1], threshold)[0]) > 0 for k in range(len(x))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
-def _own(threshold: int):
+def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Those of the pairs (a, b) that link; a is the probe of its blocks of b."""
+    known = sets.select("fp", "size", "sketch")
+    met = pairs.join(known.select(F.col("fp").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x")), "a")
+    met = met.join(known.select(F.col("fp").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y")), "b")
+    pairs = scratch.save(met.select("a", "b", "m", "n", "x", "y").mapInArrow(_may_link(threshold), "a long, b long"), "near")
+    per_probe = scratch.save(pairs.groupBy("a").agg(F.count("*").alias("m")), "probes")
+    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("block")
+    blocks = scratch.save(pairs.join(per_probe, "a").select("a", "b", block), "blocks")
+    probes = blocks.select("a", "block").distinct().select("a", F.col("a").alias("b"), "block")
+    grams = sets.select(F.col("fp").alias("b"), "grams")
+    sides = [x.join(grams, "b").select("a", "block", "b", "grams") for x in (blocks, scratch.save(probes, "probe_blocks"))]
+    links = scratch.save(sides[0].unionByName(sides[1]).groupBy("a", "block").applyInArrow(_star(threshold), "a long, b long"), "links")
+    scratch.drop(pairs, per_probe, blocks)
+    return links
+
+
+_PAIR = "cluster long, i long, j long, sub_i int, sub_j int, right boolean, fp long"
+
+
+def _close(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        """A block, and the forest of links between its own sets if it holds several components."""
-        fp, sets = table["fp"].to_pylist(), [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
-        cluster, part, block = (table[c][0].as_py() for c in ("cluster", "part", "block"))
-        forest = _forest(tree_join(sets, sets, threshold), fp, fp) if part is None else []
-        rows = [(cluster, part, block, a, b, None, None) for a, b in forest]
-        rows.append((cluster, part, block, None, None, fp, _packed(sets)))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _BLOCK.split(", ")])
+        """Of two blocks of sketches, or of one with itself, the sets near one of the other's, by ``BLOCK`` sets."""
+        right, fp = table["right"].to_numpy(), table["fp"].to_numpy()
+        sketches, sizes = table["sketch"].to_pylist(), table["size"].to_numpy()
+        order = np.argsort(fp, kind="stable")
+        p, q = order[~right[order]], order[right[order]]
+        itself = table["i"][0].as_py() == table["j"][0].as_py()
+        q = p if itself else q
+        x, y = near([sketches[k] for k in p], sizes[p], [sketches[k] for k in q], sizes[q], threshold)
+        if itself:
+            x, y = x[x < y], y[x < y]
+        rows = np.concatenate([np.stack([x // BLOCK, y // BLOCK, 0 * x, fp[p][x]], 1), np.stack([x // BLOCK, y // BLOCK, 0 * y + 1, fp[q][y]], 1)])
+        rows = np.unique(rows, axis=0)
+        first = lambda c: pa.array(np.full(len(rows), table[c][0].as_py()), pa.int64())
+        return pa.table({"cluster": first("cluster"), "i": first("i"), "j": first("j"), "sub_i": rows[:, 0].astype(np.int32), "sub_j": rows[:, 1].astype(np.int32), "right": rows[:, 2] > 0, "fp": rows[:, 3]})
 
     return run
 
 
 def _across(threshold: int):
     def run(table: pa.Table) -> pa.Table:
-        """A forest of the links between two blocks."""
-        fps, sets = table["fps"].to_pylist(), [_unpacked(x) for x in table["sets"].to_pylist()]
-        forest = _forest(tree_join(sets[0], sets[1], threshold), fps[0], fps[1])
+        """A forest of the links between two groups of sets."""
+        right, fp = table["right"].to_pylist(), table["fp"].to_pylist()
+        sets = [np.frombuffer(g, U64) for g in table["grams"].to_pylist()]
+        p, q = ([k for k, r in enumerate(right) if r is side] for side in (False, True))
+        forest = _forest(tree_join([sets[k] for k in p], [sets[k] for k in q], threshold), [fp[k] for k in p], [fp[k] for k in q])
         return pa.table({"a": pa.array([x for x, _ in forest], pa.int64()), "b": pa.array([y for _, y in forest], pa.int64())})
 
     return run
 
 
-def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) that link; a is the probe of its blocks of b."""
-    per_probe = scratch.save(pairs.groupBy("a").agg(F.count("*").alias("m")), "probes")
-    block = F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("block")
-    blocks = scratch.save(pairs.join(per_probe, "a").select("a", "b", block), "blocks")
-    probes = blocks.select("a", "block").distinct().select("a", F.col("a").alias("b"), "block")
-    sides = [x.join(sets.withColumnRenamed("fp", "b"), "b").select("a", "block", "b", "grams") for x in (blocks, scratch.save(probes, "probe_blocks"))]
-    return scratch.save(sides[0].unionByName(sides[1]).groupBy("a", "block").applyInArrow(_star(threshold), "a long, b long"), "links")
-
-
 def _linked_within(scratch: Scratch, clusters: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links that connect what links across components inside each cluster of ``(fp, cluster, component)``.
 
     Components of half a block or more have blocks of their own, the others of a cluster share some."""
     sizes = clusters.groupBy("cluster", "component").agg(F.count("*").alias("m"))
-    sizes = scratch.save(sizes.withColumn("part", F.when(F.col("m") >= BLOCK // 2, F.col("component"))), "part_sizes")
-    parts = sizes.groupBy("cluster", "part").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
-    parts = scratch.save(parts.withColumn("several", F.sum("blocks").over(W.partitionBy("cluster")) > 1), "parts")
+    sizes = scratch.save(sizes.withColumn("part", F.when(F.col("m") >= SKETCHES // 2, F.col("component"))), "part_sizes")
+    parts = scratch.save(sizes.groupBy("cluster", "part").agg(F.ceil(F.sum("m") / SKETCHES).cast("int").alias("blocks")), "parts")
     place = sizes.alias("s").join(parts.alias("p"), (F.col("s.cluster") == F.col("p.cluster")) & F.col("s.part").eqNullSafe(F.col("p.part")))
     placed = clusters.join(scratch.save(place.select("s.cluster", "s.component", "s.part", "p.blocks"), "places"), ["cluster", "component"])
-    placed = scratch.save(placed.select("cluster", "fp", "part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "clustered")
-    own = scratch.save(placed.join(sets, "fp").groupBy("cluster", "part", "block").applyInArrow(_own(threshold), _BLOCK), "own_links")
-    packed = own.where("sets is not null").select("cluster", "part", "block", "fps", "sets")
-    # pairs of blocks, in the order of (part, block) with the shared ones first, but for those of one component
-    blocks = scratch.save(packed.select("cluster", F.struct(F.col("part").isNotNull().alias("own"), "part", "block").alias("at")), "block_list")
-    pairs = blocks.withColumnRenamed("at", "i").join(blocks.withColumnRenamed("at", "j"), "cluster").where("i < j and not (i.own and j.own and i.part = j.part)")
-    pairs = scratch.save(pairs, "block_pairs")
-    at = F.struct(F.col("part").isNotNull().alias("own"), "part", "block")
-    keyed = packed.withColumn("key", F.xxhash64("cluster", at)).select("cluster", at.alias("at"), "key", "fps", "sets")
-    sides = [pairs.withColumn("key", F.xxhash64("cluster", side)).join(keyed, ["cluster", "key"]).where(F.col(side).eqNullSafe(F.col("at"))).select("cluster", "i", "j", "fps", "sets") for side in ("i", "j")]
-    across = scratch.save(sides[0].unionByName(sides[1]).groupBy("cluster", "i", "j").applyInArrow(_across(threshold), "a long, b long"), "links")
-    links = own.where("a is not null").select("a", "b").unionByName(across)
-    scratch.drop(sizes, parts, placed, blocks, pairs)
+    at = F.xxhash64("cluster", "part", F.pmod(F.xxhash64("fp"), F.col("blocks"))).alias("at")
+    placed = scratch.save(placed.select("cluster", "fp", "part", at).join(sets.select("fp", "size", "sketch"), "fp"), "clustered")
+    # pairs of blocks, with themselves if they are shared, but for those within one component
+    blocks = scratch.save(placed.select("cluster", "part", "at").distinct(), "block_list")
+    other = blocks.select("cluster", F.col("at").alias("j"), F.col("part").alias("other"))
+    pairs = blocks.withColumnRenamed("at", "i").join(other, "cluster").where("i <= j and coalesce(part != other, true)")
+    pairs = scratch.save(pairs.select("cluster", "i", "j"), "block_pairs")
+    left = placed.withColumnRenamed("at", "i").join(pairs, ["cluster", "i"]).withColumn("right", F.lit(False))
+    right = placed.withColumnRenamed("at", "j").join(pairs.where("i != j"), ["cluster", "j"]).withColumn("right", F.lit(True))
+    columns = ["cluster", "i", "j", "right", "fp", "size", "sketch"]
+    close = scratch.save(left.select(*columns).unionByName(right.select(*columns)).groupBy("cluster", "i", "j").applyInArrow(_close(threshold), _PAIR), "close")
+    groups = close.join(sets.select("fp", "grams"), "fp").groupBy("cluster", "i", "j", "sub_i", "sub_j")
+    links = scratch.save(groups.applyInArrow(_across(threshold), "a long, b long"), "links")
+    scratch.drop(sizes, parts, placed, blocks, pairs, close)
     return links
 
 
@@ -462,7 +521,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     wanted = met.groupBy("fp", "class").agg(F.count("*").alias("m"), F.max("need").alias("least")).where("m >= least").select("fp").distinct()
     pages = spark.sparkContext.broadcast(_bitmap(wanted.join(nodes, "fp").select(F.col("rep").alias("doc_id")), h))
     texts = source.where("doc_id is not null").select(h.alias("h"), F.col("text").cast("binary").alias("text"))
-    sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, grams binary").dropDuplicates(["fp"]), "sets")
+    sets = scratch.save(texts.mapInArrow(_sets(n, pages), "fp long, size long, sketch binary, grams binary").dropDuplicates(["fp"]), "sets")
 
     star = met.where("fp != probe").groupBy(F.col("probe").alias("a"), F.col("fp").alias("b"), "class").agg(F.count("*").alias("m"), F.max("need").alias("least"))
     links = _linked(scratch, scratch.save(star.where("m >= least").select("a", "b").distinct(), "star"), sets, threshold)

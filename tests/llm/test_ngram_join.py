@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from strandflow.llm.ngram_join import Ranges, _Gathered, _packed, _shared, _unpacked, jaccard_components, ngram_set, tree_join
+from strandflow.llm.ngram_join import Ranges, _Gathered, _shared, jaccard_components, near, ngram_set, sketch, tree_join
 
 SCHEMA = "doc_id long, text string, component_id string"
 
@@ -59,7 +59,8 @@ def corpus(seed: int) -> dict:
 def test_components_equal_brute_force(spark, monkeypatch):
     from strandflow.llm import ngram_join
 
-    monkeypatch.setattr(ngram_join, "BLOCK", 16)  # several blocks in one cluster
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)  # several blocks in one cluster
+    monkeypatch.setattr(ngram_join, "SKETCHES", 16)
     texts = corpus(4) | {900: None, 901: "", 902: "  \n\t", 903: "One", 904: "ONE", 905: "one two", 906: "É x", 907: "é x"}
     df = spark.createDataFrame([(k, t, "clash") for k, t in texts.items()], SCHEMA).repartition(5)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_components(df).collect()}
@@ -135,9 +136,15 @@ def test_ngram_sets_follow_the_words():
     assert len(ngram_set(None)) == len(ngram_set(b" \n")) == 0
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=30), min_size=1, max_size=12))
-def test_packed_blocks_come_back(sets):
-    sets = [np.array(sorted(s), np.uint64) for s in sets]
-    back = _unpacked(_packed(sets))
-    assert len(back) == len(sets) and all((a == b).all() and a.dtype == b.dtype for a, b in zip(sets, back, strict=True))
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([60, 80, 90]))
+def test_sketches_lose_no_link_and_most_others(seed, threshold):
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64))
+    some = lambda: np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.02, 0.1, 0.6])], rng.integers(0, 2**63, rng.integers(1, 40), dtype=np.uint64)]))
+    x, y = [some() for _ in range(12)], [some() for _ in range(9)]
+    p, q = near([sketch(s) for s in x], np.array([len(s) for s in x]), [sketch(s) for s in y], np.array([len(s) for s in y]), threshold)
+    got = set(zip(p.tolist(), q.tolist(), strict=True))
+    overlap = {(i, j): 100 * len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for i, a in enumerate(x) for j, b in enumerate(y)}
+    assert {k for k, v in overlap.items() if v >= threshold} <= got
+    assert not {k for k in got if overlap[k] < threshold / 3 and min(len(x[k[0]]), len(y[k[1]])) > 100}
