@@ -57,7 +57,8 @@ def with_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], d
     """
     names = [f.name for f in added]
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
-    body = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias("__utf8"))
+    spare = "utf8_" + "_" * max(map(len, df.columns), default=0)  # longer than any of df's names
+    body = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("binary").alias(spare))
     schema = T.StructType([*df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *added.fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 

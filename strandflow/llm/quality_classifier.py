@@ -233,20 +233,25 @@ def fit(table: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str
     return Network.fitted(x, rows["y"].to_numpy())
 
 
+def scored(table: DataFrame, network: Network) -> DataFrame:
+    """A table of :func:`features` with ``score``, the probability of label 1, in their place."""
+    kept = [c for c in table.columns if c.lower() not in ("features", "score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(len(kept)).flatten().to_numpy().astype(float).reshape(batch.num_rows, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(network.probability(x), pa.float64())], names=[*kept, "score"])
+
+    own = table.select(*[F.col(f"`{c}`") for c in kept], "features")
+    return own.mapInArrow(run, T.StructType([*own.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; the features are computed once, for fitting and scoring."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scratch = Scratch(spark, "quality")
-    table = scratch.save(features(docs, word_vectors(docs)), "features")
+    table = Scratch(spark, "quality").save(features(docs, word_vectors(docs)), "features")
     net = fit(table, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy().astype(float).reshape(batch.num_rows, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.probability(x), pa.float64())], names=["doc_id", "score"])
-
-    scored = table.select("doc_id", "features").mapInArrow(score, table.select("doc_id").schema.add("score", "double"))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored(table, net).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES = {"op2_quality_classifier": op2_quality_classifier}

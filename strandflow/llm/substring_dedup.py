@@ -15,8 +15,10 @@ chance repeats stay. Spans are code point offsets into the original text; where
 Grouping is pre-aggregated to (digest, smallest id, number of rows); only digests seen twice meet the units
 again, in a join between written tables that adaptive execution can split at hot digests.
 
-Inputs: null and empty texts have no units; rows without an id are left alone; rows that share an id count
-as one document, so a repeated row gets the same spans; an empty table gives an empty result.
+Inputs: null and empty texts have no units; rows without an id are left alone; equal rows count as one document,
+so a repeated row gets the same spans; rows that share an id and not a text are documents of their own, ranked by
+a hash of their texts; very long texts are taken whole; an empty table gives an empty result. ``remove_repeats``
+keeps all columns, whatever their names, but for ``removed``, which it replaces.
 """
 
 from __future__ import annotations
@@ -128,52 +130,65 @@ def units(text: str) -> tuple[list[int], list[int], list[int], list[int], list[b
     return digest.tolist(), starts[a].tolist(), ends[b - 1].tolist(), (stop - start).tolist(), again.tolist()
 
 
-UNITS = "doc_id long, digest array<long>, start array<int>, stop array<int>, words array<int>, again array<boolean>"
+UNITS = "doc_id long, key long, digest array<long>, start array<int>, stop array<int>, words array<int>, again array<boolean>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            made = [units(t) for t in batch.column(1).to_pylist()]
+            made = [units(t) for t in batch.column(2).to_pylist()]
             sizes = [len(m[0]) for m in made]
             flat = [[x for m in made for x in m[k]] for k in range(5)]
             arrays = [lists(np.array(flat[0], np.uint64).view(np.int64), sizes), *(lists(np.array(flat[k], np.int32), sizes) for k in (1, 2, 3)), lists(np.array(flat[4], bool), sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "digest", "start", "stop", "words", "again"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["doc_id", "key", "digest", "start", "stop", "words", "again"])
 
 
-def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per removed span: ``doc_id, start, stop, n_units, n_words, kept_in``.
-
-    ``kept_in`` is the smallest id that has the span's first unit (the document itself for an own repeat).
-    """
+def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
+    """The removed spans by ``doc_id`` and ``key``, the hash of the text."""
     scratch = Scratch(docs.sparkSession, "substring")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
-    per_doc = scratch.save(source.mapInArrow(_cut, UNITS), "units")
+    per_doc = scratch.save(source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_cut, UNITS), "units")
     seen = per_doc.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
     shared = scratch.save(seen.where("n > 1").select("digest", "kept_in"), "shared")
-    rows = per_doc.select("doc_id", F.posexplode("digest").alias("unit", "digest"))
+    # of several texts of one id the first that has a unit
+    twice = per_doc.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("doc_id")
+    twins = per_doc.join(scratch.save(twice, "twice"), "doc_id", "left_semi").select("doc_id", "key", F.explode("digest").alias("digest"))
+    twins = scratch.save(twins.groupBy("doc_id", "digest").agg(F.min("key").alias("first")), "twins")
+    rows = per_doc.select("doc_id", "key", F.posexplode("digest").alias("unit", "digest"))
     at = F.col("unit") + 1
-    hits = rows.join(shared, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("unit", "kept_in")).alias("hits"))
+    hits = rows.join(shared, "digest").join(twins, ["doc_id", "digest"], "left").select("doc_id", "key", F.struct("unit", "kept_in", F.coalesce(F.col("first") < F.col("key"), F.lit(False)).alias("later")).alias("h"))
+    hits = hits.groupBy("doc_id", "key").agg(F.collect_set("h").alias("hits"))
     # beside the units themselves again: a repeat is one that an earlier document has, or this one earlier
-    met = per_doc.dropDuplicates(["doc_id"]).join(hits, "doc_id").select("doc_id", F.explode("hits").alias("h"), "start", "stop", "words", "again").select("doc_id", "h.unit", "h.kept_in", "start", "stop", "words", "again")
-    flagged = met.select("doc_id", "unit", "kept_in", *[F.element_at(c, at).alias(c) for c in ("start", "stop", "words", "again")]).where("kept_in < doc_id or again")
-    run = F.col("unit") - F.row_number().over(W.partitionBy("doc_id").orderBy("unit"))
-    grouped = flagged.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").cast("long").alias("n_words"), F.min_by("kept_in", "unit").alias("kept_in"))
-    return grouped.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_units", "n_words", "kept_in")
+    met = per_doc.dropDuplicates(["doc_id", "key"]).join(hits, ["doc_id", "key"]).select("doc_id", "key", F.explode("hits").alias("h"), "start", "stop", "words", "again").select("doc_id", "key", "h.unit", "h.kept_in", "h.later", "start", "stop", "words", "again")
+    flagged = met.select("doc_id", "key", "unit", "kept_in", "later", *[F.element_at(c, at).alias(c) for c in ("start", "stop", "words", "again")]).where("kept_in < doc_id or again or later")
+    run = F.col("unit") - F.row_number().over(W.partitionBy("doc_id", "key").orderBy("unit"))
+    grouped = flagged.withColumn("run", run).groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").cast("long").alias("n_words"), F.min_by("kept_in", "unit").alias("kept_in"))
+    return grouped.where(F.col("n_words") >= min_words).select("doc_id", "key", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_units", "n_words", "kept_in")
+
+
+def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per removed span: ``doc_id, start, stop, n_units, n_words, kept_in``.
+
+    ``kept_in`` is the smallest id that has the span's first unit (the document's own for an own repeat).
+    """
+    return _spans(docs, text, doc_id, min_words).drop("key")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the repeated spans cut out of ``text``, and ``removed``: the spans' original offsets."""
-    spans = repeated_spans(docs, text, doc_id, min_words=min_words)
-    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed")).withColumnRenamed("doc_id", "__id")
-    joined = docs.drop("removed").join(per_doc, F.col(f"`{doc_id}`").cast("long") == F.col("__id"), "left").drop("__id")
+    spans = _spans(docs, text, doc_id, min_words)
+    per_doc = spans.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    kept = [c for c in docs.columns if c.lower() != "removed"]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("key"))
+    joined = own.join(per_doc, ["doc_id", "key"], "left")
     # what stands between the spans: from the end of one to the start of the next
-    size = F.length(F.col(text))
+    whole = F.col(f"row.`{text}`")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("removed", lambda s: s["stop"]))
-    stops = F.concat(F.transform("removed", lambda s: s["start"]), F.array(size.cast("long")))
-    left = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(F.col(text), (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
-    return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "")))
+    stops = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.length(whole).cast("long")))
+    left = F.transform(F.arrays_zip(starts.alias("a"), stops.alias("b")), lambda p: F.substring(whole, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")))
+    cut = F.when(F.col("removed").isNull(), whole).otherwise(F.array_join(left, ""))
+    return joined.select(*[cut.alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept], "removed")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,20 @@ def test_own_repeats_nulls_ties_and_empty_tables(spark):
     kept = {r["doc_id"]: r["text"] for r in remove_repeats(df).collect()}
     assert kept[1] == long + "\n" and kept[2] is None and kept[None] == long and kept[4] == ""
     assert repeated_spans(df.limit(0)).collect() == []
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(80)) + "."
+    unique = " ".join(f"u{rng.randrange(10**6)}" for _ in range(400))
+    twin = " ".join(f"t{rng.randrange(10**6)}" for _ in range(60))
+    rows = [(1, passage, "x"), (4, "Short one.\n" + passage + "\ntail", "x"), (4, unique, "x"), (7, "a " + twin + " b", "x"), (7, "c " + twin + " d", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").selectExpr("*", "1 as key", "2 as row", "3 as removed")
+    out = remove_repeats(df)
+    assert out.columns == df.columns
+    left = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert (4, unique) in left and (1, passage) in left
+    (cut,) = [t for d, t in left if d == 4 and t != unique]
+    assert cut.startswith("Short one.") and cut.endswith("tail") and len(cut) < 200
+    sevens = sorted((t for d, t in left if d == 7), key=len)
+    assert len(sevens[1]) == len(twin) + 4 and len(sevens[0]) < 200
