@@ -46,9 +46,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from strandflow.llm._blocks import bucket_number, pack, runs, unpack
 from strandflow.llm._text import U64, WordHashes, mix
 from strandflow.operators.components import connected_components
 from strandflow.runtime import Scratch
@@ -158,42 +158,22 @@ class _Gathered:
         entries = np.array(self.entries, _ENTRY)
         sigs, owner = np.concatenate(self.sigs), np.repeat(np.arange(len(entries), dtype=np.int32), [len(x) for x in self.sigs])
         self.clear()
-        # a signature's number: 32 bits below its bucket
-        bucket = ((sigs & U64(0xFFFFFFFF)) * U64(self.buckets) >> U64(32)) << U64(32)
-        number = bucket + (sigs >> U64(32))
+        number = bucket_number(sigs, self.buckets)
         order = number.argsort(kind="stable")
         number, owner = number[order], owner[order]
-        first = np.append(True, number[1:] != number[:-1])
-        begin = np.flatnonzero(first)
+        begin = runs(number)
+        first = np.zeros(len(number), bool)
+        first[begin] = True
         several = np.diff(np.append(begin, len(number))) > 1
         again, own = number[~first].view(np.int64), entries[owner[~first]]
         for k in range(0, len(again), 100_000):
             part = slice(k, k + 100_000)
             yield _described(sig=again[part], fp=own["fp"][part], need=own["need"][part], listed=own["listed"][part], **{"class": own["class"][part]})
-        number, owner = number[begin], owner[begin]
-        home, packer = (number >> U64(32)).astype(np.int32), zstandard.ZstdCompressor(level=1)
-        cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1])).tolist()
-        buckets, data = [], []
-        for a, b in zip(cuts, [*cuts[1:], len(home)], strict=True):
-            used, place = np.unique(owner[a:b], return_inverse=True)
-            steps = np.diff(number[a:b] & U64(0xFFFFFFFF), prepend=U64(0)).astype("<u4")
-            # bytes of a number side by side: the high ones are alike
-            raw = (x.view(np.uint8).reshape(-1, 4).T.tobytes() for x in (steps, (place * 2 + several[a:b]).astype("<u4")))
-            buckets.append(int(home[a]))
-            data.append(np.array([b - a, len(used)], "<i4").tobytes() + packer.compress(b"".join([*raw, entries[used].tobytes()])))
+        buckets, data = pack(number[begin], [several], owner[begin], entries)
         for k in range(0, len(data), 64):
             yield _described(bucket=buckets[k : k + 64], data=data[k : k + 64])
 
 
-def _block(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number within the bucket, whether several sets of the task have it, entry) of a block's signatures."""
-    n, m = np.frombuffer(data, "<i4", 2).tolist()
-    raw = zstandard.ZstdDecompressor().decompress(data[8:], max_output_size=8 * n + m * _ENTRY.itemsize)
-    steps, place = (np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4")[:, 0] for at in (0, 4 * n))
-    entries = np.frombuffer(raw, _ENTRY, m, 8 * n)
-    return steps.cumsum(dtype=np.uint64), (place & 1).astype(bool), entries[place >> 1]
-
-
 def _describe(n: int, threshold: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranges, gathered = Ranges(threshold), _Gathered(buckets)
@@ -217,13 +197,13 @@ def _describe(n: int, threshold: int, buckets: int):
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of a bucket's signatures those that two sets have, with all its sets."""
-    number, several, entry = (np.concatenate(x) for x in zip(*map(_block, table["data"].to_pylist()), strict=True))
+    number, several, entry = (np.concatenate(x) for x in zip(*(unpack(x, 1, _ENTRY) for x in table["data"].to_pylist()), strict=True))
     order = np.lexsort((entry["fp"], number))
     number, several, entry = number[order], several[order], entry[order]
     other = np.append(True, number[1:] != number[:-1])
     one = other | np.append(True, entry["fp"][1:] != entry["fp"][:-1])
     begin = np.flatnonzero(other)
-    known = (np.add.reduceat(one, begin) > 1) | np.logical_or.reduceat(several, begin)
+    known = (np.add.reduceat(one.astype(np.int64), begin) > 1) | (np.maximum.reduceat(several, begin) > 0)
     keep = one & np.repeat(known, np.diff(np.append(begin, len(number))))
     sig = number[keep].view(np.int64) + (table["bucket"][0].as_py() << 32)
     return pa.table({"sig": sig, **{name: entry[name][keep] for name in ("fp", "class", "need", "listed")}})

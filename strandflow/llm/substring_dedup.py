@@ -12,8 +12,10 @@ Words are in lower case, without ASCII punctuation. Digests are grouped globally
 earlier. A maximal run of neighbouring repeats goes if it has ``min_words`` words or more in all, so that
 chance repeats stay. Spans are code point offsets into the original text; where two passages overlap, so may they.
 
-Grouping is pre-aggregated to (digest, smallest id, number of rows); only digests seen twice meet the units
-again, in a join between written tables that adaptive execution can split at hot digests.
+A task sorts the digests of its texts and sends each bucket of the digest space one compressed row; of a digest that
+it has more than ``OFTEN`` times, the earliest document goes there and the others wait for what the bucket says. A
+bucket's task names the repeats of its digests. So a digest takes a few bytes and is sent once, and a hot one comes a
+bounded number of times from each task. Where the units are stays with the document, which meets its repeats again.
 
 Inputs: null and empty texts have no units; rows without an id are left alone; equal rows count as one document,
 so a repeated row gets the same spans; rows that share an id and not a text are documents of their own, ranked by
@@ -29,14 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandflow.llm._text import lists, mix
+from strandflow.llm._blocks import bucket_number, pack, runs, unpack
+from strandflow.llm._text import mix
 from strandflow.runtime import Scratch
 
 MIN_WORDS = 25
 WINDOW = 6  # neighbouring words of which one ends a unit
 CONTEXT = 6  # words on either side of a unit that its digest covers too
+FLUSH = 1 << 21  # digests that a task gathers before it sends them
+OFTEN = 32
 SHORT = 3  # words below which a line is not parted from the lines beside it
 U64 = np.uint64
 _LINE = re.compile(r"[^\n]+")
@@ -105,12 +111,12 @@ def _words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return h[some], np.concatenate(starts)[some], np.concatenate(ends)[some], np.repeat(block, sizes)[some]
 
 
-def units(text: str) -> tuple[list[int], list[int], list[int], list[int], list[bool]]:
-    """Digests, starts, ends, counted words, and whether the text has the unit earlier."""
+def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, starts, ends, counted words, and which unit of the text has the digest first."""
     h, starts, ends, block = _words(text)
     n = len(h)
     if not n:
-        return [], [], [], [], []
+        return np.empty(0, U64), *[np.empty(0, np.int64)] * 4
     is_cut = np.append(block[1:] != block[:-1], True)
     closing = np.flatnonzero(is_cut)
     if n >= WINDOW:
@@ -125,46 +131,171 @@ def units(text: str) -> tuple[list[int], list[int], list[int], list[int], list[b
     sums = np.append(U64(0), (h * up).cumsum(dtype=U64))
     place = ((start - a) << 42) + ((stop - start) << 21) + (b - stop)  # units of a short line may cover the same words
     digest = mix((sums[b] - sums[a]) * down[a] + mix(place.astype(U64)))
-    again = np.ones(len(digest), bool)
-    again[np.unique(digest, return_index=True)[1]] = False
-    return digest.tolist(), starts[a].tolist(), ends[b - 1].tolist(), (stop - start).tolist(), again.tolist()
-
-
-UNITS = "doc_id long, key long, digest array<long>, start array<int>, stop array<int>, words array<int>, again array<boolean>"
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            made = [units(t) for t in batch.column(2).to_pylist()]
-            sizes = [len(m[0]) for m in made]
-            flat = [[x for m in made for x in m[k]] for k in range(5)]
-            arrays = [lists(np.array(flat[0], np.uint64).view(np.int64), sizes), *(lists(np.array(flat[k], np.int32), sizes) for k in (1, 2, 3)), lists(np.array(flat[4], bool), sizes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["doc_id", "key", "digest", "start", "stop", "words", "again"])
-
-
-def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
+    _, first, which = np.unique(digest, return_index=True, return_inverse=True)
+    return digest, starts[a], ends[b - 1], stop - start, first[which]
+
+
+CUT = "doc_id long, key long, place binary, digest long, unit int, bucket int, data binary"
+_ENTRY = np.dtype([("doc_id", "<i8"), ("key", "<i8")])
+
+
+def _row(**columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    size = len(next(iter(columns.values())))
+    fields = [x.split() for x in CUT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds[k]) if c in columns else pa.nulls(size, kinds[k]) for c, k in fields], names=[c for c, _ in fields])
+
+
+def _place(start: np.ndarray, stop: np.ndarray, words: np.ndarray, first: np.ndarray) -> bytes:
+    """Where the units are: small numbers, their bytes by weight."""
+    own = np.arange(len(first))
+    columns = np.stack([np.diff(start, prepend=0), stop - start, words, own - first]).astype("<i4")
+    return zstandard.compress(columns.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _placed(place: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(place), np.uint8)
+    gap, length, words, back = np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").reshape(4, -1).astype(np.int64)
+    start = gap.cumsum()
+    return start, start + length, words, np.arange(len(back)) - back
+
+
+class _Gathered:
+    """The digests of a task's texts until they are sent."""
+
+    def __init__(self, buckets: int, often: int):
+        self.buckets, self.often = buckets, often
+        self.clear()
+
+    def clear(self) -> None:
+        self.entries, self.digests, self.units, self.size = [], [], [], 0
+
+    def add(self, doc_id: int, key: int, digest: np.ndarray, first: np.ndarray) -> None:
+        own = np.flatnonzero(first == np.arange(len(first)))
+        self.entries.append((doc_id, key))
+        self.digests.append(digest[own])
+        self.units.append(own)
+        self.size += len(own)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """By bucket, and of frequent digests all but the earliest document's."""
+        if not self.size:
+            return
+        entries, sizes = np.array(self.entries, _ENTRY), [len(x) for x in self.digests]
+        digests, unit = np.concatenate(self.digests), np.concatenate(self.units)
+        self.clear()
+        owner = np.repeat(np.arange(len(entries)), sizes)
+        rank = np.empty(len(entries), np.int64)
+        rank[np.lexsort((entries["key"], entries["doc_id"]))] = np.arange(len(entries))
+        number, low = bucket_number(digests, self.buckets), digests & U64(0xFFFFFFFF)
+        order = np.lexsort((rank[owner], low, number))
+        number, low, owner, unit, digests = number[order], low[order], owner[order], unit[order], digests[order]
+        begin = runs(digests)
+        times = np.diff(np.append(begin, len(number)))
+        often = np.repeat(times > self.often, times)
+        waits = often.copy()
+        waits[begin] = False
+        own = entries[owner[waits]]
+        for k in range(0, len(own), 100_000):
+            part = slice(k, k + 100_000)
+            yield _row(doc_id=own["doc_id"][part], key=own["key"][part], digest=digests[waits][part].view(np.int64), unit=unit[waits][part])
+        buckets, data = pack(number[~waits], [low[~waits], unit[~waits], often[~waits]], owner[~waits], entries)
+        for k in range(0, len(data), 64):
+            yield _row(bucket=buckets[k : k + 64], data=data[k : k + 64])
+
+
+def _cut(buckets: int, often: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered = _Gathered(buckets, often)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                places = []
+                for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    digest, start, stop, words, first = units(text.as_py())
+                    places.append(_place(start, stop, words, first))
+                    gathered.add(doc_id, key, digest, first)
+                    if gathered.size >= FLUSH:
+                        yield from gathered.rows()
+                yield _row(doc_id=batch.column(0), key=batch.column(1), place=places)
+        yield from gathered.rows()
+
+    return run
+
+
+HITS = "doc_id long, key long, unit int, kept_in long, digest long"
+
+
+def _repeats(table: pa.Table) -> pa.Table:
+    """Of a bucket's digests the units of all but the earliest document; of frequent ones that document as well,
+    with ``digest`` and no unit, for those that wait."""
+    number, low, unit, often, entry = (np.concatenate(x) for x in zip(*(unpack(d, 3, _ENTRY) for d in table["data"].to_pylist()), strict=True))
+    digests = number << U64(32) | low  # all 64 bits
+    order = np.lexsort((entry["key"], entry["doc_id"], digests))
+    digests, unit, often, entry = digests[order], unit[order], often[order], entry[order]
+    begin = runs(digests)
+    times = np.diff(np.append(begin, len(digests)))
+    least = np.repeat(entry[begin], times)
+    later = (entry["doc_id"] > least["doc_id"]) | (entry["key"] > least["key"])
+    awaited = np.maximum.reduceat(often, begin) > 0
+    told = entry[begin][awaited]
+    digest = digests[begin][awaited].view(np.int64)
+    none, repeats = pa.nulls(len(told), pa.int32()), int(later.sum())
+    return pa.table(
+        {
+            "doc_id": np.concatenate([entry["doc_id"][later], told["doc_id"]]), "key": np.concatenate([entry["key"][later], told["key"]]),
+            "unit": pa.chunked_array([pa.array(unit[later].astype(np.int32)), none]),
+            "kept_in": np.concatenate([least["doc_id"][later], told["doc_id"]]), "digest": pa.chunked_array([pa.nulls(repeats, pa.int64()), pa.array(digest)]),
+        }
+    )
+
+
+SPANS = "doc_id long, key long, start long, stop long, n_units long, n_words long, kept_in long"
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Maximal runs of neighbouring repeats, of ``min_words`` words or more."""
+        for batch in batches:
+            rows = []
+            for doc_id, key, place, hits in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                start, stop, words, first = _placed(place)
+                kept = np.full(len(first), doc_id, np.int64)
+                repeat = first < np.arange(len(first))
+                if hits.is_valid:
+                    unit, kept_in = (hits.values.field(k).to_numpy() for k in (0, 1))
+                    hit = np.zeros(len(first), bool)
+                    hit[unit], kept[unit] = True, kept_in
+                    repeat |= hit[first]
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], repeat.astype(np.int8), [0]])))
+                for a, b in edges.reshape(-1, 2).tolist():
+                    n = int(words[a:b].sum())
+                    if n >= min_words:
+                        rows.append((doc_id, key, int(start[a]), int(stop[b - 1]), b - a, n, int(kept[first[a]])))
+            columns = zip(*rows, strict=True) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SPANS.split(", ")])
+
+    return run
+
+
+def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int, often: int = OFTEN) -> DataFrame:
     """The removed spans by ``doc_id`` and ``key``, the hash of the text."""
-    scratch = Scratch(docs.sparkSession, "substring")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "substring")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
-    per_doc = scratch.save(source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_cut, UNITS), "units")
-    seen = per_doc.select("doc_id", F.explode("digest").alias("digest")).groupBy("digest").agg(F.min("doc_id").alias("kept_in"), F.count("*").alias("n"))
-    shared = scratch.save(seen.where("n > 1").select("digest", "kept_in"), "shared")
-    # of several texts of one id the first that has a unit
-    twice = per_doc.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("doc_id")
-    twins = per_doc.join(scratch.save(twice, "twice"), "doc_id", "left_semi").select("doc_id", "key", F.explode("digest").alias("digest"))
-    twins = scratch.save(twins.groupBy("doc_id", "digest").agg(F.min("key").alias("first")), "twins")
-    rows = per_doc.select("doc_id", "key", F.posexplode("digest").alias("unit", "digest"))
-    at = F.col("unit") + 1
-    hits = rows.join(shared, "digest").join(twins, ["doc_id", "digest"], "left").select("doc_id", "key", F.struct("unit", "kept_in", F.coalesce(F.col("first") < F.col("key"), F.lit(False)).alias("later")).alias("h"))
-    hits = hits.groupBy("doc_id", "key").agg(F.collect_set("h").alias("hits"))
-    # beside the units themselves again: a repeat is one that an earlier document has, or this one earlier
-    met = per_doc.dropDuplicates(["doc_id", "key"]).join(hits, ["doc_id", "key"]).select("doc_id", "key", F.explode("hits").alias("h"), "start", "stop", "words", "again").select("doc_id", "key", "h.unit", "h.kept_in", "h.later", "start", "stop", "words", "again")
-    flagged = met.select("doc_id", "key", "unit", "kept_in", "later", *[F.element_at(c, at).alias(c) for c in ("start", "stop", "words", "again")]).where("kept_in < doc_id or again or later")
-    run = F.col("unit") - F.row_number().over(W.partitionBy("doc_id", "key").orderBy("unit"))
-    grouped = flagged.withColumn("run", run).groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"), F.sum("words").cast("long").alias("n_words"), F.min_by("kept_in", "unit").alias("kept_in"))
-    return grouped.where(F.col("n_words") >= min_words).select("doc_id", "key", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "n_units", "n_words", "kept_in")
+    # two buckets for each shuffle partition, so that these fill alike
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = scratch.save(source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_cut(buckets, often), CUT), "units")
+    found = scratch.save(made.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_repeats, HITS), "repeats")
+    # frequent digests: an earlier document has them, or the same one did not wait
+    first = scratch.save(found.where("digest is not null").select("digest", F.col("kept_in").alias("first"), F.col("key").alias("first_key")), "frequent")
+    waiting = made.where("digest is not null").select("doc_id", "key", "unit", "digest").join(first, "digest")
+    waiting = waiting.where("first < doc_id or first_key < key").select("doc_id", "key", "unit", F.col("first").alias("kept_in"))
+    hits = found.where("unit is not null").select("doc_id", "key", "unit", "kept_in").unionByName(waiting)
+    hits = hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("unit", "kept_in")).alias("hits"))
+    placed = made.where("place is not null").select("doc_id", "key", "place").join(hits, ["doc_id", "key"], "left")
+    spans = placed.select("doc_id", "key", "place", "hits").mapInArrow(_runs(min_words), SPANS)
+    return spans.dropDuplicates(["doc_id", "key", "start"])
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, min_words: int = MIN_WORDS) -> DataFrame:

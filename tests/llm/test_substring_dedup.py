@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from strandflow.llm.substring_dedup import remove_repeats, repeated_spans, units
+from strandflow.llm.substring_dedup import _spans, remove_repeats, repeated_spans, units
 
 SCHEMA = "doc_id long, text string, removed string"
 
@@ -15,12 +15,14 @@ def plain_spans(texts: dict, min_words: int) -> set:
     """Runs of units that an earlier text, or this one earlier, has."""
     first = {}
     for d in sorted(texts):
-        for h in units(texts[d] or "")[0]:
+        for h in units(texts[d] or "")[0].tolist():
             first.setdefault(h, d)
     out = set()
     for d, t in texts.items():
-        run = []
-        for h, a, b, n, again in [*zip(*units(t or ""), strict=True), (None, 0, 0, 0, False)]:
+        run, own = [], set()
+        for h, a, b, n, _ in [*zip(*(x.tolist() for x in units(t or "")), strict=True), (None, 0, 0, 0, 0)]:
+            again = h in own
+            own.add(h)
             if h is not None and (first[h] < d or again):
                 run.append((a, b, n))
                 continue
@@ -93,3 +95,13 @@ def test_rows_that_share_an_id_keep_their_own_words(spark):
     assert cut.startswith("Short one.") and cut.endswith("tail") and len(cut) < 200
     sevens = sorted((t for d, t in left if d == 7), key=len)
     assert len(sevens[1]) == len(twin) + 4 and len(sevens[0]) < 200
+
+
+def test_frequent_digests_give_the_same_spans(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{rng.randrange(10**6)}" for _ in range(70))
+    rows = [(k % 40, f"own{k} " + passage + f" end{k % 3}", "x") for k in range(120)] + [(500, passage + "\n" + passage, "x")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = sorted(map(tuple, _spans(df, "text", "doc_id", 25).collect()))
+    assert want and want == sorted(map(tuple, _spans(df, "text", "doc_id", 25, often=2).collect()))
+    assert {r[6] for r in want} == {0, 500}
