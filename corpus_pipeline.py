@@ -14,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandflow.llm import mixing, ngram_join, packing, quality_classifier, substring_dedup
 from strandflow.runtime import Scratch
 
+FEW = 1_000_000  # ids, 24 MB
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _beside(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with ids by ``how``: ids of ``FEW`` rows or less go to all tasks, or else texts are shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", how).select(*docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose probability of good quality is below one half; null and empty texts are scored as such."""
     scratch = Scratch(spark, "stage-quality")
@@ -33,13 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents link from a Jaccard similarity of 0.8 of their 5-word shingles on; ``op3`` has limits of its own. Rows
     that share an id are one document: of those with one text the first in the order of the columns stays.
     """
+    scratch = Scratch(spark, "stage-near")
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"), n=5, threshold=80)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    several = Scratch(spark, "stage-near").save(several, "several")
-    one = kept.join(several, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct(*COLUMNS)).alias("row"))
-    return kept.join(several, "doc_id", "left_anti").unionByName(one.select("row.*"))
+    gone = scratch.save(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
+    kept = _beside(docs.select(*COLUMNS), gone, "left_anti")
+    several = scratch.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    one = _beside(kept, several, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return _beside(kept, several, "left_anti").unionByName(one.select("row.*"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
