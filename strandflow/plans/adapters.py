@@ -43,17 +43,15 @@ PATH_STEPS = f"""path_steps as (select l_orderkey as path, row_number() over (pa
   'p' || l_partkey as name, case when l_linestatus = 'O' then '+' else '-' end as orient, l_quantity::bigint as overlap, l_returnflag = 'N' as gap from lineitem)"""
 
 
-def links(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """Neighbouring steps of every ``every``-th path as links, before any dedup."""
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring steps of all paths as links, before any dedup."""
     after = W.partitionBy("path").orderBy("pos")
-    steps = path_steps(spark, sf_dir).where(F.col("path") % every == 0)
-    rows = steps.withColumn("to_name", F.lead("name").over(after)).withColumn("to_orient", F.lead("orient").over(after)).where("to_name is not null")
+    rows = path_steps(spark, sf_dir).withColumn("to_name", F.lead("name").over(after)).withColumn("to_orient", F.lead("orient").over(after)).where("to_name is not null")
     return rows.select((F.col("path") * 100 + F.col("pos")).alias("ord"), F.col("name").alias("from_name"), F.col("orient").alias("from_orient"), "to_name", "to_orient", "overlap")
 
 
-def LINKS(every: int = 1) -> str:
-    return f"""links_raw as (select path * 100 + pos as ord, name as from_name, orient as from_orient,
-  lead(name) over (partition by path order by pos) as to_name, lead(orient) over (partition by path order by pos) as to_orient, overlap from path_steps where path % {every} = 0),
+LINKS = """links_raw as (select path * 100 + pos as ord, name as from_name, orient as from_orient,
+  lead(name) over (partition by path order by pos) as to_name, lead(orient) over (partition by path order by pos) as to_orient, overlap from path_steps),
 links as (select * from links_raw where to_name is not null)"""
 
 
@@ -65,6 +63,32 @@ adj as (select from_name as src, from_orient as src_o, to_name as dst, to_orient
   union all select to_name, rt, from_name, rf, overlap from uniq where not (from_name = to_name and from_orient <> to_orient))"""
 
 
+def seg_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("o"), "o_orderkey").alias("name"), F.lit(None).cast("string").alias("sequence"), F.col("o_totalprice").cast("long").alias("length"), F.round(F.col("o_totalprice") / 1000, 3).alias("depth"))
+
+
+SEG_ORDERS = "seg_orders as (select o_orderkey as ord, 'o' || o_orderkey as name, null::varchar as sequence, trunc(o_totalprice)::bigint as length, round(o_totalprice / 1000, 3) as depth from orders)"
+
+
+def order_links(spark: SparkSession, sf_dir: str, rings: bool = False) -> DataFrame:
+    """From each order of a customer to the next one: chains. With ``rings`` every third customer's last order
+    leads to the first one."""
+    by = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    node = F.struct(F.concat(F.lit("o"), "o_orderkey").alias("name"), F.when(F.col("o_orderstatus") == "O", "+").otherwise("-").alias("orient"))
+    after = F.lead(node).over(by)
+    if rings:
+        after = F.coalesce(after, F.when(F.col("o_custkey") % 3 == 0, F.first(node).over(by)))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), node.alias("a"), after.alias("b")).where("b is not null")
+    return rows.select("ord", F.col("a.name").alias("from_name"), F.col("a.orient").alias("from_orient"), F.col("b.name").alias("to_name"), F.col("b.orient").alias("to_orient"), F.lit(0).cast("long").alias("overlap"))
+
+
+def ORDER_LINKS(rings: bool = False) -> str:
+    last = "case when o_custkey % 3 = 0 then first(n) over w end" if rings else "null"
+    return f"""nodes as (select *, {{'name': 'o' || o_orderkey, 'orient': case when o_orderstatus = 'O' then '+' else '-' end}} as n from orders),
+nexts as (select o_orderkey as ord, n as a, coalesce(lead(n) over w, {last}) as b from nodes window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+links as (select ord, a.name as from_name, a.orient as from_orient, b.name as to_name, b.orient as to_orient, 0::bigint as overlap from nexts where b is not null)"""
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as alignment blocks of one query."""
     by = W.partitionBy("l_orderkey").orderBy(*_ORDER)
@@ -93,10 +117,10 @@ blocks as (select 'q' || l_orderkey as query, ord, 10000::bigint as q_len, q_en
 
 
 def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth order's lines as spans on the supplier's axis."""
+    """The lines of all orders as spans on the supplier's axis."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
     st = (day * 40).cast("long")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.concat(F.lit("r"), "l_suppkey").alias("ref"), st.alias("st"), (st + (F.col("l_quantity") * 50).cast("long")).alias("en"))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("r"), "l_suppkey").alias("ref"), st.alias("st"), (st + (F.col("l_quantity") * 50).cast("long")).alias("en"))
 
 
-COVER = "cover as (select 'r' || l_suppkey as ref, datediff('day', date '1995-01-01', l_shipdate::date) * 40 as st, datediff('day', date '1995-01-01', l_shipdate::date) * 40 + (l_quantity * 50)::bigint as en from lineitem where l_orderkey % 10 = 0)"
+COVER = "cover as (select 'r' || l_suppkey as ref, datediff('day', date '1995-01-01', l_shipdate::date) * 40 as st, datediff('day', date '1995-01-01', l_shipdate::date) * 40 + (l_quantity * 50)::bigint as en from lineitem)"

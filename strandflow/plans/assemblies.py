@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import sequence as fn
 from strandflow.operators import blocks as B, compare as D, edits as E, links as G, scaffold as S
 from strandflow.plans import adapters as A
-from strandflow.plans.graphs import _CC, _FOLD, _L1, _L100, _P, _links
+from strandflow.plans.graphs import _CC, _FOLD, _L1, _P, _links
 from strandflow.plans.registry import query, rounded
 from strandflow.sources import sinks as K, textio as T
 
@@ -15,13 +15,13 @@ from strandflow.sources import sinks as K, textio as T
 
 
 def _gfa(spark, sf_dir):
-    """A GFA of parts and, as text, every hundredth order's steps: k-mer counts instead of depths, a dangling
+    """A GFA of parts and, as text, all orders' steps: k-mer counts instead of depths, a dangling
     link, comments and a repeated name among it."""
     part = A.seg_part(spark, sf_dir)
     s = part.select(F.col("ord").alias("line"), F.concat_ws("\t", F.lit("S"), "name", F.lit("*"), F.concat(F.lit("LN:i:"), "length"), F.concat(F.lit("KC:i:"), F.col("length") * (F.col("ord") % 50))).alias("value"))
-    raw = A.links(spark, sf_dir, 100).select((F.col("ord") + 10_000_000).alias("line"), F.concat_ws("\t", F.lit("L"), "from_name", "from_orient", "to_name", "to_orient", F.concat("overlap", F.lit("M2I1D"))).alias("value"))
+    raw = A.links(spark, sf_dir).select((F.col("ord") + 10_000_000).alias("line"), F.concat_ws("\t", F.lit("L"), "from_name", "from_orient", "to_name", "to_orient", F.concat("overlap", F.lit("M2I1D"))).alias("value"))
     glue = F.when(F.col("gap"), ";").otherwise(",")
-    steps = A.path_steps(spark, sf_dir).where("path % 100 = 0")
+    steps = A.path_steps(spark, sf_dir)
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("name", "orient", glue).alias("t"))))
     p = steps.groupBy("path").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "").alias("t")).select((F.col("path") + 900_000_000_000).alias("line"), F.concat_ws("\t", F.lit("P"), F.concat(F.lit("path"), "path"), "t", F.lit("*")).alias("value"))
     noise = spark.createDataFrame([(0, "H\tVN:Z:1.0"), (2_000_000_000_000, "# end"), (2_000_000_000_001, "S\tp1\t*\tLN:i:77\tdp:f:5.5"), (2_000_000_000_002, "L\tp1\t?\tp2\t+\t*")], "line long, value string")
@@ -33,18 +33,18 @@ def gfa_segments(spark, sf_dir):
     return T.gfa_segments(_gfa(spark, sf_dir)).select("ord", "name", "length", "depth")
 
 
-@query(f"""with {A.PATH_STEPS}, {A.LINKS(100)} select from_name, from_orient, to_name, to_orient, (overlap + 1)::bigint as overlap, count(*)::bigint as n from links group by all""")
+@query(f"""with {A.PATH_STEPS}, {A.LINKS} select from_name, from_orient, to_name, to_orient, (overlap + 1)::bigint as overlap, count(*)::bigint as n from links group by all""")
 def gfa_links(spark, sf_dir):
     return T.gfa_links(_gfa(spark, sf_dir)).groupBy("from_name", "from_orient", "to_name", "to_orient", "overlap").agg(F.count("*").alias("n"))
 
 
-@query(f"""with {A.PATH_STEPS} select 'path' || path as path, pos::bigint as pos, name, orient, gap and pos < max(pos) over (partition by path) as gap_after from path_steps where path % 100 = 0""")
+@query(f"""with {A.PATH_STEPS} select 'path' || path as path, pos::bigint as pos, name, orient, gap and pos < max(pos) over (partition by path) as gap_after from path_steps""")
 def gfa_paths(spark, sf_dir):
     lines = _gfa(spark, sf_dir)
     return T.gfa_path_steps(lines, T.gfa_segments(lines)).select("path", "pos", "name", "orient", "gap_after")
 
 
-@query(f"""with {A.PATH_STEPS}, {A.LINKS()}, c as (select overlap, count(*) as n, min(ord) as first from links group by 1) select overlap from c order by n desc, first limit 1""")
+@query(f"""with {A.PATH_STEPS}, {A.LINKS}, c as (select overlap, count(*) as n, min(ord) as first from links group by 1) select overlap from c order by n desc, first limit 1""")
 def modal_overlap(spark, sf_dir):
     return T.modal_overlap(A.links(spark, sf_dir))
 
@@ -54,12 +54,12 @@ def gfa_bad_records(spark, sf_dir):
     return T.bad_records(_gfa(spark, sf_dir))
 
 
-@query(f"""with {A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS(100)}, {A.CANON}
+@query(f"""with {A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS}, {A.CANON}
 select 'H' || chr(9) || 'VN:Z:1.0' as value union all select concat_ws(chr(9), 'S', name, '*', 'LN:i:' || length) from seg_part
 union all select concat_ws(chr(9), 'L', from_name, from_orient, to_name, to_orient, overlap || 'M') from uniq""")
 def gfa_written(spark, sf_dir):
     segments = A.seg_part(spark, sf_dir).withColumn("depth", F.lit(None).cast("double"))
-    return K.gfa_text(segments, _links(spark, sf_dir, 100)).select("value")
+    return K.gfa_text(segments, _links(spark, sf_dir)).select("value")
 
 
 @query(f"""with {A.SEG_DOCS} select name, upper_len::bigint as length from (select name, length(replace(regexp_replace(sequence, '\\s', '', 'g'), '>', '')) as upper_len from seg_docs) where upper_len > 0""")
@@ -141,17 +141,17 @@ def side_summary(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    return E.Graph(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
+    return E.Graph(A.seg_part(spark, sf_dir), _links(spark, sf_dir))
 
 
-@query(f"""with {_L100}, kept as (select name from seg_part where length >= 2000 and (depth is null or depth <= 40))
+@query(f"""with {_L1}, kept as (select name from seg_part where length >= 2000 and (depth is null or depth <= 40))
 select 'S' as kind, name as a, null as b from kept union all select 'L', from_name || from_orient, to_name || to_orient from uniq where from_name in (select name from kept) and to_name in (select name from kept)""")
 def filter_graph(spark, sf_dir):
     g = E.filter_graph(_graph(spark, sf_dir), min_length=2000, max_depth=40.0)
     return g.segments.select(F.lit("S").alias("kind"), F.col("name").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(g.links.select(F.lit("L").alias("kind"), F.concat("from_name", "from_orient").alias("a"), F.concat("to_name", "to_orient").alias("b")))
 
 
-@query(f"""with {_L100}, cut as (select * from seg_part where ord % 7 = 0 and length > 1000),
+@query(f"""with {_L1}, cut as (select * from seg_part where ord % 7 = 0 and length > 1000),
 p as (select name || '_part1' as name, 1000::bigint as length from cut union all select name || '_part2', length - 1000 from cut union all select name, length from seg_part where not (ord % 7 = 0 and length > 1000)),
 l as (select * from uniq where not (from_name = to_name and from_name in (select name from cut)))
 select name as a, length::varchar as b from p union all
@@ -164,7 +164,7 @@ def split_segments(spark, sf_dir):
     return g.segments.select(F.col("name").alias("a"), F.col("length").cast("string").alias("b")).unionByName(g.links.select(F.concat("from_name", "from_orient").alias("a"), F.concat("to_name", "to_orient").alias("b")))
 
 
-@query(f"""with {_L100}, f as (select case when from_name in (select name from seg_part where ord % 3 = 0) then rf else from_orient end as fo, case when to_name in (select name from seg_part where ord % 3 = 0) then rt else to_orient end as t_o, * from uniq)
+@query(f"""with {_L1}, f as (select case when from_name in (select name from seg_part where ord % 3 = 0) then rf else from_orient end as fo, case when to_name in (select name from seg_part where ord % 3 = 0) then rt else to_orient end as t_o, * from uniq)
 select from_name, fo as from_orient, to_name, t_o as to_orient from f""")
 def reverse_segments(spark, sf_dir):
     base = _graph(spark, sf_dir)
@@ -174,7 +174,7 @@ def reverse_segments(spark, sf_dir):
 @query()
 def simplify(spark, sf_dir):
     """No SQL: merging follows chains; tests compare it with a plain loop."""
-    return E.simplify(_graph(spark, sf_dir)).segments.select("name", "length", F.round("depth", 6).alias("depth"))
+    return E.simplify(E.Graph(A.seg_orders(spark, sf_dir), G.dedup_links(A.order_links(spark, sf_dir)))).segments.select("name", "length", F.round("depth", 6).alias("depth"))
 
 
 # scaffolds
@@ -223,14 +223,14 @@ def agp_verify(spark, sf_dir):
     return S.verify_agp(_agp(spark, sf_dir)).agg(F.count("*").alias("broken"))
 
 
-@query(f"""with {A.PATH_STEPS} select name as segment, count(*)::bigint as times from path_steps where path % 100 = 0 group by 1 having count(*) > 1""")
+@query(f"""with {A.PATH_STEPS} select name as segment, count(*)::bigint as times from path_steps group by 1 having count(*) > 1""")
 def repeated_segments(spark, sf_dir):
-    return S.repeated_segments(A.path_steps(spark, sf_dir).where("path % 100 = 0").select(F.col("name").alias("segment")))
+    return S.repeated_segments(A.path_steps(spark, sf_dir).select(F.col("name").alias("segment")))
 
 
-@query(f"""with {_L100}, {_CC}, d as (select src as name, count(*) filter (where src_o = '-') as s, count(*) filter (where src_o = '+') as e from adj group by 1)
+@query(f"""with {_L1}, {_CC}, d as (select src as name, count(*) filter (where src_o = '-') as s, count(*) filter (where src_o = '+') as e from adj group by 1)
 select p.name, p.length, format('{{:.4f}}', p.depth) as depth, component, coalesce(s, 0)::bigint as deg_start, coalesce(e, 0)::bigint as deg_end from seg_part p join roots using (name) join comp using (root) left join d on d.name = p.name""")
 def segment_table(spark, sf_dir):
-    segments, links = A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100)
+    segments, links = A.seg_part(spark, sf_dir), _links(spark, sf_dir)
     rows = segments.join(G.components(segments, links), "name").join(G.degrees(segments, links), "name")
     return rows.select("name", "length", F.format_string("%.4f", "depth").alias("depth"), "component", "deg_start", "deg_end")

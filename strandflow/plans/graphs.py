@@ -119,19 +119,21 @@ def filter_thresholds(spark, sf_dir):
 
 # links
 
-_L1 = f"{A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS()}, {A.CANON}"
-_L100 = f"{A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS(100)}, {A.CANON}"
+_L1 = f"{A.SEG_PART}, {A.PATH_STEPS}, {A.LINKS}, {A.CANON}"
+_ORDERS = f"{A.SEG_ORDERS}, {A.ORDER_LINKS()}, {A.CANON}"
 _ENDS = """ends as (select from_name as name, case from_orient when '+' then 'end' else 'start' end as side, overlap from uniq
   union all select to_name, case to_orient when '+' then 'start' else 'end' end, overlap from uniq)"""
 _CC = """und as (select distinct src, dst from adj where src <> dst union select distinct dst, src from adj where src <> dst),
-reach as (with recursive r(name, seen) as (select distinct src, src from und union select r.name, u.dst from r join und u on u.src = r.seen) select * from r),
-roots as (select s.name, coalesce(min(t.ord), s.ord) as root, any_value(s.length) as length from seg_part s left join reach on reach.name = s.name left join seg_part t on t.name = reach.seen group by s.name, s.ord),
+reach as (with recursive r(name, root, moved) as (select name, ord, true from seg_part union all
+  select x.name, least(any_value(x.root), coalesce(min(y.root), any_value(x.root))), coalesce(min(y.root) < any_value(x.root), false)
+  from r x left join und on und.src = x.name left join r y on y.name = und.dst where (select bool_or(moved) from r) group by x.name) select name, min(root) as root from r group by 1),
+roots as (select name, root, length from seg_part join reach using (name)),
 tot as (select root, sum(length) as bases from roots group by root),
 comp as (select root, row_number() over (order by bases desc, root) - 1 as component from tot)"""
 
 
-def _links(spark, sf_dir, every=1):
-    return G.dedup_links(A.links(spark, sf_dir, every))
+def _links(spark, sf_dir):
+    return G.dedup_links(A.links(spark, sf_dir))
 
 
 @query(f"with {_L1} select ord, from_name, from_orient, to_name, to_orient, overlap from uniq")
@@ -155,34 +157,34 @@ def dangling_links(spark, sf_dir):
     return G.drop_dangling(_links(spark, sf_dir), A.seg_part(spark, sf_dir).where("ord % 10 != 0"))
 
 
-@query(f"""with {_L100} select s.name, count(src) filter (where src_o = '-')::bigint as deg_start, count(src) filter (where src_o = '+')::bigint as deg_end,
+@query(f"""with {_L1} select s.name, count(src) filter (where src_o = '-')::bigint as deg_start, count(src) filter (where src_o = '+')::bigint as deg_end,
   ((count(src) filter (where src_o = '-') = 0)::int + (count(src) filter (where src_o = '+') = 0)::int)::bigint as dead_ends from seg_part s left join adj on src = s.name group by 1""")
 def degree_dead_ends(spark, sf_dir):
-    return G.degrees(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
+    return G.degrees(A.seg_part(spark, sf_dir), _links(spark, sf_dir))
 
 
-@query(f"""with {_L1} select src as name from adj group by src having count(*) filter (where src_o = '+') = 1 and count(*) filter (where src_o = '-') = 1 and count(*) filter (where dst = src and src_o = '+' and dst_o = '+') = 1""")
+@query(f"""with {A.ORDER_LINKS(True)}, {A.CANON} select src as name from adj group by src having count(*) filter (where src_o = '+') = 1 and count(*) filter (where src_o = '-') = 1 and count(*) filter (where dst = src and src_o = '+' and dst_o = '+') = 1""")
 def circular_segments(spark, sf_dir):
-    return G.circular_segments(_links(spark, sf_dir))
+    return G.circular_segments(G.dedup_links(A.order_links(spark, sf_dir, True)))
 
 
-@query(f"with {_L100}, {_CC} select name, component from roots join comp using (root)")
+@query(f"with {_L1}, {_CC} select name, component from roots join comp using (root)")
 def connected_components(spark, sf_dir):
-    return G.components(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
+    return G.components(A.seg_part(spark, sf_dir), _links(spark, sf_dir))
 
 
-@query(f"""with {_L100}, {_ENDS}, {_CC}, e as (select name, count(*) as c from ends group by 1),
+@query(f"""with {A.SEG_ORDERS.replace("seg_orders", "seg_part")}, {A.ORDER_LINKS(True)}, {A.CANON}, {_ENDS}, {_CC}, e as (select name, count(*) as c from ends group by 1),
 s as (select component, count(*)::bigint as segments, sum(length)::bigint as bases, (sum(coalesce(c, 0)) / 2)::bigint as links, min(coalesce(c, 0)) as lo, max(coalesce(c, 0)) as hi from roots join comp using (root) left join e using (name) group by 1)
 select component, segments, bases, links, (segments = 1 and links = 1) or (links = segments and lo = 2 and hi = 2) as ring, links >= segments as cyclic from s""")
 def component_summary(spark, sf_dir):
-    return G.component_summary(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
+    return G.component_summary(A.seg_orders(spark, sf_dir), G.dedup_links(A.order_links(spark, sf_dir, True)))
 
 
-@query(f"""with {_L100}, near as (select distinct src, dst from adj where src <> dst), s0 as (select name from seg_part where ord % 50 = 1),
+@query(f"""with {_L1}, near as (select distinct src, dst from adj where src <> dst), s0 as (select name from seg_part where ord % 50 = 1),
 s1 as (select dst as name from near join s0 on src = name), s2 as (select dst as name from near join s1 on src = name)
 select name, min(d)::int as distance from (select name, 0 as d from s0 union all select name, 1 from s1 union all select name, 2 from s2) group by 1""")
 def neighbours_within_2(spark, sf_dir):
-    return G.within_distance(_links(spark, sf_dir, 100), A.seg_part(spark, sf_dir).where("ord % 50 = 1"), 2)
+    return G.within_distance(_links(spark, sf_dir), A.seg_part(spark, sf_dir).where("ord % 50 = 1"), 2)
 
 
 @query(f"""with {_L1}, {_ENDS}, w as (select name, max(overlap) as widest from ends group by 1) select sum(greatest(0, length - coalesce(widest, 0)))::bigint as length_no_overlaps from seg_part left join w using (name)""")
@@ -190,9 +192,9 @@ def no_overlap_length(spark, sf_dir):
     return G.no_overlap_length(A.seg_part(spark, sf_dir), _links(spark, sf_dir))
 
 
-@query(f"""with {_L100}, {_ENDS} select count(*)::bigint as orphaned, coalesce(sum(length), 0)::bigint as orphaned_length from seg_part where name not in (select name from ends)""")
+@query(f"""with {_L1}, {_ENDS} select count(*)::bigint as orphaned, coalesce(sum(length), 0)::bigint as orphaned_length from seg_part where name not in (select name from ends)""")
 def orphaned(spark, sf_dir):
-    return G.orphaned(A.seg_part(spark, sf_dir), _links(spark, sf_dir, 100))
+    return G.orphaned(A.seg_part(spark, sf_dir), _links(spark, sf_dir))
 
 
 @query(f"""with {_L1}, {_ENDS}, t as (select name, max(overlap) as widest from ends where side = 'end' group by 1),
@@ -203,20 +205,20 @@ def estimated_length(spark, sf_dir):
     return G.estimated_length(segments, _links(spark, sf_dir), C.depth_summary(segments))
 
 
-@query(f"""with {_L100}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1)
+@query(f"""with {_ORDERS}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1)
 select src, src_o, dst, dst_o from o join i using (dst, dst_o) where src <> dst""")
 def unbranching_edges(spark, sf_dir):
-    return G.unambiguous_edges(_links(spark, sf_dir, 100))
+    return G.unambiguous_edges(G.dedup_links(A.order_links(spark, sf_dir)))
 
 
-@query(f"""with recursive {_L100}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1),
+@query(f"""with recursive {_ORDERS}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1),
 u as (select src || src_o as a, dst || dst_o as b from o join i using (dst, dst_o) where src <> dst),
 w as (select a as head, a as node, 0::bigint as pos from u where a not in (select b from u) union all select head, b, pos + 1 from w join u on a = node),
 z as (select head, max(pos) as last, max_by(node, pos) as tail from w group by 1),
-p as (select z.*, h.ord as ho, t.ord as tor from z join seg_part h on h.name = head[:-2] join seg_part t on t.name = tail[:-2])
+p as (select z.*, h.ord as ho, t.ord as tor from z join seg_orders h on h.name = head[:-2] join seg_orders t on t.name = tail[:-2])
 select ho as chain, pos, node[:-2] as name, node[-1:] as orient from w join p using (head) where ho < tor or (ho = tor and head[-1:] = '+')""")
 def unbranching_chains(spark, sf_dir):
-    return G.chains(_links(spark, sf_dir, 100), A.seg_part(spark, sf_dir))
+    return G.chains(G.dedup_links(A.order_links(spark, sf_dir)), A.seg_orders(spark, sf_dir))
 
 
 @query(f"""with {_L1}, p as (select *, lag(name) over w as p, lag(orient) over w as po from path_steps window w as (partition by path order by pos)),
