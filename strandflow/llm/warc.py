@@ -5,14 +5,21 @@ into partitions of ``partition_bytes``. A record's headers are parsed first; whe
 fails a predicate the rest is not read: a plain file is sought past it, and a member of a .gz file is sought
 past as well where its 'sl' extra field gives its length. ``payload`` set to ``false`` leaves payloads undecoded.
 Predicates on the header columns arrive through filter pushdown (see :func:`register`) or the options
-``types``, ``target_prefix`` and ``record_ids``.
+``types``, ``target_prefix`` and ``record_ids``. Spark 4.1 keeps what it pushed with the loaded DataFrame: call ``load``
+again for another query over the same folder.
 
 Writing: ``df.write.format("warc").mode("append").save(folder)``. Each task writes files of its own, one gzip
-member per record, and the driver then writes a manifest of the files of the tasks that counted; files of lost
-or repeated tasks are in no manifest and are not read. Folders without a manifest are read in full.
+member per record, and the driver then writes a manifest of the files of the tasks that counted; files that this
+writer named and no manifest lists are of lost or repeated tasks and are not read. Others' files always are, as are
+all of a folder without a manifest.
 
-Paths are local or whatever pyarrow's file systems reach. Header values are percent-encoded where they
-hold control characters or ``%``, so no text can break a header; null values leave the header out.
+Paths are local or whatever pyarrow's file systems reach. Header values are percent-encoded where one of them
+holds control characters, spaces or ``%``, so no text can break a header, and a header of the record says so; others'
+values are taken as they are. A record that breaks off raises.
+
+Inputs: null values leave their header out and meet no predicate, a null payload is empty, payloads are kept whole; rows
+that repeat an id and a payload are one page, all of whose records are responses; an empty table gives an archive without
+records; columns beside those of the schema cannot be written, and :func:`with_revisits` drops them.
 """
 
 from __future__ import annotations
@@ -23,7 +30,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from io import BytesIO
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,6 +42,8 @@ SCHEMA = "warc_type string, record_id string, target_uri string, date string, re
 #: columns and the headers that carry them
 HEADERS = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Says that the values of a record's headers are percent-encoded; only this writer's are.
+ENCODED = "X-Header-Values: percent-encoded"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f%]")
 
 
@@ -60,7 +68,9 @@ def record_bytes(row: dict) -> bytes:
     payload, kind = row["payload"] or b"", row["warc_type"]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (row["payload_length"] if kind == "revisit" else len(payload))
     block = http if kind == "revisit" else http + payload
-    head = ["WARC/1.1"] + [f"{name}: {encode(row[c])}" for c, name in HEADERS.items() if row.get(c) is not None]
+    values = {name: row[c] for c, name in HEADERS.items() if row.get(c) is not None}
+    odd = any(_UNSAFE.search(v) for v in values.values())
+    head = ["WARC/1.1"] + [f"{name}: {encode(v) if odd else v}" for name, v in values.items()] + [ENCODED] * odd
     head += [f"WARC-Profile: {PROFILE}"] * (kind == "revisit") + ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -70,6 +80,8 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
     squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = squeeze.compress(data) + squeeze.flush()
     total = 10 + 2 + 12 + len(body) + 8
+    if total >> 32:  # a length that does not fit is left out
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -114,8 +126,11 @@ class Plain:
         return got
 
     def take(self, n: int) -> bytes:
-        self.out += self.f.read(max(0, n - len(self.out)))
+        if n > len(self.out):
+            self.out += self.f.read(n - len(self.out))
         got, self.out = self.out[:n], self.out[n:]
+        if len(got) < n:
+            raise ValueError("truncated WARC record")
         return got
 
     def skip(self, n: int) -> None:
@@ -124,13 +139,56 @@ class Plain:
         self.out = self.out[n:]
 
 
+class Unzipped:
+    """The content of a file's gzip members from one of them on, as a file that is read in order."""
+
+    def __init__(self, f, offset: int):
+        f.seek(offset)
+        self.f, self.d, self.raw, self.read_raw = f, zlib.decompressobj(31), b"", offset
+        self.at, self.members = 0, [(0, offset)]  # bytes given out; where members begin in them and in the file
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while len(out) < n:
+            if not self.raw and not self.d.unconsumed_tail:
+                self.raw = self.f.read(1 << 16)
+                self.read_raw += len(self.raw)
+                if not self.raw:
+                    if not self.d.eof and (self.at + len(out) > self.members[-1][0]):
+                        raise ValueError("truncated gzip member")
+                    break
+            if self.d.eof:
+                self.members.append((self.at + len(out), self.read_raw - len(self.raw)))
+                self.d = zlib.decompressobj(31)
+            data, self.raw = self.d.unconsumed_tail + self.raw, b""
+            out += self.d.decompress(data, n - len(out))
+            self.raw = self.d.unused_data if self.d.eof else b""
+        self.at += len(out)
+        return out
+
+    def seek(self, n: int, _) -> None:
+        while n > 0 and (got := self.read(min(n, 1 << 16))):
+            n -= len(got)
+
+    def member(self, at: int) -> int:
+        """The offset in the file of the member that holds byte ``at``; asked in order."""
+        while len(self.members) > 1 and self.members[1][0] <= at:
+            self.members.pop(0)
+        return self.members[0][1]
+
+
 def _headers(block: bytes) -> dict[str, str]:
     lines = block.decode("utf-8", "replace").split("\r\n")
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
+def _value(head: dict[str, str], name: str) -> str | None:
+    value = head.get(name.lower())
+    return decode(value) if value is not None and head.get("x-header-values") == "percent-encoded" else value
+
+
 def _row(head: dict[str, str], source, payload: bool, length: int) -> dict:
-    row = {c: decode(v) if (v := head.get(name.lower())) is not None else None for c, name in HEADERS.items()}
+    row = {c: _value(head, name) for c, name in HEADERS.items()}
     row |= {"payload": None, "payload_length": None}
     if "http" in head.get("content-type", ""):
         http = source.until(b"\r\n\r\n")
@@ -148,51 +206,59 @@ def _row(head: dict[str, str], source, payload: bool, length: int) -> dict:
 
 
 def read_records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
-    """Rows of a file for the records whose headers satisfy ``wanted``."""
+    """Rows of a file for the records whose headers satisfy ``wanted``.
+
+    Of a gzip member that states its length only the headers are inflated if it is not wanted. From the first member
+    on that does not, the file is inflated in order, with any number of records in a member.
+    """
     if not gz:
-        source, offset = Plain(f), 0
-        while True:
-            while source.out[:2] == b"\r\n" or not source.out:
-                if source.out[:2] == b"\r\n":
-                    source.out = source.out[2:]
-                    offset += 2
-                elif not (more := f.read(4096)):
-                    return
-                else:
-                    source.out = more
-            block = source.until(b"\r\n\r\n")
-            head = _headers(block)
-            length = int(head["content-length"])
-            if wanted(head):
-                row = _row(head, source, payload, length)
-                source.skip(row.pop("left"))
-                yield row | {"offset": offset}
-            else:
-                source.skip(length)
-            offset += len(block) + 4 + length
+        yield from _in_order(f, wanted, payload, lambda at: at)
         return
     offset = 0
     while fixed := f.read(24):
-        sized = fixed[:4] == b"\x1f\x8b\x08\x04" and fixed[12:14] == b"sl"
-        if sized:
-            total = struct.unpack("<I", fixed[16:20])[0]
-            raw, after = fixed + f.read(total - 24), offset + total
-        else:  # made by another writer: the member's end shows only when it is inflated
-            f.seek(offset)
-            whole, parts = zlib.decompressobj(31), []
-            raw_parts = []
-            while not whole.eof and (more := f.read(1 << 16)):
-                parts.append(whole.decompress(more))
-                raw_parts.append(more)
-            after = offset + sum(map(len, raw_parts)) - len(whole.unused_data)
-        source = Inflating(raw, 31) if sized else Plain(BytesIO(b"".join(parts)))
+        if fixed[:4] != b"\x1f\x8b\x08\x04" or fixed[12:14] != b"sl":
+            rest = Unzipped(f, offset)
+            yield from _in_order(rest, wanted, payload, rest.member)
+            return
+        total = struct.unpack("<I", fixed[16:20])[0]
+        source = Inflating(fixed + f.read(total - 24), 31)
         head = _headers(source.until(b"\r\n\r\n"))
         if wanted(head):
             row = _row(head, source, payload, int(head["content-length"]))
             row.pop("left")
             yield row | {"offset": offset}
-        offset = after
-        f.seek(after)
+        offset += total
+        f.seek(offset)
+
+
+def _in_order(f, wanted, payload: bool, place) -> Iterator[dict]:
+    source, offset, ended = Plain(f), 0, True
+    while True:
+        while source.out[:2] == b"\r\n" or len(source.out) < 2:
+            if source.out[:2] == b"\r\n":
+                source.out, ended = source.out[2:], True
+                offset += 2
+            elif more := f.read(4096):
+                source.out += more
+            elif ended and not source.out:
+                return
+            else:
+                raise ValueError("truncated WARC record")
+        block = source.until(b"\r\n\r\n")
+        head = _headers(block)
+        length = int(head["content-length"])
+        if wanted(head):
+            row = _row(head, source, payload, length)
+            source.skip(row.pop("left"))
+            yield row | {"offset": place(offset)}
+        else:
+            source.skip(length)
+        offset += len(block) + 4 + length
+        ended = False
+
+
+#: Names of this writer's files: those that no manifest lists are of jobs that did not end.
+_OWN = re.compile(r"part-[0-9a-f]{32}\.warc")
 
 
 class Files(InputPartition):
@@ -226,15 +292,15 @@ class WarcReader(DataSourceReader):
                 yield x
 
     def wanted(self, head: dict[str, str]) -> bool:
-        get = lambda c: decode(v) if (v := head.get(HEADERS[c].lower())) is not None else None
-        return all(get(c) in values for c, values in self.equal.items()) and all((get(c) or "").startswith(p) for c, p in self.prefix.items())
+        get = lambda c: _value(head, HEADERS[c])
+        return all(get(c) is not None and get(c) in values for c, values in self.equal.items()) and all(get(c) is not None and get(c).startswith(p) for c, p in self.prefix.items())
 
     def partitions(self) -> list[Files]:
         system, at = _place(self.path)
         found = [x for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.is_file] if system.get_file_info(at).type == fs.FileType.Directory else [system.get_file_info(at)]
         manifests = [x for x in found if x.base_name.startswith("_manifest-")]
         listed = {name for x in manifests for name in json.loads(system.open_input_stream(x.path).readall())}
-        files = [x for x in found if x.base_name.endswith((".warc", ".warc.gz")) and (not manifests or x.base_name in listed)]
+        files = [x for x in found if x.base_name.endswith((".warc", ".warc.gz")) and (not _OWN.match(x.base_name) or not manifests or x.base_name in listed)]
         out, size = [[]], 0
         for x in sorted(files, key=lambda x: x.path):
             if out[-1] and size + x.size > self.bytes:
@@ -328,7 +394,7 @@ def with_revisits(pages: DataFrame, *, least: int = 1000) -> DataFrame:
     """Rows ``(id, uri, payload)`` to records: of equal payloads of ``least`` bytes or more the largest id
     is the response and the others revisit it. Rows with a null id neither are revisited nor revisit."""
     scratch = Scratch(pages.sparkSession, "warc")
-    rows = pages.withColumn("payload", F.coalesce("payload", F.lit(b""))).withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
+    rows = pages.select("id", "uri", F.coalesce("payload", F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("length", F.octet_length("payload").cast("long"))
     large = rows.where(F.col("length") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("id").alias("n"))
     several = scratch.save(large.where("n > 1").select("digest", "first"), "several")
     rows = rows.join(several, "digest", "left")

@@ -57,5 +57,35 @@ def test_files_of_other_writers_and_orphans(spark, tmp_path):
     assert sorted(r["record_id"] for r in spark.read.format("warc").load(str(folder)).collect()) == ["<urn:page:1>", "<urn:page:2>", "<urn:page:3>"]
     made, _ = records(spark)
     made.limit(0).write.format("warc").mode("append").save(str(folder))  # its manifest lists no file
-    assert spark.read.format("warc").load(str(folder)).count() == 0
+    (folder / f"part-{'0' * 32}.warc.gz").write_bytes(gzip_member(record_bytes(row)))  # of a job that did not end
+    assert spark.read.format("warc").load(str(folder)).count() == 3
     assert gzip.decompress(gzip_member(b"abc" * 999)) == b"abc" * 999
+
+
+def test_one_member_for_a_whole_file(spark, tmp_path):
+    register(spark)
+    row = {"warc_type": "response", "record_id": "<urn:page:1>", "target_uri": "http://x/a%20b", "date": None, "refers_to": None, "payload_digest": None, "payload_length": 3}
+    records = [record_bytes(row | {"record_id": f"<urn:page:{k}>", "payload": b"x" * k * 1000}).replace(b"%2520", b"%20").replace(b"X-Header-Values: percent-encoded\r\n", b"") for k in range(60)]
+    for name, data in (("one.warc.gz", gzip.compress(b"".join(records))), ("two.warc.gz", gzip.compress(b"".join(records[:7])) + gzip.compress(b"".join(records[7:]))), ("plain.warc", b"".join(records))):
+        folder = tmp_path / name[:3]
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        got = spark.read.format("warc").load(str(folder))
+        assert sorted((int(r["record_id"][10:-1]), len(r["payload"])) for r in got.collect()) == [(k, k * 1000) for k in range(60)]
+        assert got.where("target_uri = 'http://x/a%20b'").count() == 60
+        assert got.where("record_id = '<urn:page:59>'").count() == 1
+        (folder / name).write_bytes(data[:-3000])
+        try:
+            got.collect()
+            raise AssertionError(name)
+        except Exception as e:
+            assert "truncated" in str(e)
+
+
+def test_null_headers_meet_no_prefix(spark, tmp_path):
+    register(spark)
+    made = with_revisits(spark.createDataFrame([(1, None, b"a"), (2, "u", b"b")], "id long, uri string, payload binary").selectExpr("*", "1 as digest", "2 as length", "3 as n", "4 as first"))
+    made.write.format("warc").mode("append").save(str(tmp_path / "n"))
+    load = lambda: spark.read.format("warc").load(str(tmp_path / "n"))
+    assert [r["record_id"] for r in load().where(F.col("target_uri").startswith("")).collect()] == ["<urn:page:2>"]
+    assert load().count() == 2
