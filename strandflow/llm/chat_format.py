@@ -57,19 +57,29 @@ def _role_back(role: str) -> str:
 
 
 class Flatten:
-    """Visits the parts of one content in order."""
+    """Visits the parts of one content in order. Neighbouring texts are one text, so that no control string can
+    come about where they meet."""
 
     PATCH, AUDIO_RATE, PAGE = 28, 25, 560
 
     def __init__(self) -> None:
         self.body: list[str] = []
+        self.text: list[str] = []
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('type')}", self.visit_document)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.body.append(escape(part.get("text") or ""))
+        self.text.append(part.get("text") or "")
+
+    def flattened(self) -> str:
+        self._end_text()
+        return "".join(self.body)
+
+    def _end_text(self) -> None:
+        self.body.append(escape("".join(self.text)))
+        self.text.clear()
 
     def visit_image(self, part: dict) -> None:
         patches = [math.ceil(max(1, part.get(side) or 16 * self.PATCH) / self.PATCH) for side in ("width", "height")]
@@ -82,6 +92,7 @@ class Flatten:
         self._attach("document", part, max(1, part.get("pages") or 1) * self.PAGE)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self._end_text()
         self.body.append(f"<|{kind}|>")
         self.attachments.append({"kind": kind, "ref": part.get("ref"), "tokens": tokens})
 
@@ -94,7 +105,7 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in [{"type": "text", "text": content}] if isinstance(content, str | None) else content:
                 if part is not None:
                     visitor.visit(part)
-            bodies.append("".join(visitor.body))
+            bodies.append(visitor.flattened())
             attachments.append(visitor.attachments)
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bodies, pa.string()), pa.array(attachments, pa.list_(_ATTACHMENT))], names=["conv_id", "turn", "role", "body", "attachments"])
 

@@ -30,6 +30,7 @@ from strandflow.runtime import Scratch
 
 START = "▁"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LATTICE = 1 << 17  # characters of equally long words that are scored at once
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -39,6 +40,17 @@ def piece_vocabulary_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def letter_runs(text: str) -> list[str]:
+    """The maximal runs of letters, in lower case; signs like a half or a Roman numeral are none."""
+    out = []
+    for run in _LETTERS.findall(text.lower()):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
 class Pieces:
     """The vocabulary's pieces by length, found in many words at once by rolling hashes."""
 
@@ -103,9 +115,10 @@ def word_scores(pieces: Pieces, words: list[str], logp: np.ndarray) -> np.ndarra
     out, by_size = np.zeros((len(words), logp.shape[1])), defaultdict(list)
     for k, w in enumerate(words):
         by_size[len(w)].append(k)
-    for own in by_size.values():
-        for at in range(0, len(own), 4096):
-            some = own[at : at + 4096]
+    for length, own in by_size.items():
+        step = max(1, min(4096, _LATTICE // (length + 1)))
+        for at in range(0, len(own), step):
+            some = own[at : at + step]
             size, found = pieces.lattice([START + words[k] for k in some])
             out[some] = forward(size, found, len(some), logp)[:, size]
     return out
@@ -117,9 +130,10 @@ def expected_pieces(pieces: Pieces, words: list[str], languages: np.ndarray, cou
     by_size = defaultdict(list)
     for k, w in enumerate(words):
         by_size[len(w)].append(k)
-    for own in by_size.values():
-        for at in range(0, len(own), 4096):
-            some = np.array(own[at : at + 4096])
+    for length, own in by_size.items():
+        step = max(1, min(4096, _LATTICE // (length + 1)))
+        for at in range(0, len(own), step):
+            some = np.array(own[at : at + step])
             lang, count, rows_all = languages[some], counts[some], np.arange(len(some))
             size, found = pieces.lattice([START + words[k] for k in some])
             alpha = forward(size, found, len(some), logp)[rows_all[:, None], np.arange(size + 1), lang[:, None]]
@@ -149,7 +163,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, Counter] = defaultdict(Counter)
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[lang].update(_LETTERS.findall(text.lower()))
+            total[lang].update(letter_runs(text))
             if len(total[lang]) > 500_000:
                 yield _counted(total)
                 total.clear()
@@ -180,7 +194,7 @@ class LanguageModel:
 
             def predict(texts: list) -> dict:
                 nonlocal known
-                words = [_LETTERS.findall(t.decode().lower()) if t and languages else [] for t in texts]
+                words = [letter_runs(t.decode()) if t and languages else [] for t in texts]
                 if len(place) > memo:
                     place.clear()
                 new = list(set().union(*words).difference(place)) if words else []

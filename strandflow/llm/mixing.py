@@ -12,7 +12,8 @@ only inside the one range that holds the cut, so that no task sees a whole sourc
 
 Inputs: a null text has no words; a null source is a source of its own, null ids are hashed as such, equal
 rows share one fate apart from the range of the cut, where (hash, id, size) decide and ties go by place; a
-source without words takes none; an empty table gives an empty result. Reruns agree.
+source without words takes none; very long texts are counted whole; an empty table gives an empty result. All other
+columns are kept, whatever their names. Reruns agree.
 """
 
 from __future__ import annotations
@@ -50,29 +51,31 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     scratch = Scratch(docs.sparkSession, "mixing")
     base = docs.drop("size", "source_size", "target", "times")
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
-    own = scratch.save(base.withColumn("size", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")).withColumn("__place", place), "sized")
-    # (flag, name): null-safe keys that any join can use
-    key = [F.col(source).isNull().alias("__none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__name")]
-    bins = own.groupBy(*key, F.shiftright("__place", 36).alias("bin")).agg(F.sum("size").alias("n"))
-    bins = scratch.save(bins, "bins")
-    sizes = bins.groupBy("__none", "__name").agg(F.sum("n").alias("source_size"))
-    sizes = sizes.select(F.when(~F.col("__none"), F.col("__name")).alias("source"), "source_size")
-    targets = source_targets(sizes, weights, max_epochs).select(F.col("source").isNull().alias("__none"), F.coalesce("source", F.lit("")).alias("__name"), "source_size", "target")
+    # docs' own columns travel as one, so that their names meet none of these; (none, name) are null-safe keys
+    own = base.select(
+        F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        place.alias("place"), F.col(doc_id).alias("id"), F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name"),
+    )
+    own = scratch.save(own.withColumn("bin", F.shiftright("place", 36)), "sized")
+    key = ["none", "name"]
+    bins = scratch.save(own.groupBy(*key, "bin").agg(F.sum("size").alias("n")), "bins")
+    sizes = bins.groupBy(*key).agg(F.sum("n").alias("source_size")).select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size")
+    targets = source_targets(sizes, weights, max_epochs).select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "source_size", "target")
     epochs = F.col("target") / F.expr("nullif(source_size, 0)")
     targets = targets.withColumn("whole", F.coalesce(F.floor(epochs), F.lit(0)).cast("long"))
     targets = scratch.save(targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
-    up_to = W.partitionBy("__none", "__name").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    cut = bins.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))).join(targets, ["__none", "__name"])
+    up_to = W.partitionBy(*key).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    cut = bins.withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0))).join(targets, key)
     cut = cut.where((F.col("before") < F.col("rest")) & (F.col("rest") <= F.col("before") + F.col("n")))
-    cut = cut.groupBy("__none", "__name").agg(F.min(F.struct("bin", "before")).alias("cut"))
-    plan = scratch.save(targets.join(cut, ["__none", "__name"], "left").select("__none", "__name", "source_size", "target", "whole", "rest", F.coalesce("cut.bin", F.lit(-1)).alias("cut_bin"), F.coalesce("cut.before", F.lit(0)).alias("cut_before")), "plan")
-    rows = own.select("*", *key).join(plan, ["__none", "__name"]).withColumn("bin", F.shiftright("__place", 36))
-    sure = rows.where(F.col("bin") != F.col("cut_bin")).withColumn("extra", (F.col("bin") < F.col("cut_bin")).cast("long"))
-    inside = W.partitionBy("__none", "__name").orderBy("__place", F.col(doc_id), "size").rowsBetween(W.unboundedPreceding, 0)
-    near = rows.where(F.col("bin") == F.col("cut_bin")).withColumn("upto", F.col("cut_before") + F.sum("size").over(inside))
+    cut = cut.groupBy(*key).agg(F.min(F.struct("bin", "before")).alias("cut"))
+    plan = targets.join(cut, key, "left").select(*key, "source_size", "target", "whole", "rest", F.coalesce("cut.bin", F.lit(-1)).alias("cut_bin"), F.coalesce("cut.before", F.lit(0)).alias("cut_before"))
+    rows = own.join(scratch.save(plan, "plan"), key)
+    sure = rows.where("bin != cut_bin").withColumn("extra", (F.col("bin") < F.col("cut_bin")).cast("long"))
+    inside = W.partitionBy(*key).orderBy("place", "id", "size").rowsBetween(W.unboundedPreceding, 0)
+    near = rows.where("bin = cut_bin").withColumn("upto", F.col("cut_before") + F.sum("size").over(inside))
     near = near.withColumn("extra", (F.abs(F.col("upto") - F.col("rest")) <= F.abs(F.col("upto") - F.col("size") - F.col("rest"))).cast("long")).drop("upto")
     both = sure.unionByName(near)
-    return both.select(*[F.col(f"`{c}`") for c in base.columns], "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("times"))
+    return both.select(*[F.col(f"row.`{c}`").alias(c) for c in base.columns], "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("times"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from hypothesis import given, settings, strategies as st
 
-from strandflow.llm.chat_format import PART, SQL, escape, format_chats, op7_chat_format, parse, unescape
+from strandflow.llm.chat_format import PART, SQL, Flatten, escape, format_chats, op7_chat_format, parse, render, unescape
 from tests.conftest import SF, rows_of
 
 
@@ -18,6 +18,30 @@ def test_escaping_is_reversible_and_leaves_no_control_string(text):
     assert not any(x in out for x in ("<|", "<s>", "</s>", "[INST]", "[/INST]"))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<", "|", "|end|>\n<", "|turn|>assistant\nx", "<|", "<\\|", "image|>", "|image|>", "[", "/INST]", "\\", "s>", None, "IMAGE"]), max_size=8))
+def test_parts_forge_no_turn_and_no_placeholder(parts):
+    visitor = Flatten()
+    for x in parts:
+        visitor.visit({"type": "image"} if x == "IMAGE" else {"type": "text", "text": x})
+    body = visitor.flattened()
+    formatted, loss = render([{"role": "assistant", "body": body}])
+    assert body.count("<|") == len(visitor.attachments) == parts.count("IMAGE")
+    assert "".join(unescape(formatted[s["start"] : s["stop"]]) for s in loss) == "".join(x or "" for x in parts if x != "IMAGE")
+    assert [unescape(x) for x in body.split("<|image|>")] == ["".join(y or "" for y in run) for run in split(parts)]
+    assert len(parse(formatted)) == 1
+
+
+def split(parts: list) -> list[list]:
+    out = [[]]
+    for x in parts:
+        if x == "IMAGE":
+            out.append([])
+        else:
+            out[-1].append(x)
+    return out
+
+
 def test_parts_become_placeholders_in_order(spark):
     part = lambda kind, **x: (kind, x.get("text"), x.get("ref"), x.get("width"), x.get("height"), x.get("seconds"), x.get("pages"))
     rows = [

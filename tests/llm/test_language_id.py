@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from strandflow.llm.language_id import START, fit, op9_language_id, piece_vocabulary_path, pieces_of, word_scores
+from strandflow.llm.language_id import START, fit, letter_runs, op9_language_id, piece_vocabulary_path, pieces_of, word_scores
 from tests.conftest import SF
 
 
@@ -53,8 +53,13 @@ def test_odd_rows(spark):
     teach = [(k, t, lang, "x") for k in range(60) for t, lang in [("the cat and the dog were there", "en")] if k % 2] + [(k, "der Hund und die Katze sind nicht hier", "de", "x") for k in range(0, 60, 2)]
     df = spark.createDataFrame(teach, schema)
     model = fit(df)
-    odd = [(1, None, None, "x"), (2, "", None, "x"), (3, "123 !!! ", None, "x"), (None, "the dog", None, "x"), (5, "die Katze " * 20_000, None, "x"), (6, "q" * 5000, None, "x"), (6, "q" * 5000, None, "x")]
+    odd = [(1, None, None, "x"), (2, "", None, "x"), (3, "123 !!! ", None, "x"), (None, "the dog", None, "x"), (5, "die Katze " * 20_000, None, "x"), (6, "q" * 5000, None, "x"), (6, "q" * 5000, None, "x"), (7, "½ ² ① Ⅷ", None, "x")]
     got = [(r["doc_id"], r["lang_pred"]) for r in model.predict(spark.createDataFrame(odd, schema)).collect()]
-    assert got[:5] == [(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "de")] and len(got) == 7
+    assert got[:5] == [(1, "und"), (2, "und"), (3, "und"), (None, "en"), (5, "de")] and len(got) == 8 and got[7] == (7, "und")
     assert model.predict(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in fit(df.limit(0)).predict(df).collect()} == {"und"}
+
+
+def test_letters_are_those_of_isalpha():
+    assert letter_runs("a½b Ⅷ Ünï_x 3c ①") == ["a", "b", "ünï", "x", "c"]
+    assert all((letter_runs(chr(c)) != []) == chr(c).lower()[0].isalpha() for c in range(0x3000))

@@ -55,3 +55,12 @@ def test_nulls_ties_and_empty_tables(spark):
     assert len(out) == len(rows) and all(0 <= r["times"] <= 3 for r in out)
     assert {r["source_size"] for r in out if r["source"] is None} == {2}
     assert mix(df.limit(0)).collect() == []
+
+
+def test_columns_of_any_name_come_back(spark):
+    names = ["bin", "extra", "__place", "place", "whole", "rest", "cut_bin", "cut_before", "none", "name", "upto", "row", "id"]
+    df = spark.createDataFrame([(k, f"a b {k}", f"s{k % 3}", *range(len(names))) for k in range(50)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    out = mix(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "times"]
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+    assert mix(df.limit(0)).collect() == []
