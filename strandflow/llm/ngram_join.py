@@ -482,8 +482,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # two buckets for each shuffle partition, so that these fill alike
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = scratch.save(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(n, threshold, buckets), DESCRIBED), "described")
     own = made.where("n is not null").select("doc_id", "n", "fp")
     nodes = scratch.save(own.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
