@@ -13,9 +13,10 @@ LINKS = "ord long, from_name string, from_orient string, to_name string, to_orie
 
 
 def tiny(spark):
-    seqs = {"A": ("A" * 90 + "GATTACAGAT", 10.0), "B": ("GATTACAGAT" + "C" * 60 + "TTCCGGAACC", 20.0), "C": ("TTCCGGAACC" + "G" * 50, 30.0), "D": ("T" * 40, 5.0), "R": ("ACGT" * 7 + "AC", 40.0)}
+    """A chain of three, one by itself and a loop."""
+    seqs = {"e1": ("CA" * 35 + "TGCATTAC", 12.0), "e2": ("TGCATTAC" + "AG" * 30 + "CCTAGGT", 18.0), "e3": ("CCTAGGT" + "T" * 41, 34.0), "f": ("GC" * 16, 6.0), "loop": ("ACCT" * 8, 42.0)}
     segments = spark.createDataFrame([(k, n, s, len(s), d) for k, (n, (s, d)) in enumerate(seqs.items())], SEGMENTS)
-    links = spark.createDataFrame([(0, "A", "+", "B", "+", 10), (1, "B", "+", "C", "+", 10), (2, "R", "+", "R", "+", 0), (3, "B", "-", "A", "-", 7), (4, "C", "+", "nowhere", "+", 1)], LINKS)
+    links = spark.createDataFrame([(0, "e1", "+", "e2", "+", 8), (1, "e2", "+", "e3", "+", 7), (2, "loop", "+", "loop", "+", 0), (3, "e2", "-", "e1", "-", 5), (4, "e3", "+", "nowhere", "+", 1)], LINKS)
     return segments, links
 
 
@@ -26,7 +27,7 @@ def clean(spark):
 
 def test_reverse_spellings_collapse_and_dangling_links_go(spark):
     _, links = clean(spark)
-    assert sorted((r["ord"], r["overlap"]) for r in links.collect()) == [(0, 10), (1, 10), (2, 0)]
+    assert sorted((r["ord"], r["overlap"]) for r in links.collect()) == [(0, 8), (1, 7), (2, 0)]
 
 
 def test_adjacency_of_hairpins_and_loops(spark):
@@ -36,23 +37,23 @@ def test_adjacency_of_hairpins_and_loops(spark):
 
 def test_topology(spark):
     segments, links = clean(spark)
-    assert {r["name"]: r["component"] for r in G.components(segments, links).collect()} == {"A": 0, "B": 0, "C": 0, "D": 1, "R": 2}
+    assert {r["name"]: r["component"] for r in G.components(segments, links).collect()} == {"e1": 0, "e2": 0, "e3": 0, "f": 1, "loop": 2}
     dead = {r["name"]: r["dead_ends"] for r in G.degrees(segments, links).collect()}
-    assert dead == {"A": 1, "B": 0, "C": 1, "D": 2, "R": 0}
-    assert [r["name"] for r in G.circular_segments(links).collect()] == ["R"]
-    assert G.no_overlap_length(segments, links).first()[0] == 280
-    assert tuple(G.orphaned(segments, links).first()) == (1, 40)
+    assert dead == {"e1": 1, "e2": 0, "e3": 1, "f": 2, "loop": 0}
+    assert [r["name"] for r in G.circular_segments(links).collect()] == ["loop"]
+    assert G.no_overlap_length(segments, links).first()[0] == 242
+    assert tuple(G.orphaned(segments, links).first()) == (1, 32)
     from strandflow.operators.contiguity import depth_summary
 
-    assert G.estimated_length(segments, links, depth_summary(segments)).first()[0] == 340
-    assert {r["name"]: r["distance"] for r in G.within_distance(links, segments.where("name = 'A'"), 2).collect()} == {"A": 0, "B": 1, "C": 2}
+    assert G.estimated_length(segments, links, depth_summary(segments)).first()[0] == 298
+    assert {r["name"]: r["distance"] for r in G.within_distance(links, segments.where("name = 'e1'"), 2).collect()} == {"e1": 0, "e2": 1, "e3": 2}
 
 
 def test_walk(spark):
     segments, links = clean(spark)
-    steps = spark.createDataFrame([("p", 0, "A", "+"), ("p", 1, "B", "+"), ("p", 2, "C", "+")], "path string, pos long, name string, orient string")
+    steps = spark.createDataFrame([("p", 0, "e1", "+"), ("p", 1, "e2", "+"), ("p", 2, "e3", "+")], "path string, pos long, name string, orient string")
     r = G.walk_sequences(steps, links, segments).first()
-    assert r["length"] == 220 and r["sequence"].startswith("A" * 90 + "GATTACAGATC") and r["sequence"].endswith("G" * 50)
+    assert r["length"] == 186 and r["sequence"] == "CA" * 35 + "TGCATTAC" + "AG" * 30 + "CCTAGGT" + "T" * 41
 
 
 def test_components_of_random_graphs(spark):
@@ -77,10 +78,10 @@ def test_components_of_random_graphs(spark):
 
 def test_split_keeps_bases_and_links(spark):
     segments, links = clean(spark)
-    g = E.split_segments(E.Graph(segments, links), spark.createDataFrame([("B", 30), ("B", 50), ("B", 0), ("R", 10)], "name string, pos long"))
-    assert {r["name"]: r["length"] for r in g.segments.collect()} == {"A": 100, "B_part1": 30, "B_part2": 20, "B_part3": 30, "C": 60, "D": 40, "R_part1": 10, "R_part2": 20}
+    g = E.split_segments(E.Graph(segments, links), spark.createDataFrame([("e2", 30), ("e2", 50), ("e2", 0), ("loop", 10)], "name string, pos long"))
+    assert {r["name"]: r["length"] for r in g.segments.collect()} == {"e1": 78, "e2_part1": 30, "e2_part2": 20, "e2_part3": 25, "e3": 48, "f": 32, "loop_part1": 10, "loop_part2": 22}
     ends = {(r["from_name"], r["from_orient"], r["to_name"], r["to_orient"]) for r in g.links.collect()}
-    assert ends == {("A", "+", "B_part1", "+"), ("B_part3", "+", "C", "+"), ("B_part1", "+", "B_part2", "+"), ("B_part2", "+", "B_part3", "+"), ("R_part1", "+", "R_part2", "+")}
+    assert ends == {("e1", "+", "e2_part1", "+"), ("e2_part3", "+", "e3", "+"), ("e2_part1", "+", "e2_part2", "+"), ("e2_part2", "+", "e2_part3", "+"), ("loop_part1", "+", "loop_part2", "+")}
     assert g.undo().segments.count() == 5
 
 
@@ -88,8 +89,8 @@ def test_simplify_merges_chains(spark):
     segments, links = clean(spark)
     g = E.simplify(E.Graph(segments, links))
     rows = {r["name"]: (r["length"], r["depth"]) for r in g.segments.collect()}
-    assert rows["merged_0"] == (220, (100 * 10 + 80 * 20 + 60 * 30) / 240) and set(rows) == {"merged_0", "D", "R"}
-    assert [r["from_name"] for r in g.links.collect()] == ["R"]
+    assert rows["merged_0"] == (186, (78 * 12 + 75 * 18 + 48 * 34) / 201) and set(rows) == {"merged_0", "f", "loop"}
+    assert [r["from_name"] for r in g.links.collect()] == ["loop"]
 
 
 def test_chains_read_through_reversed_segments(spark):

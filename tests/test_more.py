@@ -19,28 +19,28 @@ def test_formats(spark):
 
 def test_contig_paths(spark):
     segments, _ = clean(spark)
-    text = "NODE_1\nA+,nope+;\nB-,C+\nNODE_1'\nC-,B+\nNODE_2\nR+\n"
+    text = "NODE_1\ne1+,nope+;\ne2-,e3+\nNODE_1'\ne3-,e2+\nNODE_2\nloop+\n"
     got = [tuple(r) for r in T.contig_paths(spark, text, segments).orderBy("path", "pos").collect()]
-    assert got == [("NODE_1", 0, "A", "+", False), ("NODE_1", 1, "B", "-", False), ("NODE_1", 2, "C", "+", False), ("NODE_2", 0, "R", "+", False)]
+    assert got == [("NODE_1", 0, "e1", "+", False), ("NODE_1", 1, "e2", "-", False), ("NODE_1", 2, "e3", "+", False), ("NODE_2", 0, "loop", "+", False)]
 
 
 def test_paths_in_a_view(spark):
     segments, links = clean(spark)
-    steps = spark.createDataFrame([("p", 0, "A", "+"), ("p", 1, "B", "+"), ("p", 2, "D", "+"), ("p", 3, "gone", "+"), ("p", 4, "C", "+")], "path string, pos long, name string, orient string")
+    steps = spark.createDataFrame([("p", 0, "e1", "+"), ("p", 1, "e2", "+"), ("p", 2, "f", "+"), ("p", 3, "gone", "+"), ("p", 4, "e3", "+")], "path string, pos long, name string, orient string")
     r = G.resolve_paths(steps, links, segments).first()
-    assert (r["members"], r["dropped"], r["joins"], r["broken"], r["bases"]) == (4, 1, 1, 2, 280)
+    assert (r["members"], r["dropped"], r["joins"], r["broken"], r["bases"]) == (4, 1, 1, 2, 233)
 
 
 def test_comparison_files(spark, tmp_path):
     segments, _ = clean(spark)
-    block = spark.createDataFrame([("A", 1, 0, 60, "x", 60, 60)], "query string, ord long, q_st long, q_en long, ref string, matches long, block_len long")
+    block = spark.createDataFrame([("e1", 1, 0, 46, "x", 46, 46)], "query string, ord long, q_st long, q_en long, ref string, matches long, block_len long")
     contigs = D.contig_diff(segments, block)
     parts = D.component_diff(contigs, segments.selectExpr("name", "ord as component"))
     K.comparison_files(segments, contigs, D.uncovered(segments, block), parts, str(tmp_path), "a", least=30)
     only = T.fasta_records(T.read_lines(spark, str(tmp_path / "a.only-contigs.fasta")))
-    assert {r["name"] for r in only.collect()} == {"B", "C", "D", "R"}
+    assert {r["name"] for r in only.collect()} == {"e2", "e3", "f", "loop"}
     regions = {r["name"]: len(r["sequence"]) for r in T.fasta_records(T.read_lines(spark, str(tmp_path / "a.only-regions.fasta"))).collect()}
-    assert regions["A:61-100"] == 40 and regions["B:1-80"] == 80
+    assert regions["e1:47-78"] == 32 and regions["e2:1-75"] == 75
     assert spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "a.contigs.tsv")).count() == 5
 
 

@@ -54,13 +54,13 @@ def test_paths_and_bridges(spark):
 
 def test_scopes_and_names(spark):
     segments, links = clean(spark)
-    seeds = segments.where("name = 'A'")
-    assert {r["name"] for r in P.scope(segments, links, "around", seeds=seeds, distance=1).collect()} == {"A", "B"}
-    assert {r["name"] for r in P.scope(segments, links, "depth", min_depth=15, max_depth=35).collect()} == {"B", "C"}
-    assert {r["name"] for r in P.scope(segments, links, component=0, min_length=70).collect()} == {"A", "B"}
-    assert {r["name"] for r in P.scope(segments, links, max_nodes=2).collect()} == {"A", "B"}
-    queries = spark.createDataFrame([("A+",), ("b",), ("nope",)], "q string")
-    assert {(r["q"], r["name"]) for r in P.match_names(segments, queries).collect()} == {("A+", "A"), ("b", None), ("nope", None)}
+    seeds = segments.where("name = 'e1'")
+    assert {r["name"] for r in P.scope(segments, links, "around", seeds=seeds, distance=1).collect()} == {"e1", "e2"}
+    assert {r["name"] for r in P.scope(segments, links, "depth", min_depth=15, max_depth=35).collect()} == {"e2", "e3"}
+    assert {r["name"] for r in P.scope(segments, links, component=0, min_length=70).collect()} == {"e1", "e2"}
+    assert {r["name"] for r in P.scope(segments, links, max_nodes=2).collect()} == {"e1", "e2"}
+    queries = spark.createDataFrame([("e1+",), ("E2",), ("nope",)], "q string")
+    assert {(r["q"], r["name"]) for r in P.match_names(segments, queries).collect()} == {("e1+", "e1"), ("E2", None), ("nope", None)}
 
 
 def test_bridges_stand_in_the_agp(spark):
