@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strandflow.functions.sequence import circular_distance
+from strandflow.functions.sequence import cigar_sum, circular_distance
 from strandflow.operators.contiguity import by_length, nx_lx, ranked
 from strandflow.operators.intervals import covered
 
@@ -30,12 +30,17 @@ def _fold(sorted_blocks: Column, absorb, keep_last) -> Column:
     return F.aggregate(sorted_blocks, empty, step)
 
 
+def _ops() -> Column:
+    """The CIGAR of a block, or an empty one."""
+    return F.coalesce("cigar", F.array().cast("array<struct<n:bigint,op:string>>"))
+
+
 def _sorted(fields=FIELDS) -> Column:
     return F.array_sort(F.collect_list(F.struct(*[F.col(f) for f in fields])))
 
 
-def _with(block: Column, **changed: Column) -> Column:
-    return F.struct(*[(changed[f] if f in changed else block[f]).alias(f) for f in FIELDS])
+def _with(block: Column, fields=FIELDS, **changed: Column) -> Column:
+    return F.struct(*[(changed[f] if f in changed else block[f]).alias(f) for f in fields])
 
 
 def _ref_gap(a: Column, b: Column) -> Column:
@@ -44,7 +49,9 @@ def _ref_gap(a: Column, b: Column) -> Column:
 
 def merge_collinear(blocks: DataFrame, max_gap: int = 10_000, max_overlap: int | None = None) -> DataFrame:
     """Blocks of one query, reference and strand joined where both coordinates go on by at most ``max_gap`` and
-    step back by at most ``max_overlap`` from the block merged so far."""
+    step back by at most ``max_overlap`` from the block merged so far. CIGARs, where given, follow one another."""
+    given = "cigar" in blocks.columns
+    fields = (*FIELDS, "cigar") if given else FIELDS
     back = min(500, max_gap) if max_overlap is None else max_overlap
     near = lambda gap: (gap >= -back) & (gap <= max_gap)
 
@@ -53,9 +60,12 @@ def merge_collinear(blocks: DataFrame, max_gap: int = 10_000, max_overlap: int |
 
     def joined(a: Column, b: Column) -> Column:
         added = {f: a[f] + b[f] for f in ("matches", "block_len", "nm")}
-        return _with(a, q_en=F.greatest(a["q_en"], b["q_en"]), r_st=F.least(a["r_st"], b["r_st"]), r_en=F.greatest(a["r_en"], b["r_en"]), mapq=F.greatest(a["mapq"], b["mapq"]), is_primary=a["is_primary"] | b["is_primary"], **added)
+        if given:
+            added["cigar"] = F.concat(a["cigar"], b["cigar"])
+        return _with(a, fields, q_en=F.greatest(a["q_en"], b["q_en"]), r_st=F.least(a["r_st"], b["r_st"]), r_en=F.greatest(a["r_en"], b["r_en"]), mapq=F.greatest(a["mapq"], b["mapq"]), is_primary=a["is_primary"] | b["is_primary"], **added)
 
-    grouped = blocks.groupBy("query", "ref", "strand").agg(_sorted().alias("b"))
+    rows = blocks.withColumn("cigar", _ops()) if given else blocks
+    grouped = rows.groupBy("query", "ref", "strand").agg(_sorted(fields).alias("b"))
     return grouped.select("query", F.explode(_fold(F.col("b"), absorb, joined)).alias("x")).select("query", "x.*")
 
 
@@ -140,27 +150,57 @@ def reference_coverage(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def query_coverage(blocks: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``(query, length, covered, status)`` of every query: unaligned, partial (under 0.9) or aligned."""
-    spans = covered(blocks.select("query", F.col("q_st").alias("st"), F.col("q_en").alias("en")), "query")
-    got = F.coalesce("covered", F.lit(0))
-    status = F.when(F.col("covered").isNull(), "unaligned").when(got < 0.9 * F.col("length"), "partial").otherwise("aligned")
-    return lengths.join(spans, "query", "left").select("query", "length", got.alias("covered"), status.alias("status"))
+    """``(query, length, covered, aligned, status)`` of every query: ``covered`` counts its bases in blocks once,
+    ``aligned`` sums the blocks; unaligned, partial (less than 0.9 of a known length aligned) or aligned."""
+    before = W.partitionBy("query").orderBy("q_st", "q_en").rowsBetween(W.unboundedPreceding, -1)
+    new = F.greatest(F.lit(0), F.col("q_en") - F.greatest(F.col("q_st"), F.max("q_en").over(before)))
+    sums = blocks.select("query", "q_st", "q_en", new.alias("new")).groupBy("query").agg(F.sum("new").alias("covered"), F.sum(F.col("q_en") - F.col("q_st")).alias("aligned"))
+    short = (F.col("length") > 0) & (F.col("aligned") < 0.9 * F.col("length"))
+    status = F.when(F.col("aligned").isNull(), "unaligned").when(short, "partial").otherwise("aligned")
+    rows = lengths.join(sums, "query", "left")
+    return rows.select("query", "length", F.coalesce("covered", F.lit(0)).alias("covered"), F.coalesce("aligned", F.lit(0)).alias("aligned"), status.alias("status"))
+
+
+def alignment_totals(references: DataFrame, contigs: DataFrame, events: DataFrame) -> DataFrame:
+    """One row from ``reference_coverage``, ``query_coverage`` and ``structural_differences``: covered share of all
+    references, duplication, contigs by status with lengths, and contigs with a break other than a local one."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    of = references.agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered_bases"), F.coalesce(F.sum("length"), F.lit(0)).alias("reference_length"))
+    bad = events.where("kind != 'local'").select("query").distinct().withColumn("bad", F.lit(True))
+    sums = contigs.join(bad, "query", "left").agg(
+        (n("aligned") + n("partial")).alias("aligned_contigs"), n("unaligned").alias("unaligned_contigs"), n("partial").alias("partially_unaligned"),
+        F.coalesce(F.sum(F.when(F.col("status") == "unaligned", F.col("length"))), F.lit(0)).alias("fully_unaligned_length"), F.coalesce(F.sum("aligned"), F.lit(0)).alias("total_aligned_length"),
+        F.count_if("bad").alias("misassembled_contigs"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("length"))), F.lit(0)).alias("misassembled_contigs_length"),
+    )
+    ratio = lambda a, b: F.coalesce(a / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
+    share, copies = ratio(100.0 * F.col("covered_bases"), "reference_length"), ratio(F.col("total_aligned_length"), "covered_bases")
+    return sums.join(of).select("*", share.alias("genome_fraction"), copies.alias("duplication_ratio"))
 
 
-def aligned_contiguity(blocks: DataFrame, total: int, min_block: int = MIN_BLOCK) -> DataFrame:
-    """NA50 and LA50 over merged blocks, the largest of them, and the aligned bases."""
-    merged = join_across_origin(merge_collinear(blocks, 1000, 1000)).where(F.col("q_en") - F.col("q_st") >= min_block)
+def aligned_contiguity(blocks: DataFrame, genome_size: int | None = None, min_block: int = MIN_BLOCK, circular: bool = True) -> DataFrame:
+    """NA50 and LA50 over merged blocks and their bases, the largest of them; NGA50 against ``genome_size``."""
+    merged = merge_collinear(blocks, 1000, 1000)
+    merged = (join_across_origin(merged) if circular else merged).where(F.col("q_en") - F.col("q_st") >= min_block)
     rows = ranked(by_length(merged.select((F.col("q_en") - F.col("q_st")).alias("length"))))
-    goal = F.lit(total * 0.5)
-    found = rows.agg(F.min(F.when(F.col("cum") >= goal, F.struct("k", "length", "n", "cum"))).alias("r"), F.max("length").alias("largest_alignment"), F.max("total").alias("merged_bases"))
-    n, rank = nx_lx(F.col("r"), goal)
-    return found.select(n.alias("na50"), rank.alias("la50"), "largest_alignment", "merged_bases")
-
-
-def rates(blocks: DataFrame, ops: str | None = None) -> DataFrame:
-    """Mismatches per 100 kb of aligned blocks, and the duplication of the reference."""
-    size = F.nullif(F.sum("block_len"), F.lit(0))
-    return blocks.agg(F.round(F.sum("nm") * 100_000.0 / size, 6).alias("mismatches_per_100kb"), F.sum(F.col("q_en") - F.col("q_st")).alias("aligned_bases"))
+    half, size = F.col("total") * 0.5, F.lit((genome_size or 0) * 0.5)
+    first = lambda goal: F.min(F.when(F.col("cum") >= goal, F.struct("k", "length", "n", "cum")))
+    found = rows.agg(first(half).alias("r"), first(size).alias("g"), F.max("length").alias("largest_alignment"), F.max("total").alias("merged_bases"))
+    (n, rank), (ng, _) = nx_lx(F.col("r"), F.col("merged_bases") * 0.5), nx_lx(F.col("g"), size)
+    return found.select(n.alias("na50"), rank.alias("la50"), (ng if genome_size else F.lit(0).cast("long")).alias("nga50"), "largest_alignment", "merged_bases")
+
+
+def rates(blocks: DataFrame) -> DataFrame:
+    """Mismatches (edits less bases in insertions and deletions, by block) and insertions and deletions (events),
+    in all and per 100 kb of aligned blocks. Blocks without a CIGAR count their edits as mismatches."""
+    ops = _ops() if "cigar" in blocks.columns else F.array().cast("array<struct<n:bigint,op:string>>")
+    rows = blocks.withColumn("cigar", ops)
+    events = F.size(F.filter("cigar", lambda p: p["op"].isin("I", "D"))).cast("long")
+    sums = rows.agg(
+        F.coalesce(F.sum(F.greatest(F.lit(0), F.col("nm") - cigar_sum(F.col("cigar"), "ID"))), F.lit(0)).alias("mismatches"), F.coalesce(F.sum(events), F.lit(0)).alias("indels"),
+        F.coalesce(F.sum("block_len"), F.lit(0)).alias("size"), F.coalesce(F.sum(F.col("q_en") - F.col("q_st")), F.lit(0)).alias("aligned_bases"),
+    )
+    per = lambda name: F.coalesce(F.round(F.col(name) * 100_000.0 / F.nullif("size", F.lit(0)), 6), F.lit(0.0)).alias(f"{name}_per_100kb")
+    return sums.select("mismatches", "indels", per("mismatches"), per("indels"), "aligned_bases")
 
 
 def split_at_long_indels(blocks: DataFrame, min_indel: int = 1000) -> DataFrame:

@@ -127,10 +127,31 @@ def merge_chains(graph: Graph, chains: DataFrame, prefix: str = "merged_") -> Gr
     end = outer.where("pos = last").select("name", F.when(F.col("orient") == "+", "end").otherwise("start").alias("side"), "new_name", F.lit("end").alias("new_side"))
     moved = _reattach(graph.links, first.unionByName(end))
     whole = graph.segments.join(chains.select("name"), "name", "left_anti").select(*graph.segments.columns)
-    segments = whole.unionByName(made.select(*graph.segments.columns))
+    segments = whole.unionByName(made.select(*[c for c in graph.segments.columns if c in made.columns]), allowMissingColumns=True)
     return graph.then(segments, G.drop_dangling(moved, segments))
 
 
+def merge_path(graph: Graph, steps: list[tuple[str, str]], name: str) -> Graph:
+    """The walk ``[(name, orient), ...]`` as one segment ``name``; every step must follow from the one before by a link,
+    and no segment may come twice."""
+    walk = graph.segments.sparkSession.createDataFrame([(name, k, *step) for k, step in enumerate(steps)], "chain string, pos long, name string, orient string")
+    if len(steps) < 2 or len({n for n, _ in steps}) < len(steps):
+        raise ValueError("a merge takes two different segments or more")
+    if not graph.segments.where(F.col("name") == name).join(walk.select("name"), "name", "left_anti").isEmpty():
+        raise ValueError(f"a segment {name!r} exists")
+    after = walk.select(F.col("name").alias("dst"), F.col("orient").alias("dst_o"), (F.col("pos") - 1).alias("pos"))
+    pairs = walk.select(F.col("name").alias("src"), F.col("orient").alias("src_o"), "pos").join(after, "pos")
+    loose = pairs.join(G.adjacency(graph.links), ["src", "src_o", "dst", "dst_o"], "left_anti").orderBy("pos").first()
+    if loose:
+        raise ValueError(f"no link from {loose['src']}{loose['src_o']} to {loose['dst']}{loose['dst_o']}")
+    return merge_chains(graph, walk, "")
+
+
+def remove_links(graph: Graph, gone: DataFrame) -> Graph:
+    """Without the links ``(from_name, from_orient, to_name, to_orient)``, in either reading of them."""
+    return graph.then(graph.segments, graph.links.withColumn("key", G.canonical_key()).join(gone.select(G.canonical_key().alias("key")), "key", "left_anti").select(*graph.links.columns))
+
+
 def simplify(graph: Graph, min_chain: int = 2) -> Graph:
     return merge_chains(graph, G.chains(graph.links, graph.segments, min_chain))
 

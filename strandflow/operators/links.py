@@ -131,6 +131,28 @@ def estimated_length(segments: DataFrame, links: DataFrame, median_depth: DataFr
     return rows.agg(F.sum(F.greatest(F.lit(0), F.col("length") - F.coalesce("trailing", F.lit(0))) * copies).cast("long").alias("estimated_length"))
 
 
+def topology(segments: DataFrame, links: DataFrame, median_depth: DataFrame) -> DataFrame:
+    """One row about the graph of ``segments`` and the links among them: links, components, dead ends, rings of one,
+    the range of overlaps, what is largest, orphaned or counted twice, and how much sequence the depths tell of.
+    Per cents are of two ends a segment and of all bases; 0 where there is nothing to divide by."""
+    own = Scratch(links.sparkSession, "topology").save(drop_dangling(links, segments), "links")
+    sizes = segments.select("name", "length").join(components(segments, own), "name").groupBy("component").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
+    rows = [
+        segments.agg(F.count("*").alias("segments"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases")),
+        own.agg(F.count("*").alias("links"), F.min("overlap").alias("overlap_min"), F.max("overlap").alias("overlap_max")),
+        sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("bases"), F.lit(0)).alias("largest_component_length")),
+        degrees(segments, own).agg(F.coalesce(F.sum("dead_ends"), F.lit(0)).alias("dead_ends")),
+        circular_segments(own).agg(F.count("*").alias("circular")),
+        orphaned(segments, own), no_overlap_length(segments, own), estimated_length(segments, own, median_depth),
+    ]
+    one = rows[0]
+    for row in rows[1:]:  # one row each
+        one = one.crossJoin(F.broadcast(row))
+    share = lambda part, whole: F.coalesce(100.0 * F.col(part) / F.nullif(whole, F.lit(0)), F.lit(0.0))
+    one = one.withColumns({"dead_end_percent": share("dead_ends", 2 * F.col("segments")), "largest_component_percent": share("largest_component_length", F.col("bases")), "orphaned_percent": share("orphaned_length", F.col("bases"))})
+    return one.drop("segments", "bases")
+
+
 def unambiguous_edges(links: DataFrame) -> DataFrame:
     """Oriented steps (src, src_o) -> (dst, dst_o) that are the only way out of one and into the other."""
     adj = adjacency(links).select("src", "src_o", "dst", "dst_o")

@@ -205,6 +205,21 @@ def estimated_length(spark, sf_dir):
     return G.estimated_length(segments, _links(spark, sf_dir), C.depth_summary(segments))
 
 
+@query(f"""with {A.SEG_ORDERS.replace("seg_orders", "seg_part")}, {A.ORDER_LINKS(True)}, {A.CANON}, {_ENDS}, {_CC}, w as (select name, max(overlap) as widest, max(overlap) filter (where side = 'end') as tailing, count(*) as ends from ends group by 1),
+d as (select s.name, count(src) filter (where src_o = '+') as plus, count(src) filter (where src_o = '-') as minus, count(src) filter (where src_o = '+' and dst = src and dst_o = '+') as own from seg_part s left join adj on src = s.name group by 1),
+m as (select min(depth) as d from (select depth, sum(length) over (order by depth, ord rows unbounded preceding) as cum, sum(length) over () as total from seg_part) where cum >= total / 2.0),
+big as (select component, sum(length)::bigint as bases from roots join comp using (root) group by 1), a as (select count(*) as n, sum(length) as bases from seg_part),
+one as (select (select count(*) from uniq) as links, (select min(overlap) from uniq) as overlap_min, (select max(overlap) from uniq) as overlap_max, (select count(*) from big) as components, (select max(bases) from big) as largest_component_length,
+  (select sum((plus = 0)::int + (minus = 0)::int) from d)::bigint as dead_ends, (select count(*) from d where plus = 1 and minus = 1 and own = 1) as circular, (select count(*) from seg_part where name not in (select name from w)) as orphaned,
+  (select coalesce(sum(length), 0) from seg_part where name not in (select name from w))::bigint as orphaned_length, (select sum(greatest(0, length - coalesce(widest, 0))) from seg_part left join w using (name))::bigint as length_no_overlaps,
+  (select sum(greatest(0, length - coalesce(tailing, 0)) * round(depth / m.d)) from seg_part left join w using (name), m)::bigint as estimated_length)
+select one.*, round(100.0::double * dead_ends / (2 * a.n), 6) as dead_end_percent, round(100.0::double * largest_component_length / a.bases, 6) as largest_component_percent, round(100.0::double * orphaned_length / a.bases, 6) as orphaned_percent from one, a""")
+def graph_topology(spark, sf_dir):
+    segments = A.seg_orders(spark, sf_dir)
+    found = G.topology(segments, G.dedup_links(A.order_links(spark, sf_dir, True)), C.depth_summary(segments))
+    return rounded(found, "dead_end_percent", "largest_component_percent", "orphaned_percent")
+
+
 @query(f"""with {_ORDERS}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1)
 select src, src_o, dst, dst_o from o join i using (dst, dst_o) where src <> dst""")
 def unbranching_edges(spark, sf_dir):
@@ -333,15 +348,37 @@ def _query_lengths(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select(F.concat(F.lit("q"), "o_orderkey").alias("query"), F.lit(1500).cast("long").alias("length"))
 
 
-@query(f"""{_P}, {_merged_sql('query', 'q_st', 'q_en')} select 'q' || o_orderkey as query, 1500::bigint as length, coalesce(covered, 0)::bigint as covered,
-  case when covered is null then 'unaligned' when covered < 0.9 * 1500 then 'partial' else 'aligned' end as status from orders left join cov on query = 'q' || o_orderkey""")
+@query(f"""{_P}, {_merged_sql('query', 'q_st', 'q_en')}, sums as (select query, sum(q_en - q_st)::bigint as aligned from prim group by query)
+select 'q' || o_orderkey as query, 1500::bigint as length, coalesce(covered, 0)::bigint as covered, coalesce(aligned, 0)::bigint as aligned,
+  case when aligned is null then 'unaligned' when aligned < 0.9 * 1500 then 'partial' else 'aligned' end as status
+from orders left join cov on cov.query = 'q' || o_orderkey left join sums on sums.query = 'q' || o_orderkey""")
 def aligned_unaligned(spark, sf_dir):
     return B.query_coverage(_primary(spark, sf_dir), _query_lengths(spark, sf_dir))
 
 
-@query(f"{_P} select round(sum(nm) * 100000.0 / sum(block_len), 6) as mismatches_per_100kb, sum(q_en - q_st)::bigint as aligned_bases from prim")
+@query(f"""{_MIS}, {_merged_sql('ref', 'r_st', 'r_en')}, sums as (select query, sum(q_en - q_st)::bigint as aligned from prim group by query),
+per as (select 'q' || o_orderkey as query, 1500 as length, aligned from orders left join sums on query = 'q' || o_orderkey), bad as (select distinct query from events where kind in ('translocation', 'inversion', 'relocation'))
+select count(aligned) as aligned_contigs, count(*) - count(aligned) as unaligned_contigs, count(*) filter (where aligned < 0.9 * length) as partially_unaligned,
+  coalesce(sum(length) filter (where aligned is null), 0)::bigint as fully_unaligned_length, sum(aligned)::bigint as total_aligned_length, (select count(*) from bad) as misassembled_contigs,
+  coalesce(sum(length) filter (where query in (select query from bad)), 0)::bigint as misassembled_contigs_length, (select sum(covered) from cov)::bigint as covered_bases, 205000::bigint as reference_length,
+  round(100.0::double * (select sum(covered) from cov) / 205000, 6) as genome_fraction, round(sum(aligned)::double / (select sum(covered) from cov), 6) as duplication_ratio from per""")
+def alignment_totals(spark, sf_dir):
+    used = _primary(spark, sf_dir)
+    totals = B.alignment_totals(B.reference_coverage(used, _ref_lengths(spark)), B.query_coverage(used, _query_lengths(spark, sf_dir)), B.structural_differences(used))
+    return rounded(totals, "genome_fraction", "duplication_ratio")
+
+
+#: A CIGAR for every block; its insertions and deletions may hold more bases than the block has edits.
+_CIGARS = """cg as (select *, (block_len - 9)::varchar || 'M' || (1 + ord % 4)::varchar || 'I4M' || case when ord % 2 = 0 then '2D5=' else '5X' end as cg from prim),
+one as (select *, list_sum(list_transform(regexp_extract_all(cg, '(\\d+)[ID]', 1), lambda x: x::bigint)) as bases, len(regexp_extract_all(cg, '\\d+[ID]')) as events from cg)"""
+
+
+@query(f"""{_P}, {_CIGARS}, t as (select sum(greatest(0, nm - bases))::bigint as mismatches, sum(events)::bigint as indels, sum(block_len) as size, sum(q_en - q_st)::bigint as aligned_bases from one)
+select mismatches, indels, round(mismatches * 100000.0 / size, 6)::double as mismatches_per_100kb, round(indels * 100000.0 / size, 6)::double as indels_per_100kb, aligned_bases from t""")
 def mismatch_rates(spark, sf_dir):
-    return B.rates(_primary(spark, sf_dir))
+    tail = F.when(F.col("ord") % 2 == 0, "2D5=").otherwise("5X")
+    text = F.concat((F.col("block_len") - 9).cast("string"), F.lit("M"), (F.col("ord") % 4 + 1).cast("string"), F.lit("I4M"), tail)
+    return B.rates(_primary(spark, sf_dir).withColumn("cigar", fn.cigar(text)))
 
 
 @query(f"""{_P}, {_merged_sql('ref', 'r_st', 'r_en')} select round((select sum(q_en - q_st) from prim)::double / (select sum(covered) from cov), 6) as duplication_ratio""")
@@ -360,6 +397,7 @@ joined as (select * from fold2 qualify row_number() over (partition by query, re
 
 
 @query(f"""{_P}, {_FOLD.format(table='prim', back=1000, gap=1000)}, {_FOLD2}, l as (select q_en - q_st as length, row_number() over (order by q_en - q_st desc) as k, sum(q_en - q_st) over (order by q_en - q_st desc rows unbounded preceding) as cum from joined where q_en - q_st >= 200)
-select coalesce(max(length) filter (where cum >= 5000000), 0)::bigint as na50, coalesce(min(k) filter (where cum >= 5000000), 0)::bigint as la50, max(length)::bigint as largest_alignment, max(cum)::bigint as merged_bases from l""")
+select coalesce(max(length) filter (where cum >= (select max(cum) * 0.5 from l)), 0)::bigint as na50, coalesce(min(k) filter (where cum >= (select max(cum) * 0.5 from l)), 0)::bigint as la50,
+  coalesce(max(length) filter (where cum >= 5000000), 0)::bigint as nga50, max(length)::bigint as largest_alignment, max(cum)::bigint as merged_bases from l""")
 def na50(spark, sf_dir):
     return B.aligned_contiguity(_primary(spark, sf_dir), 10_000_000)

@@ -8,7 +8,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from strandflow.functions.sequence import flip
 from strandflow.operators import align as L, blocks as B, compare as D, contiguity as C, edits as E, links as G, paths as P, scaffold as S
+from strandflow.runtime import Scratch
 from strandflow.sources import sinks as K, textio as T
 
 
@@ -23,19 +25,26 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
     if kind == "unknown":
         raise T.FormatError(path, None, "no known format")
     no_links = spark.createDataFrame([], "ord long, from_name string, from_orient string, to_name string, to_orient string, overlap long")
+    paths = None
     if kind == "gfa":
+        T.check_strict(lines, path, "SL")
         segments, raw = T.gfa_segments(lines), T.gfa_links(lines).drop("cigar")
     elif kind == "gfa2":
         segments, raw = T.gfa2_segments(lines), T.gfa2_links(lines)
     elif kind == "fastg":
         segments, raw = T.fastg(lines)
     else:
+        T.check_fasta(lines, path)
         segments, raw = T.fasta_segments(lines), no_links
-    segments = segments.select("ord", "name", "sequence", "length", "depth")
+    segments = segments.select("ord", "name", "sequence", "length", "depth", *(["tags"] if kind in ("gfa", "gfa2") else []))
+    if segments.isEmpty():
+        raise T.FormatError(path, None, "no segments")
+    if kind == "gfa":
+        paths = T.gfa_path_steps(lines, segments)
     links = G.drop_dangling(G.dedup_links(raw), segments)
     if kind in ("gfa", "fastg"):
         links = P.apply_overlap(links, segments, P.infer_overlap(links, segments).first()[0])
-    return Session(spark, E.Graph(segments, links))
+    return Session(spark, E.Graph(segments, links), paths=paths)
 
 
 @dataclass(frozen=True)
@@ -45,12 +54,15 @@ class Session:
     reference: DataFrame | None = None
     blocks: DataFrame | None = None
     plan: DataFrame | None = None
+    paths: DataFrame | None = None
     circular: bool = True
     min_contig: int = 0
 
     def with_reference(self, path: str, preset: str = "asm10") -> Session:
+        """Aligned against the FASTA at ``path``; the blocks are a written table, as every result starts from them."""
         reference = T.fasta_records(T.read_lines(self.spark, path)).select("name", "sequence")
-        return replace(self, reference=reference, blocks=L.align(self.graph.segments, reference, preset, min_length=max(200, self.min_contig)))
+        blocks = L.align(self.graph.segments, reference, preset, min_length=max(200, self.min_contig))
+        return replace(self, reference=reference, blocks=Scratch(self.spark, "session").save(blocks, "blocks"))
 
     def with_blocks(self, paf: str) -> Session:
         """Alignments of another program, as PAF."""
@@ -62,32 +74,52 @@ class Session:
         return value
 
     def edit(self, operation: str, **options) -> Session:
-        """delete, filter, simplify, split, reverse or break_differences; a plan does not outlive an edit."""
-        known = {"delete": E.delete, "filter": E.filter_graph, "simplify": E.simplify, "split": E.split_segments, "reverse": E.reverse_segment}
+        """delete, remove_links, filter, simplify, merge_path, split, reverse or break_differences; a plan does not outlive
+        an edit. ``attached_paths`` tells which paths do."""
+        known = {"delete": E.delete, "filter": E.filter_graph, "simplify": E.simplify, "split": E.split_segments, "reverse": E.reverse_segment, "merge_path": E.merge_path, "remove_links": E.remove_links}
         if operation == "break_differences":
             graph = E.break_differences(self.graph, B.structural_differences(B.usable(self._need("blocks")), circular=self.circular), **options)
         elif operation in known:
             graph = known[operation](self.graph, **options)
         else:
             raise SessionError(f"unknown operation {operation!r}")
-        return replace(self, graph=graph, plan=None)
+        paths = self.paths
+        if paths is not None and operation == "reverse":
+            hit = options["names"].select("name").distinct().withColumn("hit", F.lit(True))
+            turned = F.when(F.col("hit"), flip("orient")).otherwise(F.col("orient"))
+            paths = paths.join(hit, "name", "left").withColumn("orient", turned).select(*self.paths.columns)
+        return replace(self, graph=graph, plan=None, paths=paths)
+
+    def attach_paths(self, steps: DataFrame) -> Session:
+        """With these paths ``(ord, path, pos, name, orient, gap_after)`` in place of the ones so far."""
+        return replace(self, paths=steps)
+
+    def attached_paths(self) -> DataFrame | None:
+        """The paths whose segments all exist."""
+        if self.paths is None:
+            return None
+        lost = self.paths.join(self.graph.segments.select("name"), "name", "left_anti").select("path").distinct()
+        return self.paths.join(lost, "path", "left_anti").select(*self.paths.columns)
 
     def undo(self) -> Session:
         return replace(self, graph=self.graph.undo(), plan=None)
 
     def metrics(self, genome_size: int | None = None) -> DataFrame:
-        """One row of length, depth and composition statistics."""
+        """One row of length, depth, composition and topology statistics."""
         own = self.graph.segments.where(F.col("length") >= self.min_contig)
-        return C.contiguity(own, genome_size).crossJoin(F.broadcast(C.depth_summary(own))).crossJoin(F.broadcast(C.composition(own)))
+        depths = C.depth_summary(own)
+        plain = C.contiguity(own, genome_size).crossJoin(F.broadcast(depths)).crossJoin(F.broadcast(C.composition(own)))
+        return plain.crossJoin(F.broadcast(G.topology(own, self.graph.links, depths)))
 
-    def evaluation(self) -> dict[str, DataFrame]:
-        """What the alignments say: coverage of references and contigs, breaks, rates and aligned contiguity."""
+    def evaluation(self, genome_size: int | None = None) -> dict[str, DataFrame]:
+        """What the alignments say: coverage of references and contigs, breaks, rates, totals, aligned contiguity."""
         used = B.usable(self._need("blocks"))
         lengths = self._need("reference").select(F.col("name").alias("ref"), F.length("sequence").cast("long").alias("length"))
         contigs = self.graph.segments.select(F.col("name").alias("query"), "length")
         events = B.structural_differences(used, circular=self.circular)
-        total = used.agg(F.coalesce(F.sum(F.col("q_en") - F.col("q_st")), F.lit(0))).first()[0]
-        return {"references": B.reference_coverage(used, lengths), "contigs": B.query_coverage(used, contigs), "breaks": events, "counts": B.difference_counts(events), "rates": B.rates(used), "aligned": B.aligned_contiguity(used, total)}
+        references, covered = B.reference_coverage(used, lengths), B.query_coverage(used, contigs)
+        out = {"references": references, "contigs": covered, "breaks": events, "counts": B.difference_counts(events), "rates": B.rates(used)}
+        return {**out, "totals": B.alignment_totals(references, covered, events), "aligned": B.aligned_contiguity(used, genome_size, circular=self.circular)}
 
     def compare(self, other: Session, preset: str = "asm10") -> dict[str, DataFrame]:
         """Both sides of a content comparison."""
@@ -115,7 +147,7 @@ class Session:
         for kind in what:
             at = f"{folder}/{kind}"
             if kind == "gfa":
-                K.write_lines(K.gfa_text(g.segments, g.links), at, "rank", "ord", mode=mode)
+                K.write_lines(K.gfa_text(g.segments, g.links, self.attached_paths()), at, "rank", "ord", mode=mode)
             elif kind == "fasta":
                 K.write_lines(K.fasta_text(g.segments.where("sequence != ''")), at, "ord", mode=mode)
             elif kind == "csv":

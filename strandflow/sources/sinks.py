@@ -25,6 +25,14 @@ def fasta_text(records: DataFrame, width: int = 60) -> DataFrame:
     return records.select("ord", F.concat(F.lit(">"), "name", F.lit("\n"), wrapped(F.coalesce("sequence", F.lit("")), width)).alias("value"))
 
 
+def _other_tags(segments: DataFrame) -> list[Column]:
+    """Tags beyond length and depth, by name, where the segments carry them."""
+    if "tags" not in segments.columns:
+        return []
+    rest = F.filter(F.array_sort(F.map_entries("tags")), lambda e: ~e["key"].isin("LN", "ln", "dp", "DP"))
+    return [F.array_join(F.transform(rest, lambda e: F.concat_ws(":", e["key"], e["value"]["type"], e["value"]["value"])), "\t").alias("t")]
+
+
 def gfa_text(segments: DataFrame, links: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """``(rank, ord, value)`` of a GFA1 file: H, S, L and P lines."""
     spark = segments.sparkSession
@@ -32,7 +40,7 @@ def gfa_text(segments: DataFrame, links: DataFrame, steps: DataFrame | None = No
     has = F.col("sequence") != ""
     stated = F.when(~F.coalesce(has, F.lit(False)) & (F.col("length") > 0), F.concat(F.lit("LN:i:"), "length"))
     depth = F.when(F.col("depth").isNotNull(), F.concat(F.lit("dp:f:"), short_float("depth")))
-    s = segments.select(F.lit(1).alias("rank"), "ord", F.concat_ws("\t", F.lit("S"), "name", F.when(has, F.col("sequence")).otherwise("*"), stated, depth).alias("value"))
+    s = segments.select(F.lit(1).alias("rank"), "ord", F.concat_ws("\t", F.lit("S"), "name", F.when(has, F.col("sequence")).otherwise("*"), stated, depth, *_other_tags(segments)).alias("value"))
     overlap = F.when(F.col("overlap") > 0, F.concat(F.col("overlap").cast("string"), F.lit("M"))).otherwise("*")
     ln = links.select(F.lit(2).alias("rank"), "ord", F.concat_ws("\t", F.lit("L"), "from_name", "from_orient", "to_name", "to_orient", overlap).alias("value"))
     out = head.unionByName(s).unionByName(ln)

@@ -115,11 +115,33 @@ def bad_records(lines: DataFrame) -> DataFrame:
     return lines.where(kind.isin("S", "L", "P", "W") & short).select("line", F.substring("value", 1, 200).alias("value"))
 
 
-def check_strict(lines: DataFrame, path: str = "input") -> None:
-    """Raise for the first malformed record."""
-    first = bad_records(lines).orderBy("line").limit(1).collect()
+def _line_number(lines: DataFrame, line: int) -> int:
+    """Where in the file, from 1 on, the record of this ``line`` stands; asked for when it is to be reported."""
+    return lines.where(F.col("line") < line).count() + 1
+
+
+def check_strict(lines: DataFrame, path: str = "input", kinds: str = "SLPW") -> None:
+    """Raise for the first malformed record of these kinds."""
+    first = bad_records(lines).where(F.substring("value", 1, 1).isin(*kinds)).orderBy("line").limit(1).collect()
     if first:
-        raise FormatError(path, first[0]["line"], first[0]["value"])
+        raise FormatError(path, _line_number(lines, first[0]["line"]), first[0]["value"])
+
+
+def check_fasta(lines: DataFrame, path: str = "input") -> None:
+    """Raise for an empty header, for sequence before the first header, for a file without records and for a name
+    that comes twice."""
+    rows = lines.where(~F.col("value").rlike(r"^\r?$") & ~F.col("value").startswith(";"))
+    header = F.col("value").startswith(">")
+    first = rows.agg(F.min(F.when(header, F.col("line"))).alias("h"), F.min_by("line", "line").alias("any"), F.min(F.when(header & F.col("value").rlike(r"^>\s*$"), F.col("line"))).alias("bare")).first()
+    wrong = first["any"] if first["any"] is not None and (first["h"] is None or first["any"] < first["h"]) else first["bare"]
+    if wrong is not None:
+        raise FormatError(path, _line_number(lines, wrong), lines.where(F.col("line") == wrong).first()["value"])
+    if first["h"] is None:
+        raise FormatError(path, None, "no FASTA records")
+    name = F.regexp_extract("value", r"^>\s*(\S+)", 1)
+    twice = lines.where(header).groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n > 1").orderBy("line").limit(1).collect()
+    if twice:
+        raise FormatError(path, _line_number(lines, twice[0]["line"]), f"repeated name {twice[0]['name']}")
 
 
 def gfa2_segments(lines: DataFrame) -> DataFrame:
