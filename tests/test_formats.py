@@ -35,7 +35,7 @@ def test_gfa(spark):
     steps = [(r["path"], r["pos"], r["name"], r["orient"], r["gap_after"]) for r in T.gfa_path_steps(df, T.gfa_segments(df)).orderBy("path", "pos").collect()]
     assert steps == [("p", 0, "a", "+", False), ("p", 1, "b", "-", True), ("p", 2, "a", "+", False), ("sam_chr", 0, "a", "+", False), ("sam_chr", 1, "b", "-", False)]
     assert T.modal_overlap(T.gfa_links(df)).first()[0] == 4
-    with pytest.raises(T.FormatError, match="line 12"):
+    with pytest.raises(T.FormatError, match="line 13"):
         T.check_strict(df, "x.gfa")
 
 
