@@ -4,9 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import zstandard
+from pyspark.sql import DataFrame, functions as F
 
 from strandflow.llm._text import U64
 
+BUCKET = 16 << 20  # bytes of text whose hashes meet in one bucket, about
+
+
+def bucket_count(texts: DataFrame, text: str = "text") -> int:
+    """How many buckets the hashes of all texts take: one for each partition of a shuffle, and as many more as bound what one
+    holds, whatever that setting is."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+
 
 def bucket_number(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """A number for each 64-bit hash: its bucket above 32 other bits of it."""

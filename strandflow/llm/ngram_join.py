@@ -48,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from strandflow.llm._blocks import bucket_number, pack, runs, unpack
+from strandflow.llm._blocks import bucket_count, bucket_number, pack, runs, unpack
 from strandflow.llm._text import U64, WordHashes, mix
 from strandflow.operators.components import connected_components
 from strandflow.runtime import Scratch
@@ -482,7 +482,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(source)
     made = scratch.save(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_describe(n, threshold, buckets), DESCRIBED), "described")
     own = made.where("n is not null").select("doc_id", "n", "fp")
     nodes = scratch.save(own.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")

@@ -34,7 +34,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandflow.llm._blocks import bucket_number, pack, runs, unpack
+from strandflow.llm._blocks import bucket_count, bucket_number, pack, runs, unpack
 from strandflow.llm._text import mix
 from strandflow.runtime import Scratch
 
@@ -283,7 +283,7 @@ def _spans(docs: DataFrame, text: str, doc_id: str, min_words: int, often: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and length(text) > 0")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = bucket_count(source)
     made = scratch.save(source.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_cut(buckets, often), CUT), "units")
     found = scratch.save(made.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(_repeats, HITS), "repeats")
     # frequent digests: an earlier document has them, or the same one did not wait
