@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from strandflow.functions.sequence import flip, revcomp
+from strandflow.functions.sequence import flip, oriented, revcomp
 from strandflow.operators import links as G
+from strandflow.operators.names import last_ord, numbered, unique_names
+from strandflow.runtime import Scratch
 
 
 @dataclass(frozen=True)
@@ -80,23 +82,27 @@ def _reattach(links: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def split_segments(graph: Graph, cuts: DataFrame) -> Graph:
-    """Cut segments at ``(name, pos)``: pieces are ``name_part1``, ... and linked in a row without overlap; links
-    keep to the outer ends, self-loops of a cut segment go."""
-    inside = cuts.select("name", "pos").distinct().join(graph.segments.select("name", "length"), "name").where("pos > 0 and pos < length")
-    bounds = F.array_sort(F.collect_set("pos"))
-    cut = graph.segments.join(inside.groupBy("name").agg(bounds.alias("at")), "name")
+    """Cut segments at ``(name, pos)``: pieces are ``name_part1``, ... (``_2`` and so on where such a name exists) and linked in
+    a row without overlap; links keep to the outer ends, self-loops of a cut segment go. Pieces and their links have
+    ids of their own, behind all others."""
+    inside = cuts.select("name", "pos").distinct().join(graph.segments.select("name", "ord", "length"), "name").where("pos > 0 and pos < length")
+    cut = inside.groupBy("name", F.col("ord").alias("parent"), "length").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     edges = F.concat(F.array(F.lit(0).cast("long")), F.transform("at", lambda x: x.cast("long")), F.array("length"))
-    pieces = cut.withColumn("e", edges).select("*", F.posexplode(F.slice("e", F.lit(1), F.size("e") - 1)).alias("i", "st")).withColumn("en", F.element_at("e", F.col("i") + 2))
-    named = pieces.withColumn("piece", F.concat("name", F.lit("_part"), F.col("i") + 1)).withColumn("n", F.size("at") + 1)
+    pieces = cut.withColumn("e", edges).select("name", "parent", (F.size("at") + 1).alias("n"), "e", F.posexplode(F.slice("e", F.lit(1), F.size("e") - 1)).alias("i", "st"))
+    pieces = pieces.select("name", "parent", "n", "i", "st", F.element_at("e", F.col("i") + 2).alias("en"), F.concat("name", F.lit("_part"), F.col("i") + 1).alias("label"))
+    pieces = numbered(pieces, "parent", "i", after=last_ord(graph.segments, graph.links))
+    whole = graph.segments.join(pieces.select("name").distinct(), "name", "left_anti").select(*graph.segments.columns)
+    named = pieces.join(unique_names(pieces, whole).withColumnRenamed("name", "piece"), "ord")
+    named = Scratch(pieces.sparkSession, "split").save(named, "pieces")
     body = F.col("sequence").substr(F.col("st").cast("int") + 1, (F.col("en") - F.col("st")).cast("int"))
-    extra = [c for c in graph.segments.columns if c not in ("name", "sequence", "length")]
-    made = named.select(F.col("piece").alias("name"), body.alias("sequence"), (F.col("en") - F.col("st")).alias("length"), *extra).select(*graph.segments.columns)
-    whole = graph.segments.join(cut.select("name"), "name", "left_anti").select(*graph.segments.columns)
+    extra = [c for c in graph.segments.columns if c not in ("ord", "name", "sequence", "length")]
+    made = named.join(graph.segments.select("name", "sequence", *extra), "name").select("ord", F.col("piece").alias("name"), body.alias("sequence"), (F.col("en") - F.col("st")).alias("length"), *extra).select(*graph.segments.columns)
     ends = named.where("i = 0").select("name", F.lit("start").alias("side"), F.col("piece").alias("new_name"), F.lit("start").alias("new_side"))
     ends = ends.unionByName(named.where("i = n - 1").select("name", F.lit("end").alias("side"), F.col("piece").alias("new_name"), F.lit("end").alias("new_side")))
-    own = graph.links.join(cut.select(F.col("name").alias("from_name"), F.lit(True).alias("cut")), "from_name", "left")
+    own = graph.links.join(named.where("i = 0").select(F.col("name").alias("from_name"), F.lit(True).alias("cut")), "from_name", "left")
     kept = own.where(~((F.col("from_name") == F.col("to_name")) & F.coalesce("cut", F.lit(False)))).select(*graph.links.columns)
-    inner = named.where("i < n - 1").select((-F.col("ord") * 1000 - F.col("i") - 1).alias("ord"), F.col("piece").alias("from_name"), F.lit("+").alias("from_orient"), F.concat("name", F.lit("_part"), F.col("i") + 2).alias("to_name"), F.lit("+").alias("to_orient"), F.lit(0).cast("long").alias("overlap"))
+    after = named.select("name", (F.col("i") - 1).alias("i"), F.col("piece").alias("to_name"))
+    inner = named.join(after, ["name", "i"]).select("ord", F.col("piece").alias("from_name"), F.lit("+").alias("from_orient"), "to_name", F.lit("+").alias("to_orient"), F.lit(0).cast("long").alias("overlap"))
     return graph.then(whole.unionByName(made), _reattach(kept, ends).unionByName(inner, allowMissingColumns=True))
 
 
@@ -109,24 +115,24 @@ def break_differences(graph: Graph, events: DataFrame, *, extensive_only: bool =
 
 def merge_chains(graph: Graph, chains: DataFrame, prefix: str = "merged_") -> Graph:
     """Each chain of ``(chain, pos, name, orient)`` becomes one segment: overlaps trimmed, depth the mean weighted by
-    length over known depths, links at its two outer ends kept."""
+    length over known depths, links at its two outer ends kept. It takes the smallest id of its members and a name that
+    no other segment has."""
     steps = chains.select(F.col("chain").alias("path"), "pos", "name", "orient")
     pieces = G.walk_pieces(steps, graph.links, graph.segments).join(graph.segments.select("name", "depth", "ord"), "name")
-    from strandflow.functions.sequence import oriented
-
     body = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.length("sequence"))
     rows = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("piece", F.lit("")).alias("piece"))))
     known = F.when(F.col("depth").isNotNull(), F.col("length"))
     made = pieces.withColumn("piece", body).groupBy("path").agg(
         F.min("ord").alias("ord"), F.array_join(F.transform(rows, lambda x: x["piece"]), "").alias("text"), F.sum(F.col("length") - F.col("overlap")).alias("length"), (F.sum(F.col("depth") * F.col("length")) / F.nullif(F.sum(known), F.lit(0))).alias("depth"),
     )
-    made = made.select("ord", F.concat(F.lit(prefix), "path").alias("name"), F.nullif("text", F.lit("")).alias("sequence"), "length", "depth")
-    by = W.partitionBy("chain")
-    outer = chains.withColumn("last", F.max("pos").over(by)).withColumn("new_name", F.concat(F.lit(prefix), "chain"))
+    made = Scratch(chains.sparkSession, "merge").save(made, "merged")
+    whole = graph.segments.join(chains.select("name"), "name", "left_anti").select(*graph.segments.columns)
+    new = made.select("ord", "path").join(unique_names(made.select("ord", F.concat(F.lit(prefix), "path").alias("label")), whole), "ord")
+    made = made.join(new.drop("path"), "ord").select("ord", "name", F.nullif("text", F.lit("")).alias("sequence"), "length", "depth")
+    outer = chains.withColumn("last", F.max("pos").over(W.partitionBy("chain"))).join(new.select(F.col("path").alias("chain"), F.col("name").alias("new_name")), "chain")
     first = outer.where("pos = 0").select("name", F.when(F.col("orient") == "+", "start").otherwise("end").alias("side"), "new_name", F.lit("start").alias("new_side"))
     end = outer.where("pos = last").select("name", F.when(F.col("orient") == "+", "end").otherwise("start").alias("side"), "new_name", F.lit("end").alias("new_side"))
     moved = _reattach(graph.links, first.unionByName(end))
-    whole = graph.segments.join(chains.select("name"), "name", "left_anti").select(*graph.segments.columns)
     segments = whole.unionByName(made.select(*[c for c in graph.segments.columns if c in made.columns]), allowMissingColumns=True)
     return graph.then(segments, G.drop_dangling(moved, segments))
 
@@ -154,9 +160,3 @@ def remove_links(graph: Graph, gone: DataFrame) -> Graph:
 
 def simplify(graph: Graph, min_chain: int = 2) -> Graph:
     return merge_chains(graph, G.chains(graph.links, graph.segments, min_chain))
-
-
-def rename_unique(names: DataFrame, base: Column) -> DataFrame:
-    """``(name, unique)``: repeated labels get _2, _3, ... in order of ``ord``."""
-    k = F.row_number().over(W.partitionBy("base").orderBy("ord"))
-    return names.withColumn("base", base).withColumn("k", k).withColumn("unique", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), "k"))).drop("base", "k")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import sequence as fn
 from strandflow.operators import blocks as B, compare as D, edits as E, links as G, scaffold as S
 from strandflow.plans import adapters as A
-from strandflow.plans.graphs import _CC, _FOLD, _L1, _P, _links
+from strandflow.plans.graphs import _CC, _CHAIN, _FOLD, _L1, _ORDERS, _P, _links
 from strandflow.plans.registry import query, rounded
 from strandflow.sources import sinks as K, textio as T
 
@@ -171,10 +171,52 @@ def reverse_segments(spark, sf_dir):
     return E.reverse_segment(base, base.segments.where("ord % 3 = 0")).links.select("from_name", "from_orient", "to_name", "to_orient")
 
 
-@query()
+_MERGED = """select {name} as name, sum(length)::bigint as length, round(sum(depth * length) / sum(length), 6) as depth from chains join seg_orders using (name) group by chain
+union all select name, length, round(depth, 6) from seg_orders where name not in (select name from chains)"""
+
+
+def _order_graph(spark, sf_dir):
+    return E.Graph(A.seg_orders(spark, sf_dir), G.dedup_links(A.order_links(spark, sf_dir)))
+
+
+@query(f"""with recursive {_ORDERS}, {_CHAIN} {_MERGED.format(name="'merged_' || chain")}""")
 def simplify(spark, sf_dir):
-    """No SQL: merging follows chains; tests compare it with a plain loop."""
-    return E.simplify(E.Graph(A.seg_orders(spark, sf_dir), G.dedup_links(A.order_links(spark, sf_dir)))).segments.select("name", "length", F.round("depth", 6).alias("depth"))
+    return E.simplify(_order_graph(spark, sf_dir)).segments.select("name", "length", F.round("depth", 6).alias("depth"))
+
+
+#: Orders whose key 7 divides are cut at 1000 and 2000; where 14 does, the second piece is deleted. ``seg2`` and ``adj2`` are what is left.
+_CUT = f"""{_ORDERS}, pc as (select name, ord as parent, i, case when length > 2000 then 3 else 2 end as n, (i - 1) * 1000 as st, least(case when i = 3 then length else i * 1000 end, length) as en, depth from seg_orders, range(1, 4) r(i)
+  where ord % 7 = 0 and length > 1000 and (i - 1) * 1000 < length),
+pn as (select *, name || '_part' || i as piece, (select max(ord) from seg_orders) + row_number() over (order by parent, i) as ord from pc),
+seg2 as (select ord, piece as name, (en - st)::bigint as length, depth from pn where not (i = 2 and parent % 14 = 0) union all select ord, name, length, depth from seg_orders where name not in (select name from pn)),
+m as (select name, min(piece) filter (where i = 1) as head, min(piece) filter (where i = n) as tail from pn group by name),
+l2 as (select coalesce(case from_orient when '+' then x.tail else x.head end, from_name) as f, from_orient as fo, coalesce(case to_orient when '+' then y.head else y.tail end, to_name) as t, to_orient as tt
+  from uniq left join m x on x.name = from_name left join m y on y.name = to_name union all select x.piece, '+', y.piece, '+' from pn x join pn y on y.name = x.name and y.i = x.i + 1),
+l3 as (select * from l2 where f in (select name from seg2) and t in (select name from seg2)),
+adj2 as (select f as src, fo as src_o, t as dst, tt as dst_o from l3 union all select t, translate(tt, '+-', '-+'), f, translate(fo, '+-', '-+') from l3)"""
+
+
+def _cut_graph(spark, sf_dir):
+    graph = _order_graph(spark, sf_dir)
+    at = graph.segments.where("ord % 7 = 0").select("name", F.explode(F.array(F.lit(1000).cast("long"), F.lit(2000).cast("long"))).alias("pos"))
+    gone = graph.segments.where("ord % 14 = 0").select(F.concat("name", F.lit("_part2")).alias("name"))
+    return E.delete(E.split_segments(graph, at), gone)
+
+
+def _on_pieces(sql):
+    return sql.replace("adj", "adj2").replace("seg_orders", "seg2").replace("seg_part", "seg2")
+
+
+@query(f"""with recursive {_CUT}, {_on_pieces(_CHAIN)} {_on_pieces(_MERGED.format(name="'merged'"))}""")
+def split_simplified(spark, sf_dir):
+    made = E.simplify(_cut_graph(spark, sf_dir)).segments
+    return made.select(F.when(F.col("name").startswith("merged_"), "merged").otherwise(F.col("name")).alias("name"), "length", F.round("depth", 6).alias("depth"))
+
+
+@query(f"with {_CUT}, {_on_pieces(_CC)} select name, component from roots join comp using (root)")
+def split_components(spark, sf_dir):
+    graph = _cut_graph(spark, sf_dir)
+    return G.components(graph.segments, graph.links)
 
 
 # scaffolds
@@ -182,7 +224,7 @@ def simplify(spark, sf_dir):
 
 def _aligned(spark, sf_dir):
     rows = A.blocks(spark, sf_dir).where("is_primary")
-    shift = F.abs(F.xxhash64("query")) % 1 + F.regexp_replace("query", "q", "").cast("long") * 400
+    shift = F.regexp_replace("query", "q", "").cast("long") * 400
     return rows.withColumns({"r_st": F.col("r_st") + shift, "r_en": F.col("r_en") + shift, "q_len": F.lit(2000).cast("long")})
 
 

@@ -226,12 +226,15 @@ def unbranching_edges(spark, sf_dir):
     return G.unambiguous_edges(G.dedup_links(A.order_links(spark, sf_dir)))
 
 
-@query(f"""with recursive {_ORDERS}, o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1),
+_CHAIN = """o as (select src, src_o, min(dst) as dst, min(dst_o) as dst_o from adj group by 1, 2 having count(*) = 1), i as (select dst, dst_o from adj group by 1, 2 having count(*) = 1),
 u as (select src || src_o as a, dst || dst_o as b from o join i using (dst, dst_o) where src <> dst),
 w as (select a as head, a as node, 0::bigint as pos from u where a not in (select b from u) union all select head, b, pos + 1 from w join u on a = node),
 z as (select head, max(pos) as last, max_by(node, pos) as tail from w group by 1),
-p as (select z.*, h.ord as ho, t.ord as tor from z join seg_orders h on h.name = head[:-2] join seg_orders t on t.name = tail[:-2])
-select ho as chain, pos, node[:-2] as name, node[-1:] as orient from w join p using (head) where ho < tor or (ho = tor and head[-1:] = '+')""")
+p as (select z.*, h.ord as ho, t.ord as tor from z join seg_orders h on h.name = head[:-2] join seg_orders t on t.name = tail[:-2]),
+chains as (select ho as chain, pos, node[:-2] as name, node[-1:] as orient from w join p using (head) where ho < tor or (ho = tor and head[-1:] = '+'))"""
+
+
+@query(f"with recursive {_ORDERS}, {_CHAIN} select chain, pos, name, orient from chains")
 def unbranching_chains(spark, sf_dir):
     return G.chains(G.dedup_links(A.order_links(spark, sf_dir)), A.seg_orders(spark, sf_dir))
 

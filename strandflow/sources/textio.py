@@ -12,7 +12,8 @@ import stat
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from strandflow.functions.sequence import cigar_overlap, depth_from_name, depth_from_tags, length_from_name, parse_tags
+from strandflow.functions.sequence import cigar, cigar_overlap, depth_from_name, depth_from_tags, length_from_name, parse_tags, revcomp
+from strandflow.operators.names import numbered
 
 
 class FormatError(ValueError):
@@ -75,9 +76,9 @@ def gfa_segments(lines: DataFrame) -> DataFrame:
 def gfa_links(lines: DataFrame) -> DataFrame:
     """L lines as ``(ord, from_name, from_orient, to_name, to_orient, overlap, cigar)``, before any dedup."""
     f = F.col("f")
-    cigar = F.coalesce(F.get("f", F.lit(5)), F.lit("*"))
+    text = F.coalesce(F.get("f", F.lit(5)), F.lit("*"))
     rows = records(lines, "L").where((F.size("f") >= 5) & F.get(f, F.lit(2)).isin("+", "-") & F.get(f, F.lit(4)).isin("+", "-"))
-    return rows.select(F.col("line").alias("ord"), F.get(f, F.lit(1)).alias("from_name"), F.get(f, F.lit(2)).alias("from_orient"), F.get(f, F.lit(3)).alias("to_name"), F.get(f, F.lit(4)).alias("to_orient"), cigar_overlap(cigar).alias("overlap"), cigar.alias("cigar"))
+    return rows.select(F.col("line").alias("ord"), F.get(f, F.lit(1)).alias("from_name"), F.get(f, F.lit(2)).alias("from_orient"), F.get(f, F.lit(3)).alias("to_name"), F.get(f, F.lit(4)).alias("to_orient"), cigar_overlap(text).alias("overlap"), text.alias("cigar"))
 
 
 def _steps(text: Column) -> Column:
@@ -187,22 +188,18 @@ def fasta_segments(lines: DataFrame) -> DataFrame:
 def fastg(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments and links of FASTG: ``>edge:next1,next2';``; a quote is the reverse strand. Of the two strands
     of an edge the forward one is kept, or the reverse complement of the other."""
-    from strandflow.functions.sequence import revcomp
-
     rows = fasta_records(lines).withColumn("h", F.regexp_replace("name", ";$", "")).withColumn("own", F.split("h", ":")[0])
     rows = rows.withColumn("edge", F.regexp_replace("own", "'$", "")).withColumn("minus", F.col("own").endswith("'"))
     best = F.min_by(F.struct(F.when(F.col("minus"), revcomp("sequence")).otherwise(F.col("sequence")).alias("sequence")), F.struct("minus", "ord"))
     segments = rows.groupBy(F.col("edge").alias("name")).agg(F.min("ord").alias("ord"), best.alias("x")).select("ord", "name", F.upper("x.sequence").alias("sequence"), F.length("x.sequence").cast("long").alias("length"), depth_from_name("name").alias("depth"))
     nexts = rows.where(F.col("h").contains(":")).select("ord", "edge", "minus", F.posexplode(F.split(F.split("h", ":")[1], ",")).alias("k", "t")).where("t != ''")
     orient = lambda c: F.when(c, "-").otherwise("+")
-    links = nexts.select((F.col("ord") * 1000 + F.col("k")).alias("ord"), F.col("edge").alias("from_name"), orient(F.col("minus")).alias("from_orient"), F.regexp_replace("t", "'$", "").alias("to_name"), orient(F.col("t").endswith("'")).alias("to_orient"), F.lit(0).cast("long").alias("overlap"))
+    links = numbered(nexts.withColumnRenamed("ord", "line"), "line", "k").select("ord", F.col("edge").alias("from_name"), orient(F.col("minus")).alias("from_orient"), F.regexp_replace("t", "'$", "").alias("to_name"), orient(F.col("t").endswith("'")).alias("to_orient"), F.lit(0).cast("long").alias("overlap"))
     return segments, links
 
 
 def paf_blocks(lines: DataFrame) -> DataFrame:
     """PAF lines as alignment blocks; shorter lines than twelve fields are skipped."""
-    from strandflow.functions.sequence import cigar
-
     f = F.col("f")
     rows = lines.select("line", _fields().alias("f")).where(F.size("f") >= 12).withColumn("tags", parse_tags(F.slice("f", 13, 10_000)))
     number = lambda k: F.get(f, F.lit(k)).try_cast("long")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 from strandflow.operators import edits as E, links as G
+from strandflow.operators.names import unique_names
 from strandflow.operators.components import connected_components
 from strandflow.runtime import Scratch
 
@@ -105,3 +108,44 @@ def test_filters_treat_unknown_depth_apart(spark):
     g = E.Graph(segments, spark.createDataFrame([], LINKS))
     assert {r["name"] for r in E.filter_graph(g, min_depth=1).segments.collect()} == {"b", "c"}
     assert {r["name"] for r in E.filter_graph(g, max_depth=10).segments.collect()} == {"a", "b"}
+
+
+def distinct_ids(graph):
+    ords, names = ([r[c] for r in graph.segments.collect()] for c in ("ord", "name"))
+    assert len(set(ords)) == len(ords) and len(set(names)) == len(names)
+
+
+def test_pieces_of_a_split_are_nodes_of_their_own(spark):
+    segments = spark.createDataFrame([(k, n, n * 300, 300, 1.0) for k, n in enumerate("XAY")], SEGMENTS)
+    links = spark.createDataFrame([(0, "X", "+", "A", "+", 10), (1, "A", "+", "Y", "+", 10)], LINKS)
+    cut = E.split_segments(E.Graph(segments, links), spark.createDataFrame([("A", 100), ("A", 200)], "name string, pos long"))
+    distinct_ids(cut)
+    g = E.delete(cut, spark.createDataFrame([("A_part2",)], "name string"))
+    assert len({r["component"] for r in G.components(g.segments, g.links).collect()}) == 2
+    assert len({r["chain"] for r in G.chains(g.links, g.segments).collect()}) == 2
+    merged = E.simplify(g)
+    distinct_ids(merged)
+    turned = "R" * 300 + "T" * 90  # a chain is read from the end that comes first
+    assert sorted((r["length"], r["sequence"]) for r in merged.segments.collect()) == [(390, turned), (390, "X" * 300 + "A" * 90)]
+    again = E.split_segments(merged, merged.segments.select("name", F.lit(50).cast("long").alias("pos")))
+    distinct_ids(again)
+    assert again.segments.agg(F.sum("length")).first()[0] == 780
+
+
+def test_new_names_keep_out_of_the_way(spark):
+    segments = spark.createDataFrame([(k, n, "A" * 30, 30, 1.0) for k, n in enumerate(["x", "x_part1", "x_part1_2", "y", "merged_3", "z"])], SEGMENTS)
+    links = spark.createDataFrame([(0, "y", "+", "z", "+", 0)], LINKS)
+    g = E.split_segments(E.Graph(segments, links), spark.createDataFrame([("x", 10)], "name string, pos long"))
+    distinct_ids(g)
+    assert {r["name"] for r in g.segments.collect()} == {"x_part1", "x_part1_2", "x_part1_2_2", "x_part2", "y", "merged_3", "z"}
+    merged = E.simplify(E.Graph(segments, links))
+    distinct_ids(merged)
+    assert {r["name"] for r in merged.segments.collect()} >= {"merged_3", "merged_3_2"}
+
+
+def test_unique_names_count_on_until_all_differ(spark):
+    rows = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a_2"), (3, "b"), (4, "a")], "ord long, label string")
+    taken = spark.createDataFrame([("b",)], "name string")
+    got = {r["ord"]: r["name"] for r in unique_names(rows, taken).collect()}
+    assert len(set(got.values())) == 5 and "b" not in got.values() and got[0] == "a" and got[2] == "a_2" and got[3] == "b_2"
+    assert unique_names(rows.limit(0)).collect() == []
