@@ -33,6 +33,36 @@ class Graph:
         return replace(self.past[-1], past=self.past[:-1])
 
 
+def add_segments(graph: Graph, rows: DataFrame, replace: bool = False) -> Graph:
+    """With the segments ``(name, sequence, length, depth, ...)``, of which all but the name may be missing or null, behind all others.
+    One whose name exists raises, or with ``replace`` takes the place of the one there is; of a name that comes twice
+    in ``rows`` any one counts."""
+    kinds = dict(graph.segments.dtypes)
+    own = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in graph.segments.columns if c != "ord"]).dropDuplicates(["name"])
+    own = own.where("name is not null").withColumn("length", F.when(F.length("sequence") > 0, F.length("sequence")).otherwise(F.coalesce("length", F.lit(0))).cast("long"))
+    there = graph.segments.select("name", F.col("ord").alias("place"))
+    if not replace and (first := own.join(there, "name").first()):
+        raise ValueError(f"a segment {first['name']!r} exists")
+    kept = graph.segments.join(own.select("name"), "name", "left_anti").select(*graph.segments.columns)
+    instead = own.join(there, "name").withColumn("ord", F.col("place")).select(*graph.segments.columns)
+    new = numbered(own.join(there.select("name"), "name", "left_anti"), "name", after=last_ord(graph.segments, graph.links)).select(*graph.segments.columns)
+    return graph.then(kept.unionByName(instead).unionByName(new), graph.links)
+
+
+def add_links(graph: Graph, rows: DataFrame, strict: bool = False) -> Graph:
+    """With the links ``(from_name, from_orient, to_name, to_orient, overlap, ...)``; those that the graph has, in either reading,
+    stay as they are. A link to a segment that is not there is left out, or with ``strict`` raises."""
+    kinds = dict(graph.links.dtypes)
+    own = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in graph.links.columns if c != "ord"]).withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
+    own = numbered(own, *G.ENDS, after=last_ord(graph.segments, graph.links)).select(*graph.links.columns)
+    if strict:
+        names = graph.segments.select("name")
+        ends = own.select(F.explode(F.array("from_name", "to_name")).alias("name"))
+        if lost := ends.join(names, "name", "left_anti").first():
+            raise ValueError(f"no segment {lost['name']!r}")
+    return graph.then(graph.segments, G.dedup_links(graph.links.unionByName(G.drop_dangling(own, graph.segments))))
+
+
 def delete(graph: Graph, names: DataFrame) -> Graph:
     segments = graph.segments.join(names.select("name"), "name", "left_anti").select(*graph.segments.columns)
     return graph.then(segments, G.drop_dangling(graph.links, segments))

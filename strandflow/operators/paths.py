@@ -19,71 +19,102 @@ def match_names(segments: DataFrame, queries: DataFrame, exact: bool = True) ->
 
 
 def find_paths(links: DataFrame, segments: DataFrame, pairs: DataFrame, *, max_length: int = 50_000, max_nodes: int = 30, max_paths: int = 24) -> DataFrame:
-    """Walks between oriented ends: ``pairs`` of ``(pair, a, ao, b, bo)`` to ``(pair, hops, walk, length)``, the
-    intermediates only.
+    """Walks between oriented ends: ``pairs`` of ``(pair, a, ao, b, bo)``, with a ``max_length`` of their own if they have that
+    column, to ``(pair, hops, walk, length)``, the intermediates only.
 
-    All pairs advance together, one join a hop. A branch ends at its goal, before ``max_length`` bases of
-    intermediates or ``max_nodes`` steps are passed, or where a segment would come a third time. Of each pair the
-    first ``max_paths`` walks in order of hops count, as a breadth-first search meets them.
+    All pairs advance together, one join a hop. A branch ends at its goal, before ``max_length`` bases of intermediates
+    or ``max_nodes`` steps are passed, or where a segment would come a third time. Of each pair the first
+    ``max_paths`` walks count by hops, then length, then names.
+
+    Where more than ``max_paths`` beginnings of one pair stand at one end after as many hops, only the first ones by length and
+    names stay: whatever walk one of the others can become, each of those becomes a better one the same way. That holds as
+    long as no segment comes too often in their walks, so beginnings are told apart by the segments of theirs that can come again
+    at all, those on a ring; in a graph without rings around the pairs a hop has ``max_paths`` rows for an end.
     """
     scratch = Scratch(links.sparkSession, "paths")
     adj = scratch.save(G.adjacency(links).select(F.col("src").alias("at"), F.col("src_o").alias("at_o"), "dst", "dst_o").join(segments.select(F.col("name").alias("dst"), F.col("length").alias("size")), "dst"), "adj")
+    limit = F.col("max_length") if "max_length" in pairs.columns else F.lit(max_length)
+    begin = scratch.save(pairs.select("pair", "b", "bo", F.col("a").alias("at"), F.col("ao").alias("at_o"), limit.cast("long").alias("limit")), "begin")
+    found = _search(scratch, begin, adj, max_nodes, max_paths, None)
+    if found is None:
+        found = _search(scratch, begin, adj, max_nodes, max_paths, _on_rings(scratch, begin, adj, max_nodes))
+    order = W.partitionBy("pair").orderBy("hops", "length", "text")
+    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_paths).select("pair", "hops", "walk", "length")
+
+
+def _search(scratch: Scratch, begin: DataFrame, adj: DataFrame, max_nodes: int, max_paths: int, rings: DataFrame | None) -> DataFrame | None:
+    """The walks found, or None where beginnings crowd and ``rings``, the segments that can come again, are not known."""
     nothing = F.expr("array()").cast("array<struct<name: string, orient: string>>")
-    front = scratch.save(pairs.select("pair", "b", "bo", F.col("a").alias("at"), F.col("ao").alias("at_o"), nothing.alias("walk"), F.lit(0).cast("long").alias("length")), "front")
+    front = begin.withColumns({"walk": nothing, "length": F.lit(0).cast("long"), "text": F.lit(""), "again": F.expr("array()").cast("array<string>")})
+    adj = adj.withColumn("ring", F.lit(True)) if rings is None else scratch.save(adj.join(rings.withColumn("ring", F.lit(True)), "dst", "left"), "ringed")
     found = None
     for hops in range(max_nodes + 1):
         step = scratch.save(front.join(adj, ["at", "at_o"]), "step")
         done = (F.col("dst") == F.col("b")) & (F.col("dst_o") == F.col("bo"))
-        hit = step.where(done).select("pair", F.lit(hops).alias("hops"), "walk", "length")
+        hit = step.where(done).select("pair", F.lit(hops).alias("hops"), "walk", "length", "text")
         found = hit if found is None else found.unionByName(hit)
         seen = F.size(F.filter("walk", lambda w: w["name"] == F.col("dst")))
-        on = step.where(~done & (F.col("length") + F.col("size") <= max_length) & (seen < 2))
-        front = scratch.save(on.select("pair", "b", "bo", F.col("dst").alias("at"), F.col("dst_o").alias("at_o"), F.concat("walk", F.array(F.struct(F.col("dst").alias("name"), F.col("dst_o").alias("orient")))).alias("walk"), (F.col("length") + F.col("size")).alias("length")), "front")
-        if front.isEmpty():
+        on = step.where(~done & (F.col("length") + F.col("size") <= F.col("limit")) & (seen < 2))
+        on = on.select(
+            "pair", "b", "bo", "limit", F.col("dst").alias("at"), F.col("dst_o").alias("at_o"), F.concat("walk", F.array(F.struct(F.col("dst").alias("name"), F.col("dst_o").alias("orient")))).alias("walk"),
+            (F.col("length") + F.col("size")).alias("length"), F.concat("text", "dst", "dst_o", F.lit("\t")).alias("text"), F.when(F.col("ring"), F.array_sort(F.concat("again", F.array("dst")))).otherwise(F.col("again")).alias("again"),
+        )
+        if rings is not None:
+            best = W.partitionBy("pair", "at", "at_o", "again").orderBy("length", "text")
+            full = found.groupBy("pair").count().where(F.col("count") >= max_paths)
+            on = on.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= max_paths).drop("rn").join(full, "pair", "left_anti")
+        front = scratch.save(on, "front")
+        most = front.groupBy("pair", "at", "at_o").count().agg(F.max("count")).first()[0]
+        if most is None:
             break
-    order = W.partitionBy("pair").orderBy("hops", "length", F.to_json("walk"))
-    return found.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max_paths).drop("rn")
+        if rings is None and most > max_paths:
+            return None
+    return found
 
 
-def _bridge_pieces(walks: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
-    """The intermediates of walks ``(path, a, ao, walk, b, bo)`` with what each keeps: it gives up its overlap with the
-    step before, and the last one that with the right end as well."""
-    ends = lambda n, o: F.array(F.struct(F.col(n).alias("name"), F.col(o).alias("orient")))
-    steps = walks.select("path", F.posexplode(F.concat(ends("a", "ao"), F.col("walk"), ends("b", "bo"))).alias("pos", "s")).select("path", F.col("pos").cast("long").alias("pos"), "s.name", "s.orient")
-    own = W.partitionBy("path")
-    pieces = G.walk_pieces(steps, links, segments).withColumn("last", F.max("pos").over(own)).withColumn("over", F.lead("overlap").over(own.orderBy("pos")))
-    tail = F.when(F.col("pos") == F.col("last") - 1, F.col("over")).otherwise(0)
-    return pieces.withColumn("tail", tail).withColumn("size", F.col("length") - F.col("overlap") - F.col("tail")).where("pos > 0 and pos < last")
-
-
-def bridge_rows(bridged: DataFrame, gaps: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
-    """``(pair, pieces)`` of bridges as AGP has them: the slice of every intermediate, 1-based on its forward strand.
-    An empty list closes the gap to nothing."""
-    walks = bridged.join(gaps, "pair").withColumn("path", F.col("pair").cast("string"))
-    pieces = _bridge_pieces(walks, links, segments).where("size > 0")
-    minus = F.col("orient") == "-"
-    beg = F.when(minus, F.col("tail")).otherwise(F.col("overlap")) + 1
-    piece = F.struct("pos", F.col("size").cast("long").alias("size"), F.col("name").alias("component"), beg.cast("long").alias("c_beg"), (beg + F.col("size") - 1).cast("long").alias("c_end"), "orient")
-    made = pieces.groupBy("path").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    return walks.select("pair", "path").join(made, "path", "left").select("pair", F.coalesce("pieces", F.expr("array()").cast(made.schema["pieces"].dataType)).alias("pieces"))
+def _on_rings(scratch: Scratch, begin: DataFrame, adj: DataFrame, hops: int) -> DataFrame:
+    """Segments within ``hops`` steps of a beginning that a walk may come back to, among others ``(dst)``: what is left
+    once all that nothing leads to and all that leads nowhere is taken away, again and again."""
+    seen = front = scratch.save(begin.select("at", "at_o").distinct(), "seen")
+    for _ in range(hops + 1):
+        step = front.join(adj, ["at", "at_o"]).select(F.col("dst").alias("at"), F.col("dst_o").alias("at_o")).distinct()
+        front = scratch.save(step.join(seen, ["at", "at_o"], "left_anti"), "ring_front")
+        if front.isEmpty():
+            break
+        seen = scratch.save(seen.unionByName(front), "seen")
+    inside = adj.join(seen, ["at", "at_o"]).join(seen.select(F.col("at").alias("dst"), F.col("at_o").alias("dst_o")), ["dst", "dst_o"])
+    edges, before = scratch.save(inside.select("at", "dst").distinct(), "edges"), -1
+    for _ in range(hops + 2):
+        n = edges.count()
+        if n in (0, before):
+            break
+        kept = edges.join(edges.select(F.col("dst").alias("at")).distinct(), "at", "left_semi").join(edges.select(F.col("at").alias("dst")).distinct(), "dst", "left_semi")
+        edges, before = scratch.save(kept.select("at", "dst"), "edges"), n
+    return edges.select("dst").distinct()
 
 
 def bridges(links: DataFrame, segments: DataFrame, gaps: DataFrame, *, tolerance: float = 0.5, max_length: int = 50_000, max_nodes: int = 20) -> DataFrame:
     """``(pair, walk, sequence)`` for gaps ``(pair, a, ao, b, bo, gap)`` that the graph fills with confidence.
 
-    Ends with a direct link close to nothing. Otherwise the walk whose own bases come closest to the gap wins,
-    within the tolerance, unless the next best differs in sequence and is almost as close.
+    Ends with a direct link close to nothing. Otherwise the walk whose own bases (each segment without its overlap with the one
+    before) come closest to the gap wins, within the tolerance, unless the next best differs in sequence and is almost as close.
     """
     scratch = Scratch(links.sparkSession, "bridges")
     adj = G.adjacency(links).select(F.col("src").alias("a"), F.col("src_o").alias("ao"), F.col("dst").alias("b"), F.col("dst_o").alias("bo")).distinct()
     direct = gaps.join(adj, ["a", "ao", "b", "bo"]).select("pair", F.expr("array()").cast("array<struct<name: string, orient: string>>").alias("walk"), F.lit("").alias("sequence"))
-    rest = gaps.join(adj, ["a", "ao", "b", "bo"], "left_anti")
-    lo, hi = F.floor(F.col("gap") * (1 - tolerance)), F.floor(F.col("gap") * (1 + tolerance)) + 100
-    walks = scratch.save(find_paths(links, segments, rest, max_length=max_length, max_nodes=max_nodes, max_paths=16).where("hops > 0").join(rest, "pair").withColumn("path", F.concat_ws(":", "pair", F.to_json("walk"))), "walks")
-    pieces = _bridge_pieces(walks, links, segments)
-    part = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.greatest(F.col("size"), F.lit(0)).cast("int"))
-    joined = pieces.withColumn("part", part).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "").alias("sequence"), F.count("sequence").alias("known"), F.count("*").alias("n"))
-    scored = walks.join(joined.where("known = n"), "path").withColumn("off", F.abs(F.length("sequence") - F.col("gap"))).where((F.length("sequence") >= lo) & (F.length("sequence") <= hi))
+    lo, hi = F.greatest(F.lit(0), F.floor(F.col("gap") * (1 - tolerance))), F.floor(F.col("gap") * (1 + tolerance)) + 100
+    rest = gaps.join(adj, ["a", "ao", "b", "bo"], "left_anti").withColumns({"lo": lo, "hi": hi})
+    reach = F.least(F.lit(max_length), F.greatest(F.lit(2000), 3 * F.col("gap")), F.greatest(2 * hi, F.lit(2000)))
+    rest = scratch.save(rest.withColumn("max_length", reach), "gaps")
+    walks = find_paths(links, segments, rest, max_nodes=max_nodes, max_paths=16).where("hops > 0").join(rest, "pair")
+    walks = scratch.save(walks.withColumn("path", F.to_json(F.struct("pair", "walk"))), "walks")
+    first = F.array(F.struct(F.col("a").alias("name"), F.col("ao").alias("orient")))
+    steps = walks.select("path", F.posexplode(F.concat(first, F.col("walk"))).alias("pos", "s")).select("path", F.col("pos").cast("long").alias("pos"), "s.name", "s.orient")
+    part = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.length("sequence"))
+    parts = G.walk_pieces(steps, links, segments).where("pos > 0").withColumn("part", part)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
+    joined = parts.groupBy("path").agg(whole.alias("sequence"), F.count("sequence").alias("known"), F.count("*").alias("n"))
+    scored = walks.join(joined.where("known = n"), "path").withColumn("off", F.abs(F.length("sequence") - F.col("gap"))).where((F.length("sequence") >= F.col("lo")) & (F.length("sequence") <= F.col("hi")))
     order = W.partitionBy("pair").orderBy("off", "hops", "path")
     ranked = scored.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("sequence").over(order)).withColumn("next_off", F.lead("off").over(order))
     clear = F.col("next").isNull() | (F.col("next") == F.col("sequence")) | (F.col("next_off") > F.col("off") * 1.25)
@@ -133,12 +164,10 @@ def _link_sequences(links: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def infer_overlap(links: DataFrame, segments: DataFrame, *, cap: int = 512, sample: int = 120, least: int = 10, consensus: float = 0.6) -> DataFrame:
-    """One row ``(overlap)``: what an even sample of links measures as exact overlap, if at least ``least`` and the
-    share ``consensus`` agree; else 0. A report over ``sample`` links, as many for any graph."""
-    n = links.count()
-    step = max(1, n // sample)
-    rank = links.select("ord", *G.ENDS).withColumn("k", F.row_number().over(W.orderBy("ord")) - 1) if n <= 1_000_000 else links.withColumn("k", F.pmod(F.xxhash64("ord"), F.lit(n)))
-    some = rank.where(F.col("k") % step == 0).limit(sample) if n > 1_000_000 else rank.where((F.col("k") % step == 0) & (F.col("k") < step * sample))
+    """One row ``(overlap)``: what a sample of links measures as exact overlap, if at least ``least`` and the share
+    ``consensus`` agree; else 0. The sample are the ``sample`` links whose ends hash lowest, the same in every run."""
+    h = F.xxhash64(*G.ENDS)
+    some = links.select("ord", *G.ENDS, h.alias("h")).orderBy("h", "ord").limit(sample)
     measured = _link_sequences(some, segments).select(exact_overlap("l", "r", cap).alias("overlap"), "ord")
     counts = measured.groupBy("overlap").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     best = counts.agg(F.max_by(F.struct("overlap", "n"), F.struct("n", -F.col("first"))).alias("b"), F.sum("n").alias("all"))
@@ -146,13 +175,29 @@ def infer_overlap(links: DataFrame, segments: DataFrame, *, cap: int = 512, samp
     return best.select(F.when(fine, F.col("b.overlap")).otherwise(0).cast("long").alias("overlap"))
 
 
+def _borne_out(links: DataFrame, segments: DataFrame, overlap: int) -> DataFrame:
+    """``(ord, fits)`` of the links whose two ends share ``overlap`` bases."""
+    fits: Column = (F.length("l") >= overlap) & (F.length("r") >= overlap) & (F.right("l", F.lit(overlap)) == F.left("r", F.lit(overlap)))
+    return _link_sequences(links, segments).where(fits).select("ord", F.lit(True).alias("fits"))
+
+
 def apply_overlap(links: DataFrame, segments: DataFrame, overlap: int) -> DataFrame:
     """``links`` with the overlap set where the sequences bear it out; only if no link states one already."""
     if overlap <= 0 or not links.where("overlap != 0").isEmpty():
         return links
-    fits: Column = (F.length("l") >= overlap) & (F.length("r") >= overlap) & (F.right("l", F.lit(overlap)) == F.left("r", F.lit(overlap)))
-    good = _link_sequences(links, segments).where(fits).select("ord", F.lit(True).alias("fits"))
-    return links.join(good, "ord", "left").withColumn("overlap", F.when(F.col("fits"), F.lit(overlap)).otherwise(F.col("overlap")).cast("long")).select(*links.columns)
+    set_ = F.when(F.col("fits"), F.lit(overlap)).otherwise(F.col("overlap")).cast("long")
+    return links.join(_borne_out(links, segments, overlap), "ord", "left").withColumn("overlap", set_).select(*links.columns)
+
+
+def adopt_overlap(links: DataFrame, segments: DataFrame) -> tuple[DataFrame, int]:
+    """``links`` with the overlap that a sample of them measures, where none states one, and the overlap to take where no link is known:
+    that one, if it fits two links and half of all, else 0."""
+    overlap = 0 if links.isEmpty() or not links.where("overlap != 0").isEmpty() else infer_overlap(links, segments).first()[0]
+    if not overlap:
+        return links, 0
+    made = Scratch(links.sparkSession, "overlap").save(apply_overlap(links, segments, overlap), "links")
+    all_, good = made.agg(F.count("*"), F.count_if(F.col("overlap") == overlap)).first()
+    return made, overlap if good >= max(2, 0.5 * all_) else 0
 
 
 def _other(node: Column) -> Column:

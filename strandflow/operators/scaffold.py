@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from strandflow.functions.sequence import safe_label
+from strandflow.functions.sequence import oriented, revcomp, safe_label
+from strandflow.operators import links as G
 from strandflow.operators.blocks import best_placements
+from strandflow.operators.contiguity import contiguity
+from strandflow.operators.names import last_ord, numbered, unique_names
+from strandflow.operators.paths import bridges
+from strandflow.runtime import Scratch
 
 MIN_GAP = 100
 
@@ -46,57 +51,176 @@ def order_by_reference(blocks: DataFrame, *, min_align: int = 500, min_identity:
     gone = gone.withColumns({"pos": F.lit(None).cast("int"), "gap_after": F.lit(None).cast("long"), "evidence": F.lit(None).cast("string"), "overlaps_previous": F.lit(False), "redundant": F.lit(True)})
     total = best.groupBy("ref").agg(F.sum("span").alias("t"))
     rank = total.select("ref", F.row_number().over(W.orderBy(F.col("t").desc(), "ref")).alias("ref_rank"))
-    out = rows.drop("raw").unionByName(gone).join(F.broadcast(rank), "ref")
+    out = rows.drop("raw").unionByName(gone).join(rank, "ref")
     return out.select("ref_rank", "ref", F.col("pos").cast("long").alias("pos"), F.col("query").alias("segment"), F.when(F.col("strand") > 0, "+").otherwise("-").alias("orientation"), "r_st", "r_en", F.col("gap_after").cast("long").alias("gap_after"), "evidence", "overlaps_previous", "redundant")
 
 
-def plan_by_reference(blocks: DataFrame, segments: DataFrame, prefix: str = "scaffold", **options) -> DataFrame:
-    """Plan members ``(scaffold, source, pos, segment, orientation, gap_after, evidence)``; what has no place
-    stands alone, in order of name."""
-    placed = order_by_reference(blocks, **options)
-    kept = placed.where("not redundant").select(F.concat(F.lit(f"{prefix}_"), safe_label("ref")).alias("scaffold"), F.lit("reference").alias("source"), "pos", "segment", "orientation", "gap_after", "evidence")
-    left = segments.join(placed.select(F.col("segment").alias("name")), "name", "left_anti")
-    alone = left.select(F.concat(F.lit("unplaced_"), safe_label("name")).alias("scaffold"), F.lit("unplaced").alias("source"), F.lit(0).cast("long").alias("pos"), F.col("name").alias("segment"), F.lit("+").alias("orientation"), F.lit(0).cast("long").alias("gap_after"), F.lit(None).cast("string").alias("evidence"))
-    return kept.unionByName(alone)
+_WALK = T.ArrayType(T.StructType().add("name", "string").add("orient", "string"))
+#: What a plan holds, one row for each member of a scaffold. ``ord`` is the scaffold's place among all; ``bridge`` is the walk that stands in
+#: place of the gap after a member, ``trim`` what the next member gives up where the ends of both are the same bases.
+PLAN = T.StructType()
+for _name, _kind in (
+    ("ord", "long"), ("scaffold", "string"), ("source", "string"), ("reference", "string"), ("pos", "long"), ("segment", "string"), ("orientation", "string"), ("gap_after", "long"),
+    ("evidence", "string"), ("r_st", "long"), ("r_en", "long"), ("overlaps_previous", "boolean"), ("bridge", _WALK), ("trim", "long"),
+):
+    PLAN.add(_name, _kind)
+_NOTHING = {"bridge": F.array, "trim": lambda: F.lit(0), "overlaps_previous": lambda: F.lit(False)}
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """Rows with the columns of ``PLAN``; what they lack is null, but for no walk and no trim."""
+    own = {f.name: (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType) for f in PLAN}
+    return rows.select(*[(F.coalesce(own[f.name], _NOTHING[f.name]().cast(f.dataType)) if f.name in _NOTHING else own[f.name]).alias(f.name) for f in PLAN])
+
+
+def plan_by_reference(blocks: DataFrame, segments: DataFrame, prefix: str = "scaffold", include_unplaced: bool = True, **options) -> DataFrame:
+    """Members (see ``PLAN``) in the order of references, most aligned bases first; what has no place stands alone, in order of
+    name. Scaffolds whose labels come out alike are numbered."""
+    placed = Scratch(segments.sparkSession, "plan").save(order_by_reference(blocks, **options), "placed")
+    kept = placed.where("not redundant")
+    labels = kept.select(F.col("ref_rank").alias("ord"), F.concat(F.lit(f"{prefix}_"), safe_label("ref")).alias("label")).distinct()
+    made = kept.withColumnRenamed("ref_rank", "ord").withColumn("source", F.lit("reference")).withColumnRenamed("ref", "reference")
+    if include_unplaced:
+        left = segments.select("name").join(placed.select(F.col("segment").alias("name")), "name", "left_anti")
+        alone = numbered(left, "name", after=last_ord(labels))
+        labels = labels.unionByName(alone.select("ord", F.concat(F.lit("unplaced_"), safe_label("name")).alias("label")))
+        alone = alone.select("ord", F.lit("unplaced").alias("source"), F.lit(0).alias("pos"), F.col("name").alias("segment"), F.lit("+").alias("orientation"), F.lit(0).alias("gap_after"))
+        made = made.unionByName(alone, allowMissingColumns=True)
+    names = unique_names(labels).withColumnRenamed("name", "scaffold")
+    return _members(made.join(names, "ord"))
 
 
 def plan_by_chains(chains: DataFrame, segments: DataFrame) -> DataFrame:
-    """Chains of the graph as scaffolds without gaps, the rest alone."""
-    made = chains.select(F.concat(F.lit("scaffold_graph_"), "chain").alias("scaffold"), F.lit("graph").alias("source"), "pos", F.col("name").alias("segment"), F.col("orient").alias("orientation"), F.lit(0).cast("long").alias("gap_after"), F.lit(None).cast("string").alias("evidence"))
-    left = segments.join(chains.select("name"), "name", "left_anti")
-    return made.unionByName(left.select(F.concat(F.lit("scaffold_"), safe_label("name")).alias("scaffold"), F.lit("graph").alias("source"), F.lit(0).cast("long").alias("pos"), F.col("name").alias("segment"), F.lit("+").alias("orientation"), F.lit(0).cast("long").alias("gap_after"), F.lit(None).cast("string").alias("evidence")))
+    """Chains of the graph as scaffolds without gaps, the rest alone, longest first."""
+    made = chains.select(F.concat(F.lit("scaffold_graph_"), "chain").alias("label"), F.col("chain").alias("key"), "pos", F.col("name").alias("segment"), F.col("orient").alias("orientation"))
+    heads = numbered(made.select("label", "key").distinct(), "key")
+    left = segments.select("name", "length", F.col("ord").alias("key")).join(chains.select("name"), "name", "left_anti").withColumn("long", -F.col("length"))
+    alone = numbered(left, "long", "key", after=last_ord(heads))
+    names = unique_names(heads.select("ord", "label").unionByName(alone.select("ord", F.concat(F.lit("scaffold_"), safe_label("name")).alias("label")))).withColumnRenamed("name", "scaffold")
+    rows = made.join(heads.select("ord", "key"), "key").select("ord", "pos", "segment", "orientation")
+    rows = rows.unionByName(alone.select("ord", F.lit(0).cast("long").alias("pos"), F.col("name").alias("segment"), F.lit("+").alias("orientation")))
+    return _members(rows.join(names, "ord").withColumn("source", F.lit("graph")).withColumn("gap_after", F.lit(0)))
+
+
+def _following(plan: DataFrame, *columns: str) -> DataFrame:
+    """``plan`` with the given columns of the next member of the scaffold, as ``next_...``."""
+    along = W.partitionBy("scaffold").orderBy("pos")
+    return plan.withColumns({f"next_{c}": F.lead(c).over(along) for c in columns})
+
+
+def fill_gaps(plan: DataFrame, segments: DataFrame, links: DataFrame, **options) -> DataFrame:
+    """``plan`` with the gaps that walks of the graph fill (see ``paths.bridges``), and without the unplaced segments such a walk
+    passes through, which are written there."""
+    scratch = Scratch(plan.sparkSession, "fill")
+    pair = F.struct("scaffold", "pos")
+    open_gaps = _following(plan, "segment", "orientation").where("gap_after > 0 and next_segment is not null")
+    gaps = open_gaps.select(pair.alias("pair"), F.col("segment").alias("a"), F.col("orientation").alias("ao"), F.col("next_segment").alias("b"), F.col("next_orientation").alias("bo"), F.col("gap_after").alias("gap"))
+    made = scratch.save(bridges(links, segments, scratch.save(gaps, "gaps"), **options).select("pair.scaffold", "pair.pos", F.col("walk").alias("found")), "bridges")
+    rows = plan.join(made, ["scaffold", "pos"], "left")
+    full = F.col("found").isNotNull()
+    rows = rows.withColumn("evidence", F.when(full, F.when(F.size("found") > 0, "graph").otherwise("adjacent")).otherwise(F.col("evidence")))
+    rows = rows.withColumns({"gap_after": F.when(full, F.lit(0)).otherwise(F.col("gap_after")), "bridge": F.coalesce("found", "bridge")})
+    used = made.select(F.explode("found").alias("w")).select(F.col("w.name").alias("segment"), F.lit("unplaced").alias("source")).distinct()
+    return _members(rows.join(used, ["segment", "source"], "left_anti"))
+
+
+def trim_overlaps(plan: DataFrame, segments: DataFrame) -> DataFrame:
+    """``plan`` with neighbours that overlap on the reference written once: where the ends really are the same bases (see
+    ``verified_overlaps``) the next member gives them up and the gap goes; else the gap stays."""
+    pairs = _following(plan, "segment", "orientation", "r_st", "overlaps_previous").where("next_overlaps_previous and gap_after > 0 and size(bridge) = 0 and r_en > next_r_st")
+    pairs = pairs.withColumn("estimate", F.col("r_en") - F.col("next_r_st"))
+    seq = segments.where("sequence is not null")
+    pairs = pairs.join(seq.select(F.col("name").alias("segment"), F.col("sequence").alias("a")), "segment").join(seq.select(F.col("name").alias("next_segment"), F.col("sequence").alias("b")), "next_segment")
+    reach = (F.col("estimate") + 30).cast("int")
+    ends = pairs.select("scaffold", "pos", "estimate", F.right(oriented("a", "orientation"), reach).alias("left"), F.left(oriented("b", "next_orientation"), reach).alias("right")).where("estimate >= 20")
+    found = verified_overlaps(ends).where("overlap > 0").select("scaffold", "pos", F.col("overlap").cast("long").alias("found"))
+    rows = plan.join(found, ["scaffold", "pos"], "left")
+    same = F.col("found").isNotNull()
+    return _members(rows.withColumns({"trim": F.coalesce("found", "trim"), "gap_after": F.when(same, F.lit(0)).otherwise(F.col("gap_after")), "evidence": F.when(same, "adjacent").otherwise(F.col("evidence"))}))
 
 
-def agp(plan: DataFrame, segments: DataFrame, trims: DataFrame | None = None, bridged: DataFrame | None = None) -> DataFrame:
-    """AGP rows ``(object, beg, end, part, kind, component, c_beg, c_end, orient, gap, evidence)``.
+def scaffold_by_reference(blocks: DataFrame, segments: DataFrame, links: DataFrame, *, fill: bool = True, max_bridge: int = 50_000, **options) -> DataFrame:
+    """A plan along the references, its gaps filled from the graph and its overlaps trimmed; a written table."""
+    scratch = Scratch(segments.sparkSession, "scaffold")
+    plan = scratch.save(plan_by_reference(blocks, segments, **options), "plan")
+    if fill and not links.isEmpty():
+        plan = scratch.save(fill_gaps(plan, segments, links, max_length=max_bridge), "filled")
+    return scratch.save(trim_overlaps(plan, segments), "trimmed")
 
-    One running coordinate per scaffold serves components and gaps alike. ``trims`` gives ``(scaffold, pos, trim)``:
-    bases that a member loses at its start in reading direction. ``bridged`` gives ``(scaffold, pos, pieces)``, from
-    ``paths.bridge_rows``: what stands in place of the gap after a member.
+
+def layout(plan: DataFrame, segments: DataFrame, links: DataFrame | None = None, min_gap: int = MIN_GAP) -> DataFrame:
+    """The members of a plan that exist, with what stands between them: ``pieces`` of a walk, ``gap``, and ``cut``, the bases a member
+    gives up at its start to what comes before it.
+
+    Every walk is checked against the links, hop by hop, as plans may be edited by hand: where one is missing the walk is ``stale``
+    and a gap takes its place. So does a pair without gap that no link and no trim joins.
     """
-    rows = plan.join(segments.select(F.col("name").alias("segment"), "length"), "segment")
-    rows = rows.join(trims, ["scaffold", "pos"], "left") if trims is not None else rows.withColumn("trim", F.lit(0))
-    cut = F.least(F.coalesce("trim", F.lit(0)), F.col("length"))
-    last = F.max("pos").over(W.partitionBy("scaffold"))
-    rows = rows.withColumn("cut", cut).withColumn("last", last)
+    rows = _following(_members(plan), "segment").withColumnRenamed("next_segment", "planned")
+    rows = _following(rows.join(segments.select(F.col("name").alias("segment"), "length"), "segment"), "segment", "orientation")
+    none = F.size("bridge") == 0
+    more = F.col("next_segment").isNotNull()
+    trimmed = more & none & (F.col("trim") > 0) & (F.col("gap_after") == 0) & (F.col("next_segment") == F.col("planned"))
+    by_graph = more & ~trimmed & (~none | (F.col("gap_after") == 0))
+    rows = rows.withColumns({"trimmed": trimmed, "by_graph": by_graph})
+    own = lambda n, o: F.array(F.struct(F.col(n).alias("name"), F.col(o).alias("orient")))
+    walk = F.concat(own("segment", "orientation"), F.col("bridge"), own("next_segment", "next_orientation"))
+    hops = F.transform(F.sequence(F.lit(1), F.size("walk") - 1), lambda k: F.struct(F.get("walk", k - 1).alias("a"), F.get("walk", k).alias("b")))
+    steps = rows.where("by_graph").select("scaffold", "pos", walk.alias("walk")).select("scaffold", "pos", (F.size("walk") - 1).alias("n"), F.posexplode(hops).alias("k", "h"))
+    steps = steps.select("scaffold", "pos", "n", "k", F.col("h.a.name").alias("src"), F.col("h.a.orient").alias("src_o"), F.col("h.b.name").alias("dst"), F.col("h.b.orient").alias("dst_o"))
+    if links is None:
+        known = steps.withColumn("overlap", F.lit(None).cast("long"))
+    else:
+        known = steps.join(G.adjacency(links).groupBy("src", "src_o", "dst", "dst_o").agg(F.min("overlap").alias("overlap")), ["src", "src_o", "dst", "dst_o"], "left")
+    known = known.join(segments.select(F.col("name").alias("dst"), F.col("length").alias("size")), "dst", "left")
+    kept = F.col("size") - F.least("overlap", "size")
+    minus = F.col("dst_o") == "-"
+    piece = F.struct("k", kept.alias("size"), F.col("dst").alias("component"), F.when(minus, F.lit(1)).otherwise(F.col("size") - kept + 1).cast("long").alias("c_beg"), F.when(minus, kept).otherwise(F.col("size")).alias("c_end"), F.col("dst_o").alias("orient"))
+    joined = known.groupBy("scaffold", "pos").agg(
+        F.every(F.col("overlap").isNotNull() & F.col("size").isNotNull()).alias("linked"), F.max(F.when(F.col("k") == F.col("n") - 1, F.col("overlap"))).alias("shared"),
+        F.array_sort(F.collect_list(F.when((F.col("k") < F.col("n") - 1) & (kept > 0), piece))).alias("pieces"),
+    )
+    rows = rows.join(joined, ["scaffold", "pos"], "left")
+    linked = F.col("by_graph") & F.coalesce("linked", F.lit(False))
+    gives = F.when(linked, F.col("shared")).when(F.col("trimmed"), F.col("trim")).otherwise(0)
+    rows = rows.withColumns({"gives": gives, "stale": F.col("by_graph") & ~linked})
+    lead = F.coalesce(F.lag("gives").over(W.partitionBy("scaffold").orderBy("pos")), F.lit(0))
+    gap = F.when(more & ~linked & ~F.col("trimmed"), F.greatest("gap_after", F.lit(min_gap), F.lit(1))).otherwise(0)
+    return rows.withColumns({"lead": lead, "cut": F.least(lead, F.col("length")), "gap": gap, "pieces": F.when(linked, F.col("pieces"))})
+
+
+def agp(plan: DataFrame, segments: DataFrame, links: DataFrame | None = None, min_gap: int = MIN_GAP) -> DataFrame:
+    """AGP rows ``(object, beg, end, part, kind, component, c_beg, c_end, orient, gap, evidence, bridged)`` of a plan as :func:`layout`
+    has it; one running coordinate per scaffold serves components and gaps alike."""
+    rows = layout(plan, segments, links, min_gap)
     minus = F.col("orientation") == "-"
-    piece = F.struct(F.lit("W").alias("kind"), (F.col("length") - F.col("cut")).alias("size"), F.col("segment").alias("component"), F.when(minus, 1).otherwise(F.col("cut") + 1).cast("long").alias("c_beg"), F.when(minus, F.col("length") - F.col("cut")).otherwise(F.col("length")).cast("long").alias("c_end"), F.col("orientation").alias("orient"), F.lit(None).cast("string").alias("evidence"))
-    known = F.col("evidence").isin("reference", "graph")
-    gap = F.struct(F.when(known, "N").otherwise("U").alias("kind"), F.col("gap_after").alias("size"), F.lit(None).cast("string").alias("component"), F.lit(None).cast("long").alias("c_beg"), F.lit(None).cast("long").alias("c_end"), F.lit(None).cast("string").alias("orient"), F.when(F.col("evidence") == "reference", "align_genus").otherwise("paired-ends").alias("evidence"))
-    both = F.when((F.col("gap_after") > 0) & (F.col("pos") < F.col("last")), F.array(piece, gap)).otherwise(F.array(piece))
-    if bridged is not None:
-        rows = rows.join(bridged, ["scaffold", "pos"], "left")
-        inner = F.transform("pieces", lambda x: F.struct(F.lit("W").alias("kind"), x["size"].alias("size"), x["component"].alias("component"), x["c_beg"].alias("c_beg"), x["c_end"].alias("c_end"), x["orient"].alias("orient"), F.lit(None).cast("string").alias("evidence")))
-        both = F.when(F.col("pieces").isNotNull(), F.concat(F.array(piece), inner)).otherwise(both)
-    parts = rows.select("scaffold", "pos", F.posexplode(both).alias("sub", "x")).where("x.size > 0")
+    none = lambda kind: F.lit(None).cast(kind)
+    piece = F.struct(F.lit("W").alias("kind"), (F.col("length") - F.col("cut")).alias("size"), F.col("segment").alias("component"), F.when(minus, 1).otherwise(F.col("cut") + 1).cast("long").alias("c_beg"), F.when(minus, F.col("length") - F.col("cut")).otherwise(F.col("length")).cast("long").alias("c_end"), F.col("orientation").alias("orient"), none("string").alias("evidence"), F.lit(False).alias("bridged"))
+    inner = F.transform(F.coalesce("pieces", F.array().cast("array<struct<k: int, size: bigint, component: string, c_beg: bigint, c_end: bigint, orient: string>>")), lambda x: F.struct(F.lit("W").alias("kind"), x["size"].alias("size"), x["component"].alias("component"), x["c_beg"].alias("c_beg"), x["c_end"].alias("c_end"), x["orient"].alias("orient"), none("string").alias("evidence"), F.lit(True).alias("bridged")))
+    known = F.coalesce(F.col("evidence").isin("reference", "graph"), F.lit(False))
+    gap = F.struct(F.when(known, "N").otherwise("U").alias("kind"), F.col("gap").cast("long").alias("size"), none("string").alias("component"), none("long").alias("c_beg"), none("long").alias("c_end"), none("string").alias("orient"), F.when(F.col("evidence") == "reference", "align_genus").otherwise("unspecified").alias("evidence"), F.lit(False).alias("bridged"))
+    parts = rows.select("scaffold", "pos", F.posexplode(F.concat(F.array(piece), inner, F.array(gap))).alias("sub", "x")).where("x.size > 0")
     by = W.partitionBy("scaffold").orderBy("pos", "sub")
     end = F.sum("x.size").over(by.rowsBetween(W.unboundedPreceding, 0))
     return parts.select(
         F.col("scaffold").alias("object"), (end - F.col("x.size") + 1).alias("beg"), end.alias("end"), F.row_number().over(by).cast("long").alias("part"), "x.kind", "x.component", "x.c_beg", "x.c_end", "x.orient",
-        F.when(F.col("x.kind") != "W", F.col("x.size")).alias("gap"), "x.evidence",
+        F.when(F.col("x.kind") != "W", F.col("x.size")).alias("gap"), "x.evidence", "x.bridged",
     )
 
 
+def plan_warnings(plan: DataFrame, segments: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """``(scaffold, kind, detail)`` of what a reader of the scaffolds should know: members that the assembly lacks (``missing``), joins that
+    the graph does not bear out (``not linked``), members shorter than what they give up (``swallowed``), segments that are
+    written more than once (``repeated``) and rows of the AGP that do not tile (``broken``)."""
+    rows = layout(plan, segments, links)
+    end = lambda n, o: F.concat(F.col(n), F.col(o))
+    gone = plan.join(segments.select(F.col("name").alias("segment")), "segment", "left_anti").select("scaffold", F.lit("missing").alias("kind"), F.col("segment").alias("detail"))
+    stale = rows.where("stale").select("scaffold", F.lit("not linked").alias("kind"), F.concat(end("segment", "orientation"), F.lit(" to "), end("next_segment", "next_orientation")).alias("detail"))
+    short = rows.where("lead > length").select("scaffold", F.lit("swallowed").alias("kind"), F.concat("segment", F.lit(": "), "length", F.lit(" of "), "lead").alias("detail"))
+    twice = repeated_segments(plan).select(F.lit(None).cast("string").alias("scaffold"), F.lit("repeated").alias("kind"), F.concat("segment", F.lit(": "), "times").alias("detail"))
+    broken = verify_agp(agp(plan, segments, links)).select(F.col("object").alias("scaffold"), F.lit("broken").alias("kind"), F.concat(F.lit("part "), "part").alias("detail"))
+    return gone.unionByName(stale).unionByName(short).unionByName(twice).unionByName(broken)
+
+
 def verify_agp(rows: DataFrame) -> DataFrame:
     """Rows that break the tiling: an object starts at 1 and goes on without holes, parts count up, sizes agree."""
     by = W.partitionBy("object").orderBy("part")
@@ -107,8 +231,6 @@ def verify_agp(rows: DataFrame) -> DataFrame:
 
 def scaffold_sequences(rows: DataFrame, segments: DataFrame) -> DataFrame:
     """``(name, sequence)`` of each object: what its AGP rows say, N for gaps."""
-    from strandflow.functions.sequence import revcomp
-
     joined = rows.join(segments.select(F.col("name").alias("component"), "sequence"), "component", "left")
     slice_ = F.col("sequence").substr(F.col("c_beg").cast("int"), (F.col("c_end") - F.col("c_beg") + 1).cast("int"))
     piece = F.when(F.col("kind") == "W", F.when(F.col("orient") == "-", revcomp(slice_)).otherwise(slice_)).otherwise(F.repeat(F.lit("N"), F.col("gap").cast("int")))
@@ -130,15 +252,17 @@ def verified_overlaps(pairs: DataFrame, window: int = 30, least: int = 20) -> Da
 
 
 def preview(plan: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: records, bases, gap bases, gaps, members placed by something."""
-    a = rows.agg(F.countDistinct("object").alias("records"), F.sum(F.col("end") - F.col("beg") + 1).alias("bases"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_bases"), F.count("gap").alias("gaps"))
-    return a.crossJoin(F.broadcast(plan.agg(F.count_if(F.col("source") != "unplaced").alias("placed"))))
-
-
+    """One row about the scaffolds: records, bases, gaps and bases in gaps and in walks, N50, the longest, members placed by something
+    and members, scaffolds of more than unplaced segments."""
+    sizes = rows.groupBy("object").agg(F.max("end").alias("length"))
+    sums = rows.agg(F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_bases"), F.count("gap").alias("gaps"), F.coalesce(F.sum(F.when(F.col("bridged"), F.col("end") - F.col("beg") + 1)), F.lit(0)).alias("bridged_bases"))
+    own = F.col("source") != "unplaced"
+    members = plan.agg(F.count_if(own).alias("placed"), F.count("*").alias("members"), F.countDistinct(F.when(own, F.col("scaffold"))).alias("scaffolds"))
+    size = contiguity(sizes).select(F.col("contigs").alias("records"), F.col("total").alias("bases"), "n50", F.col("largest"))
+    return size.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(members))
 
 
-def without_consumed(plan: DataFrame, bridged: DataFrame) -> DataFrame:
-    """``plan`` without the unplaced segments that a bridge passes through."""
-    used = bridged.select(F.explode("pieces").alias("p")).select(F.col("p.component").alias("segment")).distinct()
-    alone = plan.where("source = 'unplaced'").join(used, "segment", "left_anti").select(*plan.columns)
-    return plan.where("source != 'unplaced'").unionByName(alone)
+def member_index(plan: DataFrame) -> DataFrame:
+    """``(segment, scaffold, pos)``: where each segment stands; of several places the last one."""
+    last = F.max_by(F.struct("scaffold", "pos"), F.struct("ord", "pos"))
+    return plan.groupBy("segment").agg(last.alias("x")).select("segment", "x.scaffold", "x.pos")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from strandflow.functions import sequence as fn
 from strandflow.operators import blocks as B, compare as D, edits as E, links as G, scaffold as S
 from strandflow.plans import adapters as A
 from strandflow.plans.graphs import _CC, _CHAIN, _FOLD, _L1, _ORDERS, _P, _links
 from strandflow.plans.registry import query, rounded
+from strandflow.runtime import Scratch
 from strandflow.sources import sinks as K, textio as T
 
 # text formats: lines are written from the tables and parsed back
@@ -74,8 +75,6 @@ _CIGAR = "c as (select 'q' || l_orderkey || '_' || row_number() over (partition
 
 
 def _cigars(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     rn = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     rows = A.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("q"), "l_orderkey", F.lit("_"), rn).alias("query"), (F.col("l_quantity") * 50).cast("long").alias("a"), (F.col("l_partkey") % 3000).alias("d"), (F.col("l_suppkey") % 700 + 10).alias("b"))
     return rows.withColumn("text", F.concat("a", F.lit("M"), "d", F.lit("D"), "b", F.lit("M3I")))
@@ -260,9 +259,71 @@ def agp_rows(spark, sf_dir):
     return _agp(spark, sf_dir).select("object", "beg", "end", "part", "kind", "component", "orient")
 
 
-@query("select 0::bigint as broken")
+@query(f"""{_ORDERED}, e as (select 'scaffold_' || ref as object, pos, 0 as sub from members union all select 'scaffold_' || ref, pos, 1 from members where raw is not null),
+n as (select object, row_number() over (partition by object order by pos, sub) as part from e) select object, part from n where part % 5 = 0 or part % 7 = 0""")
 def agp_verify(spark, sf_dir):
-    return S.verify_agp(_agp(spark, sf_dir)).agg(F.count("*").alias("broken"))
+    """Of rows with a start moved at every fifth part and an end that is not that of the slice at every seventh: those that do not tile."""
+    rows = _agp(spark, sf_dir).withColumn("beg", F.col("beg") + (F.col("part") % 5 == 0).cast("long"))
+    rows = rows.withColumns({"c_end": F.col("c_end") + (F.col("part") % 7 == 0).cast("long"), "gap": F.col("gap") - (F.col("part") % 7 == 0).cast("long")})
+    return S.verify_agp(rows).select("object", "part")
+
+
+#: Customers as genomes of 320 bases an order: a segment holds its order's bases and the first 40 of the next one's, every third one turned round.
+#: Of most customers every second order is placed and the rest stands in the graph; of every seventh all are placed and nothing is linked, and
+#: of as many others every second one is placed and nothing is linked.
+_BASES = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+_GENOME = f"""core as (select o_orderkey as ord, o_custkey as cust, row_number() over w as i, count(*) over (partition by o_custkey) as m,
+  {' || '.join(f"translate(md5(o_orderkey || ':{k}'), {_BASES})" for k in range(10))} as t from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)),
+seg as (select *, t || coalesce(left(lead(t) over (partition by cust order by i), 40), '') as body from core),
+own as (select *, 'o' || ord as name, case when ord % 3 = 0 then reverse(translate(body, 'ACGT', 'TGCA')) else body end as sequence, cust % 7 = 0 or i % 2 = 1 as placed from seg)"""
+
+
+def _genomes(spark, sf_dir):
+    """(segments, links, blocks)."""
+    by = W.partitionBy("cust").orderBy("day", "ord")
+    t = F.concat(*[F.translate(F.md5(F.concat(F.col("ord").cast("string"), F.lit(f":{k}"))), "0123456789abcdef", "ACGTACGTACGTACGT") for k in range(10)])
+    own = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day")).withColumn("t", t)
+    own = own.withColumns({"i": F.row_number().over(by).cast("long"), "m": F.count("*").over(W.partitionBy("cust")), "body": F.concat("t", F.coalesce(F.left(F.lead("t").over(by), F.lit(40)), F.lit("")))})
+    own = own.withColumns({"name": F.concat(F.lit("o"), "ord"), "orient": F.when(F.col("ord") % 3 == 0, "-").otherwise("+"), "length": F.length("body").cast("long")})
+    segments = own.select("ord", "name", fn.oriented("body", "orient").alias("sequence"), "length", F.lit(1.0).alias("depth"))
+    links = own.withColumns({"to_name": F.lead("name").over(by), "to_orient": F.lead("orient").over(by)}).where("to_name is not null and cust % 7 > 1")
+    links = links.select("ord", F.col("name").alias("from_name"), F.col("orient").alias("from_orient"), "to_name", "to_orient", F.lit(40).cast("long").alias("overlap"))
+    n, st = F.col("length"), (F.col("i") - 1) * 320
+    blocks = own.where("cust % 7 = 0 or i % 2 = 1").select(
+        F.col("name").alias("query"), F.lit(1).cast("long").alias("ord"), n.alias("q_len"), F.lit(0).cast("long").alias("q_st"), n.alias("q_en"), F.when(F.col("orient") == "-", -1).otherwise(1).alias("strand"), F.concat(F.lit("c"), "cust").alias("ref"), (F.col("m") * 320).alias("r_len"),
+        st.alias("r_st"), (st + n).alias("r_en"), n.alias("matches"), n.alias("block_len"), F.lit(0).cast("long").alias("nm"), F.lit(True).alias("is_primary"), F.lit(60).alias("mapq"),
+    )
+    return segments, links, blocks
+
+
+@query(f"""with {_GENOME}, top as (select cust, max(i) as last from own where placed group by cust),
+whole as (select 'scaffold_c' || cust as object, case when cust % 7 = 1 then string_agg(case when i % 2 = 1 then body end, repeat('N', 280) order by i)
+    else string_agg(case when i < last then t when i = last then body end, '' order by i) end as sequence,
+  case when cust % 7 = 1 then 280 * (count(*) filter (where i % 2 = 1) - 1) else 0 end as gap_bases, case when cust % 7 > 1 then 320 * count(*) filter (where i % 2 = 0 and i < last) else 0 end as bridged_bases
+  from own join top using (cust) group by cust, last)
+select object, length(sequence)::bigint as bases, md5(sequence) as digest, gap_bases::bigint as gap_bases, bridged_bases::bigint as bridged_bases from whole
+union all select 'unplaced_' || name, length(sequence)::bigint, md5(sequence), 0, 0 from own join top using (cust) where not placed and (cust % 7 = 1 or i > last)""")
+def scaffold_bridged(spark, sf_dir):
+    """Scaffolds along the references with walks of the graph in their gaps and overlaps written once: what their AGP rows spell."""
+    segments, links, blocks = _genomes(spark, sf_dir)
+    plan = S.scaffold_by_reference(blocks, segments, links, min_align=100)
+    rows = Scratch(spark, "bridged").save(S.agp(plan, segments, links), "agp")
+    sums = rows.groupBy("object").agg(F.max("end").alias("bases"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_bases"), F.coalesce(F.sum(F.when(F.col("bridged"), F.col("end") - F.col("beg") + 1)), F.lit(0)).alias("bridged_bases"))
+    return sums.join(S.scaffold_sequences(rows, segments).select(F.col("name").alias("object"), F.md5("sequence").alias("digest")), "object")
+
+
+@query(f"""with {_L1}, part10 as (select * from seg_part where ord % 10 <> 0),
+half as (select * from uniq where from_name in (select name from part10) and to_name in (select name from part10) and ord % 3 <> 0), hadj as (select from_name as a, from_orient as ao, to_name as b, to_orient as bo from half union select to_name, rt, from_name, rf from half),
+kept as (select path, pos, s.name, orient, lead(s.name) over w as n2, lead(orient) over w as o2 from path_steps s join part10 p on p.name = s.name window w as (partition by path order by pos))
+select 's' || path as scaffold, 'missing' as kind, name as detail from path_steps where name not in (select name from part10)
+union all select 's' || path, 'not linked', k.name || orient || ' to ' || n2 || o2 from kept k left join hadj h on h.a = k.name and h.ao = k.orient and h.b = n2 and h.bo = o2 where n2 is not null and h.a is null
+union all select null, 'repeated', name || ': ' || count(*) from path_steps group by name having count(*) > 1""")
+def scaffold_warnings(spark, sf_dir):
+    """Paths as scaffolds over a graph that has lost parts and links."""
+    segments = A.seg_part(spark, sf_dir).where("ord % 10 != 0")
+    links = G.drop_dangling(_links(spark, sf_dir).where("ord % 3 != 0"), segments)
+    plan = A.path_steps(spark, sf_dir).select(F.col("path").alias("ord"), F.concat(F.lit("s"), "path").alias("scaffold"), F.lit("graph").alias("source"), "pos", F.col("name").alias("segment"), F.col("orient").alias("orientation"), F.lit(0).cast("long").alias("gap_after"))
+    return S.plan_warnings(plan, segments, links)
 
 
 @query(f"""with {A.PATH_STEPS} select name as segment, count(*)::bigint as times from path_steps group by 1 having count(*) > 1""")

@@ -3,7 +3,6 @@ operation returns a new one."""
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -27,8 +26,8 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
     no_links = spark.createDataFrame([], "ord long, from_name string, from_orient string, to_name string, to_orient string, overlap long")
     paths = None
     if kind == "gfa":
-        T.check_strict(lines, path, "SL")
-        segments, raw = T.gfa_segments(lines), T.gfa_links(lines).drop("cigar")
+        T.check_strict(lines, path)
+        segments, raw = T.gfa_segments(lines), T.gfa_links(lines)
     elif kind == "gfa2":
         segments, raw = T.gfa2_segments(lines), T.gfa2_links(lines)
     elif kind == "fastg":
@@ -42,9 +41,26 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
     if kind == "gfa":
         paths = T.gfa_path_steps(lines, segments)
     links = G.drop_dangling(G.dedup_links(raw), segments)
+    usual = T.modal_overlap(raw).first()[0] if kind in ("gfa", "gfa2") else None
     if kind in ("gfa", "fastg"):
-        links = P.apply_overlap(links, segments, P.infer_overlap(links, segments).first()[0])
-    return Session(spark, E.Graph(segments, links), paths=paths)
+        links, found = P.adopt_overlap(links, segments)
+        usual = found or usual
+    return Session(spark, E.Graph(segments, links), paths=paths, default_overlap=usual or 0)
+
+
+#: of the folders that ``Session.save`` writes
+VERSION = 1
+
+
+def open_session(spark: SparkSession, folder: str) -> Session:
+    """The session that ``Session.save`` wrote to ``folder``, with the graphs it can go back to."""
+    about = spark.read.json(f"{folder}/about", "version int, tables array<string>, past int, circular boolean, min_contig int, default_overlap long").first()
+    if about is None or about["version"] != VERSION:
+        raise SessionError(f"{folder} holds no session of version {VERSION}")
+    read = lambda name: spark.read.parquet(f"{folder}/{name}")
+    past = tuple(E.Graph(read(f"past{k}/segments"), read(f"past{k}/links")) for k in range(about["past"]))
+    graph = E.Graph(read("graph/segments"), read("graph/links"), past)
+    return Session(spark, graph, circular=about["circular"], min_contig=about["min_contig"], default_overlap=about["default_overlap"], **{t: read(t) for t in about["tables"]})
 
 
 @dataclass(frozen=True)
@@ -57,10 +73,13 @@ class Session:
     paths: DataFrame | None = None
     circular: bool = True
     min_contig: int = 0
+    default_overlap: int = 0
 
     def with_reference(self, path: str, preset: str = "asm10") -> Session:
         """Aligned against the FASTA at ``path``; the blocks are a written table, as every result starts from them."""
-        reference = T.fasta_records(T.read_lines(self.spark, path)).select("name", "sequence")
+        lines = T.read_lines(self.spark, path)
+        T.check_fasta(lines, path)
+        reference = T.fasta_records(lines).select("name", "sequence")
         blocks = L.align(self.graph.segments, reference, preset, min_length=max(200, self.min_contig))
         return replace(self, reference=reference, blocks=Scratch(self.spark, "session").save(blocks, "blocks"))
 
@@ -74,9 +93,9 @@ class Session:
         return value
 
     def edit(self, operation: str, **options) -> Session:
-        """delete, remove_links, filter, simplify, merge_path, split, reverse or break_differences; a plan does not outlive
-        an edit. ``attached_paths`` tells which paths do."""
-        known = {"delete": E.delete, "filter": E.filter_graph, "simplify": E.simplify, "split": E.split_segments, "reverse": E.reverse_segment, "merge_path": E.merge_path, "remove_links": E.remove_links}
+        """add_segments, add_links, delete, remove_links, filter, simplify, merge_path, split, reverse or break_differences; a plan
+        does not outlive an edit. ``attached_paths`` tells which paths do."""
+        known = {"add_segments": E.add_segments, "add_links": E.add_links, "delete": E.delete, "filter": E.filter_graph, "simplify": E.simplify, "split": E.split_segments, "reverse": E.reverse_segment, "merge_path": E.merge_path, "remove_links": E.remove_links}
         if operation == "break_differences":
             graph = E.break_differences(self.graph, B.structural_differences(B.usable(self._need("blocks")), circular=self.circular), **options)
         elif operation in known:
@@ -130,9 +149,30 @@ class Session:
         return out
 
     def scaffold(self, method: str = "reference", **options) -> Session:
+        """With a plan along the references, its gaps filled from the graph and its overlaps trimmed, or along the graph's chains."""
         if method == "graph":
-            return replace(self, plan=S.plan_by_chains(G.chains(self.graph.links, self.graph.segments), self.graph.segments))
-        return replace(self, plan=S.plan_by_reference(self._need("blocks"), self.graph.segments, **options))
+            plan = S.plan_by_chains(G.chains(self.graph.links, self.graph.segments), self.graph.segments)
+            return replace(self, plan=Scratch(self.spark, "session").save(plan, "plan"))
+        return replace(self, plan=S.scaffold_by_reference(self._need("blocks"), self.graph.segments, self.graph.links, **options))
+
+    def scaffold_rows(self, min_gap: int = S.MIN_GAP) -> DataFrame:
+        """The plan as AGP rows."""
+        return S.agp(self._need("plan"), self.graph.segments, self.graph.links, min_gap)
+
+    def scaffold_warnings(self) -> DataFrame:
+        """What to know about the plan: members that are missing, joins without a link, segments written twice."""
+        return S.plan_warnings(self._need("plan"), self.graph.segments, self.graph.links)
+
+    def scaffold_preview(self) -> DataFrame:
+        """One row about the scaffolds that the plan makes."""
+        return S.preview(self._need("plan"), self.scaffold_rows())
+
+    def path_sequences(self) -> DataFrame:
+        """``(path, sequence, length)`` of the paths whose segments all exist; steps without a link overlap by the usual number."""
+        steps = self.attached_paths()
+        if steps is None:
+            raise SessionError("no paths yet")
+        return G.walk_sequences(steps.select("path", "pos", "name", "orient"), self.graph.links, self.graph.segments, self.default_overlap)
 
     def search(self, text: str, **options) -> DataFrame:
         return L.search(self.graph.segments, L.parse_query(self.spark, text), **options)
@@ -153,7 +193,7 @@ class Session:
             elif kind == "csv":
                 self.segment_table().write.mode(mode).option("header", True).csv(at)
             elif kind in ("agp", "scaffolds"):
-                rows = S.agp(self._need("plan"), g.segments)
+                rows = self.scaffold_rows()
                 if kind == "agp":
                     K.write_lines(K.agp_text(rows), at, "object", "part", mode=mode)
                 else:
@@ -170,11 +210,21 @@ class Session:
         rows = g.segments.join(G.components(g.segments, g.links), "name").join(G.degrees(g.segments, g.links), "name")
         return rows.select("name", "length", F.format_string("%.4f", "depth").alias("depth"), F.when(F.col("sequence") != "", F.format_string("%.4f", gc_content("sequence"))).alias("gc"), "component", "deg_start", "deg_end")
 
-    def plan_json(self) -> str:
-        """The plan as an editable document; ``with_plan_json`` takes it back."""
-        return json.dumps([r.asDict() for r in self._need("plan").orderBy("scaffold", "pos").collect()])
-
-    def with_plan_json(self, text: str) -> Session:
-        schema = "scaffold string, source string, pos long, segment string, orientation string, gap_after long, evidence string"
-        names = [x.split()[0] for x in schema.split(", ")]
-        return replace(self, plan=self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in json.loads(text)], schema))
+    def write_plan(self, path: str, mode: str = "errorifexists") -> None:
+        """The plan as a document that can be edited: a line of JSON for each member. ``with_plan`` takes it back."""
+        self._need("plan").repartitionByRange("ord", "pos").sortWithinPartitions("ord", "pos").write.mode(mode).json(path)
+
+    def with_plan(self, path: str) -> Session:
+        """With the plan of a document; scaffolds, order, orientation, gaps and walks may have been edited."""
+        return replace(self, plan=self.spark.read.json(path, S.PLAN))
+
+    def save(self, folder: str, mode: str = "errorifexists") -> None:
+        """Write all there is, the graphs that ``undo`` goes back to among it, below ``folder``; ``open_session`` reads it."""
+        tables = [t for t in ("reference", "blocks", "plan", "paths") if getattr(self, t) is not None]
+        for t in tables:
+            getattr(self, t).write.mode(mode).parquet(f"{folder}/{t}")
+        for at, graph in [("graph", self.graph), *((f"past{k}", g) for k, g in enumerate(self.graph.past))]:
+            graph.segments.write.mode(mode).parquet(f"{folder}/{at}/segments")
+            graph.links.write.mode(mode).parquet(f"{folder}/{at}/links")
+        about = [(VERSION, tables, len(self.graph.past), self.circular, self.min_contig, self.default_overlap)]
+        self.spark.createDataFrame(about, "version int, tables array<string>, past int, circular boolean, min_contig int, default_overlap long").write.mode(mode).json(f"{folder}/about")

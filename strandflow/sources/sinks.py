@@ -42,6 +42,8 @@ def gfa_text(segments: DataFrame, links: DataFrame, steps: DataFrame | None = No
     depth = F.when(F.col("depth").isNotNull(), F.concat(F.lit("dp:f:"), short_float("depth")))
     s = segments.select(F.lit(1).alias("rank"), "ord", F.concat_ws("\t", F.lit("S"), "name", F.when(has, F.col("sequence")).otherwise("*"), stated, depth, *_other_tags(segments)).alias("value"))
     overlap = F.when(F.col("overlap") > 0, F.concat(F.col("overlap").cast("string"), F.lit("M"))).otherwise("*")
+    if "cigar" in links.columns:  # as it was read; a link that has none by now has the overlap
+        overlap = F.coalesce(F.when(F.col("cigar") != "*", F.col("cigar")), overlap)
     ln = links.select(F.lit(2).alias("rank"), "ord", F.concat_ws("\t", F.lit("L"), "from_name", "from_orient", "to_name", "to_orient", overlap).alias("value"))
     out = head.unionByName(s).unionByName(ln)
     if steps is not None:
@@ -53,12 +55,14 @@ def gfa_text(segments: DataFrame, links: DataFrame, steps: DataFrame | None = No
     return out
 
 
-def agp_text(rows: DataFrame) -> DataFrame:
-    """``(object, part, value)`` of AGP 2.1 lines, from the rows of ``operators.scaffold.agp``."""
+def agp_text(rows: DataFrame, comments: tuple[str, ...] = ()) -> DataFrame:
+    """``(object, part, value)`` of an AGP 2.1 file, from the rows of ``operators.scaffold.agp``; its version and ``comments`` come first."""
     c = lambda n: F.col(n).cast("string")
     piece = F.concat_ws("\t", "object", c("beg"), c("end"), c("part"), F.lit("W"), "component", c("c_beg"), c("c_end"), "orient")
     gap = F.concat_ws("\t", "object", c("beg"), c("end"), c("part"), "kind", c("gap"), F.lit("scaffold"), F.lit("yes"), "evidence")
-    return rows.select("object", "part", F.when(F.col("kind") == "W", piece).otherwise(gap).alias("value"))
+    head = ["##agp-version\t2.1", *(f"# {c}" for c in comments)]
+    top = rows.sparkSession.createDataFrame([("", k, x) for k, x in enumerate(head)], "object string, part long, value string")
+    return top.unionByName(rows.select("object", "part", F.when(F.col("kind") == "W", piece).otherwise(gap).alias("value")))
 
 
 def write_lines(df: DataFrame, path: str, *order: str, mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ import pytest
 
 from strandflow.operators import paths as P
 from strandflow.session import SessionError, load
+from tests.conftest import rows_of
 from tests.test_graph import LINKS, SEGMENTS, clean
 
 
@@ -31,7 +32,10 @@ def test_from_gfa_to_scaffolds(spark, tmp_path):
     assert [r["sequence"] for r in merged.graph.segments.collect()] == [genome]
     assert merged.undo().graph.segments.count() == 3
     scaffolded = s.scaffold()
-    assert scaffolded.with_plan_json(scaffolded.plan_json()).plan.count() == 3
+    scaffolded.write_plan(str(tmp_path / "plan"))
+    assert rows_of(scaffolded.with_plan(str(tmp_path / "plan")).plan) == rows_of(scaffolded.plan)
+    made = scaffolded.scaffold_preview().first()
+    assert (made["records"], made["bases"], made["gaps"], made["n50"], made["placed"]) == (1, 12_000, 0, 12_000, 3) and scaffolded.scaffold_warnings().count() == 0
     scaffolded.export(str(tmp_path / "out"), ("gfa", "fasta", "csv", "agp", "scaffolds"))
     again = load(spark, str(tmp_path / "out/gfa"), "gfa")
     assert again.status()["bases"] == sum(map(len, parts))
@@ -49,7 +53,7 @@ def test_paths_and_bridges(spark):
     assert got == {(1, "x-"), (1, "y+"), (2, "x+"), (2, "y-")}
     gaps = spark.createDataFrame([(1, "L", "+", "R", "+", 55), (2, "L", "+", "z", "+", 10), (3, "L", "+", "R", "+", 5000)], "pair int, a string, ao string, b string, bo string, gap int")
     made = {r["pair"]: r["sequence"] for r in P.bridges(links, segments, gaps).collect()}
-    assert made == {1: ("C" * 30 + "G" * 30)[5:-5], 2: ""}
+    assert made == {1: ("C" * 30 + "G" * 30)[5:], 2: ""}
 
 
 def test_scopes_and_names(spark):
@@ -61,24 +65,3 @@ def test_scopes_and_names(spark):
     assert {r["name"] for r in P.scope(segments, links, max_nodes=2).collect()} == {"e1", "e2"}
     queries = spark.createDataFrame([("e1+",), ("E2",), ("nope",)], "q string")
     assert {(r["q"], r["name"]) for r in P.match_names(segments, queries).collect()} == {("e1+", "e1"), ("E2", None), ("nope", None)}
-
-
-def test_bridges_stand_in_the_agp(spark):
-    from pyspark.sql import functions as F
-
-    from strandflow.operators import scaffold as S
-
-    rng = random.Random(4)
-    genome = "".join(rng.choices("ACGT", k=900))
-    turn = str.maketrans("ACGT", "TGCA")
-    seqs = {"L": genome[:300], "m": genome[280:600].translate(turn)[::-1], "R": genome[590:]}
-    segments = spark.createDataFrame([(k, n, s, len(s), None) for k, (n, s) in enumerate(seqs.items())], SEGMENTS)
-    links = spark.createDataFrame([(0, "L", "+", "m", "-", 20), (1, "m", "-", "R", "+", 10)], LINKS)
-    gaps = spark.createDataFrame([(0, "L", "+", "R", "+", 290)], "pair int, a string, ao string, b string, bo string, gap int")
-    found = P.bridges(links, segments, gaps)
-    assert found.first()["sequence"] == genome[300:590]
-    plan = spark.createDataFrame([("s", "reference", 0, "L", "+", 290, "reference"), ("s", "reference", 1, "R", "+", 0, None), ("u", "unplaced", 0, "m", "+", 0, None)], "scaffold string, source string, pos long, segment string, orientation string, gap_after long, evidence string")
-    rows = P.bridge_rows(found, gaps, links, segments).select(F.lit("s").alias("scaffold"), F.col("pair").cast("long").alias("pos"), "pieces")
-    agp = S.agp(S.without_consumed(plan, rows), segments, None, rows)
-    assert S.verify_agp(agp).count() == 0 and agp.where("object = 'u'").count() == 0
-    assert [r["sequence"] for r in S.scaffold_sequences(agp, segments).collect()] == [genome]
