@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from strandflow.functions.sequence import revcomp
+from strandflow.operators.blocks import split_at_long_indels
 
 #: (k, w, share of identical bases that blocks must reach) by preset, from near to far
 PRESETS = {"asm5": (19, 10, 0.90), "asm10": (17, 10, 0.85), "asm20": (15, 8, 0.75)}
@@ -188,7 +189,7 @@ def _extend(k: int):
 def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int | None = 64, secondaries: int | None = 5) -> DataFrame:
     """Alignment blocks of ``(name, sequence)`` tables. Of blocks that share more than half of their query span
     with a better one all but ``secondaries`` are dropped and the rest are secondary; without it all blocks stay,
-    and which are secondary is not told (null)."""
+    and which are secondary is not told (null). Long insertions and deletions cut blocks (``blocks.split_at_long_indels``)."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; known: {', '.join(PRESETS)}")
     k, w, identity = PRESETS[preset]
@@ -208,12 +209,12 @@ def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, m
     ranked = made.withColumn("ord", F.row_number().over(W.partitionBy("query").orderBy(F.col("matches").desc(), "ref", "r_st", "q_st", "strand")).cast("long"))
     columns = ["query", "ord", "q_len", "q_st", "q_en", "strand", "ref", "r_len", "r_st", "r_en", "matches", "block_len", "nm"]
     if secondaries is None:
-        return ranked.select(*columns, F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("int").alias("mapq"), "cigar")
+        return split_at_long_indels(ranked.select(*columns, F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("int").alias("mapq"), "cigar"))
     better = ranked.select("query", F.col("ord").alias("o"), F.col("q_st").alias("x"), F.col("q_en").alias("y"))
     shared = F.least("q_en", "y") - F.greatest("q_st", "x")
     worse = ranked.join(better, "query").where((F.col("o") < F.col("ord")) & (shared > 0.5 * (F.col("q_en") - F.col("q_st")))).groupBy("query", "ord").agg(F.count("*").alias("beaten"))
     out = ranked.join(worse, ["query", "ord"], "left").where(F.coalesce("beaten", F.lit(0)) <= secondaries)
-    return out.select(*columns, F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar")
+    return split_at_long_indels(out.select(*columns, F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar"))
 
 
 def parse_query(spark: SparkSession, text: str) -> DataFrame:

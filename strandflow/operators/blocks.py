@@ -19,15 +19,16 @@ MIN_BLOCK, LOCAL, EXTENSIVE = 200, 200, 1000
 
 
 def _fold(sorted_blocks: Column, absorb, keep_last) -> Column:
-    """Left fold into an array whose last element is the current block."""
-    empty = F.slice(sorted_blocks, 1, 0)
+    """Left fold into an array: a block either goes into the current one or ends it and becomes the current one. The current one is
+    carried beside those that have ended, which are copied only when another one ends."""
+    first = F.get(sorted_blocks, F.lit(0))
 
-    def step(done: Column, nxt: Column) -> Column:
-        current = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(keep_last(current, nxt)))
-        return F.when(F.size(done) == 0, F.array(nxt)).when(absorb(current, nxt), joined).otherwise(F.concat(done, F.array(nxt)))
+    def step(state: Column, nxt: Column) -> Column:
+        current, hit = state["current"], absorb(state["current"], nxt)
+        return F.struct(F.when(hit, keep_last(current, nxt)).otherwise(nxt).alias("current"), F.when(hit, state["done"]).otherwise(F.concat(state["done"], F.array(current))).alias("done"))
 
-    return F.aggregate(sorted_blocks, empty, step)
+    begin = F.struct(first.alias("current"), F.slice(sorted_blocks, 1, 0).alias("done"))
+    return F.aggregate(F.slice(sorted_blocks, F.lit(2), F.greatest(F.size(sorted_blocks) - 1, F.lit(0))), begin, step, lambda s: F.when(F.size(sorted_blocks) > 0, F.concat(s["done"], F.array(s["current"]))).otherwise(s["done"]))
 
 
 def _ops() -> Column:
@@ -204,33 +205,33 @@ def rates(blocks: DataFrame) -> DataFrame:
 
 
 def split_at_long_indels(blocks: DataFrame, min_indel: int = 1000) -> DataFrame:
-    """Blocks cut at insertions and deletions of ``min_indel`` or more; needs ``cigar``, an array of (n, op).
+    """Blocks cut at insertions and deletions of ``min_indel`` or more; needs ``cigar``, an array of (n, op), null where it is not known.
 
-    Each piece gets its coordinates from running sums over the operations, and its share of matches and
-    edits by block length, rounded half to even; long indels leave the edit count and the denominator.
-    Blocks without a CIGAR pass through.
+    A piece has its coordinates from running sums over the operations, the operations between its cuts, and its share
+    of matches and edits by block length, rounded half to even; the long indels leave the edit count and the
+    denominator. Only blocks with such an indel are taken apart.
     """
-    key = ("query", "ord")
-    bare = blocks.where("cigar is null or size(cigar) = 0").drop("cigar")
-    ops = blocks.where("size(cigar) > 0").select("*", F.posexplode("cigar").alias("i", "c")).drop("cigar")
+    key = ["query", "ord"]
+    is_long = lambda c: c["op"].isin("I", "D") & (c["n"] >= min_indel)
+    hit = F.coalesce(F.exists("cigar", is_long), F.lit(False))
+    whole, cut = blocks.where(~hit), blocks.where(hit)
     n, op = F.col("c.n"), F.col("c.op")
-    long = op.isin("I", "D") & (n >= min_indel)
-    by = W.partitionBy(*key).orderBy("i")
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    q, r = F.when(op.isin("M", "=", "X", "I", "S"), n).otherwise(0), F.when(op.isin("M", "=", "X", "D", "N"), n).otherwise(0)
-    rows = ops.withColumn("long", long).withColumn("q1", F.sum(q).over(upto)).withColumn("r1", F.sum(r).over(upto)).withColumn("piece", F.sum(F.when(long, 1).otherwise(0)).over(upto))
-    rows = rows.withColumn("q0", F.col("q1") - q).withColumn("r0", F.col("r1") - r).withColumn("size", F.when(op.isin("M", "=", "X", "I", "D"), n).otherwise(0)).withColumn("lost", F.when(long, n).otherwise(0))
-    kept = [c for c in blocks.columns if c not in ("cigar", "q_st", "q_en", "r_st", "r_en", "matches", "block_len", "nm", *key)]
-    lost = F.sum("lost").over(W.partitionBy(*key))
-    rows = rows.withColumn("all_lost", lost).withColumn("all_size", F.sum(F.when(F.col("long"), 0).otherwise(F.col("size"))).over(W.partitionBy(*key)))
-    pieces = rows.where("not long").groupBy(*key, "piece").agg(
-        *[F.first(c).alias(c) for c in (*kept, "q_st", "q_en", "r_st", "matches", "nm", "all_lost", "all_size")], F.min("q0").alias("q0"), F.max("q1").alias("q1"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.sum("size").alias("size"),
-    )
+    takes = lambda kinds: F.when(op.isin(*kinds), n).otherwise(0)
+    upto = W.partitionBy(*key).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    ops = cut.select(*key, F.posexplode("cigar").alias("i", "c")).withColumn("long", is_long(F.col("c")))
+    ops = ops.withColumns({"q1": F.sum(takes("M=XISH")).over(upto), "r1": F.sum(takes("M=XDN")).over(upto), "piece": F.sum(F.col("long").cast("int")).over(upto)})
+    kept = ~F.col("long")
+    sums = ops.groupBy(*key).agg(F.sum(F.when(kept, takes("M=XID")).otherwise(0)).alias("all_size"), F.sum(F.when(kept, 0).otherwise(n)).alias("lost"))
+    own = F.when(~op.isin("S", "H"), F.struct("i", "c"))
+    pieces = ops.where(kept).groupBy(*key, "piece").agg(F.min(F.col("q1") - takes("M=XISH")).alias("q0"), F.max("q1").alias("q1"), F.min(F.col("r1") - takes("M=XDN")).alias("r0"), F.max("r1").alias("r1"), F.sum(takes("M=XIDN")).alias("size"), F.array_sort(F.collect_list(own)).alias("ops"))
+    pieces = pieces.where("q1 > q0 and r1 > r0 and size > 0").join(sums, key)
     plus = F.col("strand") > 0
-    share = F.col("size") / F.nullif("all_size", F.lit(0))
-    out = pieces.where("size > 0").select(
-        *key, *kept, F.when(plus, F.col("q_st") + F.col("q0")).otherwise(F.col("q_en") - F.col("q1")).alias("q_st"), F.when(plus, F.col("q_st") + F.col("q1")).otherwise(F.col("q_en") - F.col("q0")).alias("q_en"),
-        (F.col("r_st") + F.col("r0")).alias("r_st"), (F.col("r_st") + F.col("r1")).alias("r_en"), F.rint(F.col("matches") * share).cast("long").alias("matches"), F.col("size").alias("block_len"),
-        F.rint(F.greatest(F.lit(0), F.col("nm") - F.col("all_lost")) * share).cast("long").alias("nm"),
-    )
-    return out.unionByName(bare.select(*out.columns))
+    share = F.col("size") / F.greatest("all_size", F.lit(1))
+    changed = {
+        "q_st": F.greatest(F.lit(0), F.when(plus, F.col("q_st") + F.col("q0")).otherwise(F.col("q_en") - F.col("q1"))), "q_en": F.least("q_len", F.when(plus, F.col("q_st") + F.col("q1")).otherwise(F.col("q_en") - F.col("q0"))),
+        "r_st": F.col("r_st") + F.col("r0"), "r_en": F.col("r_st") + F.col("r1"), "matches": F.rint(F.col("matches") * share).cast("long"), "block_len": F.col("size"),
+        "nm": F.rint(F.greatest(F.lit(0), F.col("nm") - F.col("lost")) * share).cast("long"), "cigar": F.transform("ops", lambda x: x["c"]),
+    }
+    made = cut.join(pieces, key).select(*[changed[c].alias(c) if c in changed else F.col(c) for c in blocks.columns])
+    nothing = cut.join(pieces.select(*key), key, "left_anti").select(*blocks.columns)
+    return whole.unionByName(nothing).unionByName(made)

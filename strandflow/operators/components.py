@@ -8,14 +8,16 @@ from strandflow.runtime import Scratch
 
 
 def _flat(scratch: Scratch, parent: DataFrame) -> DataFrame:
-    """Pointer doubling: replace each parent by its own parent until every node points at a root."""
+    """Pointer doubling, two jumps a round: replace each parent by its own parent until every node points at a root."""
+    above = lambda df, a, b: df.select(F.col("node").alias(a), F.col("parent").alias(b))
     while True:
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        step = scratch.save(parent.join(up, "parent").select("node", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "jump")
+        once = parent.join(above(parent, "parent", "second"), "parent")
+        twice = once.join(above(parent, "second", "third"), "second")
+        step, moving = scratch.save_counting(twice.select("node", F.col("third").alias("parent"), (F.col("third") != F.col("second")).alias("moved")), "jump", F.col("moved"))
         scratch.drop(parent)
         parent = step.select("node", "parent")
         parent._scratch_path = step._scratch_path
-        if step.where("moved").isEmpty():
+        if not moving:
             return parent
 
 
@@ -28,9 +30,10 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
     can split a skewed root. Null ends and self-loops link nothing. Ids are long.
     """
     left, right = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = scratch.save(edges.where(left != right).select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), "edges")
+    some = F.lit(True)
+    edges, n = scratch.save_counting(edges.where(left != right).select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).distinct(), "edges", some)
     total = None
-    while total is None or not edges.isEmpty():
+    while total is None or n:
         near = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.min("b").alias("m"))
         parent = _flat(scratch, scratch.save(near.select(F.col("a").alias("node"), F.least("a", "m").alias("parent")), "hook"))
         if total is None:
@@ -42,7 +45,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
             total, keep = new, False
         first = edges.join(parent.select(F.col("node").alias("a"), F.col("parent").alias("ra")), "a")
         both = first.join(parent.select(F.col("node").alias("b"), F.col("parent").alias("rb")), "b").where("ra != rb")
-        left_over = scratch.save(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        left_over, n = scratch.save_counting(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges", some)
         scratch.drop(edges, None if keep else parent)
         edges = left_over
     scratch.drop(edges)

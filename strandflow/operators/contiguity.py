@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from strandflow.functions.sequence import gc_content, half_up, n_count
+from strandflow.runtime import Scratch
 
 
 def by_length(segments: DataFrame, length: str = "length") -> DataFrame:
@@ -37,12 +38,15 @@ def nx_lx(reached: Column, target: Column) -> tuple[Column, Column]:
 def nx(segments: DataFrame, fractions: list[float], total: int | None = None) -> DataFrame:
     """Rows ``(fraction, nx, lx)``: the first length, longest first, at which ``fraction`` of ``total`` is covered."""
     rows = ranked(by_length(segments))
-    goal = lambda f: F.lit(float(f)) * (F.lit(float(total)) if total is not None else F.col("total").cast("double"))
-    found = rows.agg(F.max("total").alias("total"), *[_reach(goal(f)).alias(f"r{k}") for k, f in enumerate(fractions)])
-    each = F.array(*[F.struct(F.lit(float(f)).alias("fraction"), F.col(f"r{k}").alias("r"), goal(f).alias("goal")) for k, f in enumerate(fractions)])
-    out = found.select(F.explode(each).alias("x"))
-    n, rank = nx_lx(F.col("x.r"), F.col("x.goal"))
-    return out.select(F.col("x.fraction").alias("fraction"), n.alias("nx"), rank.alias("lx"))
+    whole = F.lit(float(total)) if total is not None else F.col("total").cast("double")
+    goals = F.transform(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.struct(f.alias("fraction"), (f * whole).alias("goal")))
+    first = F.col("k") == F.col("n")  # the longest length; it also takes goals of nothing
+    here = F.filter(goals, lambda g: (g["goal"] <= F.col("cum")) & (first | (g["goal"] > F.col("cum") - F.col("length") * F.col("n"))))
+    found = rows.select("length", "n", "k", "cum", F.explode(here).alias("g"))
+    n, rank = nx_lx(F.struct("k", "length", "n", "cum"), F.col("g.goal"))
+    reached = found.select(F.col("g.fraction").alias("fraction"), n.alias("nx"), rank.alias("lx"))
+    asked = segments.sparkSession.createDataFrame([(float(f),) for f in dict.fromkeys(fractions)], "fraction double")
+    return asked.join(F.broadcast(reached), "fraction", "left").select("fraction", F.coalesce("nx", F.lit(0)).alias("nx"), F.coalesce("lx", F.lit(0)).alias("lx"))
 
 
 def contiguity(segments: DataFrame, genome_size: int | None = None) -> DataFrame:
@@ -100,11 +104,22 @@ def length_bins(segments: DataFrame, bins: int = 30) -> DataFrame:
     return segments.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(F.broadcast(binned), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def weighted_median(rows: DataFrame, value: str, weight: str) -> DataFrame:
+    """One row ``(median)``: the smallest value up to which half of all weight is reached. Values are dealt out by range; the ranges' sums, a
+    row each, tell which of them holds the cut, and only that one is sorted."""
+    scratch = Scratch(rows.sparkSession, "median")
+    summed = rows.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+    dealt = scratch.save(summed.repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
+    upto = F.sum("own").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, 0))
+    sums = dealt.groupBy("range").agg(F.sum("w").alias("own")).select("range", (upto - F.col("own")).alias("before"), upto.alias("upto"), F.sum("own").over(W.partitionBy()).alias("total"))
+    cut = sums.where((F.col("before") < F.col("total") / 2) & (F.col("upto") >= F.col("total") / 2))
+    inside = F.sum("w").over(W.partitionBy("range").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    return dealt.join(F.broadcast(cut), "range").withColumn("cum", F.col("before") + inside).where(F.col("cum") >= F.col("total") / 2).agg(F.min("v").alias("median"))
+
+
 def depth_summary(segments: DataFrame) -> DataFrame:
     """Unweighted mean, coefficient of variation and the length-weighted median of known depths."""
-    known = segments.where("depth is not null and length > 0").groupBy("depth").agg(F.sum("length").alias("bases"))
-    upto = F.sum("bases").over(W.orderBy("depth").rowsBetween(W.unboundedPreceding, 0))
-    median = known.select("depth", upto.alias("cum"), F.sum("bases").over(W.partitionBy()).alias("total")).where(F.col("cum") >= F.col("total") / 2).agg(F.min("depth").alias("median_depth"))
+    median = weighted_median(segments.where("depth is not null and length > 0"), "depth", "length").withColumnRenamed("median", "median_depth")
     plain = segments.agg(F.avg("depth").alias("mean_depth"), F.when((F.count("depth") > 1) & (F.avg("depth") > 0), F.stddev_samp("depth") / F.avg("depth")).alias("depth_cv"))
     return plain.crossJoin(F.broadcast(median))
 

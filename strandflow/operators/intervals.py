@@ -1,29 +1,68 @@
-"""Half-open spans: union, complement and coverage, by windows alone."""
+"""Half-open spans: union, complement and coverage.
+
+Windows run over the spans of one key that start in one bin of ``WIDTH`` positions. What they need of the bins before comes from
+one row for each bin, so that no task holds a whole reference.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+WIDTH = 1 << 20
+
+
+def _bins(rows: DataFrame, key: str, at: str) -> DataFrame:
+    return rows.withColumn("bin", F.floor(F.col(at) / WIDTH))
+
+
+def _with_bins(rows: DataFrame, key: str, value: Column, carried) -> DataFrame:
+    """``rows``, which have a ``bin``, with ``carry``: ``carried`` (a function of a column and a window over bins) of ``value``, an
+    aggregate of each bin of a key."""
+    bins = rows.groupBy(key, "bin").agg(value.alias("own"))
+    carry = bins.select(F.col(key).alias("of"), F.col("bin").alias("at"), carried("own", W.partitionBy(key).orderBy("bin")).alias("carry"))
+    return rows.join(carry, rows[key].eqNullSafe(carry["of"]) & (rows["bin"] == carry["at"])).drop("of", "at")
+
+
+_PAST = (W.unboundedPreceding, -1)
+
+
+def earlier_end(rows: DataFrame, key: str, st: str, en: str, *ties: Column) -> DataFrame:
+    """``rows`` with ``before``: the largest end of the key's rows before in order of start and ``ties``; null for the first."""
+    binned = _with_bins(_bins(rows, key, st), key, F.max(en), lambda c, w: F.max(c).over(w.rowsBetween(*_PAST)))
+    inside = W.partitionBy(key, "bin").orderBy(st, *ties).rowsBetween(*_PAST)
+    return binned.withColumn("before", F.greatest("carry", F.max(en).over(inside))).drop("carry", "bin")
+
+
+def running_sum(rows: DataFrame, key: str, st: str, value: Column, name: str, *ties: Column) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each row, in order of start and ``ties``."""
+    binned = _with_bins(_bins(rows.withColumn(name, value), key, st), key, F.sum(name), lambda c, w: F.sum(c).over(w.rowsBetween(*_PAST)))
+    inside = W.partitionBy(key, "bin").orderBy(st, *ties).rowsBetween(W.unboundedPreceding, 0)
+    return binned.withColumn(name, F.coalesce("carry", F.lit(0)) + F.sum(name).over(inside)).drop("carry", "bin")
+
+
+def next_row(rows: DataFrame, key: str, st: str, value: Column, name: str, *ties: Column) -> DataFrame:
+    """``rows`` with ``value`` of the next row in order of start and ``ties``; null for the last."""
+    order = F.struct(F.col(st), *[t.alias(f"t{k}") for k, t in enumerate(ties)])
+    binned = _with_bins(_bins(rows.withColumn(name, value), key, st), key, F.min_by(name, order), lambda c, w: F.lead(c).over(w))
+    return binned.withColumn(name, F.coalesce(F.lead(name).over(W.partitionBy(key, "bin").orderBy(st, *ties)), "carry")).drop("carry", "bin")
 
 
 def union_spans(spans: DataFrame, key: str = "ref") -> DataFrame:
     """``(key, st, en)`` merged per key; spans that touch merge, empty ones are dropped.
 
-    After sorting by start, a span opens an island exactly if it starts after every earlier end. Equal spans
-    are collapsed first, so copies of one span weigh nothing.
+    After sorting by start, a span opens an island exactly if it starts after every earlier end. Equal starts are collapsed
+    first, so copies weigh nothing and a bin has no more rows than positions.
     """
-    rows = spans.where("en > st").groupBy(key, "st").agg(F.max("en").alias("en"))
-    by = W.partitionBy(key).orderBy("st")
-    before = F.max("en").over(by.rowsBetween(W.unboundedPreceding, -1))
-    opens = rows.withColumn("opens", F.when(before.isNull() | (F.col("st") > before), 1).otherwise(0))
-    island = opens.withColumn("island", F.sum("opens").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    rows = earlier_end(spans.where("en > st").groupBy(key, "st").agg(F.max("en").alias("en")), key, "st", "en")
+    opens = F.when(F.col("before").isNull() | (F.col("st") > F.col("before")), 1).otherwise(0)
+    island = running_sum(rows, key, "st", opens, "island")
     return island.groupBy(key, "island").agg(F.min("st").alias("st"), F.max("en").alias("en")).drop("island")
 
 
 def complement(merged: DataFrame, lengths: DataFrame, key: str = "ref") -> DataFrame:
     """What ``merged`` leaves of [0, length) per key; keys without spans are left whole."""
-    inside = merged.join(lengths, key).select(key, F.greatest("st", F.lit(0)).alias("st"), F.least("en", "length").alias("en"), "length").where("en > st")
-    by = W.partitionBy(key).orderBy("st")
-    gaps = inside.select(key, F.coalesce(F.lag("en").over(by), F.lit(0)).alias("a"), F.col("st").alias("b"))
+    inside = merged.join(lengths, key).select(key, F.greatest("st", F.lit(0)).alias("st"), F.least("en", "length").alias("en")).where("en > st")
+    gaps = earlier_end(inside, key, "st", "en").select(key, F.coalesce("before", F.lit(0)).alias("a"), F.col("st").alias("b"))
     ends = lengths.join(inside.groupBy(key).agg(F.max("en").alias("a")), key, "left").select(key, F.coalesce("a", F.lit(0)).alias("a"), F.col("length").alias("b"))
     return gaps.unionByName(ends).where("b > a").select(key, F.col("a").cast("long").alias("st"), F.col("b").cast("long").alias("en"))
 

@@ -165,31 +165,29 @@ def chains(links: DataFrame, segments: DataFrame, min_length: int = 2) -> DataFr
     """Unbranching chains as ``(chain, pos, name, orient)``; a chain and its reverse come once, in the reading
     whose first segment has the smaller ``ord``. Rings have no start and give no chain.
 
-    Positions come from pointer doubling along the unambiguous steps, in a logarithmic number of joins.
+    Positions come from pointer doubling back along the unambiguous steps. A node that knows its head is done and only
+    looked up; in every round the nodes up to twice as far from their heads get done, so once none does, only rings are left.
     """
     scratch = Scratch(links.sparkSession, "chains")
     steps = scratch.save(unambiguous_edges(links).select(F.concat("src", "src_o").alias("a"), F.concat("dst", "dst_o").alias("b")), "steps")
-    nodes = steps.select(F.col("a").alias("node")).union(steps.select("b")).distinct()
-    # back: who stands before; a head has none
-    back = scratch.save(nodes.join(steps.select(F.col("b").alias("node"), F.col("a").alias("up")), "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("dist")), "back")
-    for _ in range(64):
-        above = back.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("dist").alias("more"))
-        step = scratch.save(back.join(above, "up").select("node", F.col("top").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), (F.col("top") != F.col("up")).alias("moved")), "back")
-        going = step.where("moved").limit(1).count()
-        scratch.drop(back)
-        path, back = step._scratch_path, step.drop("moved")
-        back._scratch_path = path
-        if not going:
+    heads = scratch.save(steps.select(F.col("a").alias("node")).join(steps.select(F.col("b").alias("node")), "node", "left_anti"), "heads")
+    first = steps.select(F.col("b").alias("node"), F.col("a").alias("up")).join(heads.select(F.col("node").alias("up"), F.lit(True).alias("done")), "up", "left")
+    one = F.lit(1).cast("long")
+    table, left = scratch.save_counting(first.select("node", "up", one.alias("dist"), F.coalesce("done", F.lit(False)).alias("done")), "back", ~F.col("done"))
+    done, going = table.where("done"), table.where("not done")
+    while left:
+        above = done.unionByName(going).select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("dist").alias("more"), "done")
+        table, now = scratch.save_counting(going.drop("done").join(above, "up").select("node", F.col("top").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), "done"), "back", ~F.col("done"))
+        done, going = done.unionByName(table.where("done")), table.where("not done")
+        if now >= left:
             break
-        if back.agg(F.max("dist")).first()[0] > 1 << 40:  # only rings go on
-            break
-    heads = nodes.join(steps.select(F.col("b").alias("node")), "node", "left_anti").select(F.col("node").alias("up"))
+        left = now
     split = lambda c: (F.expr(f"substring({c}, 1, length({c}) - 1)"), F.right(F.col(c), F.lit(1)))
-    rows = back.join(heads, "up")
+    rows = done.select("node", "up", "dist").unionByName(heads.select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("dist")))
     size = rows.groupBy("up").agg((F.max("dist") + 1).alias("size"), F.max_by("node", "dist").alias("tail"))
     order = segments.select("name", "ord")
-    first, last = split("up")[0], split("tail")[0]
-    sided = size.where(F.col("size") >= min_length).select("up", first.alias("name"), last.alias("last_name")).join(order, "name").join(order.select(F.col("name").alias("last_name"), F.col("ord").alias("last_ord")), "last_name")
+    begin, end = split("up")[0], split("tail")[0]
+    sided = size.where(F.col("size") >= min_length).select("up", begin.alias("name"), end.alias("last_name")).join(order, "name").join(order.select(F.col("name").alias("last_name"), F.col("ord").alias("last_ord")), "last_name")
     chosen = sided.where((F.col("ord") < F.col("last_ord")) | ((F.col("ord") == F.col("last_ord")) & (F.right("up", F.lit(1)) == "+")))
     return rows.join(chosen.select("up", F.col("ord").alias("chain")), "up").select("chain", F.col("dist").alias("pos"), split("node")[0].alias("name"), split("node")[1].alias("orient"))
 

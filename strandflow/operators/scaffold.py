@@ -8,6 +8,7 @@ from strandflow.functions.sequence import oriented, revcomp, safe_label
 from strandflow.operators import links as G
 from strandflow.operators.blocks import best_placements
 from strandflow.operators.contiguity import contiguity
+from strandflow.operators.intervals import earlier_end, next_row, running_sum
 from strandflow.operators.names import last_ord, numbered, unique_names
 from strandflow.operators.paths import bridges
 from strandflow.runtime import Scratch
@@ -23,9 +24,11 @@ def order_by_reference(blocks: DataFrame, *, min_align: int = 500, min_identity:
     """
     usable = blocks.where((F.col("q_en") - F.col("q_st") >= min_align) & (F.col("matches") >= min_identity * F.col("block_len")))
     best = best_placements(usable, min_coverage).withColumn("span", F.col("q_en") - F.col("q_st"))
-    by = W.partitionBy("ref").orderBy("r_st", F.col("span").desc(), "query")
-    before = F.max("r_en").over(by.rowsBetween(W.unboundedPreceding, -1))
-    run = best.withColumn("new", F.when(before.isNull() | (F.col("r_st") >= before), 1).otherwise(0)).withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    scratch = Scratch(blocks.sparkSession, "order")
+    best = scratch.save(best.select("query", "ref", "strand", "r_st", "r_en", "span"), "placements")
+    ties = (-F.col("span"), F.col("query"))
+    before = earlier_end(best, "ref", "r_st", "r_en", *ties)
+    run = running_sum(before, "ref", "r_st", F.when(F.col("before").isNull() | (F.col("r_st") >= F.col("before")), 1).otherwise(0), "run", *ties)
     fields = ["r_st", "neg", "query", "r_en", "span", "strand"]
     items = F.array_sort(F.collect_list(F.struct(*[(-F.col("span")).alias("neg") if f == "neg" else F.col(f) for f in fields])))
 
@@ -41,13 +44,16 @@ def order_by_reference(blocks: DataFrame, *, min_align: int = 500, min_identity:
         )
 
     folded = run.groupBy("ref", "run").agg(items.alias("b")).select("ref", F.aggregate("b", F.struct(F.slice("b", 1, 0).alias("kept"), F.slice("b", 1, 0).alias("gone")), step).alias("s"))
-    kept = folded.select("ref", F.explode("s.kept").alias("x")).select("ref", "x.*")
+    folded = scratch.save(folded, "folded")
+    kept = scratch.save(folded.select("ref", F.explode("s.kept").alias("x")).select("ref", "x.*"), "kept")
     gone = folded.select("ref", F.explode("s.gone").alias("x")).select("ref", "x.*")
-    along = W.partitionBy("ref").orderBy("r_st", "neg", "query")
-    raw = F.lead("r_st").over(along) - F.col("r_en")
-    rows = kept.withColumn("pos", F.row_number().over(along) - 1).withColumn("raw", raw)
+    along = (F.col("neg"), F.col("query"))
+    rows = running_sum(kept, "ref", "r_st", F.lit(1), "pos", *along).withColumn("pos", F.col("pos") - 1)
+    rows = next_row(rows, "ref", "r_st", F.col("r_st"), "raw", *along).withColumn("raw", F.col("raw") - F.col("r_en"))
+    # a member overlaps the one before it if that one ends behind its start
+    rows = rows.join(rows.where("raw <= 0").select("ref", (F.col("pos") + 1).alias("pos"), F.lit(True).alias("overlaps_previous")), ["ref", "pos"], "left")
     rows = rows.withColumn("gap_after", F.when(F.col("raw").isNull(), 0).otherwise(F.greatest("raw", F.lit(min_gap)))).withColumn("evidence", F.when(F.col("raw") > 0, "reference").when(F.col("raw").isNotNull(), "default"))
-    rows = rows.withColumn("overlaps_previous", F.coalesce(F.lag("raw").over(along) <= 0, F.lit(False))).withColumn("redundant", F.lit(False))
+    rows = rows.withColumn("overlaps_previous", F.coalesce("overlaps_previous", F.lit(False))).withColumn("redundant", F.lit(False))
     gone = gone.withColumns({"pos": F.lit(None).cast("int"), "gap_after": F.lit(None).cast("long"), "evidence": F.lit(None).cast("string"), "overlaps_previous": F.lit(False), "redundant": F.lit(True)})
     total = best.groupBy("ref").agg(F.sum("span").alias("t"))
     rank = total.select("ref", F.row_number().over(W.orderBy(F.col("t").desc(), "ref")).alias("ref_rank"))

@@ -86,16 +86,20 @@ def cigar_ops(spark, sf_dir):
     return _cigars(spark, sf_dir).select("query", F.size(F.filter(ops, lambda x: x["op"] == "M")).cast("long").alias("n_match"), fn.cigar_overlap("text").alias("overlap"), fn.cigar_sum(ops, "ID").alias("indel_bases"))
 
 
-@query(f"""with {_CIGAR} select query, 0::bigint as q_st, a as q_en, 0::bigint as r_st, a as r_en, a as block_len from c where d >= 1000
-union all select query, a, a + b + 3, a + d, a + d + b, b + 3 from c where d >= 1000 union all select query, 0, a + b + 3, 0, a + d + b, a + d + b + 3 from c where d < 1000""")
+@query(f"""with {_CIGAR}, s as (select *, a + b + 3 as n, b % 2 = 1 as minus, d >= 1000 as cut from c),
+p as (select query, minus, cut, n, 0 as q0, case when cut then a else n end as q1, 0 as r0, case when cut then a else a + d + b end as r1, case when cut then a else a + d + b + 3 end as size, a + b as m, d, n as total,
+  case when cut then a || 'M' else a || 'M' || d || 'D' || b || 'M3I' end as cigar from s union all select query, minus, cut, n, a, n, a + d, a + d + b, b + 3, a + b, d, n, b || 'M3I' from s where cut)
+select query, (case when minus then n - q1 else q0 end)::bigint as q_st, (case when minus then n - q0 else q1 end)::bigint as q_en, r0::bigint as r_st, r1::bigint as r_en, size::bigint as block_len, cigar,
+  case when cut then round_even(m * (size / total::double), 0) else m end::bigint as matches, case when cut then round_even(3 * (size / total::double), 0) else d + 3 end::bigint as nm from p""")
 def split_long_indels(spark, sf_dir):
     rows = _cigars(spark, sf_dir)
     zero = F.lit(0).cast("long")
     blocks = rows.select(
-        "query", F.lit(1).cast("long").alias("ord"), (F.col("a") + F.col("b") + 3).alias("q_len"), zero.alias("q_st"), (F.col("a") + F.col("b") + 3).alias("q_en"), F.lit(1).alias("strand"), F.lit("r").alias("ref"), F.lit(100_000).cast("long").alias("r_len"),
+        "query", F.lit(1).cast("long").alias("ord"), (F.col("a") + F.col("b") + 3).alias("q_len"), zero.alias("q_st"), (F.col("a") + F.col("b") + 3).alias("q_en"), F.when(F.col("b") % 2 == 1, -1).otherwise(1).alias("strand"), F.lit("r").alias("ref"), F.lit(100_000).cast("long").alias("r_len"),
         zero.alias("r_st"), (F.col("a") + F.col("d") + F.col("b")).alias("r_en"), (F.col("a") + F.col("b")).alias("matches"), (F.col("a") + F.col("d") + F.col("b") + 3).alias("block_len"), (F.col("d") + 3).alias("nm"), F.lit(True).alias("is_primary"), F.lit(60).alias("mapq"), fn.cigar("text").alias("cigar"),
     )
-    return B.split_at_long_indels(blocks).select("query", "q_st", "q_en", "r_st", "r_en", "block_len")
+    text = F.array_join(F.transform("cigar", lambda c: F.concat(c["n"].cast("string"), c["op"])), "")
+    return B.split_at_long_indels(blocks).select("query", "q_st", "q_en", "r_st", "r_en", "block_len", text.alias("cigar"), "matches", "nm")
 
 
 # comparison of two assemblies

@@ -10,7 +10,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +51,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def save_counting(self, df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int]:
+        """:meth:`save`, and how many of the rows fulfil ``counted``, taken while they are written. A task that runs again may count
+        twice, so only 0 is exact."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        out = self.save(df.observe(seen, F.count_if(counted).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Remove tables of :meth:`save` that nothing reads any more."""
         for df in tables:

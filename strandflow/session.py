@@ -85,7 +85,7 @@ class Session:
 
     def with_blocks(self, paf: str) -> Session:
         """Alignments of another program, as PAF."""
-        return replace(self, blocks=T.paf_blocks(T.read_lines(self.spark, paf)))
+        return replace(self, blocks=B.split_at_long_indels(T.paf_blocks(T.read_lines(self.spark, paf))))
 
     def _need(self, what: str) -> DataFrame:
         if (value := getattr(self, what)) is None:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import cigar
 from strandflow.operators import blocks as B, contiguity as C, links as G
-from strandflow.session import load
+from strandflow.session import load, open_session
 from strandflow.sources.textio import FormatError
+from tests.conftest import rows_of
 
 GFA = "H\tVN:Z:1.0\nS\ta\tACGTAC\tdp:f:3\tXX:Z:kept\nS\tb\tACGGG\tKC:i:20\nS\tc\tTTTTTT\nL\ta\t+\tb\t+\t2M\nL\tb\t+\tc\t-\t0M\nP\tone\ta+,b+;c-\t*\nW\tsm\t1\tq\t0\t9\t>a>b\n"
 
@@ -104,3 +105,49 @@ def test_metrics_hold_topology(spark, tmp_path):
     (tmp_path / "a.fa").write_text("".join(f">n{k}\n{''.join(rng.choices('ACGT', k=50))}\n" for k in range(3)))
     row = load(spark, str(tmp_path / "a.fa")).metrics().first()
     assert (row["contigs"], row["links"], row["components"], row["dead_ends"], row["orphaned_length"]) == (3, 0, 3, 6, 150)
+
+
+GENES = "S\ta\tACGTACGTAC\tdp:f:3\nS\tb\tGTACGGGTTT\tdp:f:4\nS\tc\tTTTTTCCCCC\nL\ta\t+\tb\t+\t4M\nL\tb\t+\tc\t-\t2M1D\nP\tp\ta+,b+\t*\n"
+
+
+def test_a_session_comes_back_with_its_past(spark, tmp_path):
+    (tmp_path / "a.gfa").write_text(GENES)
+    s = load(spark, str(tmp_path / "a.gfa"))
+    assert s.default_overlap == 4
+    new = spark.createDataFrame([("d", "AAAA"), ("e", None)], "name string, sequence string")
+    s = s.edit("add_segments", rows=new).edit("add_links", rows=spark.createDataFrame([("d", "+", "a", "+", 2), ("a", "-", "d", "-", 9), ("d", "+", "nope", "+", 0)], "from_name string, from_orient string, to_name string, to_orient string, overlap long"))
+    assert {(r["name"], r["length"]) for r in s.graph.segments.collect()} == {("a", 10), ("b", 10), ("c", 10), ("d", 4), ("e", 0)}
+    assert s.graph.links.count() == 3 and s.graph.segments.select("ord").distinct().count() == 5
+    with pytest.raises(ValueError, match="exists"):
+        s.edit("add_segments", rows=new)
+    with pytest.raises(ValueError, match="nope"):
+        s.edit("add_links", rows=spark.createDataFrame([("d", "+", "nope", "+")], "from_name string, from_orient string, to_name string, to_orient string"), strict=True)
+    again = s.edit("add_segments", rows=spark.createDataFrame([("d", "CCCCC")], "name string, sequence string"), replace=True)
+    assert again.graph.segments.where("name = 'd'").first()["length"] == 5 and rows_of(again.undo().graph.segments) == rows_of(s.graph.segments)
+    s.save(str(tmp_path / "kept"))
+    back = open_session(spark, str(tmp_path / "kept"))
+    for x, y in ((s, back), (s.undo(), back.undo()), (s.undo().undo(), back.undo().undo())):
+        assert rows_of(x.graph.segments) == rows_of(y.graph.segments) and rows_of(x.graph.links) == rows_of(y.graph.links)
+    assert rows_of(back.paths) == rows_of(s.paths) and back.default_overlap == 4 and len(back.graph.past) == 2
+    assert {r["path"]: r["sequence"] for r in back.path_sequences().collect()} == {"p": "ACGTACGTACGGGTTT"}
+    with pytest.raises(ValueError, match="nothing to undo"):
+        back.undo().undo().undo()
+
+
+def test_link_cigars_come_back_and_bad_paths_raise(spark, tmp_path):
+    (tmp_path / "a.gfa").write_text(GENES)
+    s = load(spark, str(tmp_path / "a.gfa"))
+    s.export(str(tmp_path / "out"), ("gfa",))
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out/gfa")).collect())
+    assert "L\tb\t+\tc\t-\t2M1D" in text and "L\ta\t+\tb\t+\t4M" in text and "P\tp\ta+,b+" in text
+    (tmp_path / "b.gfa").write_text(GENES + "P\tq\n")
+    with pytest.raises(FormatError) as e:
+        load(spark, str(tmp_path / "b.gfa"))
+    assert e.value.line == 7
+
+
+def test_a_reference_name_that_comes_twice_raises(spark, tmp_path):
+    (tmp_path / "a.gfa").write_text(GENES)
+    (tmp_path / "r.fa").write_text(">r\nACGT\n>r\nACGT\n")
+    with pytest.raises(FormatError, match="repeated name r"):
+        load(spark, str(tmp_path / "a.gfa")).with_reference(str(tmp_path / "r.fa"))
