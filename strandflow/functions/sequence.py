@@ -70,6 +70,12 @@ def depth_from_tags(tags: Column, length: Column) -> Column:
     return F.coalesce(tag_number(tags, "dp"), tag_number(tags, "DP"), *[tag_number(tags, t) / size for t in ("KC", "kc", "RC", "rc", "FC", "fc")])
 
 
+def public_tags(tags: Column | str, longest: int = 200) -> Column:
+    """Tags without the texts of more than ``longest`` characters; numbers of any length stay."""
+    number = lambda v: v["type"].isin("i", "f") & v["value"].try_cast("double").isNotNull()
+    return F.map_filter(_c(tags), lambda _, v: number(v) | (F.length(v["value"]) <= longest))
+
+
 def _after(name: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from strandflow.functions.sequence import revcomp
 from strandflow.operators.blocks import split_at_long_indels
+from strandflow.operators.hits import top
 
 #: (k, w, share of identical bases that blocks must reach) by preset, from near to far
 PRESETS = {"asm5": (19, 10, 0.90), "asm10": (17, 10, 0.85), "asm20": (15, 8, 0.75)}
@@ -186,10 +187,11 @@ def _extend(k: int):
     return run
 
 
-def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int | None = 64, secondaries: int | None = 5) -> DataFrame:
+def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int | None = 64, secondaries: int | None = 5, min_indel: int | None = 1000) -> DataFrame:
     """Alignment blocks of ``(name, sequence)`` tables. Of blocks that share more than half of their query span
     with a better one all but ``secondaries`` are dropped and the rest are secondary; without it all blocks stay,
-    and which are secondary is not told (null). Long insertions and deletions cut blocks (``blocks.split_at_long_indels``)."""
+    and which are secondary is not told (null). Insertions and deletions of ``min_indel``
+    or more cut blocks (``blocks.split_at_long_indels``); without it none does."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; known: {', '.join(PRESETS)}")
     k, w, identity = PRESETS[preset]
@@ -209,12 +211,14 @@ def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, m
     ranked = made.withColumn("ord", F.row_number().over(W.partitionBy("query").orderBy(F.col("matches").desc(), "ref", "r_st", "q_st", "strand")).cast("long"))
     columns = ["query", "ord", "q_len", "q_st", "q_en", "strand", "ref", "r_len", "r_st", "r_en", "matches", "block_len", "nm"]
     if secondaries is None:
-        return split_at_long_indels(ranked.select(*columns, F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("int").alias("mapq"), "cigar"))
+        out = ranked.select(*columns, F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("int").alias("mapq"), "cigar")
+        return out if min_indel is None else split_at_long_indels(out, min_indel)
     better = ranked.select("query", F.col("ord").alias("o"), F.col("q_st").alias("x"), F.col("q_en").alias("y"))
     shared = F.least("q_en", "y") - F.greatest("q_st", "x")
     worse = ranked.join(better, "query").where((F.col("o") < F.col("ord")) & (shared > 0.5 * (F.col("q_en") - F.col("q_st")))).groupBy("query", "ord").agg(F.count("*").alias("beaten"))
     out = ranked.join(worse, ["query", "ord"], "left").where(F.coalesce("beaten", F.lit(0)) <= secondaries)
-    return split_at_long_indels(out.select(*columns, F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar"))
+    out = out.select(*columns, F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar")
+    return out if min_indel is None else split_at_long_indels(out, min_indel)
 
 
 def parse_query(spark: SparkSession, text: str) -> DataFrame:
@@ -240,10 +244,10 @@ def parse_query(spark: SparkSession, text: str) -> DataFrame:
 
 def search(segments: DataFrame, query: DataFrame, *, min_identity: float = 0.8, min_length: int = 30, max_hits: int = 500) -> DataFrame:
     """The best ``max_hits`` hits of a query among segments, by matching bases."""
-    hits = align(query, segments.select("name", "sequence"), "asm20", min_length=min_length, flank=500, max_places=None, secondaries=None)
+    hits = align(query, segments.select("name", "sequence"), "asm20", min_length=min_length, flank=500, max_places=None, secondaries=None, min_indel=None)
     identity = F.col("matches") / F.col("block_len")
-    rows = hits.where(identity >= min_identity).select(F.col("query"), F.col("ref").alias("segment"), "strand", "q_st", "q_en", F.col("r_st").alias("s_st"), F.col("r_en").alias("s_en"), identity.alias("identity"), F.col("block_len").alias("length"), F.col("matches").alias("score"))
-    return rows.orderBy(F.col("score").desc(), "query", "segment", "s_st").limit(max_hits)
+    rows = hits.where(identity >= min_identity).select(F.col("query"), F.col("ref").alias("segment"), "strand", "q_st", "q_en", F.col("r_st").alias("s_st"), F.col("r_en").alias("s_en"), identity.alias("identity"), F.col("block_len").alias("length"), F.col("matches").cast("double").alias("score"), F.lit(None).cast("double").alias("evalue"))
+    return top(rows, max_hits)
 
 
 def capabilities() -> dict[str, str]:

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from strandflow.operators import links as G
 from strandflow.operators.intervals import complement, union_spans
+from strandflow.runtime import Scratch
 
 SHARED, PRESENT = 0.95, 0.10
 
 
-def status(fraction):
-    return F.when(fraction >= SHARED, "shared").when(fraction >= PRESENT, "partial").otherwise("missing")
+def status(fraction, shared: float = SHARED, present: float = PRESENT):
+    return F.when(fraction >= shared, "shared").when(fraction >= present, "partial").otherwise("missing")
 
 
-def contig_diff(segments: DataFrame, blocks: DataFrame) -> DataFrame:
+def contig_diff(segments: DataFrame, blocks: DataFrame, shared: float = SHARED, present: float = PRESENT) -> DataFrame:
     """``(name, length, covered, best_match, best_identity, status)`` of one side's segments. The best match has
     the most query bases times identity, first on ties; the best identity is that of any block."""
     lengths = segments.select(F.col("name").alias("query"), "length")
@@ -23,7 +25,7 @@ def contig_diff(segments: DataFrame, blocks: DataFrame) -> DataFrame:
     score = (F.col("q_en") - F.col("q_st")) * F.greatest(F.coalesce(identity, F.lit(0.0)), F.lit(0.0))
     best = blocks.groupBy("query").agg(F.max_by("ref", F.struct(score.alias("s"), (-F.col("ord")).alias("o"))).alias("best_match"), F.max(F.coalesce(identity, F.lit(0.0))).alias("best_identity"))
     got = F.least("length", F.coalesce("covered", F.lit(0)))
-    return lengths.join(covered, "query", "left").join(best, "query", "left").select(F.col("query").alias("name"), "length", got.alias("covered"), "best_match", "best_identity", status(F.coalesce(got / F.nullif("length", F.lit(0)), F.lit(0.0))).alias("status"))
+    return lengths.join(covered, "query", "left").join(best, "query", "left").select(F.col("query").alias("name"), "length", got.alias("covered"), "best_match", "best_identity", status(F.coalesce(got / F.nullif("length", F.lit(0)), F.lit(0.0)), shared, present).alias("status"))
 
 
 def uncovered(segments: DataFrame, blocks: DataFrame, least: int = 1) -> DataFrame:
@@ -38,9 +40,24 @@ def match_weights(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("query", "ref").agg(F.sum(F.greatest(F.lit(0), F.col("q_en") - F.col("q_st"))).alias("weight"))
 
 
-def component_diff(contigs: DataFrame, member: DataFrame) -> DataFrame:
-    rows = contigs.join(member, "name").groupBy("component").agg(F.count("*").alias("contigs"), F.sum("length").alias("length"), F.sum("covered").alias("covered"))
-    return rows.withColumn("status", status(F.coalesce(F.col("covered") / F.nullif("length", F.lit(0)), F.lit(0.0))))
+def component_diff(contigs: DataFrame, member: DataFrame, shared: float = SHARED, present: float = PRESENT) -> DataFrame:
+    """Per component of ``member`` ``(name, component)``: contigs, bases, covered bases and status; whether any contig is a ring by
+    itself, where ``contigs`` tell (``circular``)."""
+    ring = [F.coalesce(F.bool_or("circular"), F.lit(False)).alias("circular")] if "circular" in contigs.columns else []
+    rows = contigs.join(member, "name").groupBy("component").agg(F.count("*").alias("contigs"), F.sum("length").alias("length"), F.sum("covered").alias("covered"), *ring)
+    return rows.withColumn("status", status(F.coalesce(F.col("covered") / F.nullif("length", F.lit(0)), F.lit(0.0)), shared, present))
+
+
+def score_side(segments: DataFrame, links: DataFrame, blocks: DataFrame, *, min_identity: float = 0.0, shared: float = SHARED, present: float = PRESENT) -> dict[str, DataFrame]:
+    """What the blocks of one side's segments on the other side say: ``contigs`` (with ``circular``), ``components``, ``matches`` (bases by
+    pair), ``uncovered`` spans and the ``summary``. Blocks below ``min_identity`` do not count."""
+    if not 0 <= present < shared <= 1:
+        raise ValueError(f"shares must fulfil 0 <= present < shared <= 1, got {present} and {shared}")
+    used = Scratch(segments.sparkSession, "side").save(blocks.where(F.col("matches") >= min_identity * F.col("block_len")), "blocks")
+    ring = G.circular_segments(links).withColumn("circular", F.lit(True))
+    contigs = contig_diff(segments, used, shared, present).join(ring, "name", "left").withColumn("circular", F.coalesce("circular", F.lit(False)))
+    member = G.components(segments, links)
+    return {"contigs": contigs, "components": component_diff(contigs, member, shared, present), "matches": match_weights(used), "uncovered": uncovered(segments, used), "summary": side_summary(contigs)}
 
 
 def side_summary(contigs: DataFrame) -> DataFrame:

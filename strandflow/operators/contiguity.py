@@ -77,6 +77,12 @@ def size_buckets(segments: DataFrame, floors: tuple[int, ...] = (0, 1000, 10_000
     return wide.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def size_counts(segments: DataFrame, floors: tuple[int, ...] = (1000, 10_000, 50_000)) -> DataFrame:
+    """One row: number (``n_1000``, ...) and bases (``bases_1000``, ...) of segments of at least each floor."""
+    many = {f"n_{x}": F.sum(F.when(F.col("length") >= x, F.col("n"))) for x in floors} | {f"bases_{x}": F.sum(F.when(F.col("length") >= x, F.col("length") * F.col("n"))) for x in floors}
+    return by_length(segments).agg(*[F.coalesce(v, F.lit(0)).alias(k) for k, v in many.items()])
+
+
 def nx_curve(segments: DataFrame, steps: int = 100) -> DataFrame:
     """Nx for x = 1 .. ``steps`` per cent."""
     return nx(segments, [x / 100 for x in range(1, steps + 1)]).select(F.round(F.col("fraction") * 100).cast("int").alias("x"), "nx")

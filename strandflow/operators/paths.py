@@ -15,7 +15,31 @@ def match_names(segments: DataFrame, queries: DataFrame, exact: bool = True) ->
     names = segments.select("name")
     if exact:
         return queries.select("q", F.regexp_replace("q", r"[+-]$", "").alias("bare")).join(names, (F.col("bare") == F.col("name")), "left").select("q", "name")
-    return queries.join(names, F.col("name").contains(F.col("q")), "left").select("q", "name")
+    return queries.join(_containing(names, queries.select("q").distinct(), F.col("name"), F.col("q")), "q", "left").select("q", "name")
+
+
+def find_names(segments: DataFrame, text: str, exact: bool = False) -> DataFrame:
+    """``(ord, name)`` of the segments that one of the terms in ``text``, between commas or spaces, is in the name of, whatever their case;
+    with ``exact``, is the name of."""
+    terms = segments.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(text.replace(",", " ").split())], "q string")
+    own = segments.select("ord", "name")
+    if exact:
+        return own.join(terms.withColumnRenamed("q", "name"), "name", "left_semi").select("ord", "name")
+    found = _containing(own.select("name"), terms, F.lower("name"), F.lower("q")).select("name").distinct()
+    return own.join(found, "name", "left_semi").select("ord", "name")
+
+
+def _containing(names: DataFrame, terms: DataFrame, text: Column, term: Column) -> DataFrame:
+    """``(q, name)`` of names whose ``text`` contains the ``term`` of a query, by an inverted index of the parts of three characters: a term
+    meets the names that have the rarest of its parts, and is then looked for in them. Shorter terms are parts themselves."""
+    grams = lambda t, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda k: F.substring(t, k, F.lit(n))))
+    wanted = terms.select("q", term.alias("t")).where("length(t) > 0").withColumn("gram", F.explode(F.when(F.length("t") >= 3, grams(F.col("t"), 3)).otherwise(F.array("t"))))
+    sizes = F.flatten(F.array(*[F.when(F.length("t") >= n, grams(F.col("t"), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)]))
+    index = names.select("name", text.alias("t")).select("name", "t", F.explode(sizes).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    index = Scratch(names.sparkSession, "names").save(index, "index")
+    often = wanted.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    rarest = often.groupBy("q").agg(F.min_by(F.struct("gram", F.col("t").alias("sought")), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("x")).select("q", "x.*")
+    return rarest.join(index, "gram").where(F.col("t").contains(F.col("sought"))).select("q", "name")
 
 
 def find_paths(links: DataFrame, segments: DataFrame, pairs: DataFrame, *, max_length: int = 50_000, max_nodes: int = 30, max_paths: int = 24) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from strandflow.functions import sequence as fn
-from strandflow.operators import blocks as B, compare as D, edits as E, links as G, scaffold as S
+from strandflow.operators import blocks as B, compare as D, contiguity as C, edits as E, hits as H, links as G, scaffold as S, tables as R
 from strandflow.plans import adapters as A
 from strandflow.plans.graphs import _CC, _CHAIN, _FOLD, _L1, _ORDERS, _P, _links
 from strandflow.plans.registry import query, rounded
 from strandflow.runtime import Scratch
+from strandflow.session import load
 from strandflow.sources import sinks as K, textio as T
 
 # text formats: lines are written from the tables and parsed back
@@ -335,9 +336,147 @@ def repeated_segments(spark, sf_dir):
     return S.repeated_segments(A.path_steps(spark, sf_dir).select(F.col("name").alias("segment")))
 
 
-@query(f"""with {_L1}, {_CC}, d as (select src as name, count(*) filter (where src_o = '-') as s, count(*) filter (where src_o = '+') as e from adj group by 1)
-select p.name, p.length, format('{{:.4f}}', p.depth) as depth, component, coalesce(s, 0)::bigint as deg_start, coalesce(e, 0)::bigint as deg_end from seg_part p join roots using (name) join comp using (root) left join d on d.name = p.name""")
+@query(f"""with {_GENOME}, g as (select *, count(*) filter (where true) over (partition by cust) as n, cust % 7 > 1 as linked, case when cust % 7 > 1 then -cust else ord end as comp_key, length(sequence) as len,
+  length(replace(replace(sequence, 'A', ''), 'T', '')) as strong from own),
+c as (select comp_key, row_number() over (order by sum(len) desc, min(ord)) - 1 as component from g group by 1),
+d as (select *, (linked and i > 1)::int as before, (linked and i < m)::int as after, ord % 3 = 0 as minus from g)
+select name, len::bigint as length, '1.0000' as depth, case when strong = len then '1.00000' else '0.' || lpad(((200000 * strong + len) // (2 * len))::varchar, 5, '0') end as gc, component::bigint as component, (case when minus then after else before end)::bigint as deg_start, (case when minus then before else after end)::bigint as deg_end,
+  0 as circular, case when placed then 'c' || cust end as ref, case when placed then (i - 1) * 320 end::bigint as ref_start, case when placed then (i - 1) * 320 + len end::bigint as ref_end, case when placed then '1.00000' end as ref_identity, case when placed then case when minus then -1 else 1 end end as ref_strand,
+  case when placed then 'scaffold_c' || cust else 'unplaced_' || name end as scaffold, (case when not placed then 0 when cust % 7 = 0 then i - 1 else (i - 1) // 2 end)::bigint as scaffold_position from d join c using (comp_key)""")
 def segment_table(spark, sf_dir):
-    segments, links = A.seg_part(spark, sf_dir), _links(spark, sf_dir)
-    rows = segments.join(G.components(segments, links), "name").join(G.degrees(segments, links), "name")
-    return rows.select("name", "length", F.format_string("%.4f", "depth").alias("depth"), "component", "deg_start", "deg_end")
+    segments, links, blocks = _genomes(spark, sf_dir)
+    return R.segment_table(segments, links, blocks, S.plan_by_reference(blocks, segments, min_align=100))
+
+
+_MANY = "format('{:,}', %s::bigint)"
+
+
+def _metric_sql(table: str) -> str:
+    """Label and text of each row of a comparison, of one assembly of lengths and sequences."""
+    one = lambda x: _MANY % x
+    rows = [
+        ("# contigs", one("count(*)")), ("# contigs >= 1 kb", one("count(*) filter (where length >= 1000)")), ("# contigs >= 10 kb", one("count(*) filter (where length >= 10000)")), ("Total length", one("max(total)")), ("Largest contig", one("max(length)")),
+        ("N50", one("max(length) filter (where cum >= 0.5 * total)")), ("L50", one("min(k) filter (where cum >= 0.5 * total)")), ("N75", one("max(length) filter (where cum >= 0.75 * total)")), ("auN", one("round_even(sum(length::double * length) / max(total), 0)")),
+        ("NG50", one("coalesce(max(length) filter (where cum >= 500000), 0)")), ("LG50", one("coalesce(min(k) filter (where cum >= 500000), 0)")),
+    ]
+    return " union all ".join(f"select '{label}' as label, {value} as v from {table}" for label, value in rows)
+
+
+@query(f"""with {A.SEG_DOCS}, {A.SEG_PART}, {', '.join(f"r_{t} as (select length, row_number() over w as k, sum(length) over w as cum, sum(length) over () as total from seg_{t} window w as (order by length desc, ord rows unbounded preceding))" for t in ('docs', 'part'))},
+a as ({_metric_sql('r_docs')}), b as ({_metric_sql('r_part')}) select label, a.v as docs, b.v as part from a join b using (label)""")
+def comparison_table(spark, sf_dir):
+    one = lambda segments: C.contiguity(segments, 1_000_000).crossJoin(F.broadcast(C.size_counts(segments)))
+    return R.comparison_table({"docs": one(A.seg_docs(spark, sf_dir)), "part": one(A.seg_part(spark, sf_dir))}).drop("ord")
+
+
+# hits
+
+
+_TABULAR = """hit as (select 'q' || l_orderkey as query, 'p' || l_partkey as segment, round(80 + l_discount * 100 + l_tax * 100, 3) as percent, (l_quantity * 10)::bigint as length, (l_partkey % 500 + 1)::bigint as a, (l_suppkey * 3)::bigint as s, l_suppkey % 2 = 0 as turned,
+  l_extendedprice::double as score, l_tax::double as evalue from lineitem),
+hits as (select query, segment, case when turned then -1 else 1 end as strand, a - 1 as q_st, a + length - 1 as q_en, s - 1 as s_st, s + length - 1 as s_en, percent / 100 as identity, length, score, evalue from hit where length >= 50)"""
+
+
+def _tabular(spark, sf_dir):
+    """Rows of a tabular search; on the minus strand the larger end comes first."""
+    c, n = F.col, (F.col("l_quantity") * 10).cast("long")
+    a, s = (c("l_partkey") % 500 + 1).cast("long"), (c("l_suppkey") * 3).cast("long")
+    turned = c("l_suppkey") % 2 == 0
+    ends = F.when(turned, s + n - 1).otherwise(s), F.when(turned, s).otherwise(s + n - 1)
+    fields = [F.concat(F.lit("q"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey"), F.round(80 + c("l_discount") * 100 + c("l_tax") * 100, 3), n, a, a + n - 1, *ends, c("l_extendedprice").cast("double"), c("l_tax").cast("double")]
+    lines = A.table(spark, sf_dir, "lineitem").select(F.concat_ws("\t", *[x.cast("string") for x in fields]).alias("value"))
+    return lines.unionByName(spark.createDataFrame([("# query\tsegment",), ("q\tp\tno\t1\t1\t1\t1\t1\t1\t1",), ("q\tp",)], "value string"))
+
+
+@query(f"with {_TABULAR} select query, segment, strand, q_st, q_en, s_st, s_en, round(identity, 9) as identity, length, score, evalue from hits")
+def tabular_hits(spark, sf_dir):
+    return H.tabular_hits(_tabular(spark, sf_dir), min_length=50).withColumn("identity", F.round("identity", 9))
+
+
+@query(f"with {_TABULAR} select segment, arg_max(score, (score, identity, -s_st, -q_st)) as score, round(arg_max(identity, (score, identity, -s_st, -q_st)), 9) as identity, arg_max(s_st, (score, identity, -s_st, -q_st)) as s_st from hits group by segment")
+def best_hit_of_segment(spark, sf_dir):
+    return H.best_of_segments(H.tabular_hits(_tabular(spark, sf_dir), min_length=50)).select("segment", "score", F.round("identity", 9).alias("identity"), "s_st")
+
+
+@query(f"""with {A.BLOCKS}, s as (select *, block_len * case when is_primary then 1.5 else 1.0 end::double * case when matches > 0 then matches / block_len::double else 1 end as score from blocks)
+select query, arg_max(ref, (score, -ord)) as ref, arg_max(ord, (score, -ord)) as ord, round(max(score), 6) as score from s group by query""")
+def best_reference_hit(spark, sf_dir):
+    return rounded(H.best_references(A.blocks(spark, sf_dir)).select("query", "ref", "ord", "score"), "score")
+
+
+@query(f"""with {A.BLOCKS}, s as (select query as name, ref as source, q_st / q_len::double as s, q_en / q_len::double as e, case when strand < 0 then r_en else r_st end / r_len::double as q0, case when strand < 0 then r_st else r_en end / r_len::double as q1 from blocks where q_en > q_st),
+n as (select *, greatest(ceil(100 * abs(q1 - q0)), 1)::int as n from s), p as (select *, unnest(range(0, n))::int as part from n)
+select name, source, part, round(s + (e - s) / n * part, 9) as s, round(s + (e - s) / n * (part + 1), 9) as e, round(greatest(0, least(1, q0 + (q1 - q0) / n * part)), 9) as q from p""")
+def hit_parts(spark, sf_dir):
+    made = H.parts(H.reference_spans(A.blocks(spark, sf_dir)))
+    return made.select("name", "source", "part", *[F.round(c, 9).alias(c) for c in ("s", "e", "q")])
+
+
+@query(f"""with {A.BLOCKS} select 'ref' as kind, ref as name, max(r_len)::bigint as extent from blocks group by ref union all select 'query', query, max(q_en)::bigint from blocks group by query""")
+def hit_extents(spark, sf_dir):
+    blocks = A.blocks(spark, sf_dir)
+    part = lambda kind, key, end: H.extents(blocks, key, end).select(F.lit(kind).alias("kind"), F.col(key).alias("name"), "extent")
+    return part("ref", "ref", "r_len").unionByName(part("query", "query", "q_en"))
+
+
+# other formats, written as text and read again
+
+
+@query(f"with {A.PATH_STEPS} select 'g' || path as path, pos::bigint as pos, name, orient, false as gap_after from path_steps")
+def gfa2_groups(spark, sf_dir):
+    """Ordered groups for odd paths, unordered ones for even ones, members without an orientation among them."""
+    steps = A.path_steps(spark, sf_dir)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.concat("name", "orient").alias("t"))))
+    text = F.concat(F.array_join(F.transform(ordered, lambda x: x["t"]), " "), F.lit(" other"))
+    lines = steps.groupBy("path").agg(text.alias("t")).select(F.col("path").alias("line"), F.concat_ws("\t", F.when(F.col("path") % 2 == 1, "O").otherwise("U"), F.concat(F.lit("g"), "path"), "t").alias("value"))
+    return T.gfa2_path_steps(lines).select("path", "pos", "name", "orient", "gap_after")
+
+
+@query(f"with {A.BLOCKS} select query, q_len, q_st, q_en, strand, ref, r_len, r_st, r_en, matches::bigint as matches, block_len, nm, is_primary, mapq from blocks")
+def paf_read(spark, sf_dir):
+    rows = A.blocks(spark, sf_dir)
+    text = F.concat_ws("\t", "query", "q_len", "q_st", "q_en", F.when(F.col("strand") < 0, "-").otherwise("+"), "ref", "r_len", "r_st", "r_en", "matches", "block_len", "mapq", F.concat(F.lit("NM:i:"), "nm"), F.concat(F.lit("tp:A:"), F.when(F.col("is_primary"), "P").otherwise("S")))
+    found = T.paf_blocks(rows.select(F.monotonically_increasing_id().alias("line"), text.alias("value")))
+    return found.select("query", "q_len", "q_st", "q_en", "strand", "ref", "r_len", "r_st", "r_en", "matches", "block_len", "nm", "is_primary", "mapq")
+
+
+@query(f"""{_ORDERED}, e as (select 'scaffold_' || ref as object, pos, 0 as sub, 'W' as kind, 4000 as size, segment as component, orientation as orient, null::bigint as gap from members
+  union all select 'scaffold_' || ref, pos, 1, case when raw > 0 then 'N' else 'U' end, greatest(raw, 100), null, null, greatest(raw, 100) from members where raw is not null)
+select object, (sum(size) over w - size + 1)::bigint as beg, (sum(size) over w)::bigint as "end", row_number() over w as part, kind, component, orient, gap::bigint as gap, case kind when 'N' then 'align_genus' when 'U' then 'unspecified' end as evidence from e window w as (partition by object order by pos, sub rows unbounded preceding)""")
+def agp_read(spark, sf_dir):
+    lines = K.agp_text(_agp(spark, sf_dir), ("made for a test",)).select(F.monotonically_increasing_id().alias("line"), "value")
+    return T.agp_rows(lines).select("object", "beg", "end", "part", "kind", "component", "orient", "gap", "evidence")
+
+
+@query(f"""with {A.PATH_STEPS}, r as (select *, coalesce(sum(gap::int) over (partition by path order by pos rows between unbounded preceding and 1 preceding), 0) as g from path_steps), k as (select * from r where name[2:]::bigint % 10 <> 0)
+select 'NODE_' || path as path, (row_number() over w - 1)::bigint as pos, name, orient, coalesce(lead(g) over w > g, false) as gap_after from k window w as (partition by path order by pos)""")
+def contig_paths(spark, sf_dir):
+    """Names and paths in turn, a line for each stretch between gaps, for both strands, over a graph without every tenth part."""
+    steps = A.path_steps(spark, sf_dir)
+    glue = F.when(F.col("pos") == F.max("pos").over(W.partitionBy("path")), "").when(F.col("gap"), ";\n").otherwise(",")
+    texts = steps.select("path", "pos", F.concat("name", "orient", glue).alias("t")).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), "").alias("t"))
+    both = F.concat(F.lit("NODE_"), "path", F.lit("\n"), "t", F.lit("\nNODE_"), "path", F.lit("'\n"), "t")
+    lines = texts.select("path", F.posexplode(F.split(both, "\n")).alias("k", "value")).select((F.col("path") * 1000 + F.col("k")).alias("line"), "value")
+    return T.contig_paths(lines, A.seg_part(spark, sf_dir).where("ord % 10 != 0"))
+
+
+@query(f"""with {_L1} select 'S' as kind, name as a, null as b, length as n from seg_part union all select 'L', from_name || from_orient, to_name || to_orient, overlap from uniq""")
+def gfa_file_loaded(spark, sf_dir):
+    """A GFA of all parts and links, written to the shared folder and loaded from there as a session."""
+    at = f"{Scratch(spark, 'files').path}/parts"
+    segments = A.seg_part(spark, sf_dir).withColumn("depth", F.lit(None).cast("double"))
+    K.write_lines(K.gfa_text(segments, _links(spark, sf_dir)), at, "rank", "ord")
+    g = load(spark, at, "gfa").graph
+    return g.segments.select(F.lit("S").alias("kind"), F.col("name").alias("a"), F.lit(None).cast("string").alias("b"), F.col("length").alias("n")).unionByName(g.links.select(F.lit("L").alias("kind"), F.concat("from_name", "from_orient").alias("a"), F.concat("to_name", "to_orient").alias("b"), F.col("overlap").alias("n")))
+
+
+@query(f"""with {A.BLOCKS}, kept as (select * from blocks where matches >= 0.98 * block_len), o as (select query, q_st as st, q_en as en, max(q_en) over (partition by query order by q_st, q_en rows between unbounded preceding and 1 preceding) as m from kept),
+i as (select *, sum(case when m is null or st > m then 1 else 0 end) over (partition by query order by st, en rows unbounded preceding) as k from o), cov as (select query, sum(e - s) as covered from (select query, k, min(st) as s, max(en) as e from i group by query, k) group by query),
+n as (select o_orderkey as ord, o_custkey as cust, 'q' || o_orderkey as name, least(4000, coalesce(covered, 0)) as covered from orders left join cov on query = 'q' || o_orderkey),
+s as (select cust, count(*) as contigs, count(*) * 4000 as length, sum(covered) as covered, min(ord) as first from n group by cust)
+select (row_number() over (order by length desc, first) - 1)::bigint as component, contigs, length::bigint as length, covered::bigint as covered, false as circular, case when covered / length::double >= 0.4 then 'shared' when covered / length::double >= 0.2 then 'partial' else 'missing' end as status from s""")
+def diff_components(spark, sf_dir):
+    """One side of a comparison, customers' orders in chains as components, over blocks of at least 98 per cent."""
+    segments, links = _side(spark, sf_dir), A.order_links(spark, sf_dir)
+    turned = links.withColumns({c: F.regexp_replace(c, "^o", "q") for c in ("from_name", "to_name")})
+    return D.score_side(segments, G.dedup_links(turned), A.blocks(spark, sf_dir), min_identity=0.98, shared=0.4, present=0.2)["components"]

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as fn
-from strandflow.operators import blocks as B, contiguity as C, intervals as I, links as G
+from strandflow.operators import blocks as B, contiguity as C, edits as E, intervals as I, links as G, paths as P, tables as R
 from strandflow.plans import adapters as A
 from strandflow.plans.registry import query, rounded
 
+
+
+def _no_links(spark):
+    return spark.createDataFrame([], "ord long, from_name string, from_orient string, to_name string, to_orient string, overlap long")
+
+
 # lengths, depths, composition
 
 _NX = """ranked as (select length, ord, row_number() over w as k, sum(length) over w as cum, sum(length) over () as total, count(*) over () as n
@@ -96,25 +102,37 @@ def oriented_seq(spark, sf_dir):
 
 @query(f"""with {A.SEG_DOCS}, q as (select unnest(['d1', 'd7+', 'd11-', 'dx']) as q) select q, name from q left join seg_docs on name = regexp_replace(q, '[+-]$', '')""")
 def name_match_exact(spark, sf_dir):
-    wanted = spark.createDataFrame([(x,) for x in ("d1", "d7+", "d11-", "dx")], "q string").withColumn("name", F.regexp_replace("q", "[+-]$", ""))
-    names = A.seg_docs(spark, sf_dir).select("name", F.lit(True).alias("found"))
-    return wanted.join(names, "name", "left").select("q", F.when(F.col("found"), F.col("name")).alias("name"))
+    return P.match_names(A.seg_docs(spark, sf_dir), spark.createDataFrame([(x,) for x in ("d1", "d7+", "d11-", "dx")], "q string"))
 
 
-@query(f"""with {A.SEG_DOCS} select name from seg_docs where contains(name, '17') or contains(name, 'd99')""")
+@query(f"""with {A.SEG_DOCS}, q as (select unnest(['17', 'd99', '5', 'D1', 'x', '']) as q) select q, name from q left join seg_docs on q <> '' and contains(name, q)""")
 def name_match_partial(spark, sf_dir):
-    return A.seg_docs(spark, sf_dir).where(F.col("name").contains("17") | F.col("name").contains("d99")).select("name")
+    return P.match_names(A.seg_docs(spark, sf_dir), spark.createDataFrame([(x,) for x in ("17", "d99", "5", "D1", "x", "")], "q string"), exact=False)
 
 
-@query(f"""with {A.SEG_DOCS} select name, depth from seg_docs where depth between 10 and 20""")
+@query(f"""with {A.SEG_DOCS}, {A.SEG_PART}, both_ as (select ord, name from seg_docs union all select ord + 1000000000, name from seg_part) select ord, name from both_ where contains(name, 'd17') or contains(name, 'p99') or contains(name, '123')""")
+def name_find(spark, sf_dir):
+    """Terms between commas and spaces, whatever their case, in the names of documents and parts."""
+    both = A.seg_docs(spark, sf_dir).select("ord", "name").unionByName(A.seg_part(spark, sf_dir).select(F.col("ord") + 1_000_000_000, "name").toDF("ord", "name"))
+    return P.find_names(both, "D17, p99  123,d17")
+
+
+@query(f"""with {A.SEG_DOCS} select name, 0::bigint as rank from seg_docs where depth between 10 and 20""")
 def depth_range(spark, sf_dir):
-    return A.seg_docs(spark, sf_dir).where(F.col("depth").between(10, 20)).select("name", "depth")
+    return P.scope(A.seg_docs(spark, sf_dir), _no_links(spark), "depth", min_depth=10.0, max_depth=20.0)
 
 
 @query(f"""with {A.SEG_DOCS} select name from seg_docs where length >= 500 and depth >= 5 and (depth is null or depth <= 30)""")
 def filter_thresholds(spark, sf_dir):
-    # an unknown depth fails the lower bound and would pass the upper one
-    return A.seg_docs(spark, sf_dir).where((F.col("length") >= 500) & F.coalesce(F.col("depth") >= 5, F.lit(False)) & F.coalesce(F.col("depth") <= 30, F.lit(True))).select("name")
+    return E.filter_graph(E.Graph(A.seg_docs(spark, sf_dir), _no_links(spark)), min_length=500, min_depth=5, max_depth=30).segments.select("name")
+
+
+@query(f"""with {A.SEG_DOCS}, c as (select *, length(regexp_replace(sequence, '[^GCSgcs]', '', 'g'))::double / nullif(length(regexp_replace(sequence, '[^ACGTSacgts]', '', 'g')), 0) as g from seg_docs),
+v as (select *, case when sequence <> '' then coalesce(g, 0) end as gc from c)
+select min(depth) as depth_min, max(depth) as depth_max, true as has_depth, round(min(gc), 6) as gc_min, round(max(gc), 6) as gc_max, true as has_gc, greatest(1, min(length))::bigint as length_min, greatest(1, max(length))::bigint as length_max,
+  sum(length)::bigint as bases, quantile_cont(depth, 0.25) as depth_q1, quantile_cont(depth, 0.75) as depth_q3 from v""")
+def view_ranges(spark, sf_dir):
+    return rounded(R.view_ranges(A.seg_docs(spark, sf_dir)), "gc_min", "gc_max")
 
 
 # links

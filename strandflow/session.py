@@ -3,12 +3,13 @@ operation returns a new one."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandflow.functions.sequence import flip
-from strandflow.operators import align as L, blocks as B, compare as D, contiguity as C, edits as E, links as G, paths as P, scaffold as S
+from strandflow.operators import align as L, blocks as B, compare as D, contiguity as C, edits as E, links as G, paths as P, scaffold as S, tables as R
 from strandflow.runtime import Scratch
 from strandflow.sources import sinks as K, textio as T
 
@@ -17,6 +18,15 @@ class SessionError(RuntimeError):
     """An operation needs something that the session does not have yet."""
 
 
+def _within(name: str, value: float, low: float | None = None, high: float | None = None) -> None:
+    """Raise for a value that is no number or lies outside; 0 is a value like others."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or value != value:
+        raise ValueError(f"{name} must be a number, got {value!r}")
+    if (low is not None and value < low) or (high is not None and value > high):
+        span = f"between {low} and {high}" if None not in (low, high) else f"at least {low}" if high is None else f"at most {high}"
+        raise ValueError(f"{name} must be {span}, got {value}")
+
+
 def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
     """Read an assembly from GFA, GFA2, FASTG or FASTA; overlaps that a file leaves out are measured."""
     lines = T.read_lines(spark, path)
@@ -31,6 +41,7 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
     elif kind == "gfa2":
         segments, raw = T.gfa2_segments(lines), T.gfa2_links(lines)
     elif kind == "fastg":
+        T.check_fastg(lines, path)
         segments, raw = T.fastg(lines)
     else:
         T.check_fasta(lines, path)
@@ -40,6 +51,8 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
         raise T.FormatError(path, None, "no segments")
     if kind == "gfa":
         paths = T.gfa_path_steps(lines, segments)
+    elif kind == "gfa2":
+        paths = T.gfa2_path_steps(lines)
     links = G.drop_dangling(G.dedup_links(raw), segments)
     usual = T.modal_overlap(raw).first()[0] if kind in ("gfa", "gfa2") else None
     if kind in ("gfa", "fastg"):
@@ -125,10 +138,12 @@ class Session:
 
     def metrics(self, genome_size: int | None = None) -> DataFrame:
         """One row of length, depth, composition and topology statistics."""
+        if genome_size is not None:
+            _within("genome_size", genome_size, 0)
         own = self.graph.segments.where(F.col("length") >= self.min_contig)
         depths = C.depth_summary(own)
         plain = C.contiguity(own, genome_size).crossJoin(F.broadcast(depths)).crossJoin(F.broadcast(C.composition(own)))
-        return plain.crossJoin(F.broadcast(G.topology(own, self.graph.links, depths)))
+        return plain.crossJoin(F.broadcast(C.size_counts(own))).crossJoin(F.broadcast(G.topology(own, self.graph.links, depths)))
 
     def evaluation(self, genome_size: int | None = None) -> dict[str, DataFrame]:
         """What the alignments say: coverage of references and contigs, breaks, rates, totals, aligned contiguity."""
@@ -140,14 +155,29 @@ class Session:
         out = {"references": references, "contigs": covered, "breaks": events, "counts": B.difference_counts(events), "rates": B.rates(used)}
         return {**out, "totals": B.alignment_totals(references, covered, events), "aligned": B.aligned_contiguity(used, genome_size, circular=self.circular)}
 
-    def compare(self, other: Session, preset: str = "asm10") -> dict[str, DataFrame]:
-        """Both sides of a content comparison."""
+    def compare(self, other: Session, preset: str = "asm10", *, min_identity: float = 0.0, shared: float = D.SHARED, present: float = D.PRESENT) -> dict[str, DataFrame]:
+        """Both sides of a content comparison: ``contigs_a``, ``components_a``, ``matches_a``, ``uncovered_a``, ``summary_a`` and the same of b.
+        Blocks are not cut at long deletions, so what the other side lacks in the middle of a contig counts as uncovered."""
+        _within("min_identity", min_identity, 0, 1)
+        for side in (self, other):
+            if side.graph.segments.where("sequence != ''").isEmpty():
+                raise SessionError("a side without sequences, so there is nothing to compare")
         out = {}
         for side, a, b in (("a", self, other), ("b", other, self)):
-            rows = D.contig_diff(a.graph.segments, L.align(a.graph.segments, b.graph.segments, preset))
-            out[f"contigs_{side}"], out[f"summary_{side}"] = rows, D.side_summary(rows)
+            blocks = L.align(a.graph.segments, b.graph.segments, preset, min_indel=None)
+            found = D.score_side(a.graph.segments, a.graph.links, blocks, min_identity=min_identity, shared=shared, present=present)
+            out |= {f"{name}_{side}": table for name, table in found.items()}
         return out
 
+    def write_comparison(self, other: Session, folder: str, labels: tuple[str, str] = ("a", "b"), *, min_span: int = 200, mode: str = "errorifexists", **options) -> None:
+        """The comparison as files below ``folder``: for each side what only it has as FASTA, its contigs and its components. Labels keep
+        letters, digits, dots, dashes and underscores, and are numbered if they come out alike."""
+        made = [re.sub(r"[^\w.-]", "_", x) for x in labels]
+        made[1] += "_2" if made[0] == made[1] else ""
+        found = self.compare(other, **options)
+        for side, label, own in (("a", made[0], self), ("b", made[1], other)):
+            K.comparison_files(own.graph.segments, found[f"contigs_{side}"], found[f"uncovered_{side}"], found[f"components_{side}"], folder, label, min_span, mode)
+
     def scaffold(self, method: str = "reference", **options) -> Session:
         """With a plan along the references, its gaps filled from the graph and its overlaps trimmed, or along the graph's chains."""
         if method == "graph":
@@ -174,8 +204,16 @@ class Session:
             raise SessionError("no paths yet")
         return G.walk_sequences(steps.select("path", "pos", "name", "orient"), self.graph.links, self.graph.segments, self.default_overlap)
 
-    def search(self, text: str, **options) -> DataFrame:
-        return L.search(self.graph.segments, L.parse_query(self.spark, text), **options)
+    def search(self, text: str, *, min_identity: float = 0.8, min_length: int = 30, max_hits: int = 500) -> DataFrame:
+        """The best hits (see ``operators.hits``) of a sequence or of FASTA text."""
+        _within("min_identity", min_identity, 0, 1)
+        _within("min_length", min_length, 0)
+        _within("max_hits", max_hits, 1)
+        return L.search(self.graph.segments, L.parse_query(self.spark, text), min_identity=min_identity, min_length=min_length, max_hits=max_hits)
+
+    def find(self, text: str, exact: bool = False) -> DataFrame:
+        """Segments by name (see ``paths.find_names``)."""
+        return P.find_names(self.graph.segments, text, exact)
 
     def status(self) -> dict:
         g = self.graph
@@ -203,12 +241,12 @@ class Session:
                 raise SessionError(f"unknown export {kind!r}")
 
     def segment_table(self) -> DataFrame:
-        """One row per segment: length, depth, GC, component, degrees."""
-        from strandflow.functions.sequence import gc_content
+        """One row of 15 columns for each segment."""
+        return R.segment_table(self.graph.segments, self.graph.links, self.blocks, self.plan)
 
-        g = self.graph
-        rows = g.segments.join(G.components(g.segments, g.links), "name").join(G.degrees(g.segments, g.links), "name")
-        return rows.select("name", "length", F.format_string("%.4f", "depth").alias("depth"), F.when(F.col("sequence") != "", F.format_string("%.4f", gc_content("sequence"))).alias("gc"), "component", "deg_start", "deg_end")
+    def comparison_table(self, others: dict[str, Session], name: str = "this", genome_size: int | None = None) -> DataFrame:
+        """The metrics of assemblies side by side, as texts."""
+        return R.comparison_table({n: s.metrics(genome_size) for n, s in ({name: self} | others).items()})
 
     def write_plan(self, path: str, mode: str = "errorifexists") -> None:
         """The plan as a document that can be edited: a line of JSON for each member. ``with_plan`` takes it back."""

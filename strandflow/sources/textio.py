@@ -7,9 +7,13 @@ Malformed records either raise (``strict``) or are left out; ``bad_records`` lis
 
 from __future__ import annotations
 
+import gzip
 import os
 import stat
+from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from strandflow.functions.sequence import cigar, cigar_overlap, depth_from_name, depth_from_tags, length_from_name, parse_tags, revcomp
@@ -25,13 +29,44 @@ class FormatError(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, value)`` of a text file, plain or compressed. A local path must be a regular file or a folder,
-    since it is read more than once."""
+    """``(line, value)`` of a text file or a folder of them, plain or compressed: by suffix, and gzip without its suffix by its first two
+    bytes. A local path must be a regular file or a folder, since it is read more than once."""
     if "://" not in path and os.path.exists(path):
         mode = os.stat(path).st_mode
         if not (stat.S_ISREG(mode) or stat.S_ISDIR(mode)):
             raise FormatError(path, None, "not a regular file")
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    plain, zipped = _told_apart(spark, path)
+    if not zipped:
+        return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    texts = spark.read.format("binaryFile").load(zipped).select("content").mapInArrow(_unzipped, "value string")
+    texts = texts if not plain else spark.read.text(plain).unionByName(texts)
+    return texts.select(F.monotonically_increasing_id().alias("line"), "value")
+
+
+def _told_apart(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The files of ``path`` as (others, gzip files without the suffix): two bytes of each are looked at."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found: tuple[list[str], list[str]] = [], []
+    for status in fs.globStatus(at) or []:
+        for one in fs.listStatus(status.getPath()):
+            name = one.getPath().getName()
+            if one.isFile() and name[0] not in "._":
+                stream = None if name.endswith((".gz", ".bz2", ".zst", ".deflate", ".snappy", ".lz4", ".xz")) else fs.open(one.getPath())
+                magic = (stream.read(), stream.read()) if stream else ()
+                if stream:
+                    stream.close()
+                found[magic == (0x1F, 0x8B)].append(one.getPath().toString())
+    return found
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of gzip files, some thousands at a time."""
+    for batch in batches:
+        for content in batch.column(0):
+            with gzip.open(pa.BufferReader(content.as_buffer()), "rt", encoding="utf-8", errors="replace", newline="\n") as text:
+                while lines := list(islice(text, 10_000)):
+                    yield pa.RecordBatch.from_pydict({"value": [x.rstrip("\n") for x in lines]}, pa.schema([("value", pa.string())]))
 
 
 def sniff(head: list[str], name: str = "") -> str:
@@ -65,7 +100,7 @@ def gfa_segments(lines: DataFrame) -> DataFrame:
     """S lines as ``(ord, name, sequence, length, depth, tags)``. Of a name that comes twice the last content
     counts, at the place of the first."""
     f = F.col("f")
-    rows = records(lines, "S").where(F.size("f") >= 3).select("line", F.get(f, F.lit(1)).alias("name"), F.upper(F.when(F.get(f, F.lit(2)) != "*", F.get(f, F.lit(2)))).alias("sequence"), parse_tags(F.slice("f", 4, 10_000)).alias("tags"))
+    rows = records(lines, "S").where(F.size("f") >= 3).select("line", F.get(f, F.lit(1)).alias("name"), F.upper(F.when(F.get(f, F.lit(2)) != "*", F.get(f, F.lit(2)))).alias("sequence"), parse_tags(F.slice("f", F.lit(4), F.size("f"))).alias("tags"))
     stated = F.coalesce(F.try_element_at("tags", F.lit("LN"))["value"].try_cast("long"), F.try_element_at("tags", F.lit("ln"))["value"].try_cast("long"), length_from_name("name"), F.lit(0))
     rows = rows.withColumn("length", F.when(F.length("sequence") > 0, F.length("sequence").cast("long")).otherwise(stated))
     rows = rows.withColumn("depth", F.coalesce(depth_from_tags(F.col("tags"), F.col("length")), depth_from_name("name")))
@@ -148,7 +183,7 @@ def check_fasta(lines: DataFrame, path: str = "input") -> None:
 def gfa2_segments(lines: DataFrame) -> DataFrame:
     f = F.col("f")
     seq = F.upper(F.when(F.get(f, F.lit(3)) != "*", F.get(f, F.lit(3))))
-    rows = records(lines, "S").where(F.size("f") >= 4).withColumn("tags", parse_tags(F.slice("f", 5, 10_000)))
+    rows = records(lines, "S").where(F.size("f") >= 4).withColumn("tags", parse_tags(F.slice("f", F.lit(5), F.size("f"))))
     rows = rows.select(F.col("line").alias("ord"), F.get(f, F.lit(1)).alias("name"), seq.alias("sequence"), F.coalesce(F.length(seq).cast("long"), F.get(f, F.lit(2)).try_cast("long"), F.lit(0)).alias("length"), "tags")
     return rows.withColumn("depth", depth_from_tags(F.col("tags"), F.col("length")))
 
@@ -162,20 +197,35 @@ def gfa2_links(lines: DataFrame) -> DataFrame:
     return rows.select(F.col("line").alias("ord"), name(2).alias("from_name"), orient(2).alias("from_orient"), name(3).alias("to_name"), orient(3).alias("to_orient"), F.greatest(F.lit(0), F.coalesce(number(5) - number(4), F.lit(0))).cast("long").alias("overlap"))
 
 
+def gfa2_path_steps(lines: DataFrame) -> DataFrame:
+    """O and U lines, ordered and unordered groups, as ``(ord, path, pos, name, orient, gap_after)``: their members that state an
+    orientation, in the order of the line."""
+    f = F.col("f")
+    rows = records(lines, "O").unionByName(records(lines, "U")).where(F.size("f") >= 3)
+    members = F.filter(F.split(F.get(f, F.lit(2)), r"\s+"), lambda t: t.rlike("^.+[+-]$"))
+    steps = rows.select(F.col("line").alias("ord"), F.get(f, F.lit(1)).alias("path"), F.posexplode(members).alias("pos", "t"))
+    return steps.select("ord", "path", F.col("pos").cast("long").alias("pos"), F.col("t").substr(F.lit(1), F.length("t") - 1).alias("name"), F.right("t", F.lit(1)).alias("orient"), F.lit(False).alias("gap_after"))
+
+
+def _counted(rows: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with ``record``, the running sum of ``flag`` in the order of lines: each partition of the file counts its own and adds what
+    stands before it, so that no task sees the whole file."""
+    rows = rows.withColumn("part", F.shiftright("line", 33))
+    counts = rows.groupBy("part").agg(F.sum(flag).alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.sum(flag).over(W.partitionBy("part").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("own", inside).join(F.broadcast(before), "part").withColumn("record", F.col("own") + F.col("before")).drop("own", "before", "part")
+
+
 def fasta_records(lines: DataFrame) -> DataFrame:
     """``(ord, name, description, sequence)`` of multi-line FASTA; ``;`` lines are comments.
 
-    A record is numbered by the running count of headers, taken over the file's partitions in order: each
-    partition counts its own and adds the headers before it, so that no task sees the whole file.
+    A record is numbered by the running count of headers.
     """
-    part = F.shiftright("line", 33)
-    rows = lines.where(~F.col("value").startswith(";")).withColumn("part", part).withColumn("head", F.col("value").startswith(">").cast("int"))
-    counts = rows.groupBy("part").agg(F.sum("head").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.sum("head").over(W.partitionBy("part").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
-    numbered = rows.withColumn("own", inside).join(F.broadcast(before), "part").withColumn("record", F.col("own") + F.col("before")).where("record > 0")
+    rows = lines.where(~F.col("value").startswith(";")).withColumn("head", F.col("value").startswith(">").cast("int"))
+    numbered = _counted(rows, "head").where("record > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == 0, F.struct("line", F.trim("value").alias("v"))))), lambda x: x["v"]), "")
-    header = F.substring(F.max(F.when(F.col("head") == 1, F.col("value"))), 2, 1 << 20)
+    header = F.max(F.when(F.col("head") == 1, F.expr("substring(value, 2)")))
     out = numbered.groupBy("record").agg(F.min("line").alias("ord"), header.alias("header"), body.alias("sequence"))
     return out.select("ord", F.regexp_extract("header", r"^\s*(\S*)", 1).alias("name"), F.trim(F.regexp_extract("header", r"^\s*\S+\s*(.*)$", 1)).alias("description"), "sequence")
 
@@ -201,7 +251,7 @@ def fastg(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def paf_blocks(lines: DataFrame) -> DataFrame:
     """PAF lines as alignment blocks; shorter lines than twelve fields are skipped."""
     f = F.col("f")
-    rows = lines.select("line", _fields().alias("f")).where(F.size("f") >= 12).withColumn("tags", parse_tags(F.slice("f", 13, 10_000)))
+    rows = lines.select("line", _fields().alias("f")).where(F.size("f") >= 12).withColumn("tags", parse_tags(F.slice("f", F.lit(13), F.size("f"))))
     number = lambda k: F.get(f, F.lit(k)).try_cast("long")
     tag = lambda t: F.try_element_at("tags", F.lit(t))["value"]
     return rows.select(
@@ -211,6 +261,23 @@ def paf_blocks(lines: DataFrame) -> DataFrame:
     )
 
 
+def check_agp(lines: DataFrame, path: str = "input") -> None:
+    """Raise for the first row of an AGP that lacks fields or holds something else where a number belongs."""
+    f = _fields()
+    number = lambda k: F.get(f, F.lit(k)).try_cast("long").isNotNull()
+    gap = F.get(f, F.lit(4)).isin("N", "U")
+    fine = (F.size(f) >= 9) & number(1) & number(2) & number(3) & F.when(gap, number(5)).otherwise(number(6) & number(7))
+    first = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & ~F.coalesce(fine, F.lit(False))).orderBy("line").limit(1).collect()
+    if first:
+        raise FormatError(path, _line_number(lines, first[0]["line"]), first[0]["value"])
+
+
+def check_fastg(lines: DataFrame, path: str = "input") -> None:
+    """Raise for a FASTG none of whose headers tells of a neighbour."""
+    if lines.where(F.col("value").startswith(">") & F.col("value").contains(":")).isEmpty():
+        raise FormatError(path, None, "no header names a neighbour; is this FASTA?")
+
+
 def agp_rows(lines: DataFrame) -> DataFrame:
     """AGP rows: ``(line, object, beg, end, part, kind, component, c_beg, c_end, orient, gap, evidence)``."""
     f = F.col("f")
@@ -223,22 +290,25 @@ def agp_rows(lines: DataFrame) -> DataFrame:
     )
 
 
-def contig_paths(spark: SparkSession, text: str, segments: DataFrame) -> DataFrame:
+def contig_paths(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """``(path, pos, name, orient, gap_after)`` of a file of name lines and path lines in turn, where a path line
     that ends in ``;`` goes on in the next. Names that end in a quote are the other strand and are skipped;
     steps that the graph lacks are dropped and gaps move to the step before.
 
-    Such files list one line per contig; the pairing is sequential, so it is done while reading the text.
+    A line goes on the one before if that one ends in ``;``; counting the others in the order of the file pairs the names, odd,
+    with the paths, even.
     """
-    rows, lines, i = [], [x.strip() for x in text.splitlines() if x.strip()], 0
-    while i < len(lines) - 1:
-        name, steps = lines[i], lines[i + 1]
-        i += 2
-        while steps.endswith(";") and i < len(lines):
-            steps += lines[i]
-            i += 1
-        if not name.endswith("'"):
-            rows.append((name, steps))
-    df = spark.createDataFrame(rows, "path string, steps string").select("path", F.posexplode(_steps(F.col("steps"))).alias("at", "x")).select("path", "at", "x.*")
-    marked = df.join(segments.select("name", F.lit(True).alias("known")), "name", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    return marked.where("known").select("path", (F.row_number().over(W.partitionBy("path").orderBy("at")) - 1).cast("long").alias("pos"), "name", "orient", "gap_after")
+    rows = lines.select("line", F.trim(F.regexp_replace("value", r"[\r\t]", "")).alias("v")).where("v != ''").withColumns({"part": F.shiftright("line", 33), "open": F.col("v").endswith(";")})
+    ends = rows.groupBy("part").agg(F.max_by("open", "line").alias("last"))
+    carried = ends.select("part", F.lag("last").over(W.orderBy("part")).alias("carried"))
+    before = F.coalesce(F.lag("open").over(W.partitionBy("part").orderBy("line")), F.col("carried"), F.lit(False))
+    rows = rows.join(F.broadcast(carried), "part").withColumn("begins", (~before).cast("int")).select("line", "v", "begins")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "v"))), lambda x: x["v"]), "")
+    texts = _counted(rows, "begins").groupBy("record").agg(whole.alias("text"))
+    names = texts.where("record % 2 = 1").select((F.col("record") + 1).alias("record"), F.col("text").alias("path")).where(~F.col("path").endswith("'"))
+    df = names.join(texts, "record").select("path", F.posexplode(_steps(F.col("text"))).alias("at", "x")).select("path", "at", "x.*")
+    along = W.partitionBy("path").orderBy("at")
+    gaps = F.coalesce(F.sum(F.col("gap_after").cast("int")).over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = df.withColumn("gaps", gaps).join(segments.select("name"), "name", "left_semi")
+    gap = F.coalesce(F.lead("gaps").over(along) > F.col("gaps"), F.lit(False))
+    return known.select("path", (F.row_number().over(along) - 1).cast("long").alias("pos"), "name", "orient", gap.alias("gap_after"))

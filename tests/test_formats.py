@@ -84,5 +84,5 @@ def test_paf_and_agp(spark):
     agp = lines(spark, "##agp-version\t2.1\ns\t1\t100\t1\tW\tc1\t1\t100\t+\ns\t101\t150\t2\tN\t50\tscaffold\tyes\talign_genus\n")
     rows = T.agp_rows(agp).orderBy("line").collect()
     assert (rows[0]["component"], rows[0]["gap"], rows[1]["component"], rows[1]["gap"]) == ("c1", None, None, 50)
-    text = [x["value"] for x in K.agp_text(T.agp_rows(agp)).orderBy("part").collect()]
-    assert text == ["s\t1\t100\t1\tW\tc1\t1\t100\t+", "s\t101\t150\t2\tN\t50\tscaffold\tyes\talign_genus"]
+    text = [x["value"] for x in K.agp_text(T.agp_rows(agp), ("by hand",)).orderBy("object", "part").collect()]
+    assert text == ["##agp-version\t2.1", "# by hand", "s\t1\t100\t1\tW\tc1\t1\t100\t+", "s\t101\t150\t2\tN\t50\tscaffold\tyes\talign_genus"]

@@ -17,13 +17,6 @@ def test_formats(spark):
     assert [r[0] for r in df.select(X.fmt_span("x")).collect()][1] == "12,345 (12.3 kb)" and df.select(X.fmt_pct("x")).first()[0] == "1240000.00%"
 
 
-def test_contig_paths(spark):
-    segments, _ = clean(spark)
-    text = "NODE_1\ne1+,nope+;\ne2-,e3+\nNODE_1'\ne3-,e2+\nNODE_2\nloop+\n"
-    got = [tuple(r) for r in T.contig_paths(spark, text, segments).orderBy("path", "pos").collect()]
-    assert got == [("NODE_1", 0, "e1", "+", False), ("NODE_1", 1, "e2", "-", False), ("NODE_1", 2, "e3", "+", False), ("NODE_2", 0, "loop", "+", False)]
-
-
 def test_paths_in_a_view(spark):
     segments, links = clean(spark)
     steps = spark.createDataFrame([("p", 0, "e1", "+"), ("p", 1, "e2", "+"), ("p", 2, "f", "+"), ("p", 3, "gone", "+"), ("p", 4, "e3", "+")], "path string, pos long, name string, orient string")
