@@ -2,8 +2,8 @@
 
 Reading: ``spark.read.format("warc").load(folder)``. Files are the unit of work: whole files are packed
 into partitions of ``partition_bytes``. A record's headers are parsed first; where its type or another header
-fails a predicate the rest is not read: a plain file is sought past it, and a member of a .gz file is sought
-past as well where its 'sl' extra field gives its length. ``payload`` set to ``false`` leaves payloads undecoded.
+fails a predicate the rest is not read: a plain file is sought past it, and so is a member of a .gz file whose 'sl'
+extra field gives its length, of which a kilobyte or so, with the headers, is read. ``payload`` set to ``false`` leaves payloads undecoded.
 Predicates on the header columns arrive through filter pushdown (see :func:`register`) or the options
 ``types``, ``target_prefix`` and ``record_ids``. Spark 4.1 keeps what it pushed with the loaded DataFrame: call ``load``
 again for another query over the same folder.
@@ -86,29 +86,41 @@ def gzip_member(data: bytes, level: int = 4) -> bytes:
 
 
 class Inflating:
-    """The content of one gzip member, inflated only as far as it is read."""
-
-    def __init__(self, raw: bytes, bits: int):
-        self.raw, self.d, self.out = raw, zlib.decompressobj(bits), b""
+    """The content of a gzip member of ``total`` bytes, of which ``begun`` are read: read and inflated only as far as it is asked for."""
+
+    def __init__(self, f, total: int, begun: bytes):
+        self.f, self.left, self.raw, self.d, self.out = f, total - len(begun), begun, zlib.decompressobj(31), b""
+
+    def _more(self, n: int, step: int) -> bytes:
+        """At most ``n`` more bytes of content, none at the end; the file is read ``step`` bytes at a time."""
+        while not self.d.eof:
+            if not self.raw and self.left:
+                self.raw = self.f.read(min(step, self.left))
+                self.left = self.left - len(self.raw) if self.raw else 0
+            ending = not self.raw
+            data, self.raw = self.d.decompress(self.raw, n), self.d.unconsumed_tail
+            if data or ending:
+                return data
+        return b""
 
     def until(self, mark: bytes) -> bytes:
         while (at := self.out.find(mark)) < 0:
-            more = self.d.decompress(self.raw, 4096)
-            self.raw = self.d.unconsumed_tail
-            if not more:
+            if not (more := self._more(4096, 1024)):
                 raise ValueError("truncated WARC record")
             self.out += more
         got, self.out = self.out[:at], self.out[at + len(mark) :]
         return got
 
     def take(self, n: int) -> bytes:
-        if len(self.out) < n:
-            self.out += self.d.decompress(self.raw, n - len(self.out) + 8) if self.raw else b""
-            self.raw = self.d.unconsumed_tail
-        got, self.out = self.out[:n], self.out[n:]
-        if len(got) < n:
-            raise ValueError("truncated WARC record")
-        return got
+        parts, have = [self.out], len(self.out)
+        while have < n:
+            if not (more := self._more(n - have, 1 << 16)):
+                raise ValueError("truncated WARC record")
+            parts.append(more)
+            have += len(more)
+        whole = b"".join(parts)
+        self.out = whole[n:]
+        return whole[:n]
 
 
 class Plain:
@@ -208,8 +220,9 @@ def _row(head: dict[str, str], source, payload: bool, length: int) -> dict:
 def read_records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
     """Rows of a file for the records whose headers satisfy ``wanted``.
 
-    Of a gzip member that states its length only the headers are inflated if it is not wanted. From the first member
-    on that does not, the file is inflated in order, with any number of records in a member.
+    Of a gzip member that states its length only what holds the headers is read and inflated if it is not wanted, or if its payload is
+    not; then the file is sought to the next member. From the first member on that does not state its length, the file is
+    inflated in order, with any number of records in a member.
     """
     if not gz:
         yield from _in_order(f, wanted, payload, lambda at: at)
@@ -221,7 +234,7 @@ def read_records(f, gz: bool, wanted, payload: bool) -> Iterator[dict]:
             yield from _in_order(rest, wanted, payload, rest.member)
             return
         total = struct.unpack("<I", fixed[16:20])[0]
-        source = Inflating(fixed + f.read(total - 24), 31)
+        source = Inflating(f, total, fixed)
         head = _headers(source.until(b"\r\n\r\n"))
         if wanted(head):
             row = _row(head, source, payload, int(head["content-length"]))

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from strandflow.llm.warc import SQL, gzip_member, op5_warc, record_bytes, register, with_revisits
+from strandflow.llm.warc import SQL, gzip_member, op5_warc, read_records, record_bytes, register, with_revisits
 from tests.conftest import SF, rows_of
 
 
@@ -89,3 +92,33 @@ def test_null_headers_meet_no_prefix(spark, tmp_path):
     load = lambda: spark.read.format("warc").load(str(tmp_path / "n"))
     assert [r["record_id"] for r in load().where(F.col("target_uri").startswith("")).collect()] == ["<urn:page:2>"]
     assert load().count() == 2
+
+
+class Counted:
+    """A file that counts what is read of it."""
+
+    def __init__(self, data: bytes):
+        self.f, self.count = io.BytesIO(data), 0
+
+    def read(self, n: int = -1) -> bytes:
+        got = self.f.read(n)
+        self.count += len(got)
+        return got
+
+    def seek(self, *at) -> int:
+        return self.f.seek(*at)
+
+
+def test_unwanted_records_and_payloads_are_not_read():
+    rng = random.Random(1)
+    rows = [{"warc_type": "response", "record_id": f"<urn:page:{k}>", "target_uri": "u", "date": None, "refers_to": None, "payload_digest": None, "payload_length": n, "payload": rng.randbytes(n)} for k, n in enumerate([0, 10, 200_000, 1000, 300_000, 65_536])]
+    for gz, data in ((True, b"".join(gzip_member(record_bytes(r)) for r in rows)), (False, b"".join(map(record_bytes, rows)))):
+        everything = list(read_records(f := Counted(data), gz, lambda head: True, True))
+        assert [(r["record_id"], r["payload"]) for r in everything] == [(r["record_id"], r["payload"]) for r in rows] and f.count >= len(data) - 8
+        assert list(read_records(f := Counted(data), gz, lambda head: False, True)) == [] and f.count < 5200 * len(rows)
+        without = list(read_records(f := Counted(data), gz, lambda head: True, False))
+        assert [(r["record_id"], r["payload_length"], r["offset"]) for r in without] == [(r["record_id"], r["payload_length"], r["offset"]) for r in everything] and f.count < 5200 * len(rows)
+        one = list(read_records(f := Counted(data), gz, lambda head: head["warc-record-id"] == "<urn:page:4>", True))
+        assert [r["payload"] for r in one] == [rows[4]["payload"]] and f.count < 300_000 + 5200 * len(rows) + 70_000
+    with pytest.raises(ValueError, match="truncated"):
+        list(read_records(Counted(gzip_member(record_bytes(rows[2]))[:5000]), True, lambda head: True, True))
