@@ -52,3 +52,27 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
     assert got == [(-1, 0, None, False), (4, 2, 4, True), (4, 2, 4, True), (7, 2, 4, False)]
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_the_exact_way_loses_no_border_link(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    rows, k = [], 0
+    for _ in range(60):
+        base = rng.normal(size=12)
+        base /= np.linalg.norm(base)
+        off = rng.normal(size=12)
+        off -= (off @ base) * base
+        off /= np.linalg.norm(off)
+        for c in (1.0, 0.9801, 0.9799):
+            rows.append((k, (c * base + np.sqrt(1 - c * c) * off).tolist(), int(k % 2)))
+            k += 1
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(df, exact=True).collect()}
+    assert got == brute(rows)
+
+
+def test_labels_of_any_kind_and_clashing_columns(spark):
+    rows = [(1, [1.0, 2.0], "a b", "x", 1), (2, [1.0, 2.0], "a b", "x", 1), (3, [1.0, 2.0], "c", "x", 1), (4, [1.0, 2.0], None, "x", 1), (5, [1.0, 2.001], "a b", "x", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, node string, key int")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(df).collect()) == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 2, 1)]
