@@ -41,7 +41,7 @@ def test_what_the_stages_do_to_odd_rows(spark):
     assert {r["doc_id"] for r in cut} >= {1, 2, 3, 5}
     mixed = P.mixture(spark, docs, SF).collect()
     # a repetition of a whole source takes all of it, documents without words among them
-    assert {r["doc_id"] for r in mixed} <= {1, 2, 3, 4, 5, None} and all(r["text"] for r in mixed if r["source"] is None)
+    assert {r["doc_id"] for r in mixed} <= {1, 2, 3, 4, 5, None} and sum(r["doc_id"] is None for r in mixed) <= 3
     packed = P.packed(spark, docs, SF)
     assert packed.where("doc_id = 2").first()["length"] == 1 and packed.where("doc_id = 4").count() > 1
 
