@@ -5,9 +5,11 @@ where the sum of N(g)^2 over all gaps becomes smallest, an existing sequence win
 the tightest gap over a wider one.
 
 Every task first packs the pieces of its own partition as they are tokenised and lets go of a sequence
-only when it is exactly full: those waste nothing. The pieces of sequences still open at the end of a
-partition are dealt to tasks of ``tail`` pieces each, and packed there by the same rule, longest first.
-Nothing is collected; a task holds its open sequences, or ``tail`` pieces.
+only when it is exactly full and of at most ``FEW`` pieces: those waste nothing, and leave the small pieces,
+which fill gaps, to the rest. The other pieces are dealt to tasks of ``tail`` pieces each and packed
+there by the same rule, longest first; what then is not full with few pieces is taken apart and mended
+by best fit, where that takes no more sequences. Nothing is collected; a task holds its waiting pieces,
+or ``tail`` pieces.
 
 Inputs: a null text is empty (it has the end token alone), null ids and repeated rows are packed like any
 other row, an empty table gives an empty result. Extra columns are dropped.
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandflow.runtime import Scratch
 
+#: pieces of a sequence that is let go of at once
+FEW = 2
 PIECES = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
 _KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
@@ -72,6 +76,30 @@ class SumOfSquares:
         return sequence, c - gap
 
 
+def mended(sizes: np.ndarray, sequence: np.ndarray, offset: np.ndarray, capacity: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """A packing of ``sizes``, longest first, with its sequences that are not exactly full, or of more than ``few``
+    pieces, taken apart and packed by the tightest gap; as it was if that would take more sequences."""
+    made = int(sequence.max()) + 1
+    fill, pieces = np.bincount(sequence, sizes, made), np.bincount(sequence, minlength=made)
+    loose = (fill < capacity) | (pieces > few)
+    open_: list[list[int]] = [[] for _ in range(capacity + 1)]
+    some = np.zeros(capacity + 1, bool)
+    new_sequence, new_offset, fresh = sequence.copy(), offset.copy(), 0
+    for k in np.flatnonzero(loose[sequence]).tolist():
+        size = int(sizes[k])
+        gap = size + int(some[size:].argmax())
+        if some[gap]:
+            at = open_[gap].pop()
+            some[gap] = bool(open_[gap])
+        else:
+            gap, at, fresh = capacity, made + fresh, fresh + 1
+        new_sequence[k], new_offset[k] = at, capacity - gap
+        if gap > size:
+            open_[gap - size].append(at)
+            some[gap - size] = True
+    return (new_sequence, new_offset) if fresh <= int(loose.sum()) else (sequence, offset)
+
+
 #: The byte-level pre-tokenizer's pattern: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -175,7 +203,8 @@ def _first(path: str, by_rank: bool, capacity: int, end: int):
                     waiting.setdefault(sequence, []).append((doc, piece, at, size, ids[4 * at : 4 * (at + size)], base + sequence, offset))
                     held += 4 * size
                     if offset + size == capacity:
-                        out += waiting.pop(sequence)
+                        rows = waiting.pop(sequence)
+                        out += rows if len(rows) <= FEW else [(*row[:5], None, None) for row in rows]
                     at, piece = at + size, piece + 1
                 if held > 1 << 24 and out:
                     yield _rows(out)
@@ -200,6 +229,7 @@ def _tail(capacity: int):
         sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         for k in order:
             sequence[k], offset[k] = packer.place(int(sizes[k]))
+        sequence[order], offset[order] = mended(sizes[order], sequence[order], offset[order], capacity)
         table = table.set_column(5, "sequence_id", pa.array(sequence + base)).set_column(6, "offset", pa.array(offset))
         yield from table.to_batches(max_chunksize=4096)
 

@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 from tokenizers import Tokenizer
 
-from strandflow.llm.packing import SumOfSquares, Tokens, _byte_names, byte_bpe_path, merges_by_rank, pack, ranked
+from strandflow.llm.packing import SumOfSquares, Tokens, _byte_names, byte_bpe_path, mended, merges_by_rank, op1_best_fit_packing, pack, ranked
 
 SCHEMA = "doc_id long, text string, sequence_id string"
 
@@ -100,3 +100,35 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x")], SCHEMA)
     assert len(pack(df).collect()) == 3
     assert pack(df.limit(0)).collect() == []
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> int:
+    gaps: list[int] = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [g for g in gaps if g >= size]
+        if fitting:
+            gaps.remove(min(fitting))
+        gaps.append((min(fitting) if fitting else capacity) - size)
+    return len(gaps)
+
+
+def test_mending_keeps_every_piece_and_takes_no_more_sequences():
+    rng = random.Random(9)
+    for top in (20, 8, 3):
+        sizes = np.array(sorted((rng.randint(1, top) for _ in range(300)), reverse=True))
+        packer = SumOfSquares(20)
+        sequence, offset = (np.array(x) for x in zip(*[packer.place(int(s)) for s in sizes], strict=True))
+        after, place = mended(sizes, sequence, offset, 20)
+        assert len(set(after.tolist())) <= packer.made
+        for s in set(after.tolist()):
+            at = 0
+            for k in sorted(np.flatnonzero(after == s), key=lambda k: place[k]):
+                assert place[k] == at
+                at += sizes[k]
+            assert at <= 20
+
+
+def test_the_query_needs_few_more_sequences_than_best_fit_decreasing(spark):
+    rows = op1_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    used = len({r.sequence_id for r in rows})
+    assert used <= 1.002 * best_fit_decreasing([r.length for r in rows], 1024)
