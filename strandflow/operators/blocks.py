@@ -104,7 +104,8 @@ def select_blocks(blocks: DataFrame, min_block: int = MIN_BLOCK) -> DataFrame:
 
 
 def structural_differences(blocks: DataFrame, min_block: int = MIN_BLOCK, circular: bool = True) -> DataFrame:
-    """One row per break between neighbouring blocks of a query: its kind, position and gap on the reference."""
+    """One row per break between neighbouring blocks of a query: its kind and position, where the blocks end and start on
+    their references, and the gap there."""
     long = lambda df: df.where(F.col("q_en") - F.col("q_st") >= min_block)
     chosen = select_blocks(long(merge_collinear(long(blocks), LOCAL, LOCAL)), min_block)
     by = W.partitionBy("query").orderBy("pos")
@@ -118,7 +119,7 @@ def structural_differences(blocks: DataFrame, min_block: int = MIN_BLOCK, circul
         F.when(a["ref"] != b["ref"], "translocation").when(a["strand"] != b["strand"], "inversion")
         .when(round_ & (near < F.abs(gap)) & (near <= EXTENSIVE), None).when(distance > EXTENSIVE, "relocation").when(distance > LOCAL, "local")
     )
-    out = pair.select("query", F.floor((a["q_en"] + b["q_st"]) / 2).cast("long").alias("break_pos"), kind.alias("kind"), a["ref"].alias("left_ref"), b["ref"].alias("right_ref"), F.when(kind.isin("relocation", "local"), gap).alias("ref_gap"))
+    out = pair.select("query", F.floor((a["q_en"] + b["q_st"]) / 2).cast("long").alias("break_pos"), kind.alias("kind"), a["ref"].alias("left_ref"), a["r_en"].alias("left_end"), b["ref"].alias("right_ref"), b["r_st"].alias("right_start"), F.when(kind.isin("relocation", "local"), gap).alias("ref_gap"))
     return out.where("kind is not null")
 
 

@@ -334,11 +334,11 @@ _EVENTS = """pr as (select *, lead(ref) over w as ref2, lead(strand) over w as s
 g as (select *, case when strand > 0 then r2s - r_en else r_st - r2e end as gap from pr where ref2 is not null),
 d as (select *, least(abs(gap), abs(r_len - abs(gap))) as near, least(abs(gap - (q2 - q_en)), abs(r_len - abs(gap - (q2 - q_en)))) as off from g),
 events as (select query, ((q_en + q2) // 2)::bigint as break_pos, case when ref <> ref2 then 'translocation' when strand <> strand2 then 'inversion' when near < abs(gap) and near <= 1000 then null
-  when greatest(near, off) > 1000 then 'relocation' when greatest(near, off) > 200 then 'local' end as kind, ref as left_ref, ref2 as right_ref, gap from d)"""
+  when greatest(near, off) > 1000 then 'relocation' when greatest(near, off) > 200 then 'local' end as kind, ref as left_ref, r_en as left_end, ref2 as right_ref, r2s as right_start, gap from d)"""
 _MIS = f"{_P}, {_FOLD.format(table='prim', back=200, gap=200)}, {_GREEDY}, {_EVENTS}"
 
 
-@query(f"{_MIS} select query, break_pos, kind, left_ref, right_ref, case when kind in ('relocation', 'local') then gap end::bigint as ref_gap from events where kind is not null")
+@query(f"{_MIS} select query, break_pos, kind, left_ref, left_end::bigint as left_end, right_ref, right_start::bigint as right_start, case when kind in ('relocation', 'local') then gap end::bigint as ref_gap from events where kind is not null")
 def structural_differences(spark, sf_dir):
     return B.structural_differences(_primary(spark, sf_dir))
 

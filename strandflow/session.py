@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandflow.functions.sequence import flip
-from strandflow.operators import align as L, blocks as B, compare as D, contiguity as C, edits as E, links as G, paths as P, scaffold as S, tables as R
+from strandflow.operators import align as L, blocks as B, compare as D, contiguity as C, edits as E, links as G, paths as P, report as H, scaffold as S, tables as R
 from strandflow.runtime import Scratch
 from strandflow.sources import sinks as K, textio as T
 
@@ -248,6 +248,41 @@ class Session:
         """The metrics of assemblies side by side, as texts."""
         return R.comparison_table({n: s.metrics(genome_size) for n, s in ({name: self} | others).items()})
 
+    def report(self, folder: str, *, title: str = "Assembly report", genome_size: int | None = None, others: dict[str, Session] | None = None, contigs: int | None = 2000, mode: str = "errorifexists") -> None:
+        """Write a page of HTML below ``folder``. Alignments, a plan and other assemblies each add their sections; ``contigs`` is how many
+        of the longest segments are listed, None for all."""
+        scratch = Scratch(self.spark, "report")
+        kept = lambda df, name: scratch.save(df, name)
+        metrics, table = kept(self.metrics(genome_size), "metrics"), self.segment_table()
+        reference = plan = None
+        parts = {"Assembly": H.labelled(metrics), "Contigs": H.contig_rows(kept(table.where(F.col("length") >= self.min_contig), "contigs"), contigs)}
+        if self.blocks is not None and self.reference is not None:
+            found = self.evaluation(genome_size)
+            found = found | {"breaks": kept(found["breaks"], "breaks")}
+            reference = kept(H.reference_row(found | {"counts": B.difference_counts(found["breaks"])}), "reference")
+            sequences = H.longest(found["references"], {"ref": "", "length": "span", "covered": "span", "percent": "pct"}, "ref", 400)
+            parts |= {"Reference": H.labelled(reference, H.REFERENCE), "Coverage of references": sequences, "Misassemblies": H.break_rows(found["breaks"])}
+        if self.plan is not None:
+            plan = kept(self.scaffold_preview().withColumn("unplaced", F.col("members") - F.col("placed")), "scaffolds")
+            warnings = self.scaffold_warnings().select(F.concat_ws("\t", "scaffold", "kind", "detail").alias("key"), "scaffold", "kind", "detail")
+            parts |= {"Scaffolds": H.labelled(plan, H.SCAFFOLDS), "Members of scaffolds": H.member_rows(self.plan), "Warnings": warnings}
+        if others:
+            parts["Comparison"] = self.comparison_table(others, genome_size=genome_size).select(H.number_key(F.col("ord")).alias("key"), "label", "this", *others)
+        H.write_page(H.page(title, {"Overview": H.cards(metrics, reference, plan)} | parts), folder, mode)
+
+    def comparison_report(self, other: Session, folder: str, labels: tuple[str, str] = ("a", "b"), *, title: str = "Comparison", components: int = 60, contigs: int = 400, mode: str = "errorifexists", **options) -> None:
+        """Write the comparison as a page of HTML below ``folder``: for each side its sums, and the longest components and contigs that the
+        other side lacks."""
+        found, parts = self.compare(other, **options), {}
+        for side, label in zip(("a", "b"), labels, strict=True):
+            lacking = lambda name, side=side: found[f"{name}_{side}"].where("status = 'missing'")
+            parts |= {
+                f"{label}: content": H.labelled(found[f"summary_{side}"], H.SIDE),
+                f"{label}: components of its own": H.longest(lacking("components"), {"component": "", "contigs": "int", "length": "span", "covered": "span", "circular": ""}, "component", components),
+                f"{label}: contigs of its own": H.longest(lacking("contigs"), {"name": "", "length": "span", "covered": "span", "best_match": "", "best_identity": "float"}, "name", contigs),
+            }
+        H.write_page(H.page(title, parts), folder, mode)
+
     def write_plan(self, path: str, mode: str = "errorifexists") -> None:
         """The plan as a document that can be edited: a line of JSON for each member. ``with_plan`` takes it back."""
         self._need("plan").repartitionByRange("ord", "pos").sortWithinPartitions("ord", "pos").write.mode(mode).json(path)
