@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strandflow.functions import formats as X
+from strandflow.runtime import Scratch
 from strandflow.sources.sinks import write_lines
 
 #: The rows of a report, with the column that each shows, its format and a remark.
@@ -174,4 +175,5 @@ def page(title: str, sections: dict[str, DataFrame]) -> DataFrame:
 
 def write_page(lines: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """Write a page below ``folder``: its parts, one after the other, are the document."""
-    write_lines(lines, folder, "section", "part", "key", mode=mode)
+    made = Scratch(lines.sparkSession, "page").save(lines, "lines")  # sorting reads its input twice
+    write_lines(made, folder, "section", "part", "key", mode=mode)

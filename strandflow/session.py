@@ -164,7 +164,7 @@ class Session:
                 raise SessionError("a side without sequences, so there is nothing to compare")
         out = {}
         for side, a, b in (("a", self, other), ("b", other, self)):
-            blocks = L.align(a.graph.segments, b.graph.segments, preset, min_indel=None)
+            blocks = Scratch(self.spark, "compare").save(L.align(a.graph.segments, b.graph.segments, preset, min_indel=None), "blocks")
             found = D.score_side(a.graph.segments, a.graph.links, blocks, min_identity=min_identity, shared=shared, present=present)
             out |= {f"{name}_{side}": table for name, table in found.items()}
         return out

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
 
 from strandflow.operators import report as H
+from strandflow.operators.scaffold import _members as complete
 from strandflow.session import load
 
 
@@ -59,12 +61,24 @@ def test_report_of_a_session(spark, tmp_path):
     (broken,) = rows["Misassemblies"][1:]
     assert broken[:3] == ["odd<&>", "relocation", "yes"] and abs(int(broken[3].replace(",", "")) - 3000) < 50 and broken[4].startswith("ref:2")
     assert rows["Coverage of references"][1][:2] == ["ref", "24,000 (24.0 kb)"]
-    s.scaffold().report(str(tmp_path / "more"), others={"again": s}, contigs=None)
+
+
+def test_report_of_scaffolds_and_of_a_comparison(spark, tmp_path):
+    rng = random.Random(6)
+    genome = "".join(rng.choice("ACGT") for _ in range(9000))
+    for name, parts in (("a", (genome[:4000], genome[4300:7000], genome[7000:8000])), ("r", (genome,))):
+        (tmp_path / f"{name}.fa").write_text("".join(f">{name}{k}\n{x}\n" for k, x in enumerate(parts)))
+    s = load(spark, str(tmp_path / "a.fa"))
+    other = load(spark, str(tmp_path / "r.fa"))
+    plan = [(0, "x", "reference", "r0", 0, "a0", "+", 300, "reference", 0, 4000), (0, "x", "reference", "r0", 1, "a1", "-", 0, None, 4300, 7000), (1, "a2", "unplaced", None, 0, "a2", "+", 0, None, None, None)]
+    made = spark.createDataFrame(plan, "ord long, scaffold string, source string, reference string, pos long, segment string, orientation string, gap_after long, evidence string, r_st long, r_en long")
+    replace(s, plan=complete(made)).report(str(tmp_path / "more"), others={"again": s}, contigs=None)
     rows = read(spark, tmp_path / "more")
-    assert [r[0] for r in rows["Contigs"]] == ["name", "big", "odd<&>", "mid"]
-    assert {"Scaffolds", "Members of scaffolds", "Warnings", "Comparison"} <= set(rows) and len(rows["Members of scaffolds"]) == 4
+    assert [r[0] for r in rows["Contigs"]] == ["name", "a0", "a1", "a2"]
+    assert rows["Members of scaffolds"][1] == ["x", "reference", "r0", "a0", "+", "0–4,000", "300", "reference", "–"] and len(rows["Members of scaffolds"]) == 4
+    assert ["# contigs unplaced", "1", "records of their own"] in rows["Scaffolds"] and "Warnings" in rows
     assert all(a == b for _, a, b in rows["Comparison"][1:]) and len(rows["Comparison"]) > 10
-    s.comparison_report(load(spark, str(tmp_path / "r.fa")), str(tmp_path / "diff"), ("ours", "genome"))
+    s.comparison_report(other, str(tmp_path / "diff"), ("ours", "genome"))
     rows = read(spark, tmp_path / "diff")
     assert [r[1] for r in rows["ours: content"] if r[0] == "# missing contigs"] == ["0"] and [r[1] for r in rows["ours: content"] if r[0] == "# shared contigs"] == ["3"]
 
