@@ -2,10 +2,12 @@
 
 Seeds are minimizers: of every ``w`` neighbouring k-mers the one with the smallest hash, on either strand. Query
 and reference seeds meet in a hash join, after seeds with many places on the reference are dropped (their
-number is pre-aggregated). Windows over the anchors of a (query, reference, strand) cut them into chains
-where the diagonal or the query position jumps. A chain's bases are then compared between its anchors: equal
-stretches by position, unequal ones with one gap at its best place, and outwards from the ends until the
-score drops. Only the stretches that a chain spans are fetched, tile by tile.
+number is pre-aggregated). Anchors of a (query, reference, strand) are chains where neither the diagonal nor
+the query position jumps. Both are found over cells of diagonals and positions, so what one task sorts is a row
+for each cell and not the anchors of two chromosomes. Long chains are cut into pieces that begin at an anchor; the bases of
+a piece are compared between its anchors: equal stretches by position, unequal ones with one gap at its best place, and outwards
+from a chain's ends until the score drops. Only the stretches that a piece spans are fetched, tile by tile, and
+a chain's pieces are put together again as one block.
 
 Blocks have the columns of ``operators.blocks`` and ``cigar``.
 """
@@ -22,11 +24,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from strandflow.functions.sequence import revcomp
 from strandflow.operators.blocks import split_at_long_indels
 from strandflow.operators.hits import top
+from strandflow.runtime import Scratch
 
 #: (k, w, share of identical bases that blocks must reach) by preset, from near to far
 PRESETS = {"asm5": (19, 10, 0.90), "asm10": (17, 10, 0.85), "asm20": (15, 8, 0.75)}
 TILE = 100_000
 CHUNK = 1 << 20
+#: bases of a query in one piece of a chain
+PIECE = 1 << 20
+KEY = ["query", "ref", "strand"]
+CHAIN = [*KEY, "g", "c"]
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _b in enumerate(b"ACGT"):
@@ -60,19 +67,23 @@ def minimizers_of(seq: bytes, k: int, w: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def minimizers(sequences: DataFrame, k: int, w: int) -> DataFrame:
-    """``(name, size, hash, pos, plus)`` of ``(name, sequence)``."""
+    """``(name, size, hash, pos, plus)`` of ``(name, sequence)``. Chunks share the windows at their border; as the places of minimizers only
+    rise along a sequence, those up to the last one told are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not name or not seq:
                     continue
+                told = -1
                 for st in range(0, len(seq), CHUNK):
                     h, at, plus = minimizers_of(seq[st : st + CHUNK + k + w - 2], k, w)
-                    n = len(h)
+                    new = at + st > told
+                    h, at, plus, n = h[new], at[new], plus[new], int(new.sum())
+                    told = int(at[-1]) + st if n else told
                     yield pa.RecordBatch.from_pydict({"name": pa.array([name] * n, pa.string()), "size": pa.array([len(seq)] * n, pa.int64()), "hash": pa.array(h.view(np.int64)), "pos": pa.array(at + st), "plus": pa.array(plus)})
 
-    return sequences.select(F.col("name").cast("string"), F.col("sequence").cast("binary")).mapInArrow(run, "name string, size long, hash long, pos long, plus boolean").distinct()
+    return sequences.select(F.col("name").cast("string"), F.col("sequence").cast("binary")).mapInArrow(run, "name string, size long, hash long, pos long, plus boolean")
 
 
 def anchors(queries: DataFrame, references: DataFrame, k: int, w: int, max_places: int | None = 64) -> DataFrame:
@@ -88,28 +99,45 @@ def anchors(queries: DataFrame, references: DataFrame, k: int, w: int, max_place
     return own.join(ref, "hash").select("query", "ref", F.when(same, 1).otherwise(-1).alias("strand"), "q_len", "r_len", F.when(same, F.col("pos")).otherwise(F.col("q_len") - k - F.col("pos")).alias("q"), "r")
 
 
-def chains(found: DataFrame, band: int = 300, max_gap: int = 3000, least: int = 3) -> DataFrame:
-    """Anchors to chains ``(query, ref, strand, q_len, r_len, chain, pins)``; pins are (q, r) in order."""
-    key = ["query", "ref", "strand"]
-    diagonal = W.partitionBy(*key).orderBy("d", "q")
-    rows = found.withColumn("d", F.col("r") - F.col("q"))
-    rows = rows.withColumn("g", F.sum(F.when(F.col("d") - F.lag("d").over(diagonal) > band, 1).otherwise(0)).over(diagonal))
-    along = W.partitionBy(*key, "g").orderBy("q", "r")
-    rows = rows.withColumn("c", F.sum(F.when(F.col("q") - F.lag("q").over(along) > max_gap, 1).otherwise(0)).over(along))
-    pins = F.array_sort(F.collect_set(F.struct("q", "r")))
-    out = rows.groupBy(*key, "g", "c").agg(F.first("q_len").alias("q_len"), F.first("r_len").alias("r_len"), pins.alias("pins")).where(F.size("pins") >= least)
-    return out.select(*key, "q_len", "r_len", F.xxhash64(*key, "g", "c").alias("chain"), "pins")
+def chains(found: DataFrame, band: int = 300, max_gap: int = 3000, least: int = 3, piece: int = PIECE) -> DataFrame:
+    """Anchors to pieces of chains ``(query, ref, strand, g, c, piece, q_len, r_len, pins, until)``; pins are (q, r) in order, and
+    ``until`` is the pin that the next piece begins with, null in a chain's last piece. Both coordinates of the pins that pieces begin with rise.
+
+    Cells are ``band`` diagonals by ``max_gap`` positions, so no jump is inside one: jumps lie between the ends of neighbouring cells."""
+    scratch = Scratch(found.sparkSession, "chains")
+    d = F.col("r") - F.col("q")
+    cells = found.groupBy(*KEY, F.floor(d / band).alias("db"), F.floor(F.col("q") / max_gap).alias("qb")).agg(
+        F.first("q_len").alias("q_len"), F.first("r_len").alias("r_len"), F.min(d).alias("d0"), F.max(d).alias("d1"), F.min("q").alias("q0"), F.max("q").alias("q1"), F.collect_set(F.struct("q", "r")).alias("pins"))
+    cells = scratch.save(cells, "cells")
+    jump = lambda low, high, over, most: F.sum(F.when(F.col(low) - F.lag(high).over(over) > most, 1).otherwise(0)).over(over)
+    diagonals = cells.groupBy(*KEY, "db").agg(F.min("d0").alias("d0"), F.max("d1").alias("d1"))
+    diagonals = diagonals.select(*KEY, "db", jump("d0", "d1", W.partitionBy(*KEY).orderBy("db"), band).alias("g"))
+    cells = cells.join(diagonals, [*KEY, "db"])
+    places = cells.groupBy(*KEY, "g", "qb").agg(F.min("q0").alias("q0"), F.max("q1").alias("q1"))
+    places = places.select(*KEY, "g", "qb", jump("q0", "q1", W.partitionBy(*KEY, "g").orderBy("qb"), max_gap).alias("c"))
+    tiles = cells.join(places, [*KEY, "g", "qb"]).groupBy(*CHAIN, F.floor(F.col("qb") * max_gap / piece).alias("t"))
+    tiles = tiles.agg(F.first("q_len").alias("q_len"), F.first("r_len").alias("r_len"), F.array_sort(F.flatten(F.collect_list("pins"))).alias("pins"))
+    tiles = scratch.save(tiles.withColumns({"head": F.col("pins")[0], "n": F.size("pins")}), "tiles")
+    along = W.partitionBy(*CHAIN).orderBy("t")
+    behind = F.max("head.r").over(along.rowsBetween(W.unboundedPreceding, -1))
+    heads = tiles.select(*CHAIN, "t", "head", "n", F.when(behind.isNull() | (F.col("head.r") > behind), 1).otherwise(0).alias("opens"))
+    heads = heads.withColumns({"piece": F.sum("opens").over(along), "all": F.sum("n").over(W.partitionBy(*CHAIN))}).where(F.col("all") >= least)
+    after = F.min(F.when(F.col("opens") == 1, F.col("head"))).over(along.rowsBetween(1, W.unboundedFollowing))
+    heads = heads.select(*CHAIN, "t", "piece", after.alias("until"))
+    out = tiles.drop("head", "n").join(heads, [*CHAIN, "t"]).groupBy(*CHAIN, "piece")
+    return out.agg(F.first("q_len").alias("q_len"), F.first("r_len").alias("r_len"), F.array_sort(F.flatten(F.collect_list("pins"))).alias("pins"), F.max("until").alias("until"))
 
 
 def _fetch(rows: DataFrame, sequences: DataFrame, name: str, st: str, en: str, out: str) -> DataFrame:
     """``rows`` with the stretch [st, en) of the named sequence, put together from tiles."""
+    key = [*CHAIN, "piece"]
     tiles = sequences.where("length(sequence) > 0").select(F.col("name").alias(name), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("sequence") - 1) / TILE).cast("int")), lambda t: F.substring("sequence", t * TILE + 1, F.lit(TILE)))).alias("tile", "bases"))
-    wanted = rows.select("chain", name, st, en, F.explode(F.sequence(F.floor(F.col(st) / TILE), F.floor((F.greatest(F.col(en), F.col(st) + 1) - 1) / TILE))).alias("tile"))
+    wanted = rows.select(*key, st, en, F.explode(F.sequence(F.floor(F.col(st) / TILE), F.floor((F.greatest(F.col(en), F.col(st) + 1) - 1) / TILE))).alias("tile"))
     a = F.greatest(F.col(st) - F.col("tile") * TILE, F.lit(0))
     b = F.least(F.col(en) - F.col("tile") * TILE, F.lit(TILE))
-    got = wanted.join(tiles, [name, "tile"]).select("chain", "tile", F.substring("bases", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
-    whole = got.groupBy("chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), "").alias(out))
-    return rows.join(whole, "chain")
+    got = wanted.join(tiles, [name, "tile"]).select(*key, "tile", F.substring("bases", (a + 1).cast("int"), (b - a).cast("int")).alias("part"))
+    whole = got.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tile", "part"))), lambda x: x["part"]), "").alias(out))
+    return rows.join(whole, key)
 
 
 def _runs(ops: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -135,19 +163,20 @@ def _reach(same: np.ndarray, drop: int = 60, penalty: int = 3) -> int:
     return int(score[:stop].argmax()) + 1
 
 
-def align_chain(q: np.ndarray, r: np.ndarray, pins: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int, int, list[tuple[int, str]]]:
-    """(q_st, q_en, r_st, r_en, matches, edits, cigar) of oriented stretches, from pins inside them."""
+def align_chain(q: np.ndarray, r: np.ndarray, pins: list[tuple[int, int]], begins: bool = True, until: tuple[int, int] | None = None) -> tuple[int, int, int, int, int, int, list[tuple[int, str]]]:
+    """(q_st, q_en, r_st, r_en, matches, edits, cigar) of oriented stretches, from pins inside them. A piece that does not begin its
+    chain starts at its first pin, and one with ``until`` ends there."""
     kept = [pins[0]]
     for a, b in pins[1:]:
-        if a > kept[-1][0] and b > kept[-1][1]:
+        if a > kept[-1][0] and b > kept[-1][1] and (until is None or (a < until[0] and b < until[1])):
             kept.append((a, b))
     ops: list[tuple[int, str]] = []
     matches = edits = 0
     a, b = kept[0]
-    back = _reach((q[:a][::-1][: min(a, b)] == r[:b][::-1][: min(a, b)]))
+    back = _reach((q[:a][::-1][: min(a, b)] == r[:b][::-1][: min(a, b)])) if begins else 0
     q_st, r_st = a - back, b - back
     at_q, at_r = q_st, r_st
-    for a, b in [*kept[1:], (None, None)]:
+    for a, b in [*kept[1:], until or (None, None)]:
         if a is None:
             n = min(len(q) - at_q, len(r) - at_r)
             stop = _reach(q[at_q : at_q + n] == r[at_r : at_r + n])
@@ -171,39 +200,56 @@ def align_chain(q: np.ndarray, r: np.ndarray, pins: list[tuple[int, int]], k: in
     return q_st, at_q, r_st, at_r, matches, edits, _runs(ops)
 
 
-def _extend(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"query": pa.string(), "ref": pa.string(), "strand": pa.int32(), "q_len": pa.int64(), "r_len": pa.int64(), "a": pa.int64(), "b": pa.int64(), "r_st": pa.int64(), "r_en": pa.int64(), "matches": pa.int64(), "block_len": pa.int64(), "nm": pa.int64(), "cigar": pa.list_(pa.struct([("n", pa.int64()), ("op", pa.string())]))}
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in kinds}
-            for row in batch.to_pylist():
-                q, r = (np.frombuffer(row[c].upper().encode(), np.uint8) for c in ("q_seq", "r_seq"))
-                made = align_chain(q, r, [(p["q"] - row["q_from"], p["r"] - row["r_from"]) for p in row["pins"]], k)
-                values = {c: row[c] for c in ("query", "ref", "strand", "q_len", "r_len")} | {"a": made[0] + row["q_from"], "b": made[1] + row["q_from"], "r_st": made[2] + row["r_from"], "r_en": made[3] + row["r_from"], "matches": made[4], "nm": made[5], "block_len": sum(n for n, _ in made[6]), "cigar": [{"n": n, "op": op} for n, op in made[6]]}
-                for n, v in values.items():
-                    out[n].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds.items()], names=list(kinds))
+_PIECES = "query string, ref string, strand int, g long, c long, piece long, q_len long, r_len long, a long, b long, r_st long, r_en long, matches long, nm long, cigar array<struct<n: bigint, op: string>>"
+
+
+def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block of each piece, in the columns of ``_PIECES``."""
+    same = ("query", "ref", "strand", "g", "c", "piece", "q_len", "r_len")
+    kinds = {n: pa.int64() for n in (*same, "a", "b", "r_st", "r_en", "matches", "nm")} | {"query": pa.string(), "ref": pa.string(), "strand": pa.int32(), "cigar": pa.list_(pa.struct([("n", pa.int64()), ("op", pa.string())]))}
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            q, r = (np.frombuffer(row[x].upper().encode(), np.uint8) for x in ("q_seq", "r_seq"))
+            inside = lambda p, row=row: (p["q"] - row["q_from"], p["r"] - row["r_from"])
+            made = align_chain(q, r, [inside(p) for p in row["pins"]], row["piece"] == 1, row["until"] and inside(row["until"]))
+            values = {x: row[x] for x in same} | {"a": made[0] + row["q_from"], "b": made[1] + row["q_from"], "r_st": made[2] + row["r_from"], "r_en": made[3] + row["r_from"], "matches": made[4], "nm": made[5], "cigar": [{"n": n, "op": op} for n, op in made[6]]}
+            yield pa.RecordBatch.from_arrays([pa.array([values[n]], t) for n, t in kinds.items()], names=list(kinds))
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """One block for each chain: its pieces in order, with runs that go on from one to the next as one run."""
+    def onto(x, y):
+        last, first = F.element_at(x, -1), F.get(y, F.lit(0))
+        one = F.array(F.struct((last["n"] + first["n"]).alias("n"), last["op"].alias("op")))
+        goes_on = (F.size(x) > 0) & (F.size(y) > 0) & (F.try_element_at(x, F.lit(-1))["op"] == first["op"])
+        return F.when(goes_on, F.concat(F.slice(x, 1, F.size(x) - 1), one, F.slice(y, 2, F.size(y)))).otherwise(F.concat(x, y))
 
-    return run
+    in_order = F.array_sort(F.collect_list(F.struct("piece", "cigar")))
+    rows = pieces.groupBy(*CHAIN).agg(*(F.first(c).alias(c) for c in ("q_len", "r_len")), *(F.min(c).alias(c) for c in ("a", "r_st")), *(F.max(c).alias(c) for c in ("b", "r_en")), *(F.sum(c).alias(c) for c in ("matches", "nm")), in_order.alias("parts"))
+    begin = F.slice(F.col("parts")[0]["cigar"], 1, 0)
+    return rows.withColumns({"block_len": F.col("matches") + F.col("nm"), "cigar": F.aggregate("parts", begin, lambda x, p: onto(x, p["cigar"]))}).drop("parts")
 
 
-def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int | None = 64, secondaries: int | None = 5, min_indel: int | None = 1000) -> DataFrame:
+def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, min_length: int = 200, flank: int = 2000, max_places: int | None = 64, secondaries: int | None = 5, min_indel: int | None = 1000, piece: int = PIECE) -> DataFrame:
     """Alignment blocks of ``(name, sequence)`` tables. Of blocks that share more than half of their query span
     with a better one all but ``secondaries`` are dropped and the rest are secondary; without it all blocks stay,
-    and which are secondary is not told (null). Insertions and deletions of ``min_indel``
+    and which are secondary is not told (null). A task compares ``piece`` bases of a query or so. Insertions and deletions of ``min_indel``
     or more cut blocks (``blocks.split_at_long_indels``); without it none does."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; known: {', '.join(PRESETS)}")
     k, w, identity = PRESETS[preset]
     both = [x.where("sequence is not null and sequence != ''").select("name", "sequence") for x in (queries, references)]
-    rows = chains(anchors(both[0].where(F.length("sequence") >= min_length), both[1], k, w, max_places))
-    first, last = F.col("pins")[0], F.element_at("pins", -1)
-    rows = rows.withColumns({"q_from": F.greatest(first["q"] - flank, F.lit(0)), "q_to": F.least(last["q"] + k + flank, "q_len"), "r_from": F.greatest(first["r"] - flank, F.lit(0)), "r_to": F.least(F.array_max(F.transform("pins", lambda p: p["r"])) + k + flank, "r_len")})
+    rows = chains(anchors(both[0].where(F.length("sequence") >= min_length), both[1], k, w, max_places), piece=piece)
+    first, last, before = F.col("pins")[0], F.element_at("pins", -1), F.when(F.col("piece") == 1, flank).otherwise(0)
+    begins = {f"{x}_from": F.greatest(first[x] - before, F.lit(0)) for x in "qr"}
+    ends = {"q_to": F.least(last["q"] + k + flank, "q_len"), "r_to": F.least(F.array_max(F.transform("pins", lambda p: p["r"])) + k + flank, "r_len")}
+    rows = rows.withColumns(begins | {n: F.coalesce(F.col("until")[n[0]], x) for n, x in ends.items()})
     minus = F.col("strand") < 0
     rows = rows.withColumns({"f_from": F.when(minus, F.col("q_len") - F.col("q_to")).otherwise(F.col("q_from")), "f_to": F.when(minus, F.col("q_len") - F.col("q_from")).otherwise(F.col("q_to"))})
     rows = _fetch(_fetch(rows, both[0], "query", "f_from", "f_to", "q_raw"), both[1], "ref", "r_from", "r_to", "r_seq")
     rows = rows.withColumn("q_seq", F.when(minus, revcomp("q_raw")).otherwise(F.col("q_raw")))
-    made = rows.select("query", "ref", "strand", "q_len", "r_len", "q_from", "r_from", "pins", "q_seq", "r_seq").mapInArrow(_extend(k), "query string, ref string, strand int, q_len long, r_len long, a long, b long, r_st long, r_en long, matches long, block_len long, nm long, cigar array<struct<n: bigint, op: string>>")
+    made = _joined(rows.select(*CHAIN, "piece", "q_len", "r_len", "q_from", "r_from", "pins", "until", "q_seq", "r_seq").mapInArrow(_extend, _PIECES))
     made = made.withColumn("q_st", F.when(minus, F.col("q_len") - F.col("b")).otherwise(F.col("a"))).withColumn("q_en", F.when(minus, F.col("q_len") - F.col("a")).otherwise(F.col("b")))
     made = made.where((F.col("q_en") - F.col("q_st") >= min_length) & (F.col("matches") >= identity * F.col("block_len")))
     best = W.partitionBy("query", "ref", "strand", "q_st", "r_st").orderBy(F.col("matches").desc())
@@ -213,9 +259,12 @@ def align(queries: DataFrame, references: DataFrame, preset: str = "asm10", *, m
     if secondaries is None:
         out = ranked.select(*columns, F.lit(None).cast("boolean").alias("is_primary"), F.lit(None).cast("int").alias("mapq"), "cigar")
         return out if min_indel is None else split_at_long_indels(out, min_indel)
-    better = ranked.select("query", F.col("ord").alias("o"), F.col("q_st").alias("x"), F.col("q_en").alias("y"))
+    # what covers more than half of a span covers its middle, so only blocks over the middle's bin are looked at
+    over = F.sequence(F.floor(F.col("q_st") / TILE), F.floor((F.col("q_en") - 1) / TILE))
+    better = ranked.select("query", F.col("ord").alias("o"), F.col("q_st").alias("x"), F.col("q_en").alias("y"), F.explode(over).alias("bin"))
     shared = F.least("q_en", "y") - F.greatest("q_st", "x")
-    worse = ranked.join(better, "query").where((F.col("o") < F.col("ord")) & (shared > 0.5 * (F.col("q_en") - F.col("q_st")))).groupBy("query", "ord").agg(F.count("*").alias("beaten"))
+    own = ranked.select("query", "ord", "q_st", "q_en", F.floor((F.col("q_st") + F.col("q_en")) / 2 / TILE).alias("bin"))
+    worse = own.join(better, ["query", "bin"]).where((F.col("o") < F.col("ord")) & (shared > 0.5 * (F.col("q_en") - F.col("q_st")))).groupBy("query", "ord").agg(F.count("*").alias("beaten"))
     out = ranked.join(worse, ["query", "ord"], "left").where(F.coalesce("beaten", F.lit(0)) <= secondaries)
     out = out.select(*columns, F.col("beaten").isNull().alias("is_primary"), F.when(F.col("beaten").isNull(), 60).otherwise(0).alias("mapq"), "cigar")
     return out if min_indel is None else split_at_long_indels(out, min_indel)

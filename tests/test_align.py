@@ -78,3 +78,57 @@ def test_search_and_its_errors(spark, aligned):
         L.parse_query(spark, "not a sequence!")
     with pytest.raises(ValueError):
         L.align(contigs, contigs, "asm99")
+
+
+def test_minimizers_are_told_once_across_chunks(spark, monkeypatch):
+    sequence = "".join(random.Random(5).choices("ACGTN", weights=[10, 10, 10, 10, 1], k=5000))
+    whole = set(L.minimizers_of(sequence.encode(), 15, 8)[1].tolist())
+    monkeypatch.setattr(L, "CHUNK", 64)
+    made = [r["pos"] for r in L.minimizers(spark.createDataFrame([("s", sequence)], "name string, sequence string"), 15, 8).collect()]
+    assert len(made) == len(set(made)) and whole <= set(made)
+
+
+def test_pieces_of_chains_are_one_block_again(spark, aligned):
+    contigs, blocks = aligned
+    reference, _ = planted()
+    made = L.align(contigs, spark.createDataFrame(list(reference.items()), "name string, sequence string"), "asm5", piece=3000)
+    shape = lambda df: sorted((r["query"], r["ref"], r["strand"], r["q_st"], r["q_en"], r["r_st"], r["r_en"], r["matches"], r["nm"], str(r["cigar"])) for r in df.collect())
+    assert shape(made) == shape(blocks)
+
+
+def _plain_chains(found, band, max_gap, least):
+    """Chains as sets of pins: by diagonal, then by place on the query, over all anchors of a pair at once."""
+    pairs, out = {}, []
+    for query, q, r in found:
+        pairs.setdefault(query, set()).add((q, r))
+    for query, pins in pairs.items():
+        groups, before = [], None
+        for q, r in sorted(pins, key=lambda p: p[1] - p[0]):
+            if before is None or r - q - before > band:
+                groups.append([])
+            groups[-1].append((q, r))
+            before = r - q
+        for group in groups:
+            runs, before = [], None
+            for q, r in sorted(group):
+                if before is None or q - before > max_gap:
+                    runs.append([])
+                runs[-1].append((q, r))
+                before = q
+            out += [(query, tuple(x)) for x in runs if len(x) >= least]
+    return sorted(out)
+
+
+def test_chains_by_cells_are_those_over_all_anchors(spark):
+    rng = random.Random(8)
+    found = [(rng.choice("xyz"), rng.randrange(4000), rng.randrange(4000)) for _ in range(600)]
+    frame = spark.createDataFrame([(n, "r", 1, 5000, 5000, q, r) for n, q, r in found], "query string, ref string, strand int, q_len long, r_len long, q long, r long")
+    for piece in (1 << 20, 100):
+        rows = L.chains(frame, 30, 90, 3, piece=piece).collect()
+        made = {}
+        for r in sorted(rows, key=lambda r: r["piece"]):
+            made.setdefault((r["query"], r["g"], r["c"]), []).append(r)
+        assert sorted((n, tuple((p["q"], p["r"]) for x in v for p in x["pins"])) for (n, _, _), v in made.items()) == _plain_chains(found, 30, 90, 3)
+        for v in made.values():
+            assert v[-1]["until"] is None and [x["until"] for x in v[:-1]] == [x["pins"][0] for x in v[1:]]
+            assert all(a["pins"][0]["r"] < b["pins"][0]["r"] for a, b in zip(v, v[1:], strict=False))
