@@ -167,3 +167,11 @@ def test_public_tags_and_many_fields(spark):
     assert set(df.first()["m"]) == {"NN", "SS"}
     many = "S\ta\tA\t" + "\t".join(f"{chr(65 + k % 26)}{chr(97 + k // 26 % 26)}:i:{k}" for k in range(600))
     assert len(T.gfa_segments(lines(spark, many)).first()["tags"]) == 600
+
+
+def test_depth_range_tells_the_depths(spark):
+    from strandflow.plans import catalog
+    from tests.conftest import SF
+
+    rows = catalog.QUERIES["depth_range"](spark, SF).select("name", "depth").collect()
+    assert rows and all(10 <= r["depth"] <= 20 for r in rows)
