@@ -207,10 +207,14 @@ def gfa2_path_steps(lines: DataFrame) -> DataFrame:
     return steps.select("ord", "path", F.col("pos").cast("long").alias("pos"), F.col("t").substr(F.lit(1), F.length("t") - 1).alias("name"), F.right("t", F.lit(1)).alias("orient"), F.lit(False).alias("gap_after"))
 
 
+#: Lines are numbered and counted in stretches of 2^24 numbers, of which a partition of a file has one or a few.
+_STRETCH = 24
+
+
 def _counted(rows: DataFrame, flag: str) -> DataFrame:
-    """``rows`` with ``record``, the running sum of ``flag`` in the order of lines: each partition of the file counts its own and adds what
+    """``rows`` with ``record``, the running sum of ``flag`` in the order of lines: each stretch counts its own and adds what
     stands before it, so that no task sees the whole file."""
-    rows = rows.withColumn("part", F.shiftright("line", 33))
+    rows = rows.withColumn("part", F.shiftright("line", _STRETCH))
     counts = rows.groupBy("part").agg(F.sum(flag).alias("n"))
     before = counts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.sum(flag).over(W.partitionBy("part").orderBy("line").rowsBetween(W.unboundedPreceding, 0))
@@ -298,7 +302,7 @@ def contig_paths(lines: DataFrame, segments: DataFrame) -> DataFrame:
     A line goes on the one before if that one ends in ``;``; counting the others in the order of the file pairs the names, odd,
     with the paths, even.
     """
-    rows = lines.select("line", F.trim(F.regexp_replace("value", r"[\r\t]", "")).alias("v")).where("v != ''").withColumns({"part": F.shiftright("line", 33), "open": F.col("v").endswith(";")})
+    rows = lines.select("line", F.trim(F.regexp_replace("value", r"[\r\t]", "")).alias("v")).where("v != ''").withColumns({"part": F.shiftright("line", _STRETCH), "open": F.col("v").endswith(";")})
     ends = rows.groupBy("part").agg(F.max_by("open", "line").alias("last"))
     carried = ends.select("part", F.lag("last").over(W.orderBy("part")).alias("carried"))
     before = F.coalesce(F.lag("open").over(W.partitionBy("part").orderBy("line")), F.col("carried"), F.lit(False))

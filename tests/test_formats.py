@@ -86,3 +86,13 @@ def test_paf_and_agp(spark):
     assert (rows[0]["component"], rows[0]["gap"], rows[1]["component"], rows[1]["gap"]) == ("c1", None, None, 50)
     text = [x["value"] for x in K.agp_text(T.agp_rows(agp), ("by hand",)).orderBy("object", "part").collect()]
     assert text == ["##agp-version\t2.1", "# by hand", "s\t1\t100\t1\tW\tc1\t1\t100\t+", "s\t101\t150\t2\tN\t50\tscaffold\tyes\talign_genus"]
+
+
+def test_contig_paths_do_not_depend_on_stretches(spark, monkeypatch):
+    text = ["NODE_1", "a+,b-;", "c+", "NODE_1'", "c-;", "b+,a-", "NODE_2", "b+"]
+    lines = spark.createDataFrame([(k, v) for k, v in enumerate(text)], "line long, value string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+    want = [("NODE_1", 0, "a", "+", False), ("NODE_1", 1, "b", "-", True), ("NODE_1", 2, "c", "+", False), ("NODE_2", 0, "b", "+", False)]
+    for bits in (0, 1, 24):
+        monkeypatch.setattr(T, "_STRETCH", bits)
+        assert sorted(tuple(r) for r in T.contig_paths(lines, known).collect()) == want
