@@ -23,9 +23,19 @@ def canonical_key():
 
 
 def dedup_links(links: DataFrame) -> DataFrame:
-    """One row per link: the first spelling, with its overlap. Pre-aggregated, so repeats cost one row a task."""
-    kept = F.min_by(F.struct(*links.columns), "ord").alias("x")
-    return links.groupBy(canonical_key().alias("key")).agg(kept).select("x.*")
+    """One row per link: the first spelling, with its overlap. Pre-aggregated, so repeats cost one row a task.
+
+    The key holds the ends of either spelling, so what is carried is which of the two it was; with numbers alone to carry, the groups are
+    hashed and not sorted.
+    """
+    rest = [c for c in links.columns if c not in ("ord", *ENDS)]
+    key, plain = canonical_key(), F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(ENDS)])
+    rows = links.withColumn("key", key).withColumn("plain", F.col("key") == plain)
+    kept = rows.groupBy("key").agg(F.min("ord").alias("ord"), F.min_by("plain", "ord").alias("plain"), *[F.min_by(c, "ord").alias(c) for c in rest])
+    k = [F.col(f"key.k{i}") for i in range(4)]
+    back = (k[2], flip(k[3]), k[0], flip(k[1]))
+    ends = {c: F.when(F.col("plain"), here).otherwise(there).alias(c) for c, here, there in zip(ENDS, k, back, strict=True)}
+    return kept.select(*[ends.get(c, F.col(c)) for c in links.columns])
 
 
 def drop_dangling(links: DataFrame, segments: DataFrame) -> DataFrame:

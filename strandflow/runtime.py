@@ -26,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str, rows: int = 500_000) -> DataFrame:
+    """``df`` by ``keys`` in partitions of about that many rows each, so that what a task sorts does not grow with the table where the
+    number of shuffle partitions stays as it is."""
+    n = -(-df.count() // rows)
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 class Scratch:
     """A folder of intermediate tables below :func:`shared_dir`, removed when the driver ends."""
 
