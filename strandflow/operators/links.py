@@ -206,10 +206,14 @@ def walk_pieces(steps: DataFrame, links: DataFrame, segments: DataFrame, default
     """Per step of ``(path, pos, name, orient)``: its length and the overlap with the step before."""
     before = W.partitionBy("path").orderBy("pos")
     pairs = steps.withColumn("p", F.lag("name").over(before)).withColumn("po", F.lag("orient").over(before))
-    known = dedup_links(links).select(canonical_key().alias("key"), F.col("overlap").alias("found"))
+    known = links.groupBy(canonical_key().alias("key")).agg(F.min_by("overlap", "ord").alias("found")).select("key.*", "found")
     key = F.least(F.struct(F.col("p").alias("k0"), F.col("po").alias("k1"), F.col("name").alias("k2"), F.col("orient").alias("k3")), F.struct(F.col("name").alias("k0"), flip("orient").alias("k1"), F.col("p").alias("k2"), flip("po").alias("k3")))
-    joined = pairs.withColumn("key", F.when(F.col("p").isNotNull(), key)).join(known, "key", "left").join(segments.select("name", "length", "sequence"), "name")
-    trim = F.when(F.col("p").isNull(), 0).otherwise(F.coalesce("found", F.lit(default_overlap)))
+    # first steps have no step before and would all meet in one task under a null; dealt out by their paths, and with a null they find nothing
+    none = F.lit(None).cast("string")
+    alone = F.struct(F.col("path").cast("string").alias("k0"), none.alias("k1"), none.alias("k2"), none.alias("k3"))
+    keyed = pairs.select("path", "pos", "name", "orient", F.col("p").isNull().alias("first"), F.when(F.col("p").isNotNull(), key).otherwise(alone).alias("key")).select("path", "pos", "name", "orient", "first", "key.*")
+    joined = keyed.join(known, ["k0", "k1", "k2", "k3"], "left").select("path", "pos", "name", "orient", "first", "found").join(segments.select("name", "length", "sequence"), "name")
+    trim = F.when(F.col("first"), 0).otherwise(F.coalesce("found", F.lit(default_overlap)))
     return joined.select("path", "pos", "name", "orient", "length", "sequence", trim.cast("long").alias("overlap"))
 
 

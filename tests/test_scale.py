@@ -24,3 +24,12 @@ def test_dedup_links_hashes_and_keeps_the_first_spelling(spark):
 def test_spread_follows_the_rows(spark):
     few, many = (spread(spark.range(n), "id", rows=10).rdd.getNumPartitions() for n in (10, 1000))
     assert few == spark.sparkContext.defaultParallelism and many == 100
+
+
+def test_first_steps_of_walks_are_dealt_out(spark):
+    steps = spark.range(4000).select((F.col("id") / 2).cast("long").alias("path"), (F.col("id") % 2).alias("pos"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("name"), F.lit("+").alias("orient"))
+    segments = spark.createDataFrame([("a", 10, None), ("b", 20, None)], "name string, length long, sequence string")
+    made = G.walk_pieces(steps, _links(spark), segments)
+    assert [tuple(r) for r in made.groupBy("name").agg(F.min("overlap"), F.max("overlap"), F.count("*")).orderBy("name").collect()] == [("a", 0, 0, 2000), ("b", 4, 4, 2000)]
+    # the join is by the four parts of a link, of which first steps have their path as the first: not one null for all of them
+    assert "cast(path" in _plan(made) and "[k0" in _plan(made)
