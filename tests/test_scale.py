@@ -33,3 +33,53 @@ def test_first_steps_of_walks_are_dealt_out(spark):
     assert [tuple(r) for r in made.groupBy("name").agg(F.min("overlap"), F.max("overlap"), F.count("*")).orderBy("name").collect()] == [("a", 0, 0, 2000), ("b", 4, 4, 2000)]
     # the join is by the four parts of a link, of which first steps have their path as the first: not one null for all of them
     assert "cast(path" in _plan(made) and "[k0" in _plan(made)
+
+
+def test_blocks_are_cut_in_their_own_rows(spark):
+    from strandflow.functions.sequence import cigar
+    from strandflow.operators import blocks as B
+
+    text = [("a", 1, "5S100M2000D50M1500I3D20M4H"), ("b", -1, "100M2000D50M"), ("c", 1, "2000D"), ("d", 1, "30M5I30M"), ("e", 1, None)]
+    rows = spark.createDataFrame(text, "query string, strand int, text string").select(
+        "query", F.lit(1).cast("long").alias("ord"), F.lit(10_000).cast("long").alias("q_len"), F.lit(0).cast("long").alias("q_st"), F.lit(1679).cast("long").alias("q_en"), "strand", F.lit("r").alias("ref"), F.lit(9000).cast("long").alias("r_len"),
+        F.lit(1000).cast("long").alias("r_st"), F.lit(3173).cast("long").alias("r_en"), F.lit(170).cast("long").alias("matches"), F.lit(3673).cast("long").alias("block_len"), F.lit(3503).cast("long").alias("nm"), cigar("text").alias("cigar"),
+    )
+    made = B.split_at_long_indels(rows)
+    assert "Exchange" not in _plan(made)
+    text = F.array_join(F.transform("cigar", lambda c: F.concat(c["n"].cast("string"), c["op"])), "")
+    got = made.select("query", "q_st", "q_en", "r_st", "r_en", "block_len", text.alias("cigar"), "matches", "nm").orderBy("query", "r_st", "q_st").collect()
+    assert [tuple(r) for r in got] == [
+        ("a", 0, 105, 1000, 1100, 100, "100M", 98, 2), ("a", 105, 155, 3100, 3150, 50, "50M", 49, 1), ("a", 1655, 1679, 3150, 3173, 23, "3D20M", 23, 0),
+        ("b", 1579, 1679, 1000, 1100, 100, "100M", 113, 1002), ("b", 1529, 1579, 3100, 3150, 50, "50M", 57, 501),
+        ("c", 0, 1679, 1000, 3173, 3673, "2000D", 170, 3503), ("d", 0, 1679, 1000, 3173, 3673, "30M5I30M", 170, 3503), ("e", 0, 1679, 1000, 3173, 3673, None, 170, 3503),
+    ]
+
+
+def test_lines_are_split_once(spark):
+    from strandflow.operators import hits as H
+    from strandflow.sources import textio as T
+
+    lines = spark.createDataFrame([(1, "L\ta\t+\tb\t-\t5M\r")], "line long, value string").repartition(2)
+    for made in (T.gfa_links(lines), T.bad_records(lines), H.tabular_hits(lines)):
+        assert _plan(made).count("split(") == 1
+    assert [tuple(r) for r in T.gfa_links(lines).collect()] == [(1, "a", "+", "b", "-", 5, "5M")]
+
+
+def test_steps_of_a_line_are_found_once(spark):
+    from strandflow.sources import textio as T
+
+    lines = spark.createDataFrame([(1, "P\tp\ta+,b-;c+,x;;d-;\t*"), (2, "W\ts\t1\tc\t0\t9\t>a<b"), (3, "P\tq"), (4, "W\ts\t1\tc")], "line long, value string").repartition(2)
+    assert _plan(lines.select(T._steps(F.col("value")).alias("s"))).count(", ;, -1") == 1
+    got = [tuple(r) for r in T.gfa_path_steps(lines).orderBy("ord", "pos").collect()]
+    assert got == [(1, "p", 0, "a", "+", False), (1, "p", 1, "b", "-", True), (1, "p", 2, "c", "+", True), (1, "p", 3, "d", "-", False), (2, "s_c", 0, "a", "+", False), (2, "s_c", 1, "b", "-", False)]
+
+
+def test_warnings_lay_a_plan_out_once(spark, monkeypatch):
+    from strandflow.operators import scaffold as S
+
+    seen, layout = [], S.layout
+    monkeypatch.setattr(S, "layout", lambda *a, **k: seen.append(1) or layout(*a, **k))
+    segments = spark.createDataFrame([("a", 50), ("b", 60)], "name string, length long")
+    plan = spark.createDataFrame([(0, "s", "graph", p, n, "+", 0) for p, n in enumerate("abx")], "ord long, scaffold string, source string, pos long, segment string, orientation string, gap_after long")
+    got = sorted(tuple(r) for r in S.plan_warnings(plan, segments, _links(spark)).collect())
+    assert got == [("s", "missing", "x")] and len(seen) == 1
