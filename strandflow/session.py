@@ -46,14 +46,15 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Session:
     else:
         T.check_fasta(lines, path)
         segments, raw = T.fasta_segments(lines), no_links
-    segments = segments.select("ord", "name", "sequence", "length", "depth", *(["tags"] if kind in ("gfa", "gfa2") else []))
+    scratch = Scratch(spark, "loaded")  # every result starts from these tables
+    segments = scratch.save(segments.select("ord", "name", "sequence", "length", "depth", *(["tags"] if kind in ("gfa", "gfa2") else [])), "segments")
     if segments.isEmpty():
         raise T.FormatError(path, None, "no segments")
     if kind == "gfa":
         paths = T.gfa_path_steps(lines, segments)
     elif kind == "gfa2":
         paths = T.gfa2_path_steps(lines)
-    links = G.drop_dangling(G.dedup_links(raw), segments)
+    links = scratch.save(G.drop_dangling(G.dedup_links(raw), segments), "links")
     usual = T.modal_overlap(raw).first()[0] if kind in ("gfa", "gfa2") else None
     if kind in ("gfa", "fastg"):
         links, found = P.adopt_overlap(links, segments)

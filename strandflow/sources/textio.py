@@ -16,7 +16,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from strandflow.functions.sequence import cigar, cigar_overlap, depth_from_name, depth_from_tags, length_from_name, parse_tags, revcomp
+from strandflow.functions.sequence import cigar, cigar_overlap, depth_from_name, depth_from_tags, length_from_name, let, parse_tags, revcomp
 from strandflow.operators.names import numbered
 
 
@@ -89,11 +89,18 @@ def sniff(head: list[str], name: str = "") -> str:
 
 
 def _fields() -> Column:
-    return F.split(F.rtrim(F.regexp_replace("value", r"\r$", "")), "\t")
+    value = F.col("value")
+    return F.split(F.rtrim(F.when(value.contains("\r"), F.regexp_replace(value, r"\r$", "")).otherwise(value)), "\t")
+
+
+def _split(lines: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of the lines and their fields ``f``. An explode of one array each: a condition on fields would else be moved before the
+    split, and split the line again for every field it asks for."""
+    return lines.select(*columns, F.explode(F.array(_fields())).alias("f"))
 
 
 def records(lines: DataFrame, kind: str) -> DataFrame:
-    return lines.where(F.col("value").startswith(kind + "\t")).select("line", _fields().alias("f"))
+    return _split(lines.where(F.col("value").startswith(kind + "\t")), "line")
 
 
 def gfa_segments(lines: DataFrame) -> DataFrame:
@@ -119,20 +126,21 @@ def gfa_links(lines: DataFrame) -> DataFrame:
 def _steps(text: Column) -> Column:
     """Steps of a P line: ``;`` is a scaffold gap, ``,`` a neighbour; tokens without an orientation are skipped."""
     runs = F.transform(F.split(text, ";"), lambda run: F.filter(F.split(run, ","), lambda t: t.rlike("^.+[+-]$")))
-    full = F.filter(runs, lambda r: F.size(r) > 0)
     step = lambda t, gap: F.struct(t.substr(F.lit(1), F.length(t) - 1).alias("name"), F.right(t, F.lit(1)).alias("orient"), gap.alias("gap_after"))
-    return F.flatten(F.transform(full, lambda r, i: F.transform(r, lambda t, j: step(t, (j == F.size(r) - 1) & (i < F.size(full) - 1)))))
+    inside = lambda r, more: F.transform(r, lambda t, j: step(t, (j == F.size(r) - 1) & more))
+    return let(F.filter(runs, lambda r: F.size(r) > 0), lambda full: F.flatten(F.transform(full, lambda r, i: inside(r, i < F.size(full) - 1))))
 
 
 def gfa_path_steps(lines: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """P and W lines as ``(ord, path, pos, name, orient, gap_after)``; with ``segments``, paths that name an
     unknown one are dropped."""
     f = F.col("f")
-    p = records(lines, "P").where(F.size("f") >= 3).select(F.col("line").alias("ord"), F.get(f, F.lit(1)).alias("path"), _steps(F.get(f, F.lit(2))).alias("s"))
     walk = lambda k: F.regexp_extract_all(F.get(f, F.lit(6)), F.lit("([<>])([^<>]+)"), F.lit(k))
     zipped = F.transform(F.arrays_zip(walk(1).alias("o"), walk(2).alias("n")), lambda x: F.struct(x["n"].alias("name"), F.when(x["o"] == ">", "+").otherwise("-").alias("orient"), F.lit(False).alias("gap_after")))
-    w = records(lines, "W").where(F.size("f") >= 7).select(F.col("line").alias("ord"), F.concat_ws("_", F.get(f, F.lit(1)), F.get(f, F.lit(3))).alias("path"), zipped.alias("s"))
-    rows = p.unionByName(w).select("ord", "path", F.posexplode("s").alias("pos", "x")).select("ord", "path", F.col("pos").cast("long").alias("pos"), "x.*")
+    plain, name = F.get(f, F.lit(0)) == "P", lambda k: F.get(f, F.lit(k))
+    both = _split(lines.where(F.col("value").startswith("P\t") | F.col("value").startswith("W\t")), "line").where(F.size("f") >= F.when(plain, 3).otherwise(7))
+    made = both.select(F.col("line").alias("ord"), F.when(plain, name(1)).otherwise(F.concat_ws("_", name(1), name(3))).alias("path"), F.when(plain, _steps(name(2))).otherwise(zipped).alias("s"))
+    rows = made.select("ord", "path", F.posexplode("s").alias("pos", "x")).select("ord", "path", F.col("pos").cast("long").alias("pos"), "x.*")
     if segments is None:
         return rows
     bad = rows.join(segments.select("name"), "name", "left_anti").select("ord").distinct()
@@ -146,9 +154,9 @@ def modal_overlap(links: DataFrame) -> DataFrame:
 
 def bad_records(lines: DataFrame) -> DataFrame:
     """Lines of a GFA that no reader here takes: ``(line, value)``."""
-    f, kind = _fields(), F.substring("value", 1, 1)
+    f, kind = F.col("f"), F.substring("value", 1, 1)
     short = (kind == "S") & (F.size(f) < 3) | (kind == "L") & ((F.size(f) < 5) | ~F.coalesce(F.get(f, F.lit(2)).isin("+", "-") & F.get(f, F.lit(4)).isin("+", "-"), F.lit(False))) | (kind == "P") & (F.size(f) < 3) | (kind == "W") & (F.size(f) < 7)
-    return lines.where(kind.isin("S", "L", "P", "W") & short).select("line", F.substring("value", 1, 200).alias("value"))
+    return _split(lines.where(kind.isin("S", "L", "P", "W")), "line", "value").where(short).select("line", F.substring("value", 1, 200).alias("value"))
 
 
 def _line_number(lines: DataFrame, line: int) -> int:
@@ -255,7 +263,7 @@ def fastg(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def paf_blocks(lines: DataFrame) -> DataFrame:
     """PAF lines as alignment blocks; shorter lines than twelve fields are skipped."""
     f = F.col("f")
-    rows = lines.select("line", _fields().alias("f")).where(F.size("f") >= 12).withColumn("tags", parse_tags(F.slice("f", F.lit(13), F.size("f"))))
+    rows = _split(lines, "line").where(F.size("f") >= 12).withColumn("tags", parse_tags(F.slice("f", F.lit(13), F.size("f"))))
     number = lambda k: F.get(f, F.lit(k)).try_cast("long")
     tag = lambda t: F.try_element_at("tags", F.lit(t))["value"]
     return rows.select(
@@ -285,7 +293,7 @@ def check_fastg(lines: DataFrame, path: str = "input") -> None:
 def agp_rows(lines: DataFrame) -> DataFrame:
     """AGP rows: ``(line, object, beg, end, part, kind, component, c_beg, c_end, orient, gap, evidence)``."""
     f = F.col("f")
-    rows = lines.where(~F.col("value").startswith("#")).select("line", _fields().alias("f")).where(F.size("f") >= 9)
+    rows = _split(lines.where(~F.col("value").startswith("#")), "line").where(F.size("f") >= 9)
     gap = F.get(f, F.lit(4)).isin("N", "U")
     number = lambda c: c.try_cast("long")
     return rows.select(
