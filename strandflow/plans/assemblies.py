@@ -42,7 +42,7 @@ def gfa_links(spark, sf_dir):
 
 @query(f"""with {A.PATH_STEPS} select 'path' || path as path, pos::bigint as pos, name, orient, gap and pos < max(pos) over (partition by path) as gap_after from path_steps""")
 def gfa_paths(spark, sf_dir):
-    lines = _gfa(spark, sf_dir)
+    lines = Scratch(spark, "gfa").save(_gfa(spark, sf_dir), "lines")  # read three times, as a file would be
     return T.gfa_path_steps(lines, T.gfa_segments(lines)).select("path", "pos", "name", "orient", "gap_after")
 
 
