@@ -71,8 +71,11 @@ def degrees(segments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def circular_segments(links: DataFrame) -> DataFrame:
-    """Segments whose only link joins their own end to their own start."""
-    adj = adjacency(links)
+    """Segments whose only link joins their own end to their own start. Only the links of segments that have such a link are looked at, and
+    where these are few, nothing else is shuffled."""
+    loops = links.where((F.col("from_name") == F.col("to_name")) & (F.col("from_orient") == F.col("to_orient"))).select(F.col("from_name").alias("src")).distinct()
+    loops = Scratch(links.sparkSession, "loops").save(loops, "loops")
+    adj = adjacency(links).join(loops, "src", "left_semi")
     own = F.count_if((F.col("dst") == F.col("src")) & (F.col("src_o") == "+") & (F.col("dst_o") == "+"))
     return adj.groupBy(F.col("src").alias("name")).agg(own.alias("own"), F.count_if(F.col("src_o") == "+").alias("plus"), F.count_if(F.col("src_o") == "-").alias("minus")).where("own = 1 and plus = 1 and minus = 1").select("name")
 
@@ -81,17 +84,23 @@ def induced(links: DataFrame, names: DataFrame) -> DataFrame:
     return drop_dangling(links, names)
 
 
-def components(segments: DataFrame, links: DataFrame) -> DataFrame:
-    """``(name, component)``: 0 is the component of the most bases, ties by first segment."""
+def _rooted(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """``(name, ord, length, root)``, a written table: ``root`` is the smallest ``ord`` of the segment's component."""
     scratch = Scratch(segments.sparkSession, "components")
     ids = segments.select("name", "ord", "length")
-    edges = links.join(ids.select(F.col("name").alias("from_name"), F.col("ord").alias("a")), "from_name").join(ids.select(F.col("name").alias("to_name"), F.col("ord").alias("b")), "to_name").select("a", "b")
+    edges = links.select("from_name", "to_name").join(ids.select(F.col("name").alias("from_name"), F.col("ord").alias("a")), "from_name").select("a", "to_name")
+    edges = edges.join(ids.select(F.col("name").alias("to_name"), F.col("ord").alias("b")), "to_name").select("a", "b")
     found = connected_components(scratch, edges)
-    member = scratch.save(ids.join(found, ids.ord == found.node, "left").select("name", "ord", "length", F.coalesce("component", "ord").alias("root")), "member")
+    return scratch.save(ids.join(found, ids.ord == found.node, "left").select("name", "ord", "length", F.coalesce("component", "ord").alias("root")), "member")
+
+
+def components(segments: DataFrame, links: DataFrame) -> DataFrame:
+    """``(name, component)``: 0 is the component of the most bases, ties by first segment."""
+    member = _rooted(segments, links)
     totals = member.groupBy("root").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
     # ranks over components, not segments
     rank = totals.select("root", (F.row_number().over(W.orderBy(F.col("bases").desc(), "root")) - 1).cast("long").alias("component"))
-    return member.join(rank, "root").select("name", "component")
+    return member.select("name", "root").join(rank, "root").select("name", "component")
 
 
 def component_summary(segments: DataFrame, links: DataFrame) -> DataFrame:
@@ -146,21 +155,29 @@ def topology(segments: DataFrame, links: DataFrame, median_depth: DataFrame) ->
     the range of overlaps, what is largest, orphaned or counted twice, and how much sequence the depths tell of.
     Per cents are of two ends a segment and of all bases; 0 where there is nothing to divide by."""
     own = Scratch(links.sparkSession, "topology").save(drop_dangling(links, segments), "links")
-    sizes = segments.select("name", "length").join(components(segments, own), "name").groupBy("component").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
+    sizes = _rooted(segments, own).groupBy("root").agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bases"))
+    # all that is told of a segment's ends comes from one pass over them
+    ends = link_ends(own).groupBy("name").agg(F.count_if(F.col("side") == "start").alias("starts"), F.count_if(F.col("side") == "end").alias("ends"), F.max("overlap").alias("widest"), F.max(F.when(F.col("side") == "end", F.col("overlap"))).alias("trailing"))
+    joined = segments.select("name", "length", "depth").join(ends, "name", "left").crossJoin(F.broadcast(median_depth.select("median_depth")))
+    free = lambda c: (F.coalesce(c, F.lit(0)) == 0).cast("long")
+    alone, less = F.col("starts").isNull(), lambda c: F.greatest(F.lit(0), F.col("length") - F.coalesce(c, F.lit(0)))
+    copies = F.round(F.col("depth") / F.nullif("median_depth", F.lit(0.0)))
     rows = [
-        segments.agg(F.count("*").alias("segments"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases")),
+        joined.agg(
+            F.count("*").alias("segments"), F.coalesce(F.sum("length"), F.lit(0)).alias("bases"), F.coalesce(F.sum(free("starts") + free("ends")), F.lit(0)).alias("dead_ends"), F.count_if(alone).alias("orphaned"),
+            F.coalesce(F.sum(F.when(alone, F.col("length"))), F.lit(0)).alias("orphaned_length"), F.coalesce(F.sum(less("widest")), F.lit(0)).alias("length_no_overlaps"), F.sum(less("trailing") * copies).cast("long").alias("estimated_length"),
+        ),
         own.agg(F.count("*").alias("links"), F.min("overlap").alias("overlap_min"), F.max("overlap").alias("overlap_max")),
         sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("bases"), F.lit(0)).alias("largest_component_length")),
-        degrees(segments, own).agg(F.coalesce(F.sum("dead_ends"), F.lit(0)).alias("dead_ends")),
         circular_segments(own).agg(F.count("*").alias("circular")),
-        orphaned(segments, own), no_overlap_length(segments, own), estimated_length(segments, own, median_depth),
     ]
     one = rows[0]
     for row in rows[1:]:  # one row each
         one = one.crossJoin(F.broadcast(row))
     share = lambda part, whole: F.coalesce(100.0 * F.col(part) / F.nullif(whole, F.lit(0)), F.lit(0.0))
     one = one.withColumns({"dead_end_percent": share("dead_ends", 2 * F.col("segments")), "largest_component_percent": share("largest_component_length", F.col("bases")), "orphaned_percent": share("orphaned_length", F.col("bases"))})
-    return one.drop("segments", "bases")
+    told = ("links", "overlap_min", "overlap_max", "components", "largest_component_length", "dead_ends", "circular", "orphaned", "orphaned_length", "length_no_overlaps", "estimated_length")
+    return one.select(*told, "dead_end_percent", "largest_component_percent", "orphaned_percent")
 
 
 def unambiguous_edges(links: DataFrame) -> DataFrame:
@@ -202,8 +219,8 @@ def chains(links: DataFrame, segments: DataFrame, min_length: int = 2) -> DataFr
     return rows.join(chosen.select("up", F.col("ord").alias("chain")), "up").select("chain", F.col("dist").alias("pos"), split("node")[0].alias("name"), split("node")[1].alias("orient"))
 
 
-def walk_pieces(steps: DataFrame, links: DataFrame, segments: DataFrame, default_overlap: int = 0) -> DataFrame:
-    """Per step of ``(path, pos, name, orient)``: its length and the overlap with the step before."""
+def walk_pieces(steps: DataFrame, links: DataFrame, segments: DataFrame, default_overlap: int = 0, more: tuple[str, ...] = ()) -> DataFrame:
+    """Per step of ``(path, pos, name, orient)``: its length and the overlap with the step before, and ``more`` columns of its segment."""
     before = W.partitionBy("path").orderBy("pos")
     pairs = steps.withColumn("p", F.lag("name").over(before)).withColumn("po", F.lag("orient").over(before))
     known = links.groupBy(canonical_key().alias("key")).agg(F.min_by("overlap", "ord").alias("found")).select("key.*", "found")
@@ -212,9 +229,9 @@ def walk_pieces(steps: DataFrame, links: DataFrame, segments: DataFrame, default
     none = F.lit(None).cast("string")
     alone = F.struct(F.col("path").cast("string").alias("k0"), none.alias("k1"), none.alias("k2"), none.alias("k3"))
     keyed = pairs.select("path", "pos", "name", "orient", F.col("p").isNull().alias("first"), F.when(F.col("p").isNotNull(), key).otherwise(alone).alias("key")).select("path", "pos", "name", "orient", "first", "key.*")
-    joined = keyed.join(known, ["k0", "k1", "k2", "k3"], "left").select("path", "pos", "name", "orient", "first", "found").join(segments.select("name", "length", "sequence"), "name")
+    joined = keyed.join(known, ["k0", "k1", "k2", "k3"], "left").select("path", "pos", "name", "orient", "first", "found").join(segments.select("name", "length", "sequence", *more), "name")
     trim = F.when(F.col("first"), 0).otherwise(F.coalesce("found", F.lit(default_overlap)))
-    return joined.select("path", "pos", "name", "orient", "length", "sequence", trim.cast("long").alias("overlap"))
+    return joined.select("path", "pos", "name", "orient", "length", "sequence", trim.cast("long").alias("overlap"), *more)
 
 
 def walk_sequences(steps: DataFrame, links: DataFrame, segments: DataFrame, default_overlap: int = 0) -> DataFrame:

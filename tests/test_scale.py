@@ -83,3 +83,42 @@ def test_warnings_lay_a_plan_out_once(spark, monkeypatch):
     plan = spark.createDataFrame([(0, "s", "graph", p, n, "+", 0) for p, n in enumerate("abx")], "ord long, scaffold string, source string, pos long, segment string, orientation string, gap_after long")
     got = sorted(tuple(r) for r in S.plan_warnings(plan, segments, _links(spark)).collect())
     assert got == [("s", "missing", "x")] and len(seen) == 1
+
+
+def test_covered_bases_shuffle_spans_once(spark):
+    from strandflow.operators import intervals as I
+
+    w = I.WIDTH
+    spans = spark.createDataFrame([("a", 10, 20), ("a", 15, 3 * w + 5), ("a", 15, 30), ("a", 3 * w + 7, 3 * w + 9), ("a", 5, 5), ("b", w, w + 1), (None, 0, 4)], "ref string, st long, en long")
+    made = I.covered_bases(spans)
+    assert {r["ref"]: r["covered"] for r in made.collect()} == {"a": 3 * w - 3, "b": 1, None: 4}
+    assert _plan(made.where("ref is not null")).count("hashpartitioning(ref") <= 2 and "Join" not in _plan(made)
+
+
+def test_graphs_without_loops_shuffle_no_links_for_them(spark):
+    rows = spark.createDataFrame([(1, "a", "+", "a", "+", 0), (2, "b", "+", "b", "+", 0), (3, "b", "+", "c", "-", 0)], "ord long, from_name string, from_orient string, to_name string, to_orient string, overlap long")
+    made = G.circular_segments(rows)
+    assert [r[0] for r in made.collect()] == ["a"]
+    assert "BroadcastHashJoin" in _plan(made)
+
+
+def test_simplify_writes_its_links_once(spark):
+    from strandflow.operators import edits as E
+
+    segments = spark.createDataFrame([(k, n, None, 10 + k, None) for k, n in enumerate("abc")], "ord long, name string, sequence string, length long, depth double")
+    links = spark.createDataFrame([(1, "a", "+", "b", "+", 4)], "ord long, from_name string, from_orient string, to_name string, to_orient string, overlap long")
+    graph = E.Graph(segments, G.dedup_links(links))
+    made = E.simplify(graph)
+    assert sorted(tuple(r) for r in made.segments.select("name", "length").collect()) == [("c", 12), ("merged_0", 17)]
+    assert made.undo() == graph
+    assert "k0" not in _plan(made.links)  # links are read as written, not told apart again
+
+
+def test_tables_carry_no_sequences_through_joins(spark):
+    from strandflow.operators import tables as R
+
+    segments = spark.createDataFrame([(0, "a", "ACGT", 4, 1.0), (1, "b", None, 7, None)], "ord long, name string, sequence string, length long, depth double")
+    made = R.segment_table(segments, _links(spark).where("overlap = 7"))
+    assert sorted((r["name"], r["gc"], r["depth"], r["component"]) for r in made.collect()) == [("a", "0.50000", "1.0000", 0), ("b", None, None, 0)]
+    lines = [x for x in _plan(made).splitlines() if "Sort " in x or "Exchange hash" in x]
+    assert lines and not any("sequence" in x for x in lines)
