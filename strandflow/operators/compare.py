@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from strandflow.operators import links as G
-from strandflow.operators.intervals import complement, union_spans
+from strandflow.operators.intervals import complement, covered_bases, union_spans
 from strandflow.runtime import Scratch
 
 SHARED, PRESENT = 0.95, 0.10
@@ -19,8 +19,7 @@ def contig_diff(segments: DataFrame, blocks: DataFrame, shared: float = SHARED,
     """``(name, length, covered, best_match, best_identity, status)`` of one side's segments. The best match has
     the most query bases times identity, first on ties; the best identity is that of any block."""
     lengths = segments.select(F.col("name").alias("query"), "length")
-    merged = union_spans(blocks.select("query", F.col("q_st").alias("st"), F.col("q_en").alias("en")), "query")
-    covered = merged.groupBy("query").agg(F.sum(F.col("en") - F.col("st")).alias("covered"))
+    covered = covered_bases(blocks.select("query", F.col("q_st").alias("st"), F.col("q_en").alias("en")), "query")
     identity = F.col("matches") / F.nullif("block_len", F.lit(0))
     score = (F.col("q_en") - F.col("q_st")) * F.greatest(F.coalesce(identity, F.lit(0.0)), F.lit(0.0))
     best = blocks.groupBy("query").agg(F.max_by("ref", F.struct(score.alias("s"), (-F.col("ord")).alias("o"))).alias("best_match"), F.max(F.coalesce(identity, F.lit(0.0))).alias("best_identity"))
@@ -53,7 +52,9 @@ def score_side(segments: DataFrame, links: DataFrame, blocks: DataFrame, *, min_
     pair), ``uncovered`` spans and the ``summary``. Blocks below ``min_identity`` do not count."""
     if not 0 <= present < shared <= 1:
         raise ValueError(f"shares must fulfil 0 <= present < shared <= 1, got {present} and {shared}")
-    used = Scratch(segments.sparkSession, "side").save(blocks.where(F.col("matches") >= min_identity * F.col("block_len")), "blocks")
+    scratch = Scratch(segments.sparkSession, "side")
+    used = scratch.save(blocks.where(F.col("matches") >= min_identity * F.col("block_len")).select("query", "ord", "q_st", "q_en", "ref", "matches", "block_len"), "blocks")
+    links = scratch.save(links, "links")
     ring = G.circular_segments(links).withColumn("circular", F.lit(True))
     contigs = contig_diff(segments, used, shared, present).join(ring, "name", "left").withColumn("circular", F.coalesce("circular", F.lit(False)))
     member = G.components(segments, links)
