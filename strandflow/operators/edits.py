@@ -148,7 +148,7 @@ def merge_chains(graph: Graph, chains: DataFrame, prefix: str = "merged_") -> Gr
     length over known depths, links at its two outer ends kept. It takes the smallest id of its members and a name that
     no other segment has."""
     steps = chains.select(F.col("chain").alias("path"), "pos", "name", "orient")
-    pieces = G.walk_pieces(steps, graph.links, graph.segments).join(graph.segments.select("name", "depth", "ord"), "name")
+    pieces = G.walk_pieces(steps, graph.links, graph.segments, more=("depth", "ord"))
     body = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.length("sequence"))
     rows = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("piece", F.lit("")).alias("piece"))))
     known = F.when(F.col("depth").isNotNull(), F.col("length"))
@@ -189,4 +189,8 @@ def remove_links(graph: Graph, gone: DataFrame) -> Graph:
 
 
 def simplify(graph: Graph, min_chain: int = 2) -> Graph:
-    return merge_chains(graph, G.chains(graph.links, graph.segments, min_chain))
+    """Links and chains are written once, as each is read several times."""
+    scratch = Scratch(graph.segments.sparkSession, "simplify")
+    links = scratch.save(graph.links, "links")
+    made = merge_chains(replace(graph, links=links), scratch.save(G.chains(links, graph.segments, min_chain), "chains"))
+    return replace(made, past=(*graph.past, replace(graph, past=()))[-40:])
