@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from strandflow.functions.sequence import gc_content
 from strandflow.operators import blocks as B, links as G, scaffold as S
+from strandflow.runtime import Scratch
 
 
 def segment_table(segments: DataFrame, links: DataFrame, blocks: DataFrame | None = None, plan: DataFrame | None = None) -> DataFrame:
     """One row of 15 columns for each segment: length, depth, GC, component, links at its ends, whether it is a ring by itself, the
     reference it lies on most, and its place in the scaffolds."""
-    rows = segments.join(G.components(segments, links), "name").join(G.degrees(segments, links), "name")
+    links = Scratch(segments.sparkSession, "table").save(links, "links")
+    known = F.col("sequence").isNotNull() & (F.col("sequence") != "")
+    # sequences stay where they are: what is told of them goes through the joins
+    told = segments.select("name", "length", F.when(F.col("depth").isNotNull(), F.format_string("%.4f", "depth")).alias("depth"), F.when(known, F.format_string("%.5f", gc_content("sequence"))).alias("gc"))
+    rows = told.join(G.components(segments, links), "name").join(G.degrees(segments, links), "name")
     ring = G.circular_segments(links).withColumn("circular", F.lit(1))
     rows = rows.join(ring, "name", "left")
     if blocks is None:
@@ -24,9 +29,8 @@ def segment_table(segments: DataFrame, links: DataFrame, blocks: DataFrame | Non
         rows = rows.withColumns({"scaffold": F.lit(None).cast("string"), "scaffold_position": F.lit(None).cast("long")})
     else:
         rows = rows.join(S.member_index(plan).select(F.col("segment").alias("name"), "scaffold", F.col("pos").alias("scaffold_position")), "name", "left")
-    known = F.col("sequence").isNotNull() & (F.col("sequence") != "")
     return rows.select(
-        "name", "length", F.when(F.col("depth").isNotNull(), F.format_string("%.4f", "depth")).alias("depth"), F.when(known, F.format_string("%.5f", gc_content("sequence"))).alias("gc"), "component", "deg_start", "deg_end",
+        "name", "length", "depth", "gc", "component", "deg_start", "deg_end",
         F.coalesce("circular", F.lit(0)).alias("circular"), "ref", "ref_start", "ref_end", "ref_identity", "ref_strand", "scaffold", "scaffold_position",
     )
 

@@ -286,9 +286,11 @@ own as (select *, 'o' || ord as name, case when ord % 3 = 0 then reverse(transla
 def _genomes(spark, sf_dir):
     """(segments, links, blocks)."""
     by = W.partitionBy("cust").orderBy("day", "ord")
-    t = F.concat(*[F.translate(F.md5(F.concat(F.col("ord").cast("string"), F.lit(f":{k}"))), "0123456789abcdef", "ACGTACGTACGTACGT") for k in range(10)])
-    own = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day")).withColumn("t", t)
-    own = own.withColumns({"i": F.row_number().over(by).cast("long"), "m": F.count("*").over(W.partitionBy("cust")), "body": F.concat("t", F.coalesce(F.left(F.lead("t").over(by), F.lit(40)), F.lit("")))})
+    # windows see keys alone: bases are made of them behind the shuffle
+    t = lambda c, n: F.concat(*[F.translate(F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{k}"))), "0123456789abcdef", "ACGTACGTACGTACGT") for k in range(n)])
+    own = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day"))
+    own = own.withColumns({"i": F.row_number().over(by).cast("long"), "m": F.count("*").over(W.partitionBy("cust")), "after": F.lead("ord").over(by)})
+    own = own.withColumn("body", F.concat(t("ord", 10), F.coalesce(F.left(t("after", 2), F.lit(40)), F.lit(""))))
     own = own.withColumns({"name": F.concat(F.lit("o"), "ord"), "orient": F.when(F.col("ord") % 3 == 0, "-").otherwise("+"), "length": F.length("body").cast("long")})
     segments = own.select("ord", "name", fn.oriented("body", "orient").alias("sequence"), "length", F.lit(1.0).alias("depth"))
     links = own.withColumns({"to_name": F.lead("name").over(by), "to_orient": F.lead("orient").over(by)}).where("to_name is not null and cust % 7 > 1")
