@@ -14,9 +14,11 @@ COLUMNS = ("query", "segment", "strand", "q_st", "q_en", "s_st", "s_en", "identi
 def tabular_hits(lines: DataFrame, *, min_length: int = 0, min_identity: float = 0.0) -> DataFrame:
     """Hits of tab-separated rows ``query segment percent length q_from q_to s_from s_to score evalue``, which count from 1 and
     tell the strand by the order of the segment's ends. Rows of fewer fields, or with fields that are no numbers, are left out."""
-    f = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
+    value = F.col("value")
+    f = F.split(F.when(value.contains("\r"), F.regexp_replace(value, r"\r$", "")).otherwise(value), "\t")
     number = lambda k, kind: F.get("f", F.lit(k)).try_cast(kind)
-    rows = lines.where(~F.col("value").startswith("#")).select(f.alias("f")).where(F.size("f") >= 10)
+    # an explode of one array each: the conditions below would else be moved before the split, and split the line again for every field
+    rows = lines.where(~value.startswith("#")).select(F.explode(F.array(f)).alias("f")).where(F.size("f") >= 10)
     a, b = F.col("a"), F.col("b")
     rows = rows.select(F.get("f", F.lit(0)).alias("query"), F.get("f", F.lit(1)).alias("segment"), number(2, "double").alias("percent"), number(3, "long").alias("length"), number(4, "long").alias("x"), number(5, "long").alias("q_en"), number(6, "long").alias("a"), number(7, "long").alias("b"), number(8, "double").alias("score"), number(9, "double").alias("evalue"))
     made = rows.dropna().select("query", "segment", F.when(b >= a, 1).otherwise(-1).alias("strand"), (F.col("x") - 1).alias("q_st"), "q_en", (F.least(a, b) - 1).alias("s_st"), F.greatest(a, b).alias("s_en"), (F.col("percent") / 100).alias("identity"), "length", "score", "evalue")
