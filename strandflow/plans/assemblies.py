@@ -9,7 +9,7 @@ from strandflow.operators import blocks as B, compare as D, contiguity as C, edi
 from strandflow.plans import adapters as A
 from strandflow.plans.graphs import _CC, _CHAIN, _FOLD, _L1, _ORDERS, _P, _links
 from strandflow.plans.registry import query, rounded
-from strandflow.runtime import Scratch
+from strandflow.runtime import Scratch, spread
 from strandflow.session import load
 from strandflow.sources import sinks as K, textio as T
 
@@ -288,7 +288,8 @@ def _genomes(spark, sf_dir):
     by = W.partitionBy("cust").orderBy("day", "ord")
     # windows see keys alone: bases are made of them behind the shuffle
     t = lambda c, n: F.concat(*[F.translate(F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{k}"))), "0123456789abcdef", "ACGTACGTACGTACGT") for k in range(n)])
-    own = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day"))
+    keys = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day"))
+    own = spread(keys, "cust", rows=100_000)  # few bytes, but much to be made of them
     own = own.withColumns({"i": F.row_number().over(by).cast("long"), "m": F.count("*").over(W.partitionBy("cust")), "after": F.lead("ord").over(by)})
     own = own.withColumn("body", F.concat(t("ord", 10), F.coalesce(F.left(t("after", 2), F.lit(40)), F.lit(""))))
     own = own.withColumns({"name": F.concat(F.lit("o"), "ord"), "orient": F.when(F.col("ord") % 3 == 0, "-").otherwise("+"), "length": F.length("body").cast("long")})
