@@ -15,10 +15,11 @@ from strandflow.runtime import Scratch
 ENDS = ("from_name", "from_orient", "to_name", "to_orient")
 
 
-def canonical_key():
-    """The smaller of the link's spelling and that of its reverse."""
-    plain = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(ENDS)])
-    back = F.struct(F.col("to_name").alias("k0"), flip("to_orient").alias("k1"), F.col("from_name").alias("k2"), flip("from_orient").alias("k3"))
+def canonical_key(ends=ENDS):
+    """The smaller of the link's spelling and that of its reverse, from the columns ``ends``."""
+    a, ao, b, bo = ends
+    plain = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(ends)])
+    back = F.struct(F.col(b).alias("k0"), flip(bo).alias("k1"), F.col(a).alias("k2"), flip(ao).alias("k3"))
     return F.least(plain, back)
 
 

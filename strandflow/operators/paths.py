@@ -117,32 +117,62 @@ def _on_rings(scratch: Scratch, begin: DataFrame, adj: DataFrame, hops: int) ->
     return edges.select("dst").distinct()
 
 
-def bridges(links: DataFrame, segments: DataFrame, gaps: DataFrame, *, tolerance: float = 0.5, max_length: int = 50_000, max_nodes: int = 20) -> DataFrame:
-    """``(pair, walk, sequence)`` for gaps ``(pair, a, ao, b, bo, gap)`` that the graph fills with confidence.
+def _spelled(walks: DataFrame, links: DataFrame, segments: DataFrame) -> DataFrame:
+    """``(path, sequence, known, n)`` of walks ``(path, a, ao, walk)``: their own bases, and of how many of their ``n`` segments bases are known.
+    Of ``segments`` only those of the walks are taken along."""
+    names = Scratch(links.sparkSession, "spelled").save(walks.select(F.explode("walk.name").alias("name")).distinct(), "names")
+    part = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.length("sequence"))
+    parts = G.walk_pieces(_steps(walks), links, segments.join(names, "name", "left_semi")).where("pos > 0").withColumn("part", part)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy("path").agg(whole.alias("sequence"), F.count("sequence").alias("known"), F.count("*").alias("n"))
+
+
+def _steps(walks: DataFrame) -> DataFrame:
+    """``(path, pos, name, orient)`` of walks ``(path, a, ao, walk)``, from the end they begin at."""
+    first = F.array(F.struct(F.col("a").alias("name"), F.col("ao").alias("orient")))
+    return walks.select("path", F.posexplode(F.concat(first, F.col("walk"))).alias("pos", "s")).select("path", F.col("pos").cast("long").alias("pos"), "s.name", "s.orient")
+
+
+def bridges(links: DataFrame, segments: DataFrame, gaps: DataFrame, **options) -> DataFrame:
+    """``(pair, walk, sequence)``: :func:`bridge_walks` and their own bases."""
+    made = Scratch(links.sparkSession, "bridges").save(bridge_walks(links, segments, gaps, **options).withColumn("path", F.to_json(F.struct("pair", "walk"))), "made")
+    spelled = _spelled(made.where("size(walk) > 0"), links, segments).select("path", "sequence")
+    return made.join(spelled, "path", "left").select("pair", "walk", F.coalesce("sequence", F.lit("")).alias("sequence"))
+
+
+def bridge_walks(links: DataFrame, segments: DataFrame, gaps: DataFrame, *, tolerance: float = 0.5, max_length: int = 50_000, max_nodes: int = 20) -> DataFrame:
+    """``(pair, a, ao, walk)`` for gaps ``(pair, a, ao, b, bo, gap)`` that the graph fills with confidence.
 
     Ends with a direct link close to nothing. Otherwise the walk whose own bases (each segment without its overlap with the one
-    before) come closest to the gap wins, within the tolerance, unless the next best differs in sequence and is almost as close.
+    before) come closest to the gap wins, within the tolerance, unless the next best differs in sequence and is almost as close. Walks are
+    measured by the lengths of sequences; bases are only looked at where two come close.
     """
     scratch = Scratch(links.sparkSession, "bridges")
     adj = G.adjacency(links).select(F.col("src").alias("a"), F.col("src_o").alias("ao"), F.col("dst").alias("b"), F.col("dst_o").alias("bo")).distinct()
-    direct = gaps.join(adj, ["a", "ao", "b", "bo"]).select("pair", F.expr("array()").cast("array<struct<name: string, orient: string>>").alias("walk"), F.lit("").alias("sequence"))
+    told = gaps.join(adj.withColumn("direct", F.lit(True)), ["a", "ao", "b", "bo"], "left")
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("gap") * (1 - tolerance))), F.floor(F.col("gap") * (1 + tolerance)) + 100
-    rest = gaps.join(adj, ["a", "ao", "b", "bo"], "left_anti").withColumns({"lo": lo, "hi": hi})
     reach = F.least(F.lit(max_length), F.greatest(F.lit(2000), 3 * F.col("gap")), F.greatest(2 * hi, F.lit(2000)))
-    rest = scratch.save(rest.withColumn("max_length", reach), "gaps")
+    told = scratch.save(told.withColumns({"lo": lo, "hi": hi, "max_length": reach}), "gaps")
+    direct = told.where("direct").select("pair", "a", "ao", F.expr("array()").cast("array<struct<name: string, orient: string>>").alias("walk"))
+    rest = told.where("direct is null").drop("direct")
     walks = find_paths(links, segments, rest, max_nodes=max_nodes, max_paths=16).where("hops > 0").join(rest, "pair")
     walks = scratch.save(walks.withColumn("path", F.to_json(F.struct("pair", "walk"))), "walks")
-    first = F.array(F.struct(F.col("a").alias("name"), F.col("ao").alias("orient")))
-    steps = walks.select("path", F.posexplode(F.concat(first, F.col("walk"))).alias("pos", "s")).select("path", F.col("pos").cast("long").alias("pos"), "s.name", "s.orient")
-    part = oriented("sequence", "orient").substr(F.col("overlap").cast("int") + 1, F.length("sequence"))
-    parts = G.walk_pieces(steps, links, segments).where("pos > 0").withColumn("part", part)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "")
-    joined = parts.groupBy("path").agg(whole.alias("sequence"), F.count("sequence").alias("known"), F.count("*").alias("n"))
-    scored = walks.join(joined.where("known = n"), "path").withColumn("off", F.abs(F.length("sequence") - F.col("gap"))).where((F.length("sequence") >= F.col("lo")) & (F.length("sequence") <= F.col("hi")))
+    sized = segments.select("name", "length", F.lit(None).cast("string").alias("sequence"), F.length("sequence").alias("bases"))
+    own = F.greatest(F.col("bases") - F.col("overlap"), F.lit(0))
+    sums = G.walk_pieces(_steps(walks), links, sized, more=("bases",)).where("pos > 0").groupBy("path").agg(F.sum(own).alias("size"), F.count("bases").alias("known"), F.count("*").alias("n"))
+    scored = walks.join(sums.where("known = n").select("path", "size"), "path").withColumn("off", F.abs(F.col("size") - F.col("gap"))).where((F.col("size") >= F.col("lo")) & (F.col("size") <= F.col("hi")))
     order = W.partitionBy("pair").orderBy("off", "hops", "path")
-    ranked = scored.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("sequence").over(order)).withColumn("next_off", F.lead("off").over(order))
-    clear = F.col("next").isNull() | (F.col("next") == F.col("sequence")) | (F.col("next_off") > F.col("off") * 1.25)
-    return direct.unionByName(ranked.where((F.col("rn") == 1) & clear).select("pair", "walk", "sequence"))
+    near = F.coalesce(F.lead("off").over(order) <= F.col("off") * 1.25, F.lit(False))
+    best = scored.withColumns({"rn": F.row_number().over(order), "near": near, "next_path": F.lead("path").over(order), "next_walk": F.lead("walk").over(order)}).where("rn = 1")
+    best = scratch.save(best.select("pair", "a", "ao", "walk", "path", "near", "next_path", "next_walk"), "best")
+    out = best.where("not near").select("pair", "a", "ao", "walk").unionByName(direct)
+    close = best.where("near")
+    if close.isEmpty():
+        return out
+    both = close.select("path", "a", "ao", "walk").unionByName(close.select(F.col("next_path").alias("path"), "a", "ao", F.col("next_walk").alias("walk")))
+    texts = scratch.save(_spelled(both, links, segments).select("path", "sequence"), "texts")
+    same = close.join(texts, "path").join(texts.select(F.col("path").alias("next_path"), F.col("sequence").alias("other")), "next_path").where("sequence = other")
+    return out.unionByName(same.select("pair", "a", "ao", "walk"))
 
 
 def scope(segments: DataFrame, links: DataFrame, kind: str = "entire", *, seeds: DataFrame | None = None, distance: int = 0, min_depth: float | None = None, max_depth: float | None = None, component: int | None = None, min_length: int = 0, max_nodes: int | None = None) -> DataFrame:

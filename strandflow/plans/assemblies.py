@@ -286,16 +286,18 @@ own as (select *, 'o' || ord as name, case when ord % 3 = 0 then reverse(transla
 def _genomes(spark, sf_dir):
     """(segments, links, blocks)."""
     by = W.partitionBy("cust").orderBy("day", "ord")
-    # windows see keys alone: bases are made of them behind the shuffle
-    t = lambda c, n: F.concat(*[F.translate(F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{k}"))), "0123456789abcdef", "ACGTACGTACGTACGT") for k in range(n)])
     keys = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("cust"), F.col("o_orderdate").alias("day"))
-    own = spread(keys, "cust", rows=100_000)  # few bytes, but much to be made of them
-    own = own.withColumns({"i": F.row_number().over(by).cast("long"), "m": F.count("*").over(W.partitionBy("cust")), "after": F.lead("ord").over(by)})
-    own = own.withColumn("body", F.concat(t("ord", 10), F.coalesce(F.left(t("after", 2), F.lit(40)), F.lit(""))))
-    own = own.withColumns({"name": F.concat(F.lit("o"), "ord"), "orient": F.when(F.col("ord") % 3 == 0, "-").otherwise("+"), "length": F.length("body").cast("long")})
-    segments = own.select("ord", "name", fn.oriented("body", "orient").alias("sequence"), "length", F.lit(1.0).alias("depth"))
-    links = own.withColumns({"to_name": F.lead("name").over(by), "to_orient": F.lead("orient").over(by)}).where("to_name is not null and cust % 7 > 1")
-    links = links.select("ord", F.col("name").alias("from_name"), F.col("orient").alias("from_orient"), "to_name", "to_orient", F.lit(40).cast("long").alias("overlap"))
+    # windows see keys alone and are written; bases are made of them where they are asked for
+    keys = spread(keys, "cust", rows=100_000)  # few bytes, but much to be made of them
+    own = keys.select("ord", "cust", F.row_number().over(by).cast("long").alias("i"), F.count("*").over(W.partitionBy("cust")).alias("m"), F.lead("ord").over(by).alias("after"))
+    own = Scratch(spark, "genomes").save(own, "keys")
+    t = lambda c, n: F.translate(F.concat(*[F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{k}"))) for k in range(n)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+    body = F.concat(t("ord", 10), F.coalesce(F.left(t("after", 2), F.lit(40)), F.lit("")))
+    orient = lambda c: F.when(F.col(c) % 3 == 0, "-").otherwise("+")
+    own = own.withColumns({"name": F.concat(F.lit("o"), "ord"), "orient": orient("ord"), "length": F.when(F.col("after").isNull(), 320).otherwise(360).cast("long")})
+    segments = own.select("ord", "name", fn.oriented(body, "orient").alias("sequence"), "length", F.lit(1.0).alias("depth"))
+    links = own.where("after is not null and cust % 7 > 1")
+    links = links.select("ord", F.col("name").alias("from_name"), F.col("orient").alias("from_orient"), F.concat(F.lit("o"), "after").alias("to_name"), orient("after").alias("to_orient"), F.lit(40).cast("long").alias("overlap"))
     n, st = F.col("length"), (F.col("i") - 1) * 320
     blocks = own.where("cust % 7 = 0 or i % 2 = 1").select(
         F.col("name").alias("query"), F.lit(1).cast("long").alias("ord"), n.alias("q_len"), F.lit(0).cast("long").alias("q_st"), n.alias("q_en"), F.when(F.col("orient") == "-", -1).otherwise(1).alias("strand"), F.concat(F.lit("c"), "cust").alias("ref"), (F.col("m") * 320).alias("r_len"),
@@ -314,6 +316,7 @@ union all select 'unplaced_' || name, length(sequence)::bigint, md5(sequence), 0
 def scaffold_bridged(spark, sf_dir):
     """Scaffolds along the references with walks of the graph in their gaps and overlaps written once: what their AGP rows spell."""
     segments, links, blocks = _genomes(spark, sf_dir)
+    segments = Scratch(spark, "bridged").save(segments, "segments")  # bases are made once
     plan = S.scaffold_by_reference(blocks, segments, links, min_align=100)
     rows = Scratch(spark, "bridged").save(S.agp(plan, segments, links), "agp")
     sums = rows.groupBy("object").agg(F.max("end").alias("bases"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gap_bases"), F.coalesce(F.sum(F.when(F.col("bridged"), F.col("end") - F.col("beg") + 1)), F.lit(0)).alias("bridged_bases"))

@@ -140,3 +140,13 @@ def test_references_with_one_label_make_scaffolds_of_their_own(spark):
     assert {r["scaffold"] for r in plan.collect()} == {"scaffold_chr_1", "scaffold_chr_1_2", "unplaced_u_v", "unplaced_u_v_2"}
     chains = spark.createDataFrame([], "chain long, pos long, name string, orient string")
     assert plan.columns == S.plan_by_chains(chains, segments).columns and S.plan_by_chains(chains, segments).count() == 4
+
+
+def test_two_walks_that_come_close_must_be_the_same_bases(spark):
+    """Of two ways over a gap one fills it only where both spell the same, or where bases of the other are not known."""
+    segments = spark.createDataFrame([(k, n, s, len(s or "A" * 40), 1.0) for k, (n, s) in enumerate({"a": "C" * 50, "x": "AC" * 20, "y": "AC" * 20, "z": "AG" * 20, "u": None, "b": "G" * 50}.items())], SEGMENTS)
+    gaps = spark.createDataFrame([(1, "a", "+", "b", "+", 40)], "pair long, a string, ao string, b string, bo string, gap long")
+    for middle, fills in (("xy", True), ("xz", False), ("xu", True), ("u", False)):
+        links = spark.createDataFrame([(k, *e, 0) for k, e in enumerate([e for m in middle for e in (("a", "+", m, "+"), (m, "+", "b", "+"))])], LINKS)
+        made = P.bridges(links, segments, gaps).collect()
+        assert [r["sequence"] for r in made] == (["AC" * 20] if fills else []), middle
