@@ -332,8 +332,9 @@ union all select null, 'repeated', name || ': ' || count(*) from path_steps grou
 def scaffold_warnings(spark, sf_dir):
     """Paths as scaffolds over a graph that has lost parts and links."""
     segments = A.seg_part(spark, sf_dir).where("ord % 10 != 0")
-    links = G.drop_dangling(_links(spark, sf_dir).where("ord % 3 != 0"), segments)
-    plan = A.path_steps(spark, sf_dir).select(F.col("path").alias("ord"), F.concat(F.lit("s"), "path").alias("scaffold"), F.lit("graph").alias("source"), "pos", F.col("name").alias("segment"), F.col("orient").alias("orientation"), F.lit(0).cast("long").alias("gap_after"))
+    lines = Scratch(spark, "warnings").save(A.lines(spark, sf_dir), "lines")
+    links = G.drop_dangling(G.dedup_links(A.links(spark, sf_dir, lines)).where("ord % 3 != 0"), segments)
+    plan = A.path_steps(spark, sf_dir, lines).select(F.col("path").alias("ord"), F.concat(F.lit("s"), "path").alias("scaffold"), F.lit("graph").alias("source"), "pos", F.col("name").alias("segment"), F.col("orient").alias("orientation"), F.lit(0).cast("long").alias("gap_after"))
     return S.plan_warnings(plan, segments, links)
 
 

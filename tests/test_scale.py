@@ -122,3 +122,24 @@ def test_tables_carry_no_sequences_through_joins(spark):
     assert sorted((r["name"], r["gc"], r["depth"], r["component"]) for r in made.collect()) == [("a", "0.50000", "1.0000", 0), ("b", None, None, 0)]
     lines = [x for x in _plan(made).splitlines() if "Sort " in x or "Exchange hash" in x]
     assert lines and not any("sequence" in x for x in lines)
+
+
+def test_warnings_shuffle_members_few_times(spark, monkeypatch):
+    from strandflow.operators import scaffold as S
+    from strandflow.runtime import Scratch
+
+    plans, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name="t": (plans.append(_plan(df)), save(self, df, name))[1])
+    segments = spark.createDataFrame([("a", 50), ("b", 60), ("c", 5)], "name string, length long")
+    links = spark.createDataFrame([(1, "a", "+", "b", "-", 4), (2, "c", "-", "b", "+", 7), (3, "b", "-", "c", "+", 6)], "ord long, from_name string, from_orient string, to_name string, to_orient string, overlap long")
+    members = [(0, "s", 0, "a", "+"), (0, "s", 1, "b", "-"), (0, "s", 2, "c", "+"), (0, "s", 3, "x", "+"), (0, "s", 4, "a", "-"), (1, "t", 0, "c", "-"), (1, "t", 1, "x", "-")]
+    plan = spark.createDataFrame([(o, s, "graph", p, n, c, 0) for o, s, p, n, c in members], "ord long, scaffold string, source string, pos long, segment string, orientation string, gap_after long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = S.plan_warnings(plan, segments, links)
+        plans.append(_plan(made))
+        got = sorted((r["scaffold"] or "", r["kind"], r["detail"]) for r in made.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("", "repeated", "a: 2"), ("", "repeated", "c: 2"), ("", "repeated", "x: 2"), ("s", "missing", "x"), ("s", "not linked", "c+ to a-"), ("s", "swallowed", "c: 5 of 6"), ("t", "missing", "x")]
+    assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 8
