@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandflow.functions.sequence import gc_content
+from strandflow.functions.sequence import gc_content, let
 from strandflow.operators import blocks as B, links as G, scaffold as S
 from strandflow.runtime import Scratch
 
@@ -13,9 +13,9 @@ def segment_table(segments: DataFrame, links: DataFrame, blocks: DataFrame | Non
     """One row of 15 columns for each segment: length, depth, GC, component, links at its ends, whether it is a ring by itself, the
     reference it lies on most, and its place in the scaffolds."""
     links = Scratch(segments.sparkSession, "table").save(links, "links")
-    known = F.col("sequence").isNotNull() & (F.col("sequence") != "")
-    # sequences stay where they are: what is told of them goes through the joins
-    told = segments.select("name", "length", F.when(F.col("depth").isNotNull(), F.format_string("%.4f", "depth")).alias("depth"), F.when(known, F.format_string("%.5f", gc_content("sequence"))).alias("gc"))
+    # sequences stay where they are, each made once: what is told of them goes through the joins
+    gc = let(F.col("sequence"), lambda s: F.when(s.isNotNull() & (s != ""), F.format_string("%.5f", gc_content(s))))
+    told = segments.select("name", "length", F.when(F.col("depth").isNotNull(), F.format_string("%.4f", "depth")).alias("depth"), gc.alias("gc"))
     rows = told.join(G.components(segments, links), "name").join(G.degrees(segments, links), "name")
     ring = G.circular_segments(links).withColumn("circular", F.lit(1))
     rows = rows.join(ring, "name", "left")

@@ -143,3 +143,13 @@ def test_warnings_shuffle_members_few_times(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == [("", "repeated", "a: 2"), ("", "repeated", "c: 2"), ("", "repeated", "x: 2"), ("s", "missing", "x"), ("s", "not linked", "c+ to a-"), ("s", "swallowed", "c: 5 of 6"), ("t", "missing", "x")]
     assert sum(p.count("Exchange hashpartitioning") for p in plans) <= 8
+
+
+def test_tables_make_a_sequence_once(spark):
+    from strandflow.operators import tables as R
+
+    rows = [(0, "a", "acgtt", 5, 1.0), (1, "b", None, 7, None), (2, "c", "", 0, None), (3, "d", "sSnN-é😀a", 8, 2.0), (4, "e", "nn", 2, None)]
+    segments = spark.createDataFrame(rows, "ord long, name string, raw string, length long, depth double").withColumn("sequence", F.upper("raw"))
+    made = R.segment_table(segments, _links(spark).where("overlap = 7"))
+    assert {r["name"]: r["gc"] for r in made.collect()} == {"a": "0.40000", "b": None, "c": None, "d": "0.66667", "e": "0.00000"}
+    assert max(line.count("upper(raw") for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines()) == 1
